@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, media, secrets, setjoin, wordpiece
+from . import linededup, media, secrets, setjoin, substring, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_token_counts, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans)}
+    return {f.__name__: f for f in (op2_media_columns, op3_token_counts, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
