@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, media, secrets, setjoin, substring, wordpiece
+from . import decontaminate, linededup, media, packing, secrets, setjoin, substring, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(_table(spark, sf_dir, "documents"))
     return media.digests(media.sniff(stored, "medium", "declared", ["doc_id", "n_bytes"]))
@@ -23,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs)
@@ -41,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_token_counts, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
