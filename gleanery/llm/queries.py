@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, media, packing, secrets, setjoin, substring, wordpiece
+from . import decontaminate, linededup, media, packing, quality, secrets, setjoin, substring, toxicity, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
