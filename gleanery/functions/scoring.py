@@ -75,16 +75,20 @@ def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Shingles are hashed where the text is; only 64 partial sums a row and task are shuffled.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
-    n = F.length(bare)
-    shingles = F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.substring(bare, i, 4))).when(n > 0, F.array(bare)).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.col(key), F.explode_outer(shingles).alias("shingle"))
-    halves = [F.conv(F.substring(F.sha2("shingle", 256), at, 8), 16, 10).cast("long") for at in (1, 9)]
-    bits = rows.select(key, halves[0].alias("hi"), halves[1].alias("lo"))
-    sums = [F.sum(F.when(F.shiftright(F.col(half), b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"{half}{b}") for half in ("hi", "lo") for b in range(32)]
-    summed = bits.groupBy(key).agg(*sums, F.count("hi").alias("n"))
-    word = lambda half: sum((F.when((F.col(f"{half}{b}") > 0) & (F.col("n") > 0), 1 << b).otherwise(0) for b in range(32)), F.lit(0).cast("long"))
-    return summed.select(key, F.lower(F.concat(F.lpad(F.hex(word("hi")), 8, "0"), F.lpad(F.hex(word("lo")), 8, "0"))).alias("simhash"))
+    letters = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", ""), ""), lambda c: c != "")
+    # the letters are a column of their own, so that a shingle takes four of them and not the text anew
+    df = df.select(F.col(key), letters.alias("c"))
+    n = F.size("c")
+    shingles = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 4), lambda i: F.concat(*(F.get("c", i + k) for k in range(4))))).when(n > 0, F.array(F.array_join("c", ""))).otherwise(F.array().cast("array<string>"))
+    # two 32-bit counters a sum: a bit's count in the low half, that of the bit 32 places up in the high half
+    h = F.conv(F.substring(F.sha2(F.col("shingle"), 256), 1, 16), 16, -10).cast("long")
+    low = F.lit(1 | 1 << 32)
+    rows = df.select(F.col(key), F.explode_outer(shingles).alias("shingle")).select(key, h.alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(low)).alias(f"s{b}") for b in range(32)]
+    summed = rows.groupBy(key).agg(*sums, F.count("h").alias("n"))
+    count = lambda b, half: F.shiftrightunsigned(f"s{b}", 32) if half else F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))
+    word = lambda half: sum((F.when(count(b, half) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(32)), F.lit(0).cast("long"))
+    return summed.select(key, F.lower(F.concat(F.lpad(F.hex(word(1)), 8, "0"), F.lpad(F.hex(word(0)), 8, "0"))).alias("simhash"))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:
