@@ -30,7 +30,7 @@ def _job(f: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], Data
 
 
 def _load() -> None:
-    from gleanery.plans import flow, reading, state  # noqa: F401
+    from gleanery.plans import flow, reading, state, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.sources.tables import spread, table
+
 INPUTS: dict[str, str] = {
     "posts": """SELECT doc_id AS id, 'https://' || source || '.example.com/a/' || CAST(doc_id AS STRING) AS url, source || '.example.com' AS host,
         'blog' AS source_type, source AS source_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Site ' || source END AS source_name,
@@ -84,10 +86,12 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in ("documents", "pages"):
+            return spread(table(self.spark, self.sf_dir, name))
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return table(self.spark, self.sf_dir, name)
         if name not in INPUTS:
             raise AttributeError(name)
         sql = INPUTS[name]
-        used = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\bFROM {t}\b", sql)}
+        used = {t: table(self.spark, self.sf_dir, t) for t in TABLES if re.search(rf"\bFROM {t}\b", sql)}
         return self.spark.sql(re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], sql.replace("{", "{{").replace("}", "}}")), **used)
