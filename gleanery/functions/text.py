@@ -15,7 +15,7 @@ def decoded(text: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
         prefix = "&#x" if base == 16 else "&#"
         # Spark's char() folds to 256 values, so code points are made through UTF-32
-        letter = lambda n: F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 8, "0")), "UTF-32BE")
+        letter = lambda n: F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 8, "0")), "UTF-32")
         return F.aggregate(found, text, lambda t, n: F.replace(t, F.concat(F.lit(prefix), n, F.lit(";")), letter(n)))
 
     text = numeric(numeric(text, "&#x([0-9a-fA-F]+);", 16), "&#([0-9]+);", 10)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, SAFE_PREFIXES, Config
@@ -18,7 +19,7 @@ PARTICLES = r"(?:の|を|に|は|が|で|と|も|や|から|まで|より|へ|
 CONNECTORS = ("理由", "背景", "経緯", "決め手")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
