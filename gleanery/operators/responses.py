@@ -33,6 +33,22 @@ def parse_responses(replies: DataFrame, inputs: DataFrame, categories: list[str]
     return inputs.join(item, ["batch_id", "index"], "left")
 
 
+def parse_topic_responses(replies: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Topics of each input id from replies with ``items`` of (id, topics): the first item of an id counts, a missing id has an empty list."""
+    parsed = replies.select("batch_id", F.from_json(unfenced(F.col("response")), "items ARRAY<STRUCT<id: STRING, topics: ARRAY<STRING>>>").alias("r")).where("r.items is not null")
+    flat = parsed.select("batch_id", F.posexplode("r.items").alias("place", "i")).where("i.id is not null and i.topics is not null")
+    first = flat.groupBy(F.col("i.id").alias("id")).agg(F.min_by("i.topics", F.struct("batch_id", "place")).alias("topics"))
+    return inputs.join(first, "id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+def topic_audit(before: DataFrame, after: DataFrame, signature: Column) -> DataFrame:
+    """An audit row for each candidate (id): counts, a digest of the new topics, the signature and the outcome; only counts and digests leave, no text."""
+    joined = before.select("id", F.size("topics").alias("n_before")).join(after.select("id", "topics"), "id", "left")
+    topics = F.coalesce("topics", F.array().cast("array<string>"))
+    outcome = F.when(F.col("topics").isNull(), "failed").when(F.size(topics) == 0, "kept").otherwise("replaced")
+    return joined.select("id", "n_before", F.size(topics).alias("n_after"), F.sha2(F.array_join(topics, "\u001f"), 256).alias("digest"), signature.alias("signature"), outcome.alias("outcome"))
+
+
 def plan_backfill(candidates: DataFrame, results: DataFrame, degrade_omits_score: bool = False) -> DataFrame:
     """Candidates with ``outcome``: llm_failed (no result), gate_degrade (no good anchor), updated; and what each writes."""
     r = results.select("id", F.lit(True).alias("found"), "anchor_ok")

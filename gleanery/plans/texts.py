@@ -108,6 +108,22 @@ def p23_parse_model_responses(t):
     return responses.parse_responses(model_replies(t), inputs, CATEGORIES).select("id", "title", "firsthand", F.array_join("topics", "|").alias("topics"))
 
 
+@query("""SELECT 'd' || CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 13 = 0 OR doc_id // 25 % 20 = 19 THEN '' ELSE lang || '|' || source END AS topics FROM documents""")
+def p24_parse_topic_responses(t):
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    items = t.documents.where("doc_id % 13 != 0").select(F.floor(F.col("doc_id") / 25).alias("batch_id"), F.struct(name.alias("id"), F.array("lang", "source").alias("topics")).alias("item"))
+    body = F.to_json(F.struct(F.collect_list("item").alias("items")))
+    replies = items.groupBy("batch_id").agg(body.alias("r")).select("batch_id", F.when(F.col("batch_id") % 20 == 19, F.substring("r", 1, 30)).otherwise(F.col("r")).alias("response"))
+    return responses.parse_topic_responses(replies, t.documents.select(name.alias("id"))).select("id", F.array_join("topics", "|").alias("topics"))
+
+
+@query("""SELECT id, coalesce(n, 0) AS n_before, CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN 0 ELSE 2 END AS n_after, sha256(CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN '' ELSE source_id || chr(31) || host END) AS digest, 'v3' AS signature,
+    CASE WHEN id % 7 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'kept' ELSE 'replaced' END AS outcome FROM posts LEFT JOIN (SELECT post_id, count(*) AS n FROM topics GROUP BY post_id) l ON l.post_id = id""")
+def m19_topic_backfill_audit(t):
+    after = t.posts.where("id % 7 != 0").select("id", F.when(F.col("id") % 5 != 0, F.array("source_id", "host")).otherwise(F.array().cast("array<string>")).alias("topics"))
+    return responses.topic_audit(feed.attach_topics(t.posts.select("id"), t.topics), after, F.lit("v3"))
+
+
 @query()
 def j09_body_drift(t):
     """Texts refetched: the last half of every fifth one is replaced, every seventh one is gone."""
