@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, linededup, packing, quality, setjoin
 from gleanery.llm.stages import written
+from gleanery.sources.tables import spread, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 5) scores 0.3 or more."""
-    return quality.accepted(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
+    return quality.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 1 finds no benchmark item."""
-    return decontaminate.without(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.without(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
