@@ -25,6 +25,8 @@ PASSAGE, STRIDE = 64, 32
 SEGMENT = 48
 K1, B = 1.2, 0.75
 BLOCK = 32
+#: Share of a segment's score that its commonest terms, which find no candidates, may make.
+REST = 0.2
 #: Bytes of item text in one index; more items make more indexes, each of which all documents query.
 SHARD_BYTES = 8 << 20
 #: Words in the n-grams of the verification.
@@ -64,6 +66,8 @@ class Index:
     terms: np.ndarray
     most: np.ndarray
     postings: list[tuple[list[int], list[float], list[float]]]
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray]
+    rest: np.ndarray
 
 
 def build(items: list[tuple], df: dict[int, int], n: int, mean: float) -> Index:
@@ -87,7 +91,24 @@ def build(items: list[tuple], df: dict[int, int], n: int, mean: float) -> Index:
         at, x = zip(*lists[t], strict=True)
         postings.append((list(at), list(x), [max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)]))
     most = np.array([max(p[2]) for p in postings], dtype=np.float64)
-    return Index([i for i, _ in items], [len(h) for h in words], [_grams(h) for h in question], [_grams(h) for h in answer], segment_item, terms, most, postings)
+    # each segment's terms, rarest first, up to all but REST of its score: what has none of them can't reach a threshold above REST
+    own: list[list[tuple[int, float, int]]] = [[] for _ in segment_item]
+    for k, (at, x, _) in enumerate(postings):
+        for seg, v in zip(at, x, strict=True):
+            own[seg].append((len(at), v, k))
+    chosen: list[list[tuple[int, float]]] = [[] for _ in postings]
+    rest = np.zeros(len(segment_item))
+    for seg, parts in enumerate(own):
+        left = 1.0
+        for _, v, k in sorted(parts):
+            if left <= REST:
+                break
+            chosen[k].append((seg, v))
+            left -= v
+        rest[seg] = max(left, 0.0)
+    flat = [x for part in chosen for x in part]
+    rare = np.cumsum([0, *map(len, chosen)]), np.array([x[0] for x in flat], dtype=np.int64), np.array([x[1] for x in flat])
+    return Index([i for i, _ in items], [len(h) for h in words], [_grams(h) for h in question], [_grams(h) for h in answer], segment_item, terms, most, postings, rare, rest)
 
 
 def segments(h: np.ndarray) -> list[np.ndarray]:
@@ -150,24 +171,20 @@ def _advance(index: Index, cursor: list[int], to: int, end: int) -> None:
 
 def matches(index: Index, buf: np.ndarray, off: np.ndarray, threshold: float, question: float, answer: float) -> list[tuple]:
     """``(document, item, start, stop, score, question_overlap, answer_overlap)``: the best verified passage for each document and item."""
+    if threshold <= REST:
+        raise ValueError(f"the threshold has to be over {REST}")
     w = K.words(buf, off, sep=K.NOT_ALNUM)
     h = w.hashes
     if not len(h) or not len(index.terms):
         return []
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     known = index.terms[at] == h
-    total = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[at], 0.0))])
     n = np.diff(w.first)
-    count = np.where(n > 0, np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1), 0)
-    doc = np.repeat(np.arange(len(n)), count)
-    start = w.first[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
-    stop = np.minimum(start + PASSAGE, w.first[doc + 1])
     best: dict[tuple[int, int], tuple] = {}
-    for p in np.flatnonzero(total[stop] - total[start] >= threshold - 1e-9).tolist():
-        s, e, d = int(start[p]), int(stop[p]), int(doc[p])
+    for d, k in _promising(index, at, known, n, threshold):
+        s = int(w.first[d]) + STRIDE * k
+        e = min(s + PASSAGE, int(w.first[d + 1]))
         query = np.unique(at[s:e][known[s:e]])
-        if index.most[query].sum() < threshold:
-            continue
         for segment, score in wand(index, query.tolist(), threshold):
             item = index.segment_item[segment]
             if (d, item) in best and best[d, item][4] >= score:
@@ -179,6 +196,38 @@ def matches(index: Index, buf: np.ndarray, off: np.ndarray, threshold: float, qu
     return list(best.values())
 
 
+def _promising(index: Index, at: np.ndarray, known: np.ndarray, n: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(document, passage) pairs of which some segment's bound reaches the threshold: its rare terms there (each occurrence counts) and the rest of its score.
+
+    A passage is two strides long, so sums over strides give those of all passages.
+    """
+    ptr, segment, impact = index.rare
+    size = ptr[at + 1] - ptr[at]
+    words = np.flatnonzero(known & (size > 0))
+    if not len(words):
+        return []
+    strides = -(-n // STRIDE)
+    base = np.cumsum(strides) - strides
+    first = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), n)[words]
+    stride = base[doc] + (words - first[doc]) // STRIDE
+    size = size[words]
+    entry = np.repeat(ptr[at[words]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    count = len(index.rest)
+    keys, inverse = np.unique(np.repeat(stride, size) * count + segment[entry], return_inverse=True)
+    sums = np.bincount(inverse, impact[entry])
+    follow = np.searchsorted(keys, keys + count)
+    both = sums + np.where((follow < len(keys)) & (keys[np.minimum(follow, len(keys) - 1)] == keys + count), sums[np.minimum(follow, len(keys) - 1)], 0.0)
+    bound = index.rest[keys % count]
+    # a passage that begins at the key's stride, or at the one before it
+    good = np.unique(np.concatenate([keys[both + bound >= threshold - 1e-9] // count, keys[sums + bound >= threshold - 1e-9] // count - 1]))
+    good = good[good >= 0]
+    doc = np.searchsorted(base, good, side="right") - 1
+    place = good - base[doc]
+    starts = np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1)
+    return [(int(d), int(k)) for d, k in zip(doc, place, strict=True) if k < starts[d]]
+
+
 def _overlap(grams: np.ndarray, h: np.ndarray) -> float:
     """The part of an item's n-grams that the words have; n is the item's words if they are fewer than ``GRAM``. No n-grams: all."""
     if not len(grams):
