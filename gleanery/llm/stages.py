@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Folders made where the session names none, by application.
@@ -29,3 +33,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: log2 of the bits by which rows that a join doesn't need are left out before its shuffle: 128 KB for any input; more wanted keys only make it coarser.
+SIEVE_BITS = 20
+
+
+def sieved(df: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` isn't in the rows of ``wanted``; none that is goes.
+
+    The marks are at most 2^bits, however many keys there are.
+    """
+    n = 1 << bits
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    marks = np.zeros(n, dtype=bool)
+    marks[wanted.select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            k = batch.num_columns - 1
+            yield batch.filter(pa.array(keep[batch.column(k).to_numpy()])).select(list(range(k)))
+
+    return df.withColumn("_bucket", bucket).mapInArrow(run, df.schema)
