@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .stages import written
+from .stages import sieved, written
 
 U64 = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
@@ -74,6 +74,9 @@ class _Lines:
         return out[0], out[1]
 
 
+#: log2 of the marks that keep most halves and variants which no other line has out of a shuffle.
+HALF_BITS = 22
+
 ROWS = "doc_id long, line_no int, h1 long, h2 long, n int, k0 long, k1 long, k2 long, k3 long"
 
 
@@ -99,27 +102,26 @@ def _line_rows(docs: DataFrame, least: int, near: int) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-NEIGHBOURS = "v1 long, v2 long, at int, h1 long, h2 long, doc_id long, line_no int, line string"
+NEIGHBOURS = "v1 long, v2 long, at int, nr long, line string"
 
 
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Keys of the wanted lines: a row for each variant (``at``: the word left out), and one for the line itself (``at`` -1, with its text)."""
-    of = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("line_no", "h1", "h2"))).alias("lines"))
-    with_text = docs.join(of, docs["doc_id"] == of["_id"]).select("doc_id", "text", "lines")
+    of = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("line_no", "h1", "h2", "nr"))).alias("lines"))
+    with_text = sieved(docs, of.select(F.col("_id").alias("doc_id")), "doc_id").join(of, F.col("doc_id") == F.col("_id")).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in NEIGHBOURS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            buf, off = K.utf8(batch.column(1))
+            buf, off = K.utf8(batch.column(0))
             for i, j in K.slices(off, K.CHUNK):
                 base = off[i]
                 x = _Lines(buf[base : off[j]], off[i : j + 1] - base)
                 place = {(d, k): r for r, (d, k) in enumerate(zip(x.doc.tolist(), x.line.tolist(), strict=True))}
                 whole = [K.signed(x.whole(k)) for k in (0, 1)]
                 cols: list[list] = [[] for _ in names]
-                for d, lines in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
+                for d, lines in enumerate(batch.column(1).slice(i, j - i).to_pylist()):
                     for row in lines:
                         r = place.get((d, row["line_no"]), -1)
                         if r < 0 or (whole[0][r], whole[1][r]) != (row["h1"], row["h2"]):
@@ -130,11 +132,10 @@ def _neighbourhoods(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         cols[0].append(np.append(K.signed(v1), row["h1"]))
                         cols[1].append(np.append(K.signed(v2), row["h2"]))
                         cols[2].append(np.append(np.arange(m - 1, dtype=np.int32), np.int32(-1)))
-                        for c, v in zip(cols[3:7], (row["h1"], row["h2"], ids[i + d], row["line_no"]), strict=True):
-                            c.append(np.full(m, v))
-                        cols[7] += [None] * (m - 1) + [bytes(buf[base + a : base + b]).decode()]
-                if cols[7]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols[:7], types, strict=False)] + [pa.array(cols[7], types[7])], names=names)
+                        cols[3].append(np.full(m, row["nr"]))
+                        cols[4] += [None] * (m - 1) + [bytes(buf[base + a : base + b]).decode()]
+                if cols[4]:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=False)), pa.array(cols[4], pa.string())], names=names)
 
     return with_text.mapInArrow(run, NEIGHBOURS)
 
@@ -164,22 +165,23 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(h1, h2)`` of the lines that stand within one edit of an earlier line."""
     halves = distinct.where("k0 is not null").select("h1", "h2", "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k")
-    wanted = halves.join(shared, "k", "left_semi").select("h1", "h2", "place.doc_id", "place.line_no").distinct()
+    shared = written(shared, "halves")
+    wanted = sieved(halves, shared, "k", HALF_BITS).join(shared, "k", "left_semi").select("h1", "h2", "place.doc_id", "place.line_no").distinct()
+    # numbers in the order of places: one long to compare from here on
+    wanted = written(wanted.orderBy("doc_id", "line_no").withColumn("nr", F.monotonically_increasing_id()), "wanted")
     keys = written(_neighbourhoods(docs, wanted), "variants")
-    place = F.struct("doc_id", "line_no")
-    here: Column = F.col("place")
-    keys = keys.withColumn("place", place)
+    # a key that stands alone meets nothing: most are left out before they are shuffled whole
+    met = keys.groupBy("v1").agg(F.count("*").alias("m")).where("m > 1").select("v1")
+    variants = written(sieved(keys.where("at >= 0").select("v1", "v2", "at", "nr"), met, "v1", HALF_BITS), "met")
+    lines = keys.where("at < 0").select(F.col("v1").alias("h1"), F.col("v2").alias("h2"), "nr", "line")
     # lines of equal length: the same variant, the same word left out
-    same = keys.where("at >= 0").groupBy("v1", "v2", "at").agg(F.min("place").alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = [keys.where("at >= 0").join(same, ["v1", "v2", "at"]).select("h1", "h2", "place", "p")]
-    # a variant that is a line: the two, and the shorter one's earliest longer partner
-    short = keys.where("at < 0").select("v1", "v2", F.col("place").alias("q"))
-    longer = keys.where("at >= 0").join(short, ["v1", "v2"])
-    first.append(longer.select("h1", "h2", "place", F.col("q").alias("p")))
-    first.append(longer.groupBy(F.col("v1").alias("h1"), F.col("v2").alias("h2")).agg(F.first("q").alias("place"), F.min("place").alias("p")))
-    best = first[0].unionByName(first[1]).unionByName(first[2]).where(F.col("p") < here).groupBy("h1", "h2").agg(F.min("p").alias("p"))
-    lines = keys.where("at < 0").select("h1", "h2", "place", "line")
-    pairs = best.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(lines.select(F.col("place").alias("p"), F.col("line").alias("other")), "p")
+    same = variants.groupBy("v1", "v2", "at").agg(F.min("nr").alias("p"), F.max("nr").alias("z")).where("p < z").drop("z")
+    equal = variants.join(same, ["v1", "v2", "at"]).select("nr", "p")
+    # a variant that is a line itself: the two meet, and the shorter one meets its earliest longer partner
+    longer = variants.join(lines.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), F.col("nr").alias("q")), ["v1", "v2"]).select("nr", "q")
+    shorter = longer.groupBy(F.col("q").alias("nr")).agg(F.min("nr").alias("p"))
+    best = equal.union(longer).union(shorter).where("p < nr").groupBy("nr").agg(F.min("p").alias("p"))
+    pairs = best.join(lines, "nr").join(lines.select(F.col("nr").alias("p"), F.col("line").alias("other")), "p")
     return _verified(pairs).distinct()
 
 
@@ -205,10 +207,11 @@ def dedup_lines(docs: DataFrame, least: int = 3, near: int = 8) -> DataFrame:
     no place in the order and stay whole; rows that share a doc_id share its line numbers, and so lose the
     same ones. Other columns stay, but for ``n_lines`` and ``n_dropped``, which are replaced.
     """
-    plan = drop_plan(docs, least, near).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
+    mine = next(n for n in (f"line_dedup_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    plan = drop_plan(docs, least, near).select(F.struct("doc_id", "dropped").alias(mine))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*names).withColumn("text", F.col("text").cast("string"))
-    joined = docs.join(plan, docs["doc_id"].cast("long") == plan["_id"], "left").drop("_id")
+    joined = docs.join(plan, F.col("doc_id").cast("long") == F.col(f"{mine}.doc_id"), "left").select(*names, F.col(f"{mine}.dropped").alias(mine))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines int", "n_dropped int"])
     at = names.index("text")
 
