@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .stages import written
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and combined hash of the links: equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``links``; component: the smallest node reachable.
 
@@ -20,21 +25,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "links")
-    n = edges.count()
-    while n:
+    before, now = None, _mark(edges)
+    while now[0] and now != before:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: every node ties its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
-        small = tied.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "links")
-        # done when every link is a star: each node has one smaller end, which is no node's larger end
-        state = new.groupBy("u").agg(F.count("*").alias("k")).join(new.select(F.col("v").alias("u")).distinct(), "u", "full")
-        open_ = state.where("k > 1").limit(1).count() + new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        edges = new
-        if not open_:
-            break
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = written(small, "links")
+        before, now = now, _mark(edges)  # a round changes nothing exactly when every component is a star around its smallest node
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

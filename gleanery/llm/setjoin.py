@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .stages import written
+from .stages import sieved, written
 
 U64 = np.uint64
 #: Words in a shingle.
@@ -38,8 +38,6 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 16
 #: Min-hashes of step 2.
 MINS = 4
-#: log2 of the bits by which documents that no comparison needs are left out before a shuffle; more documents only make it coarser.
-SIEVE_BITS = 20
 #: Members of a leader that are compared in one task.
 MEMBERS = 1000
 
@@ -120,22 +118,6 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows whose doc_id isn't in ``ids``; none that is goes."""
-    n = 1 << SIEVE_BITS
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    marks = np.zeros(n, dtype=bool)
-    marks[ids.select(bucket.alias("bucket")).distinct().toArrow()["bucket"].to_numpy()] = True
-    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(marks.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(wanted[batch.column(2).to_numpy()])).select([0, 1])
-
-    return docs.select("doc_id", "text", bucket.alias("bucket")).mapInArrow(run, "doc_id long, text string")
-
-
 def _intersections(docs: DataFrame, pairs: DataFrame, size: int, name: str) -> DataFrame:
     """``(a, b, na, nb, both)``: set sizes and the size of the intersection for each of the distinct ``pairs`` (a, b).
 
@@ -147,7 +129,7 @@ def _intersections(docs: DataFrame, pairs: DataFrame, size: int, name: str) -> D
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
     wanted = members.unionByName(heads)
-    texts = _sieved(docs, wanted.select(F.col("id").alias("doc_id")))
+    texts = sieved(docs.select("doc_id", "text"), wanted.select(F.col("id").alias("doc_id")), "doc_id")
     rows = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("a", "salt", "role", "id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,40 +150,51 @@ def _intersections(docs: DataFrame, pairs: DataFrame, size: int, name: str) -> D
     return written(rows.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
 
 
+PREFIX = "doc_id long, n int, tokens array<long>"
 POSTING = "token long, cluster long, lo int, hi int, room int"
 
 
-def _postings(docs: DataFrame, reps: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix shingles of each set; ``room``: how much of the set is left from the shingle on. Those of one cluster in a slice are one row: least and largest set, most room."""
+def _prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
+    """The shingles of each set's prefix, rare ones first."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    sieve = reps.select("doc_id", "cluster")
-    rows = docs.join(sieve, "doc_id").select("cluster", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for part, buf, off in _batches(batches, 1):
-            tokens, owners, sizes, rooms = [], [], [], []
-            for c, s in zip(part.column(0).to_pylist(), shingle_sets(buf, off, size), strict=True):
+            tokens, sizes = [], []
+            for s in shingle_sets(buf, off, size):
                 n = len(s)
-                k = n - (n * percent + 99) // 100 + 1  # two sets of the least similarity share one of so many
-                if not n:
-                    continue
+                sizes.append(n)
+                k = n - (n * percent + 99) // 100 + 1 if n else 0  # two sets of the least similarity share one of so many
                 rank = (levels[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U64(58)) | (s >> U64(6))
-                first = np.argsort(rank) if k >= n // 2 else np.argpartition(rank, k - 1)[:k]
-                first = first[np.argsort(rank[first])][:k]
-                tokens.append(s[first])
-                owners.append(np.full(k, c, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-                rooms.append(n - np.arange(k, dtype=np.int32))
-            if not tokens:
+                first = np.argpartition(rank, k - 1)[:k] if k < n else np.arange(n)
+                tokens.append(K.signed(s[first[np.argsort(rank[first])]]))
+            offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), lists], names=["doc_id", "n", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, PREFIX)
+
+
+def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
+    """Prefix shingles by cluster; ``room``: how much of the set is left from the shingle on. Those of one cluster in a batch are one row: least and largest set, most room."""
+    rows = prefixes.join(reps.select("doc_id", "cluster"), "doc_id").select("cluster", "n", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            k = np.diff(lists.offsets.to_numpy())
+            t = lists.flatten().to_numpy()
+            if not len(t):
                 continue
-            t, o, z, r = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes), np.concatenate(rooms)
+            o, z = (np.repeat(batch.column(c).to_numpy(), k) for c in (0, 1))
+            r = (z - (np.arange(len(t)) - np.repeat(np.cumsum(k) - k, k))).astype(np.int32)
             order = np.lexsort((o, t))
             t, o, z, r = t[order], o[order], z[order], r[order]
             new = np.ones(len(t), dtype=bool)
             new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
             at = np.flatnonzero(new)
-            cols = (K.signed(t[at]), o[at], np.minimum.reduceat(z, at), np.maximum.reduceat(z, at), np.maximum.reduceat(r, at))
+            cols = (t[at], o[at], np.minimum.reduceat(z, at), np.maximum.reduceat(z, at), np.maximum.reduceat(r, at))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in POSTING.split(", ")])
 
     return rows.mapInArrow(run, POSTING)
@@ -263,6 +256,30 @@ def _cluster_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one component yet."""
+    ends = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    return written(ends.where("coalesce(ca, a) != coalesce(cb, b)").drop("ca", "cb"), "apart")
+
+
+def _open_members(pairs: DataFrame, away: DataFrame, percent: int, leaders: bool) -> DataFrame:
+    """``(a, b)``: members of paired clusters whose distances from their leaders leave a link possible; ``leaders``: one of the two leads its cluster, else neither does."""
+    # |x & y| <= |leaders' intersection| + what x and y have beyond their leaders
+    far = away.groupBy("cluster").agg(F.max("away").alias("far"), F.min("n").alias("least"))
+    able = f"(both + dx + far) * {100 + percent} >= (nx + least) * {percent}"
+    sides = []
+    for here, there in (("a", "b"), ("b", "a")):
+        side = pairs.select("a", "b", "both").join(away.toDF("x", here, "nx", "dx"), here).join(far.toDF(there, "far", "least"), there).where(able)
+        sides.append(side.select("a", "b", "both", "x", "nx", "dx"))
+    left, right = sides[0], sides[1].select("a", "b", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("dx").alias("dy"))
+    fits = f"(both + dx + dy) * {100 + percent} >= (nx + ny) * {percent} and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
+    if leaders:
+        heads = left.where("x = a").join(right.where("y != b"), ["a", "b"]).unionByName(left.where("x != a").join(right.where("y = b"), ["a", "b"]))
+    else:
+        heads = left.where("x != a").join(right.where("y != b"), ["a", "b"])
+    return heads.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text).
 
@@ -292,26 +309,24 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
 
     reps = heads.select(F.col("rep").alias("doc_id"), "n").join(clusters.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     reps = written(reps.select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster")), "reps")
-    pairs = _cluster_pairs(_postings(ids, reps, levels, size, percent), percent)
+    pairs = _cluster_pairs(_postings(_prefixes(ids, levels, size, percent), reps), percent)
     between = _intersections(ids, pairs, size, "leaders")
-
-    # members whose distance from the leader matters: those of clusters in open pairs
-    open_ = between.select(F.col("a").alias("cluster")).union(between.select("b")).distinct()
-    members = reps.join(open_, "cluster")
-    inner = _intersections(ids, members.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")), size, "inner")
-    away = members.join(inner.select(F.col("b").alias("doc_id"), "both"), "doc_id", "left").select("doc_id", "cluster", "n", (F.col("n") - F.coalesce("both", "n")).alias("away"))
-    away = written(away, "away")
-    range_ = away.groupBy("cluster").agg(F.max("away").alias("far"), F.min("n").alias("least"))
-    left = away.toDF("x", "a", "nx", "dx").join(between.select("a", "b", "both"), "a").join(range_.toDF("b", "far", "least"), "b")
-    left = left.where(f"(both + dx + far) * {100 + percent} >= (nx + least) * {percent}").select("a", "b", "both", "x", "nx", "dx")
-    right = away.toDF("y", "b", "ny", "dy").join(between.select("a", "b", "both"), "b").join(range_.toDF("a", "far", "least"), "a")
-    right = right.where(f"(both + dy + far) * {100 + percent} >= (ny + least) * {percent}").select("a", "b", "y", "ny", "dy")
-    open_pairs = left.join(right, ["a", "b"]).where(f"(both + dx + dy) * {100 + percent} >= (nx + ny) * {percent} and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}")
-    settled = open_pairs.where("x = a and y = b and both * 100 >= (nx + ny - both) * %d" % percent).select("x", "y")
-    unsettled = open_pairs.where("x != a or y != b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = _intersections(ids, unsettled, size, "members").where(linked).select("a", "b")
-
-    links = reps.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")).unionByName(settled.toDF("a", "b")).unionByName(more)
+    links = reps.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")).unionByName(between.where(linked).select("a", "b"))
+    links = written(links, "links")
     found = written(components(links), "components")
+    unsettled = _apart(between.where(f"not ({linked})"), found)
+    if not unsettled.isEmpty():
+        # members whose distance from the leader matters: those of clusters in open pairs
+        open_ = unsettled.select(F.col("a").alias("cluster")).union(unsettled.select("b")).distinct()
+        members = reps.join(open_, "cluster")
+        inner = _intersections(ids, members.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")), size, "inner")
+        away = members.join(inner.select(F.col("b").alias("doc_id"), "both"), "doc_id", "left").select("doc_id", "cluster", "n", (F.col("n") - F.coalesce("both", "n")).alias("away"))
+        away = written(away, "away")
+        # first members against the other cluster's leader, then, for what is still apart, members against members
+        for leaders in (True, False):
+            more = _intersections(ids, _open_members(_apart(unsettled, found), away, percent, leaders), size, "members").where(linked).select("a", "b")
+            if not more.isEmpty():
+                links = written(links.unionByName(more), "links")
+                found = written(components(links), "components")
     grouped = sets.select("n_shingles", "s1", "s2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     return rows.join(grouped, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
