@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, linededup, packing, quality, setjoin
-from gleanery.llm.stages import written
+from gleanery.llm.stages import text_batches, written
 from gleanery.sources.tables import spread, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,11 +19,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 5) scores 0.3 or more."""
+    text_batches(spark)
     return quality.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines (operator 7); one that loses all its words goes. ``n_chars`` follows the text."""
+    text_batches(spark)
     out = linededup.dedup_lines(docs.select(*COLUMNS))
     left = F.col("n_dropped") == 0
     return out.where(left | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.when(left, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
@@ -31,6 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of the n-gram Jaccard join (operator 8); null ids stay."""
+    text_batches(spark)
     docs = docs.select(*COLUMNS)
     copies = setjoin.similar_components(docs).where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
@@ -38,11 +41,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 1 finds no benchmark item."""
+    text_batches(spark)
     return decontaminate.without(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of at most 2048 tokens (operator 6)."""
+    text_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

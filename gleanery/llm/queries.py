@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanery.sources.tables import spread, table
 
 from . import decontaminate, linededup, media, packing, quality, secrets, setjoin, substring, toxicity, wordpiece
+from .stages import text_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     df = table(spark, sf_dir, name)
     return spread(df) if name == "documents" else df
 

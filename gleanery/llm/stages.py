@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Rows of texts that travel between Spark and Python at once; the default of 10 000 is meant for narrow rows.
+BATCH_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows, for texts of some KB a row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where that is unset (as in tests) a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
