@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .quality import held_out
-from .stages import written
+from .stages import sieved, written
 
 U64 = np.uint64
 #: Highest order, and the orders up to which counts are shared by the classes.
@@ -28,6 +28,8 @@ DISCOUNT = 0.75
 TABLE_BITS = 21
 #: Words of a run over which the ratio is normalised.
 RUN = 3
+#: Bytes of text whose words are scored together: about 50 MB of arrays.
+SLICE = K.CHUNK
 _MULT = U64(0x9E3779B97F4A7C15)
 
 
@@ -84,13 +86,13 @@ COUNTS = "n int, gram int, context int, suffix int, head boolean, toxic long, or
 
 def _word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(word, toxic, ordinary)``: occurrences in the labelled texts of either class, over all of them."""
-    rows = docs.join(labels, "doc_id").select("text", "y")
+    rows = sieved(docs, labels, "doc_id").join(labels, "doc_id").select("text", "y")  # texts without a label aren't shuffled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = K.utf8(batch.column(0))
             y = batch.column(1).to_numpy()
-            for i, j in K.slices(off):
+            for i, j in K.slices(off, SLICE):
                 part = buf[off[i] : off[j]]
                 w = K.words(part, off[i : j + 1] - off[i], sep=K.NOT_ALNUM)
                 toxic = y[i:j][K.owner(w.first)].astype(np.int64)
@@ -170,7 +172,7 @@ def feature_table(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = K.utf8(batch.column(1))
-            for i, j in K.slices(off):
+            for i, j in K.slices(off, SLICE):
                 part = buf[off[i] : off[j]]
                 w = K.words(part, off[i : j + 1] - off[i], sep=K.NOT_ALNUM)
                 out = np.zeros((4, j - i))
