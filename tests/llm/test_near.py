@@ -197,3 +197,37 @@ def test_chains_are_the_best_ones():
         got = sum(n[i] for i in best) - sum(substring.GAP_COST * (p[b] - p[a] - n[a] + q[b] - q[a] - n[a]) for a, b in zip(best, best[1:], strict=False))
         assert got == pytest.approx(max(score))
     assert len(rows(["a"])) == 1
+
+
+def passages_found(spark, texts: list) -> dict[int, set[int]]:
+    """For each document the words of the passages reported."""
+    out = defaultdict(set)
+    for r in substring.repeated_passages(table(spark, texts)).collect():
+        out[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+    return out
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 12, 20])
+def test_passages_with_a_word_replaced_every_few_are_found(spark, every):
+    texts = []
+    for k, n in enumerate([55, 60, 100, 200] * 3):
+        words = [f"p{k}x{j}" for j in range(n)]
+        other = [f"q{k}x{j}" if j % every == k % every else w for j, w in enumerate(words)]
+        texts += [" ".join([f"a{k}x{j}" for j in range(40)] + words + [f"b{k}x{j}" for j in range(30)]), " ".join([f"c{k}x{j}" for j in range(25)] + other + [f"d{k}x{j}" for j in range(45)])]
+    found = passages_found(spark, texts)
+    for k, n in enumerate([55, 60, 100, 200] * 3):
+        assert len(found[2 * k] & set(range(40, 40 + n))) >= 50
+        assert len(found[2 * k + 1] & set(range(25, 25 + n))) >= 50
+
+
+def test_random_edits_at_every_identity_are_found(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        words = [f"p{k}x{j}" for j in range(80)]
+        other = list(words)
+        for j in sorted(rng.sample(range(1, 79), 4 * (1 + k % 4)), reverse=True):
+            other[j : j + 1] = rng.choice([[f"q{k}x{j}"], [f"q{k}x{j}"], []] if k % 2 else [[f"q{k}x{j}"]])
+        texts += [" ".join([f"a{k}x{j}" for j in range(40)] + words), " ".join(other + [f"d{k}x{j}" for j in range(45)])]
+    found = passages_found(spark, texts)
+    assert all(len(found[2 * k] & set(range(40, 120))) >= 50 for k in range(40))
