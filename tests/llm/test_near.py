@@ -231,3 +231,13 @@ def test_random_edits_at_every_identity_are_found(spark):
         texts += [" ".join([f"a{k}x{j}" for j in range(40)] + words), " ".join(other + [f"d{k}x{j}" for j in range(45)])]
     found = passages_found(spark, texts)
     assert all(len(found[2 * k] & set(range(40, 120))) >= 50 for k in range(40))
+
+
+def test_an_exact_passage_is_found_though_very_many_hold_a_fragment_of_it(spark):
+    passage = [f"p{j}" for j in range(60)]
+    texts = [" ".join(passage[a : a + 30] + [f"x{k}a{a}y{j}" for j in range(40)]) for k in range(20) for a in (0, 10, 20, 30)]
+    held = [" ".join([f"u{k}y{j}" for j in range(20)] + passage + [f"v{k}y{j}" for j in range(20)]) for k in range(3)]
+    texts = texts[:40] + held + texts[40:]
+    found = passages_found(spark, texts)
+    assert set(found) == {40, 41, 42}
+    assert all(found[k] >= set(range(20, 80)) for k in found)
