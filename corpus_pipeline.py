@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines (operator 7); one that loses all its words goes. ``n_chars`` follows the text."""
     text_batches(spark)
-    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    out = linededup.dedup_lines(docs.select(*COLUMNS), linededup.LEAST, linededup.NEAR)
     left = F.col("n_dropped") == 0
     return out.where(left | F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.when(left, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 

@@ -74,6 +74,10 @@ class _Lines:
         return out[0], out[1]
 
 
+#: Words of a line from which exact copies go in the registered query and the pipeline, and from which lines one
+#: edit away go: in shorter ones an edit is a third of the line or more.
+LEAST, NEAR = 1, 4
+
 #: log2 of the marks that keep most halves and variants which no other line has out of a shuffle.
 HALF_BITS = 22
 

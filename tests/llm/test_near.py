@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from gleanery.llm import linededup, setjoin, substring
+import corpus_pipeline
+from gleanery.llm import linededup, queries, setjoin, substring
 from gleanery.llm.components import components
 
 from .common import WORDS, corpus, edited, empty, rows, soup, table, with_nulls
@@ -137,6 +138,18 @@ def test_line_dedup(spark, texts):
         assert r["score"] == "x"
 
 
+def test_short_lines_lose_to_earlier_ones_in_the_query_and_the_pipeline(spark, tmp_path):
+    texts = ["Read more\nOK\nSign up for news\n\n" + " ".join(soup(k, 15)) + "\nhome page is here now" for k in range(3)]
+    texts += ["Sign up for updates\nOK\n" + " ".join(soup(9, 14)), "home page is over here now\nnot the same\nnot a same\nRead less", "Read more", *lines_corpus()]
+    drop = brute_lines(texts, 1, 4)
+    table(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d]) for d, t in enumerate(texts)}
+    assert {d: r["text"] for d, r in got.items()} == want
+    kept = corpus_pipeline.line_stage(spark, table(spark, texts), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {d: t for d, t in want.items() if t.strip() or not drop[d]}
+
+
 def test_line_dedup_nulls_and_empty_tables(spark):
     got = linededup.dedup_lines(with_nulls(spark, corpus())).collect()
     assert len(got) == len(corpus()) + 3
