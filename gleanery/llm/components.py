@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import written
+from .stages import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -14,17 +14,19 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, component)`` for every node of ``links``; component: the smallest node reachable.
+    """``(node, component)`` for every node of ``links``, a written table; component: the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond"): the number of links never grows, and no node's links are gathered, only minima of them.
     Rows with a null end are left out; self links give a component of one node. Each round is written to
-    the shared folder.
+    the shared folder, and the one before it deleted.
     """
+    tables = Scratch(links.sparkSession)
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "links")
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    given = edges = tables.write(edges, "links")
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = edges.where("u != v")
     before, now = None, _mark(edges)
     while now[0] and now != before:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,6 +36,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node ties its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
+        last, edges = edges, tables.write(small, "links")
+        tables.drop(last)
         before, now = now, _mark(edges)  # a round changes nothing exactly when every component is a star around its smallest node
-    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = Scratch(links.sparkSession).write(out, "components")
+    tables.drop(given, edges)
+    return out

@@ -3,18 +3,20 @@
 A document is its set of distinct word shingles; two link when the Jaccard similarity of their sets
 reaches a threshold. The components of all links come out, exactly, without listing the links:
 
-1. Equal sets become one (a grouping by a 128-bit set hash).
-2. Sets that share a min-hash are compared with the first of their group. This finds most of the highly
-   similar ones in a linear number of comparisons; the clusters so found get a leader each.
-3. Index with skipping. Every set posts the shingles of its prefix, rare ones first, with its size and the
-   place in the prefix. A shingle's list is kept by size; blocks whose sizes or places rule a link out are
-   skipped, and so are postings of sets that are already in the same cluster.
-4. Answers by relation. What is left are pairs of clusters. Only their leaders are compared; the answer for
-   every other pair of members follows from how far each is from its leader, and is computed in full only
-   where that bound leaves it open.
-
-Rarity comes from a sketch of shingle counts over all documents. It only orders the shingles, so its
-collisions cost time and no link.
+1. Equal sets become one (a grouping by a 128-bit set hash). Each keeps a parity bitmap, about a bit for each
+   shingle: sets whose bitmaps differ in more bits than linked sets can differ in shingles aren't compared.
+2. Index. Every set posts the shingles of its prefix, rare ones first, with its size and the room from there
+   on. The head of a list is its set with most room; every set is compared with the head that it shares most
+   lists with. Sets that link form clusters; each has a leader.
+3. Index with skipping. Lists that two clusters share are read again by size, in blocks with the best room of
+   each: blocks whose sizes or places rule a link out are skipped, and so are pairs within a cluster. What is
+   left are pairs of sets of different clusters.
+4. Answers by relation. Of the pairs between two clusters, only the leaders' is compared at first. If they
+   link, the others are settled; else the answer for a pair of members follows from the leaders'
+   intersection and how far each is from its leader, and is computed in full only where that bound leaves it open.
+
+Rarity comes from a sketch of shingle counts over all documents. It only orders the shingles and tells which
+lists are dealt to several tasks, so its collisions cost time and no link.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .stages import sieved, written
+from .stages import Scratch, sieved
 
 U64 = np.uint64
 #: Words in a shingle.
@@ -36,10 +38,16 @@ SIZE = 5
 #: log2 of the counters in the sketch: 4 MB a task, whatever the input.
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
-#: Min-hashes of step 2.
-MINS = 4
+#: Most bits of a set's bitmap.
+BITMAP = 1 << 15
 #: Members of a leader that are compared in one task.
 MEMBERS = 1000
+#: Postings of a list that one task takes, if the sketch is fine enough to tell; else four times its mean count.
+LIST = 50_000
+#: Postings in a block of a list.
+BLOCK = 64
+#: Pairs, and rows of short lists, that a task takes together.
+PAIRS, TOGETHER = 200_000, 100_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
@@ -57,6 +65,25 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SIZE) -> list[np.
     return out
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit hash of a set, as two signed numbers."""
+    both = np.array([s.sum(dtype=np.uint64), K.mix64(s).sum(dtype=np.uint64)], dtype=np.uint64)
+    return tuple(K.signed(both).tolist())
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A set's parity bitmap: each shingle turns one bit over. Its bits are a power of two, the set's size or more, up to ``BITMAP``."""
+    bits = min(BITMAP, 1 << max(6, (max(len(s), 1) - 1).bit_length()))
+    return np.packbits(np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Least number of shingles that two sets with these bitmaps don't share. A longer bitmap folds to a shorter one."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    m = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, m)) ^ np.bitwise_xor.reduce(y.reshape(-1, m))).sum())
+
+
 def _batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 * K.CHUNK):
     """Slices of each batch with their bytes and offsets."""
     for batch in batches:
@@ -65,42 +92,35 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 * K.CHU
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-PROFILE = "doc_id long, n long, s1 long, s2 long, mins array<long>, part int, counts binary"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+PROFILE = "doc_id long, n long, s1 long, s2 long, bits binary, part int, counts binary"
 
 
 def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """A row for each document, and at the end of each task the counts of its shingles in ``SKETCH_PARTS`` rows (``part`` isn't null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-        names = [c.split()[0] for c in PROFILE.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-        salts = K.mix64(np.arange(1, MINS + 1, dtype=np.uint64))
         for part, buf, off in _batches(batches, 1):
             sets = shingle_sets(buf, off, size)
-            n = [len(s) for s in sets]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((flat >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
-            full = np.array(n) > 0
-            at = np.cumsum([0, *n])[:-1][full]
-            mins = np.zeros((len(n), MINS), dtype=np.uint64)
-            s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(at):
-                s1[full] = np.add.reduceat(flat, at)
-                s2[full] = np.add.reduceat(K.mix64(flat), at)
-                for k in range(MINS):
-                    mins[full, k] = np.minimum.reduceat(K.mix64(flat ^ salts[k]), at)
-            rows = [[K.signed(x) for x in mins]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, kinds[1]), pa.array(K.signed(s1)), pa.array(K.signed(s2)), pa.array(rows[0], kinds[4]), pa.nulls(len(n), kinds[5]), pa.nulls(len(n), kinds[6])], names=names)
+            sums = [_sums(s) for s in sets]
+            cols = [[len(s) for s in sets], [x for x, _ in sums], [x for _, x in sums], [parity(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols, kinds[1:5]), pa.nulls(len(sets), kinds[5]), pa.nulls(len(sets), kinds[6])], names=_names(PROFILE))
         each = counts.reshape(SKETCH_PARTS, -1)
         for k in range(SKETCH_PARTS):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:5]), pa.array([k], kinds[5]), pa.array([each[k].tobytes()], kinds[6])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:5]), pa.array([k], kinds[5]), pa.array([each[k].tobytes()], kinds[6])], names=_names(PROFILE))
 
     return docs.mapInArrow(run, PROFILE)
 
 
 def _levels(profiles: DataFrame) -> np.ndarray:
-    """log2 of the count of each of the sketch's counters: 1 MB, for any input."""
+    """log2 of the count of each of the sketch's counters, rounded up: 1 MB, for any input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -109,7 +129,7 @@ def _levels(profiles: DataFrame) -> np.ndarray:
                 x = np.frombuffer(raw.as_buffer(), dtype=np.int32).astype(np.int64)
                 sums[k] = sums[k] + x if k in sums else x
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.log2(x + 1).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ceil(np.log2(x + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
 
     got = profiles.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, levels binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype=np.uint8)
@@ -118,40 +138,8 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _intersections(docs: DataFrame, pairs: DataFrame, size: int, name: str) -> DataFrame:
-    """``(a, b, na, nb, both)``: set sizes and the size of the intersection for each of the distinct ``pairs`` (a, b).
-
-    Each a's text goes, once for every ``MEMBERS`` of its partners, before its partners' texts in a sorted
-    partition; a task holds one set and a batch at a time.
-    """
-    pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    wanted = members.unionByName(heads)
-    texts = sieved(docs.select("doc_id", "text"), wanted.select(F.col("id").alias("doc_id")), "doc_id")
-    rows = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("a", "salt", "role", "id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, of = None, None
-        for part, buf, off in _batches(batches, 4):
-            out: list[list[int]] = [[], [], [], [], []]
-            for a, role, i, s in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), shingle_sets(buf, off, size), strict=True):
-                if role == 0:
-                    head, of = s, a
-                elif of == a:
-                    small, large = (s, head) if len(s) <= len(head) else (head, s)
-                    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
-                    both = int(np.count_nonzero(large[at] == small)) if len(small) else 0
-                    for c, v in zip(out, (a, i, len(head), len(s), both), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "na", "nb", "both"])
-
-    return written(rows.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
-
-
-PREFIX = "doc_id long, n int, tokens array<long>"
-POSTING = "token long, cluster long, lo int, hi int, room int"
+PREFIX = "doc_id long, n long, s1 long, s2 long, tokens array<long>"
+POSTING = "token long, salt int, sid long, n int, room int"
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -161,123 +149,245 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for part, buf, off in _batches(batches, 1):
-            tokens, sizes = [], []
+            tokens, sizes, sums = [], [], []
             for s in shingle_sets(buf, off, size):
                 n = len(s)
                 sizes.append(n)
+                sums.append(_sums(s))
                 k = n - (n * percent + 99) // 100 + 1 if n else 0  # two sets of the least similarity share one of so many
                 rank = (levels[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U64(58)) | (s >> U64(6))
                 first = np.argpartition(rank, k - 1)[:k] if k < n else np.arange(n)
                 tokens.append(K.signed(s[first[np.argsort(rank[first])]]))
             offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), lists], names=["doc_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in sums], pa.int64()), pa.array([x for _, x in sums], pa.int64()), lists], names=_names(PREFIX))
 
-    return docs.select("doc_id", "text").mapInArrow(run, PREFIX)
+    return docs.mapInArrow(run, PREFIX)
 
 
-def _postings(prefixes: DataFrame, reps: DataFrame) -> DataFrame:
-    """Prefix shingles by cluster; ``room``: how much of the set is left from the shingle on. Those of one cluster in a batch are one row: least and largest set, most room."""
-    rows = prefixes.join(reps.select("doc_id", "cluster"), "doc_id").select("cluster", "n", "tokens")
+def _postings(prefixes: DataFrame, sets: DataFrame, levels: np.ndarray, most: int) -> DataFrame:
+    """A row for each prefix shingle of each distinct set; ``room``: how much of the set is left from the shingle on.
+
+    Lists that may have more than ``most`` postings are dealt to several tasks: they get a salt over 0.
+    """
+    shared = prefixes.sparkSession.sparkContext.broadcast(levels)
+    rows = prefixes.join(sets.select(F.col("rep").alias("doc_id"), "n", "s1", "s2", "sid"), ["doc_id", "n", "s1", "s2"]).select("sid", "n", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
             lists = batch.column(2)
             k = np.diff(lists.offsets.to_numpy())
             t = lists.flatten().to_numpy()
-            if not len(t):
-                continue
-            o, z = (np.repeat(batch.column(c).to_numpy(), k) for c in (0, 1))
-            r = (z - (np.arange(len(t)) - np.repeat(np.cumsum(k) - k, k))).astype(np.int32)
-            order = np.lexsort((o, t))
-            t, o, z, r = t[order], o[order], z[order], r[order]
-            new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-            at = np.flatnonzero(new)
-            cols = (t[at], o[at], np.minimum.reduceat(z, at), np.maximum.reduceat(z, at), np.maximum.reduceat(r, at))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in POSTING.split(", ")])
+            sid, n = (np.repeat(batch.column(c).to_numpy(), k) for c in (0, 1))
+            room = n - (np.arange(len(t)) - np.repeat(np.cumsum(k) - k, k))
+            count = 1 << levels[(K.unsigned(t) >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+            salts = -(-count // most)
+            salt = np.where(salts > 1, 1 + (K.mix64(K.unsigned(sid)) % salts.astype(np.uint64)).astype(np.int64), 0)
+            cols = (t, salt.astype(np.int32), sid, n.astype(np.int32), room.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=_names(POSTING))
 
     return rows.mapInArrow(run, POSTING)
 
 
-def _cluster_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``, a < b: clusters that may hold two sets that link, by sizes and places of a shared prefix shingle."""
-
-    def of_list(o: np.ndarray, lo: np.ndarray, hi: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((lo, o))
-        at = np.flatnonzero(np.append(True, o[order][1:] != o[order][:-1]))
-        lo, hi, room = np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.maximum.reduceat(room[order], at)
-        o = o[order][at]
-        order = np.argsort(lo, kind="stable")
-        o, lo, hi, room = o[order].astype(np.int64), lo[order].astype(np.int64), hi[order].astype(np.int64), room[order].astype(np.int64)
-        # by least size: partner j > i has lo[j] >= lo[i]; beyond the size bound of i, the rest of the list is skipped
-        ends = np.searchsorted(lo, hi * 100 // percent, side="right")
-        for i in range(len(o) - 1):
-            j = slice(i + 1, max(int(ends[i]), i + 1))
-            need = -(-(lo[i] + lo[j]) * percent // (100 + percent))
-            ok = (np.minimum(room[i], room[j]) >= need) & (hi[j] * 100 >= lo[i] * percent)
-            other = o[j][ok]
-            if len(other):
-                yield np.minimum(o[i], other), np.maximum(o[i], other)
+LISTED = POSTING + ", head long"
+
+
+def _listed(postings: DataFrame) -> DataFrame:
+    """Postings that stand in a list with others, with the list's head: the set with most room. A task holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the head of the list that goes on
+        given = False
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+            token, salt, sid = cols[:3]
+            new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(token)))
+            group = np.cumsum(new) - 1
+            keep = (size[group] > 1) | (salt > 0)
+            keep[0] &= not (held and given)
+            last = int(start[-1])
+            given = bool(size[-1] > 1 or salt[-1] > 0)
+            held = [c[last : last + 1] for c in cols]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(sid[start[group]][keep])], names=_names(LISTED))
+
+    return postings.repartition("token", "salt").sortWithinPartitions("token", "salt", F.desc("room"), "sid").mapInArrow(run, LISTED)
+
+
+def _need(percent: int):
+    """Least intersection of two sets of these sizes that link."""
+    return lambda x, y: -(-(x + y) * percent // (100 + percent))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of sets whose sizes and bitmaps allow a link."""
+    need = _need(percent)
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+    rows = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] | None = None
-        seen: set[tuple[int, int]] = set()
-
-        def flush(cols: list[np.ndarray]) -> None:
-            t = cols[0]
-            if not len(t):
-                return
-            cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            stop = np.append(cut[1:], len(t))
-            for a, b in zip(cut[stop - cut > 1].tolist(), stop[stop - cut > 1].tolist(), strict=True):
-                for x, y in of_list(*(c[a:b] for c in cols[1:])):
-                    seen.update(zip(x.tolist(), y.tolist(), strict=True))
+        for batch in batches:
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            ok = [differing(x[i], y[i]) <= na[i] + nb[i] - 2 * need(na[i], nb[i]) for i in range(len(a))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def _intersections(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, tables: Scratch, name: str) -> DataFrame:
+    """``(a, b, na, nb, both)``: set sizes and the size of the intersection for each of the distinct written ``pairs`` (a, b).
+
+    Each a's text goes, once for every ``MEMBERS`` of its partners, before its partners' texts in a sorted
+    partition; a task holds one set and a batch at a time.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("sid"))
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("sid"))
+    wanted = members.unionByName(heads).join(sets.select("sid", "rep", "s1", "s2"), "sid")
+    texts = sieved(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")), "doc_id")
+    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("a", "salt", "role", "sid", "s1", "s2", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, of = None, None
+        for part, buf, off in _batches(batches, 6):
+            out: list[list[int]] = [[], [], [], [], []]
+            for a, role, i, s1, s2, s in zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), shingle_sets(buf, off, size), strict=True):
+                if _sums(s) != (s1, s2):
+                    continue  # another text under the same id
+                if role == 0:
+                    head, of = s, a
+                elif of == a:
+                    small, large = (s, head) if len(s) <= len(head) else (head, s)
+                    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
+                    both = int(np.count_nonzero(large[at] == small)) if len(small) else 0
+                    for c, v in zip(out, (a, i, len(head), len(s), both), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "na", "nb", "both"])
+
+    return tables.write(rows.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
+
+
+def list_pairs(sid: np.ndarray, cluster: np.ndarray, n: np.ndarray, room: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of a list's sets that may link, of different clusters; the arrays are sorted by size.
+
+    Sets of the list's largest cluster only meet the others. Each of the others looks at the blocks within its
+    size bounds, and skips those of which the best room is too little.
+    """
+    need = _need(percent)
+    names, of = np.unique(cluster, return_inverse=True)
+    main = of == np.argmax(np.bincount(of, minlength=len(names)))
+    starts = np.arange(0, len(n), BLOCK)
+    best, smallest = np.maximum.reduceat(room, starts), n[starts]
+    for i in np.flatnonzero(~main).tolist():
+        begin, end = np.searchsorted(n, -(-n[i] * percent // 100)), np.searchsorted(n, n[i] * 100 // percent, side="right")
+        first, last = begin // BLOCK, -(-end // BLOCK)
+        least = need(smallest[first:last], n[i])
+        for k in (np.flatnonzero((best[first:last] >= least) & (room[i] >= least)) + first).tolist():
+            j = np.arange(max(begin, k * BLOCK), min(end, (k + 1) * BLOCK))
+            j = j[(main[j] | (j > i)) & (of[j] != of[i]) & (np.minimum(room[i], room[j]) >= need(n[i], n[j]))]
+            if len(j):
+                yield np.full(len(j), i, dtype=np.int64), j
+
+
+def short_pairs(group: np.ndarray, cluster: np.ndarray, n: np.ndarray, room: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many lists of at most ``BLOCK`` postings at once; the arrays are sorted by list, then size."""
+    need = _need(percent)
+    at = np.arange(len(group))
+    for step in range(1, BLOCK):
+        at = at[at + step < len(group)]
+        at = at[(group[at] == group[at + step])]
+        at = at[n[at] * 100 >= n[at + step] * percent]  # beyond the size bound the rest of the list is skipped
+        if not len(at):
+            return
+        ok = (cluster[at] != cluster[at + step]) & (np.minimum(room[at], room[at + step]) >= need(n[at], n[at + step]))
+        if ok.any():
+            yield at[ok], at[ok] + step
+
+
+CANDIDATES = "a long, b long, ca long, cb long"
+
+
+def _candidates(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """``(a, b, ca, cb)``, ca < cb: sets of different clusters that share a prefix shingle and may link by sizes and places.
+
+    ``rows``: postings with their clusters. A list of more than ``most`` postings is dealt to several tasks: the sets
+    of its largest cluster, which don't meet one another, by a hash; the others go to all of them.
+    """
+    hot = rows.where("salt > 0").groupBy("token", "cluster").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("cluster", "m").alias("main"), F.sum("m").alias("many"))
+    hot = hot.select("token", "main", F.ceil(F.col("many") / most).cast("int").alias("salts")).where("salts > 1")
+    rows = rows.select("token", "sid", "cluster", "n", "room").join(hot, "token", "left")
+    places = F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("cluster") == F.col("main"), F.array(F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = rows.select("token", F.explode(places).alias("salt"), "sid", "cluster", "n", "room")
+
+    def lists(parts: list[list[np.ndarray]]) -> Iterator[np.ndarray]:
+        token, salt, *cols = (np.concatenate(c) for c in zip(*parts, strict=True))
+        new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+        group = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        mixed = np.minimum.reduceat(cols[1], start) != np.maximum.reduceat(cols[1], start)
+        order = np.lexsort((cols[0], cols[2], group))
+        order = order[mixed[group[order]]]
+        group = group[order]
+        sid, cluster, n, room = (c[order].astype(np.int64) for c in cols)
+
+        def rows(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            i, j = np.where(cluster[i] > cluster[j], j, i), np.where(cluster[i] > cluster[j], i, j)
+            return np.stack([sid[i], sid[j], cluster[i], cluster[j]], axis=1)
+
+        short = np.flatnonzero(size[group] <= BLOCK)
+        for i, j in short_pairs(group[short], cluster[short], n[short], room[short], percent):
+            yield rows(short[i], short[j])
+        for g in np.flatnonzero(mixed & (size > BLOCK)).tolist():
+            at = np.flatnonzero(group == g)
+            for i, j in list_pairs(sid[at], cluster[at], n[at], room[at], percent):
+                yield rows(at[i], at[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        found: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            x = np.array(sorted(seen), dtype=np.int64).reshape(-1, 2)
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            x = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names=_names(CANDIDATES))
+
+        def add(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for x in lists(parts):
+                found.append(x)
+                if sum(map(len, found)) > PAIRS:
+                    yield out()
 
+        rows = 0
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
             if not len(cols[0]):
                 continue
-            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)] if left else cols
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            flush([c[:last] for c in cols])
-            left = [c[last:] for c in cols]
-            if len(seen) > 200_000:
-                yield out()
-        if left:
-            flush(left)
+            rows += len(cols[0])
+            before = [held[-1][k][-1:] if held else cols[k][:1] for k in (0, 1)]
+            change = np.flatnonzero(np.logical_or(*(c != np.append(b, c[:-1]) for c, b in zip(cols, before, strict=False))))
+            if len(change) and rows > TOGETHER:
+                last = int(change[-1])
+                yield from add([*held, [c[:last] for c in cols]])
+                held, rows = [], len(cols[0]) - last
+                cols = [c[last:] for c in cols]
+            held.append(cols)
+        if held:
+            yield from add(held)
         yield out()
 
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, CANDIDATES).distinct()
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one component yet."""
-    ends = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    return written(ends.where("coalesce(ca, a) != coalesce(cb, b)").drop("ca", "cb"), "apart")
-
-
-def _open_members(pairs: DataFrame, away: DataFrame, percent: int, leaders: bool) -> DataFrame:
-    """``(a, b)``: members of paired clusters whose distances from their leaders leave a link possible; ``leaders``: one of the two leads its cluster, else neither does."""
-    # |x & y| <= |leaders' intersection| + what x and y have beyond their leaders
-    far = away.groupBy("cluster").agg(F.max("away").alias("far"), F.min("n").alias("least"))
-    able = f"(both + dx + far) * {100 + percent} >= (nx + least) * {percent}"
-    sides = []
-    for here, there in (("a", "b"), ("b", "a")):
-        side = pairs.select("a", "b", "both").join(away.toDF("x", here, "nx", "dx"), here).join(far.toDF(there, "far", "least"), there).where(able)
-        sides.append(side.select("a", "b", "both", "x", "nx", "dx"))
-    left, right = sides[0], sides[1].select("a", "b", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("dx").alias("dy"))
-    fits = f"(both + dx + dy) * {100 + percent} >= (nx + ny) * {percent} and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
-    if leaders:
-        heads = left.where("x = a").join(right.where("y != b"), ["a", "b"]).unionByName(left.where("x != a").join(right.where("y = b"), ["a", "b"]))
-    else:
-        heads = left.where("x != a").join(right.where("y != b"), ["a", "b"])
-    return heads.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def _apart(pairs: DataFrame, found: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The pairs whose ends aren't in one component yet."""
+    ends = pairs.join(found.toDF(a, "_a"), a, "left").join(found.toDF(b, "_b"), b, "left")
+    return ends.where(f"coalesce(_a, {a}) != coalesce(_b, {b})").drop("_a", "_b")
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) -> DataFrame:
@@ -286,47 +396,63 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
     Words are maximal runs other than 0x20 and 0x09-0x0D with A-Z folded; a set is the distinct shingles of
     ``size`` words, or all words as one if they are fewer; empty and null texts have none and link with
     nothing. Two rows link when 100 * intersection >= percent * union; ``component_id`` is the smallest
-    doc_id reachable. Rows that share a doc_id are one node with several sets. A null doc_id gets a null
-    component and takes no part.
+    doc_id reachable. Rows that share a doc_id are one node with all their sets. A null doc_id gets a null
+    component and takes no part. A row without words
+    keeps its own id, also where that id has other texts. Other columns are left out; an empty table gives no rows.
     """
+    tables = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = written(_profiles(docs, size), "profiles")
-    levels = _levels(profiles)
-    rows = profiles.where("part is null").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2", "mins")
-    live = rows.where("n_shingles > 0 and doc_id is not null")
-    sets = live.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
-    sets = written(sets, "sets")
     ids = docs.where("doc_id is not null and text is not null")
-    # a doc_id with several sets is the representative of each of them; comparisons take texts by doc_id, so such ids (only in repeated rows) stand apart
-    heads = sets.groupBy("rep").agg(F.count("*").alias("k"), F.min("n_shingles").alias("n"), F.first("mins").alias("mins"))
-
-    keyed = heads.select("rep", "n", F.posexplode("mins").alias("k", "m"))
-    firsts = keyed.groupBy("k", "m").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"), F.count("*").alias("c")).where("c > 1").drop("c")
-    close = keyed.join(firsts, ["k", "m"]).where(f"a != rep and least(n, na) * 100 >= greatest(n, na) * {percent}").select("a", F.col("rep").alias("b"))
+    profiles = tables.write(_profiles(docs, size), "profiles")
+    levels = _levels(profiles)
+    rows = profiles.where("part is null").select("doc_id", "n", "s1", "s2", "bits")
+    grouped = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    sets = tables.write(grouped.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    most = max(LIST, 4 * (total >> SKETCH_BITS))
+    owned = rows.select("doc_id", "n", "s1", "s2").join(sets.select("n", "s1", "s2", "sid"), ["n", "s1", "s2"], "left")
+    owned = tables.write(owned.select("doc_id", "n", "sid"), "owned")
+    tables.drop(profiles)
+
+    listed = tables.write(_listed(_postings(_prefixes(ids, levels, size, percent), sets, levels, most)), "listed")
     linked = f"both * 100 >= (na + nb - both) * {percent}"
-    first_links = _intersections(ids, close, size, "close").where(linked).select("a", "b")
-    clusters = written(components(first_links), "clusters")
-
-    reps = heads.select(F.col("rep").alias("doc_id"), "n").join(clusters.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    reps = written(reps.select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster")), "reps")
-    pairs = _cluster_pairs(_postings(_prefixes(ids, levels, size, percent), reps), percent)
-    between = _intersections(ids, pairs, size, "leaders")
-    links = reps.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")).unionByName(between.where(linked).select("a", "b"))
-    links = written(links, "links")
-    found = written(components(links), "components")
-    unsettled = _apart(between.where(f"not ({linked})"), found)
-    if not unsettled.isEmpty():
-        # members whose distance from the leader matters: those of clusters in open pairs
-        open_ = unsettled.select(F.col("a").alias("cluster")).union(unsettled.select("b")).distinct()
-        members = reps.join(open_, "cluster")
-        inner = _intersections(ids, members.where("doc_id != cluster").select(F.col("cluster").alias("a"), F.col("doc_id").alias("b")), size, "inner")
-        away = members.join(inner.select(F.col("b").alias("doc_id"), "both"), "doc_id", "left").select("doc_id", "cluster", "n", (F.col("n") - F.coalesce("both", "n")).alias("away"))
-        away = written(away, "away")
-        # first members against the other cluster's leader, then, for what is still apart, members against members
-        for leaders in (True, False):
-            more = _intersections(ids, _open_members(_apart(unsettled, found), away, percent, leaders), size, "members").where(linked).select("a", "b")
-            if not more.isEmpty():
-                links = written(links.unionByName(more), "links")
-                found = written(components(links), "components")
-    grouped = sets.select("n_shingles", "s1", "s2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return rows.join(grouped, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # each set and the head that it shares most lists with
+    stars = listed.where("head != sid").groupBy("sid", "head").agg(F.count("*").alias("m")).groupBy("sid").agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("a"))
+    stars = tables.write(_possible(stars.select("a", F.col("sid").alias("b")), sets, percent), "stars")
+    links = _intersections(ids, sets, stars, size, tables, "near_heads").where(linked).select("a", "b")
+    # sets of one doc_id belong together
+    shared = owned.where("doc_id is not null and sid is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z")
+    several = owned.join(shared, "doc_id").where("sid > a").select("a", F.col("sid").alias("b")).distinct()
+    links = tables.write(links.unionByName(several), "links")
+    clusters = components(links)
+
+    placed = listed.select("token", "salt", "sid", "n", "room").join(clusters.toDF("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
+    placed = tables.write(placed, "placed")
+    tables.drop(listed)
+    candidates = tables.write(_candidates(placed, most, percent), "candidates")
+    tables.drop(placed)
+    pairs = tables.write(_possible(candidates, sets, percent), "possible")
+    open_ = tables.write(candidates.join(pairs, ["a", "b"], "left_semi"), "open")
+    leaders = tables.write(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "leaders")
+    between = _intersections(ids, sets, leaders, size, tables, "between")
+    links = tables.write(links.unionByName(between.where(linked).select("a", "b")), "links")
+    found = components(links)
+
+    # the answer for members follows from their leaders' and their distances from them
+    members = _apart(open_, found).where("a != ca or b != cb")
+    members = tables.write(members.join(between.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "both"), ["ca", "cb"]), "members")
+    if not members.isEmpty():
+        ends = members.select("ca", "a").union(members.select("cb", "b")).toDF("a", "b").where("a != b").distinct()
+        ends = tables.write(ends, "ends")
+        away = _intersections(ids, sets, ends, size, tables, "away").select(F.col("b").alias("sid"), (F.col("nb") - F.col("both")).alias("away"))
+        sizes = sets.select("sid", "n").join(away, "sid", "left").select("sid", "n", F.coalesce("away", F.lit(0)).alias("away"))
+        far = members.join(sizes.toDF("a", "na", "da"), "a").join(sizes.toDF("b", "nb", "db"), "b")
+        # |x & y| <= |leaders' intersection| + what x and y have beyond their leaders
+        far = tables.write(far.where(f"(both + da + db) * {100 + percent} >= (na + nb) * {percent}").select("a", "b").distinct(), "far")
+        more = _intersections(ids, sets, far, size, tables, "rest").where(linked).select("a", "b")
+        found = components(tables.write(links.unionByName(more), "links"))
+    named = sets.select("sid", "rep").join(found.toDF("sid", "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = named.select("sid", "component").join(lowest, "component").select("sid", "component_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return owned.join(labels, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

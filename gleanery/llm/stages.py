@@ -28,22 +28,44 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (as in tests) a new local folder."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a new local folder in local mode (as in tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         key = spark.sparkContext.applicationId
         if key not in _OWN:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             _OWN[key] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         found = _OWN[key]
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables of one job in the shared folder. What is dropped mustn't be read any more, not by a result that is still to be computed either."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read back: nothing before it runs again when an executor is lost."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.tables = [x for x in self.tables if x[0] is not table]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: nothing before it runs again when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back, for good."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 #: log2 of the bits by which rows that a join doesn't need are left out before its shuffle: 128 KB for any input; more wanted keys only make it coarser.
@@ -67,4 +89,11 @@ def sieved(df: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE_BITS) -
             k = batch.num_columns - 1
             yield batch.filter(pa.array(keep[batch.column(k).to_numpy()])).select(list(range(k)))
 
-    return df.withColumn("_bucket", bucket).mapInArrow(run, df.schema)
+    return df.select(*(F.col(f"`{c}`") for c in df.columns), bucket.alias(_free("_bucket", df.columns))).mapInArrow(run, df.schema)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it as long as it is taken."""
+    while name.lower() in map(str.lower, taken):
+        name = f"_{name}"
+    return name
