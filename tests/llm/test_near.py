@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -69,15 +70,77 @@ def test_jaccard_nulls_repeats_and_empty_tables(spark):
     assert [tuple(r) for r in setjoin.similar_components(table(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
 
 
-def test_the_other_steps_of_the_join_find_what_min_hashes_miss(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "MINS", 1)
+def test_lists_dealt_to_several_tasks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LIST", 4)
     monkeypatch.setattr(setjoin, "MEMBERS", 3)
+    monkeypatch.setattr(setjoin, "PAIRS", 5)
+    monkeypatch.setattr(setjoin, "TOGETHER", 10)
     texts = near_copies()
     want = brute_components(texts)
     got = {r["doc_id"]: r["component_id"] for r in setjoin.similar_components(table(spark, texts)).collect()}
     assert got == want
 
 
+def test_an_id_with_several_texts_is_one_node_with_all_their_links(spark):
+    one, two = soup(31, 200), soup(32, 200)
+    texts = [" ".join(x) for x in (one, two, edited(one, 1, 1), edited(two, 2, 1), soup(33, 200))]
+    df = spark.createDataFrame(list(zip((1, 1, 5, 6, 7), texts, strict=True)), "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["component_id"]) for r in setjoin.similar_components(df).collect()) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]
+
+
+def test_bitmaps_never_rule_out_sets_that_are_alike():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 64, 65, 700, 40_000):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.5, 1.0):
+            other = np.unique(np.concatenate([s[rng.random(len(s)) >= share], rng.integers(0, 2**64, max(1, int(n * share)), dtype=np.uint64)]))
+            apart = setjoin.differing(setjoin.parity(s), setjoin.parity(other))
+            assert apart <= len(np.setxor1d(s, other))
+        assert setjoin.differing(setjoin.parity(s), setjoin.parity(s)) == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_of_a_list_are_those_that_sizes_and_places_allow(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(2, 260, 5) if seed % 2 else rng.integers(2, 60, 40)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    n = rng.integers(20, 60, len(group))
+    order = np.lexsort((n, group))
+    group, n = group[order], n[order]
+    room = n - rng.integers(0, 12, len(n))
+    cluster = rng.integers(0, 4, len(n))
+    need = lambda i, j: -(-(n[i] + n[j]) * 80 // 180)
+    ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        want = {(i, j) for i in range(a, b) for j in range(i + 1, b) if cluster[i] != cluster[j] and 100 * n[i] >= 80 * n[j] and min(room[i], room[j]) >= need(i, j)}
+        found = [(x + a, y + a) for i, j in setjoin.list_pairs(np.arange(b - a), cluster[a:b], n[a:b], room[a:b], 80) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        assert {(min(x), max(x)) for x in found} == want and len(found) == len(want)
+        if b - a <= setjoin.BLOCK:
+            assert {(x, y) for i, j in setjoin.short_pairs(group[a:b], cluster[a:b], n[a:b], room[a:b], 80) for x, y in zip((i + a).tolist(), (j + a).tolist(), strict=True)} == want
+
+
+def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
+    """Near copies on either side of the threshold, and texts with one common line."""
+    write, seen = setjoin.Scratch.write, {}
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(setjoin.Scratch, "write", counted)
+    figures = []
+    for n in (200, 800):
+        rng = random.Random(n)
+        base, line = soup(41, 90), " ".join(soup(42, 12))
+        texts = [" ".join(edited(base, 1000 + k, rng.randint(0, 9))) for k in range(n)] + [line + "\n" + " ".join(soup(5000 + k, 60)) for k in range(n)]
+        got = {r["doc_id"]: r["component_id"] for r in setjoin.similar_components(table(spark, texts)).collect()}
+        if n == 200:
+            assert got == brute_components(texts)
+        figures.append(sum(seen[k] for k in ("stars", "candidates", "leaders", "far") if k in seen))
+    assert figures[1] < 8 * figures[0]  # the square would be 16
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(310, 350)] + [(400, 400)]
