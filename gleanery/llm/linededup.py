@@ -12,6 +12,7 @@ last half is the same (halves of the shorter one's length), so nothing is lost.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,11 @@ class _Lines:
 #: edit away go: in shorter ones an edit is a third of the line or more.
 LEAST, NEAR = 1, 4
 
+#: Words as the kernels cut them: no other blanks than these.
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: A line with more than one in so many of all occurrences is hot; so there are fewer hot lines than this.
+HOT = 10_000
+
 #: log2 of the marks that keep most halves and variants which no other line has out of a shuffle.
 HALF_BITS = 22
 
@@ -159,7 +165,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within_one(a.split(), b.split()) for a, b in zip(batch["line"].to_pylist(), batch["other"].to_pylist(), strict=True)]
+            ok = [within_one(_WORDS.findall(a), _WORDS.findall(b)) for a, b in zip(batch["line"].to_pylist(), batch["other"].to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["h1", "h2"])
 
     return pairs.select("h1", "h2", "line", "other").mapInArrow(run, "h1 long, h2 long")
@@ -198,7 +204,13 @@ def drop_plan(docs: DataFrame, least: int = 3, near: int = 8) -> DataFrame:
     distinct = written(distinct, "distinct")
     near_lines = _near(docs, distinct).select("h1", "h2", F.lit(True).alias("near"))
     fates = distinct.select("h1", "h2", F.col("place").alias("first"), "m").join(near_lines, ["h1", "h2"], "left").where("m > 1 or near")
-    lost = rows.select("h1", "h2", "doc_id", "line_no").join(fates, ["h1", "h2"]).where(F.col("near").isNotNull() | (place != F.col("first")))
+    fates = written(fates, "fates")
+    # the hot lines, at most HOT of them, go to their occurrences; the others meet theirs by the line's hash
+    limit = (distinct.agg(F.sum("m")).first()[0] or 0) // HOT + 1
+    cells = rows.select("h1", "h2", "doc_id", "line_no")
+    hot = F.broadcast(fates.where(F.col("m") > limit))
+    met = cells.join(hot, ["h1", "h2"]).unionByName(cells.join(hot, ["h1", "h2"], "left_anti").join(fates.where(F.col("m") <= limit), ["h1", "h2"]))
+    lost = met.where(F.col("near").isNotNull() | (place != F.col("first")))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
 
 
