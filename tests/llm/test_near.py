@@ -213,6 +213,24 @@ def test_short_lines_lose_to_earlier_ones_in_the_query_and_the_pipeline(spark, t
     assert {r["doc_id"]: r["text"] for r in kept} == {d: t for d, t in want.items() if t.strip() or not drop[d]}
 
 
+def test_other_blanks_than_ascii_ones_are_letters(spark):
+    """U+00A0 and the like don't cut words: not in the variants, and not where an edit is verified."""
+    for blank in "\u00a0\u3000\u0085\u001c\u001f":
+        words = soup(55, 12)
+        one, two, three = (" ".join([*words[:5], x, *words[6:]]) for x in (f"a{blank}b", "two", "three"))
+        texts = [one, two, three]
+        got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(table(spark, texts)).collect()}
+        assert got == {0: 0, 1: 1, 2: 1} and {d: len(x) for d, x in brute_lines(texts).items()} == {1: 1, 2: 1}
+
+
+def test_hot_lines_meet_their_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 3)
+    texts = ["Read more\n" + " ".join(soup(k % 7, 15)) for k in range(30)] + lines_corpus()
+    drop = brute_lines(texts, 1, 4)
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(table(spark, texts), 1, 4).collect()}
+    assert got == {d: len(drop[d]) for d in range(len(texts))}
+
+
 def test_line_dedup_nulls_and_empty_tables(spark):
     got = linededup.dedup_lines(with_nulls(spark, corpus())).collect()
     assert len(got) == len(corpus()) + 3
