@@ -1,6 +1,8 @@
 """Operators that work row by row: media, token counts, secrets, and the kernels below them."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 
@@ -11,7 +13,7 @@ import pytest
 
 from gleanery.llm import kernels, media, secrets, wordpiece
 
-from .common import WORDS, corpus, empty, soup, with_nulls
+from .common import WORDS, corpus, empty, with_nulls
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -134,4 +136,34 @@ def test_guess_costs_prefer_structure():
         assert secrets.guess_bits(cheap, words) < secrets.guess_bits(dear, words)
     assert secrets.guess_bits("", words) == 0
     assert secrets.redacted("a secret b", [(2, 8), (4, 6)]) == "a [secret] b"
-    assert soup(1, 3)
+    bits = lambda x: secrets.guess_bits(x, words)
+    assert bits("qwertyuiopassword") <= bits("qwertyuio") + bits("password")
+    assert bits("aabcabcabcabc") <= bits("a") + bits("abcabcabcabc") < secrets.GUESS_BITS
+    assert secrets.guess_bits("abcabcabcabc", words, 5.0) == math.inf
+    assert secrets.guess_bits("Zq7" * 8_000, words, secrets.GUESS_BITS) < math.inf
+    assert secrets.guess_bits("".join(random.Random(1).choices("abcdefghij0123456789XYZ+/", k=300_000)), words, secrets.GUESS_BITS) == math.inf
+
+
+def exhaustive_bits(value: str, words: dict[str, int], char: float) -> float:
+    """The least cost over all ways to cut ``value`` in two or to take it whole."""
+    kinds = [char] if len(value) == 1 else []
+    kinds.append(secrets.word_bits(value, words) + 1)
+    if secrets._DATE.fullmatch(value):
+        kinds.append(math.log2(365 * 120 if len(value) > 4 else 120) + 1)
+    if len(value) >= 3 and all(pair in secrets._NEXT for pair in zip(value.lower(), value.lower()[1:])):
+        kinds.append(math.log2(47 * len(value)) + 2)
+    for u in range(1, min(secrets.UNIT_MOST, len(value) // 2) + 1):
+        if len(value) % u == 0 and value == value[:u] * (len(value) // u):
+            kinds.append(exhaustive_bits(value[:u], words, char) + math.log2(len(value) // u) + 1)
+    return min([*kinds, *(exhaustive_bits(value[:k], words, char) + exhaustive_bits(value[k:], words, char) for k in range(1, len(value)))])
+
+
+def test_guess_costs_are_the_least_over_all_segmentations():
+    rng = random.Random(4)
+    words = {"pass": 3, "word": 9, "password": 1, "qwe": 5, "abc": 40, "cab": 70, "rty": 2}
+    parts = ["pass", "word", "p4ss", "Qwe", "rty", "tre", "abc", "cab", "a", "1999", "0", "12", "zz", "20010203"]
+    for _ in range(120):
+        value = "".join(rng.choices(parts, k=3))[: rng.randint(1, 9)]
+        if rng.random() < 0.3:
+            value = (value[:3] * 3)[:9]
+        assert secrets.guess_bits(value, words) == pytest.approx(exhaustive_bits(value, words, secrets.alphabet_bits(value)))
