@@ -83,3 +83,16 @@ def submissions(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
 def jst_day(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "Asia/Tokyo"))
+
+
+def allowed_articles(candidates: DataFrame, allow_list: DataFrame) -> DataFrame:
+    """Candidates with ``allowed`` (their host is listed and their path matches one of its patterns) and ``allowed_for_seeding`` (the same, but hosts that aren't listed pass).
+
+    ``allow_list`` has a row for each host, with an array of patterns. Spark broadcasts it if it is small.
+    """
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#\s]+)", 1))
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#\s]+([^?#]*)", 1)
+    rows = candidates.withColumns({"_host": host, "_path": path}).join(allow_list.select(F.col("host").alias("_host"), "patterns"), "_host", "left")
+    fits = F.exists("patterns", lambda p: F.regexp(F.col("_path"), p))
+    known = F.col("patterns").isNotNull()
+    return rows.withColumns({"allowed": F.coalesce(fits, F.lit(False)), "allowed_for_seeding": F.when(known, F.coalesce(fits, F.lit(False))).otherwise(True)}).drop("_host", "_path", "patterns")

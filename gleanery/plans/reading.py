@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from gleanery.config import ACCESS_TERMS, CONFIG, GENERIC_TOPICS, LABELS, PROHIBIT_TERMS
-from gleanery.functions import scoring, text, urls
+from gleanery.functions import containers, scoring, text, urls
 from gleanery.operators import candidates as cand
 from gleanery.operators import feed, hosts, metrics
 from gleanery.plans.catalog import at, epoch, query
@@ -49,11 +49,14 @@ def p04_source_name(t):
     return t.candidates.select("pos", urls.source_name(F.col("source_name"), F.lit(None).cast("string"), F.col("url")).alias("source_name"))
 
 
-@query(r"SELECT pos, regexp_matches(url, '^(?i:https?)://[^/?#\s]+/(en|de)/') AND pos // 10 % 2 = 0 AS allowed, CASE WHEN pos // 10 % 2 = 0 THEN regexp_matches(url, '^(?i:https?)://[^/?#\s]+/(en|de)/') ELSE TRUE END AS allowed_for_seeding FROM candidates")
+_HOST = r"lower(regexp_extract({u}, '^[A-Za-z]+://([^/?#\s]+)', 1))"
+
+
+@query(rf"""WITH rules AS (SELECT host, unnest(string_split(patterns, ' ')) AS pattern FROM allow_list), c AS (SELECT pos, {_HOST.format(u="url")} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#\s]+([^?#]*)', 1) AS path FROM candidates),
+    hit AS (SELECT DISTINCT c.pos FROM c JOIN rules r ON r.host = c.host AND regexp_matches(c.path, r.pattern))
+    SELECT pos, pos IN (SELECT pos FROM hit) AS allowed, pos IN (SELECT pos FROM hit) OR host NOT IN (SELECT host FROM allow_list) AS allowed_for_seeding FROM c""")
 def p05_allowed_article(t):
-    fits = F.col("url").rlike(r"^(?i:https?)://[^/?#\s]+/(en|de)/")
-    listed = F.floor(F.col("pos") / 10) % 2 == 0
-    return t.candidates.select("pos", (fits & listed).alias("allowed"), F.when(listed, fits).otherwise(True).alias("allowed_for_seeding"))
+    return cand.allowed_articles(t.candidates, t.allow_list.select("host", F.split("patterns", " ").alias("patterns"))).select("pos", "allowed", "allowed_for_seeding")
 
 
 _DECODE = "replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' ')"
@@ -65,7 +68,15 @@ def p06_normalize_titles(t):
     return t.pages.select("page_id", text.normalized_title(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-@query()
+_PICTOGRAPHS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{1F000}-\x{1FAFF}]"
+
+
+def title_ok_sql(x: str) -> str:
+    return rf"""(length(trim({x})) >= 2 AND NOT regexp_matches({x}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AND len(regexp_extract_all({x}, '{_PICTOGRAPHS}')) <= 10
+    AND len(list_filter(range(1, length({x}) - 2), lambda i: substr({x}, i, 4) = repeat(substr({x}, i, 1), 4) AND NOT regexp_matches(substr({x}, i, 1), '[\p{{L}}\p{{N}}\s]'))) = 0)"""
+
+
+@query(f"SELECT id, {title_ok_sql('original_title')} AS title_ok FROM posts")
 def p07_title_filter(t):
     return t.posts.select("id", text.title_ok(F.col("original_title")).alias("title_ok"))
 
@@ -98,7 +109,28 @@ def p12_evidence_gate(t):
     return t.evidence.select("id", "host", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passed"))
 
 
-@query()
+_PLAIN = r"nullif(trim(regexp_replace({x}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')), '')"
+_HEAD = "coalesce(" + ", ".join(_PLAIN.format(x=_DECODE.format(x=rf"regexp_replace(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')")) for tag in ("h1", "title")) + ")"
+
+
+@query(f"SELECT page_id, {_HEAD} AS title FROM pages")
+def p10_article_titles(t):
+    return t.pages.select("page_id", text.headline(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN {_INNER} END AS inner_html FROM pages")
+def p09_article_container(t):
+    """Hosts of three quarters of the pages are listed, with a selector that fits nothing before the one that does."""
+    rows = t.pages.select("page_id", "html", F.when(F.col("page_id") % 4 != 3, F.array(F.lit("div.story-body"), F.lit("article"))).alias("selectors"))
+    return containers.article_containers(rows, "html", "selectors").select("page_id", "inner_html")
+
+
+_FAILED = "list_filter([CASE WHEN text_length < 30 THEN 'text_length' END, CASE WHEN density > 0.7 THEN 'link_density' END, CASE WHEN paragraph_count < 1 THEN 'paragraph_count' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH s AS (SELECT *, CASE WHEN inner_html IS NOT NULL THEN CASE WHEN text_length > 0 THEN least(1.0, link_length / text_length) ELSE 1.0 END END AS density FROM ({_SIGNALS})), p AS (SELECT page_id, url, {_HEAD} AS title FROM pages)
+    SELECT page_id, url, title, CASE WHEN title IS NULL THEN 'no_title' WHEN inner_html IS NULL THEN 'container_not_found' WHEN len({_FAILED}) > 0 THEN 'extraction_insufficient' ELSE 'ready' END AS outcome,
+    CASE WHEN inner_html IS NOT NULL THEN text_length END AS text_length, density AS link_density, CASE WHEN inner_html IS NOT NULL THEN paragraph_count END AS paragraph_count, array_to_string({_FAILED}, ',') AS failed FROM p JOIN s USING (page_id)""")
 def p13_extract_articles(t):
     return cand.extracted(t.pages)
 
@@ -107,15 +139,27 @@ _BITS = ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}
 _WORD = " + ".join(f"(CASE WHEN b{b} > 0 THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
 
 
-@query(rf"""WITH bare AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM documents),
+SIMHASH = rf"""(WITH bare AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM {{rows}}),
     shingles AS (SELECT doc_id, unnest(CASE WHEN length(s) >= 4 THEN list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)) WHEN length(s) > 0 THEN [s] ELSE [NULL] END) AS shingle FROM bare),
     hashed AS (SELECT doc_id, ('0x' || substr(sha256(shingle), 1, 16))::UBIGINT AS h FROM shingles),
     bits AS (SELECT doc_id, count(h) AS n, {_BITS} FROM hashed GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN n = 0 THEN repeat('0', 16) ELSE lower(lpad(to_hex({_WORD}), 16, '0')) END AS simhash FROM bits""")
+    SELECT doc_id, CASE WHEN n = 0 THEN repeat('0', 16) ELSE lower(lpad(to_hex({_WORD}), 16, '0')) END AS simhash FROM bits)"""
+
+
+@query(f"SELECT * FROM {SIMHASH.format(rows='documents')}")
 def p14_simhash64(t):
     return scoring.simhash64(t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
+@query("""WITH h AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS a, CASE WHEN doc_id % 10 = 3 THEN 'no hash' WHEN doc_id % 10 <> 4 THEN substr(sha256(source || coalesce(text, '')), 1, 16) END AS b FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 10 IN (3, 4) THEN 0.0 ELSE 1 - bit_count(xor(('0x' || a)::UBIGINT, ('0x' || b)::UBIGINT)::HUGEINT) / 64 END AS similarity FROM h""")
+def p15_simhash_similarity(t):
+    digits = lambda x: F.substring(F.sha2(x, 256), 1, 16)
+    text_ = F.coalesce("text", F.lit(""))
+    other = F.when(F.col("doc_id") % 10 == 3, "no hash").when(F.col("doc_id") % 10 != 4, digits(F.concat("source", text_)))
+    return t.documents.select("doc_id", scoring.simhash_similarity(digits(text_), other).alias("similarity"))
+
+
 _J = "json_extract_string(criteria_json, '$.{k}')"
 
 
@@ -162,10 +206,12 @@ def p26_classify_terms_change(t):
     return hosts.terms_changes(t.terms).select("page_id", "host", "change")
 
 
-@query("SELECT url, CAST(CASE WHEN page_id % 4 = 0 THEN NULL ELSE page_id % 9 END AS DOUBLE) AS delay FROM pages")
+_ROBOTS = "'User-agent: *' || chr(10) || 'Crawl-delay: ' || CASE WHEN page_id % 4 = 0 THEN '-' ELSE CAST(page_id % 9 AS STRING) END || chr(10) || CASE WHEN page_id % 5 = 0 THEN ' crawl-DELAY : 2.5' || chr(10) ELSE '' END || 'crawl-delay: 0' || chr(10) || 'Disallow: ' || url"
+
+
+@query(rf"SELECT page_id, list_max(list_filter(list_transform(regexp_extract_all({_ROBOTS}, '(?im)^\s*crawl-delay\s*:\s*([0-9.]+)', 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x > 0)) AS delay FROM pages")
 def p27_crawl_delay(t):
-    robots = F.concat(F.lit("User-agent: *\nCrawl-delay: "), F.when(F.col("page_id") % 4 == 0, F.lit("-")).otherwise((F.col("page_id") % 9).cast("string")), F.lit("\ncrawl-delay: 0\n"))
-    return t.pages.select("url", F.coalesce(text.crawl_delay(robots), F.when(F.col("page_id") % 4 != 0, 0.0)).alias("delay"))
+    return t.pages.select("page_id", F.expr(_ROBOTS).alias("robots")).select("page_id", text.crawl_delay(F.col("robots")).alias("delay"))
 
 
 @query("""WITH u AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'https://www.instagram.com/p/' || event_id WHEN 1 THEN 'https://www.tiktok.com/@a/video/' || event_id WHEN 2 THEN 'https://m.youtube.com/watch?v=' || event_id WHEN 3 THEN 'https://youtu.be/' || event_id WHEN 4 THEN 'https://youtube.com/channel/' || event_id ELSE 'https://example.com/p/' || event_id END AS url FROM events)
