@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """Fixed values of the rules that the jobs carry over."""
+    """Fixed values of the rules that the jobs carry over: every default below is one."""
 
     # usefulness score
     gate_points: int = 70
@@ -82,3 +82,17 @@ ACCESS_TERMS = r"(?i)クロール|クローリング|スクレイピング|ス
 PROHIBIT_TERMS = r"禁止|禁じ|許可なく|許諾なく|同意なく|お断り|不可"
 
 CRITERIA = ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional")
+
+# Outcomes of a discovery run that skip a URL for good, and those that leave it as it was.
+SKIPPED_OUTCOMES = ("path", "robots", "404", "410", "too_large", "no_title", "exhausted")
+KEPT_OUTCOMES = ("kill_gate", "budget", "retry_after")
+
+# Patterns of error messages, in the order in which they are tried.
+ERROR_PATTERNS = (
+    ("rate_capped", r"(?i)429|rate[-_\s]?limit|too many requests|quota|exhausted"),
+    ("transient", r"(?i)5\d\d|overloaded|unavailable|timeout|gateway|econnreset|etimedout|enotfound"),
+    ("terminal", r"(?i)auth|api[-_\s]?key|permission|unauthorized|forbidden|invalid[-_\s]?argument|bad[-_\s]?request|not[-_\s]?found"),
+)
+
+# Fixed value: a name with an honorific after it.
+HONORIFIC = r"([\p{L}\p{N}ー]{1,10})(?:さん|様|氏|くん|君|ちゃん)"

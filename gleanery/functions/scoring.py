@@ -43,6 +43,15 @@ def usefulness(json: Column, config: Config = CONFIG) -> Column:
     return F.when(json.isNull() | ~valid_json(json), float(config.no_criteria_score)).otherwise(points)
 
 
+def usefulness_sql(column: str, config: Config = CONFIG) -> str:
+    """The same score as Spark SQL text, for views and ORDER BY clauses."""
+    level_of = lambda k: f"coalesce(CASE WHEN get_json_object({column}, '$.{k}') = 'true' THEN 1.0D ELSE try_cast(get_json_object({column}, '$.{k}') AS DOUBLE) END, 0.0D)"
+    first, ceremony, specific, day = map(level_of, CRITERIA[:4])
+    heavy = f"coalesce(get_json_object({column}, '$.promotional') = 'heavy', false) OR {level_of('promotional')} >= {config.promotional_from}"
+    points = f"CASE WHEN {ceremony} >= 1 AND {day} >= 1 THEN {config.gate_points} ELSE 0 END + {config.ceremony_weight} * {ceremony} + {config.firsthand_weight} * {first} + {config.specific_weight} * {specific} + {config.day_weight} * {day} - CASE WHEN {heavy} THEN {config.promotional_penalty} ELSE 0 END"
+    return f"CASE WHEN {column} IS NULL OR try_parse_json({column}) IS NULL OR NOT endswith(rtrim({column}), '}}') THEN {float(config.no_criteria_score)}D ELSE {points} END"
+
+
 def gate_passed(json: Column) -> Column:
     return valid_json(json) & (level(json, "ceremonyDecision") >= 1) & (level(json, "weddingDayContent") >= 1)
 

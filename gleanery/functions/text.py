@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.config import ACCESS_TERMS, CONFIG, ENTITIES, GENERIC_TOPICS, PROHIBIT_TERMS, Config
+from gleanery.config import ACCESS_TERMS, CONFIG, ENTITIES, ERROR_PATTERNS, GENERIC_TOPICS, PROHIBIT_TERMS, Config
 
 
 def decoded(text: Column) -> Column:
@@ -97,14 +97,10 @@ def generic_topics(topics: Column) -> Column:
 
 def error_kind(status: Column, code: Column, message: Column) -> Column:
     """rate_capped, transient, terminal or unknown, in that order."""
-    text = F.coalesce(message, F.lit(""))
+    message = F.coalesce(message, F.lit(""))
     status = F.coalesce(status, F.lit(-1))
-    return (
-        F.when((status == 429) | (F.coalesce(code, F.lit("")) == "429") | text.rlike(r"(?i)429|rate[-_\s]?limit|too many requests|quota|exhausted"), "rate_capped")
-        .when(status.between(500, 599) | text.rlike(r"(?i)5\d\d|overloaded|unavailable|timeout|gateway|econnreset|etimedout|enotfound"), "transient")
-        .when(status.between(400, 499) | text.rlike(r"(?i)auth|api[-_\s]?key|permission|unauthorized|forbidden|invalid[-_\s]?argument|bad[-_\s]?request|not[-_\s]?found"), "terminal")
-        .otherwise("unknown")
-    )
+    number = {"rate_capped": (status == 429) | (F.coalesce(code, F.lit("")) == "429"), "transient": status.between(500, 599), "terminal": status.between(400, 499)}
+    return F.coalesce(*(F.when(number[kind] | message.rlike(pattern), kind) for kind, pattern in ERROR_PATTERNS), F.lit("unknown"))
 
 
 def crawl_delay(robots: Column) -> Column:

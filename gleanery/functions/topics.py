@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from gleanery.config import CONFIG, SAFE_PREFIXES, Config
+from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES, Config
 
 # Particles and brackets at which an anchor falls into terms.
 PARTICLES = r"(?:の|を|に|は|が|で|と|も|や|から|まで|より|へ|・|、|。|「|」|【|】|\[|\]|\(|\)|\s+)"
@@ -27,7 +27,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def pii_rule(normal: Column) -> Column:
     """The rule that an NFKC text breaks: an account handle, or an honorific after other than a safe prefix; NULL for none."""
     handle = normal.rlike(r"@[A-Za-z0-9_.]{2,}")
-    named = F.regexp_extract_all(normal, F.lit(r"([\p{L}\p{N}ー]{1,10})(?:さん|様|氏|くん|君|ちゃん)"), F.lit(1))
+    named = F.regexp_extract_all(normal, F.lit(HONORIFIC), F.lit(1))
     return F.when(handle, "personal_info_sns_handle").when(F.exists(named, lambda x: ~x.isin(*SAFE_PREFIXES)), "personal_info_honorific")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleanery.config import CONFIG, Config
 from gleanery.functions import text, urls
 
 
@@ -96,3 +97,21 @@ def allowed_articles(candidates: DataFrame, allow_list: DataFrame) -> DataFrame:
     fits = F.exists("patterns", lambda p: F.regexp(F.col("_path"), p))
     known = F.col("patterns").isNotNull()
     return rows.withColumns({"allowed": F.coalesce(fits, F.lit(False)), "allowed_for_seeding": F.when(known, F.coalesce(fits, F.lit(False))).otherwise(True)}).drop("_host", "_path", "patterns")
+
+
+def resume_except(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """What an interrupted job still has to do: ``rows`` whose key isn't in ``done``."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
+def attributed(rows: DataFrame, posts: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with the source of their post, ``unknown`` where the post or its source is missing; ``orphan``: there is no such post."""
+    joined = rows.join(posts.select(F.col("id").alias(key), "source_id", "source_name", F.lit(True).alias("_known")), key, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("source_id", "source_name")} | {"orphan": F.col("_known").isNull()}).drop("_known")
+
+
+def stage_outcomes(posts: DataFrame, evidence: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Posts with the stage at which they ended: evidence, title, published or dropped."""
+    failed = text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), config)
+    rows = posts.join(evidence.drop("host"), "id")
+    return rows.withColumn("outcome", F.when(F.size(failed) > 0, "evidence").when(F.length(F.trim("original_title")) < 2, "title").when(F.col("status") == "published", "published").otherwise("dropped"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.config import CONFIG, Config
+from gleanery.config import CONFIG, KEPT_OUTCOMES, SKIPPED_OUTCOMES, Config
+from gleanery.functions import scoring
 
 #: What a new entry of a known URL may change.
 REFRESHED = ("source_name", "original_title", "original_excerpt", "author", "published_at", "updated_at")
@@ -118,3 +119,48 @@ def snapshot_diff(snapshot: DataFrame, current: DataFrame, key: str, fields: lis
     one = F.array(F.struct(kind.alias("field"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
     rows = F.when(kind.isNotNull(), one).otherwise(F.filter(changes, lambda x: ~x["before"].eqNullSafe(x["after"])))
     return joined.select(key, F.inline(rows))
+
+
+def merge_embeds(current: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Posts (id) with the columns of ``fetched`` (id and any of the posts' columns) where it has a value; stored values stay elsewhere."""
+    names = [c for c in fetched.columns if c != "id"]
+    joined = current.join(fetched.select("id", F.struct(*names).alias("_f")), "id", "left")
+    return joined.select(*(F.coalesce(F.col(f"_f.{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in current.columns))
+
+
+def advance_discovery_status(seen: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Seen URLs (url_hash, status) after a run (url_hash, outcome): skipped for good, left as they are to come again, else fetched; URLs without an outcome stay."""
+    o = F.col("_outcome")
+    status = F.when(o.isNull() | o.isin(*KEPT_OUTCOMES), F.col("status")).when(o.isin(*SKIPPED_OUTCOMES), "skipped").otherwise("fetched")
+    joined = seen.join(outcomes.select("url_hash", F.col("outcome").alias("_outcome")), "url_hash", "left")
+    return joined.withColumn("status", status).select(*seen.columns)
+
+
+def sync_source_policy(stored: DataFrame, snapshots: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(host, robots_hash, terms_url, terms_hash)`` from the stored rows of that form, robots snapshots (host, seq, robots_text) and the allow-list's terms (host, terms_url).
+
+    The latest snapshot of a host gives the robots hash; the listed terms url wins over the stored one, and a change of
+    it resets the terms hash, which a change of robots keeps. Hosts that are only listed aren't known yet.
+    """
+    latest_robots = snapshots.groupBy("host").agg(F.sha2(F.max_by("robots_text", "seq"), 256).alias("_robots"))
+    rows = stored.join(latest_robots, "host", "full_outer").join(listed.select("host", F.col("terms_url").alias("_terms")), "host", "left")
+    same = F.col("_terms").isNull() | F.col("_terms").eqNullSafe(F.col("terms_url"))
+    return rows.select("host", F.coalesce("_robots", "robots_hash").alias("robots_hash"), F.coalesce("_terms", "terms_url").alias("terms_url"), F.when(same, F.col("terms_hash")).alias("terms_hash"))
+
+
+def append_observations(articles: DataFrame, path: str) -> DataFrame:
+    """Appends a row for each processed article, passed or not, to the table at ``path``, and returns the table. A missing container counts as no text, all links, no paragraph."""
+    missing = {"text_length": 0, "link_density": 1.0, "paragraph_count": 0}
+    rows = articles.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in missing.items()})
+    rows.write.mode("append").parquet(path)
+    return articles.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def publish_outcomes(posts: DataFrame, criteria: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Graded posts (with ``rss``: they come from a feed): status by the gate's points, tag, and the hash of what was graded, which for feeds has the excerpt in place of a body."""
+    rss = F.col("rss")
+    rows = posts.join(criteria.select(F.col("post_id").alias("id"), "criteria_json"), "id")
+    return rows.select(
+        "id", F.when(scoring.usefulness(F.col("criteria_json"), config) >= config.gate_points, "published").otherwise("rejected").alias("status"), F.when(rss, F.col("tag")).otherwise("classic").alias("tag"),
+        F.when(rss, "surrogate").otherwise("body").alias("hash_kind"), scoring.content_hash(F.col("original_title"), F.when(rss, F.col("original_excerpt"))).alias("content_hash"),
+    )

@@ -146,11 +146,14 @@ def publish_violations(feed: DataFrame, config: Config = CONFIG) -> DataFrame:
     return feed.where("status = 'published'").select("id", F.explode(broken).alias("rule"))
 
 
-def leaking_rows(rows: DataFrame, terms: DataFrame, column: str) -> DataFrame:
-    """Rows whose JSON form contains a sensitive term of over 3 characters, in either case; ``terms`` is a small list, joined by containment."""
-    listed = [r[0].lower() for r in terms.select(column).where(F.length(column) > 3).distinct().limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("over 1000 terms; split the list")
+def leaking_rows(rows: DataFrame, terms: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """Rows whose JSON form contains a sensitive term of over 3 characters, in either case.
+
+    The terms, at most ``most`` of them (more are an error), come to the driver while the plan is made and become part of it.
+    """
+    listed = [r[0].lower() for r in terms.select(column).where(F.length(column) > 3).distinct().limit(most + 1).collect()]
+    if len(listed) > most:
+        raise ValueError(f"over {most} terms; split the list")
     body = F.lower(F.to_json(F.struct(*rows.columns)))
     return rows.where(F.exists(F.array(*map(F.lit, listed)), lambda t: F.contains(body, t)) if listed else F.lit(False))
 
@@ -161,3 +164,18 @@ def assert_columns_allowed(rows: DataFrame, allowed: set[str]) -> DataFrame:
     if extra:
         raise ValueError(f"columns that may not leave: {sorted(extra)}")
     return rows
+
+
+def columns_not_allowed(rows: DataFrame, allowed: set[str]) -> DataFrame:
+    """``(column_name, n)``: the columns that aren't allowed, with how many values each would let out."""
+    extra = sorted(set(rows.columns) - allowed)
+    if not extra:
+        return rows.sparkSession.createDataFrame([], "column_name string, n long")
+    counts = rows.agg(*(F.count(c).alias(c) for c in extra))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in extra))))
+
+
+def missing_shares(rows: DataFrame, by: Column, columns: dict[str, str]) -> DataFrame:
+    """By cohort: rows, and the share without a value of each of ``columns`` (name to column)."""
+    shares = [F.round(F.count_if(F.col(c).isNull()) / F.count("*"), 8).alias(name) for name, c in columns.items()]
+    return rows.groupBy(by.alias("cohort")).agg(F.count("*").alias("n"), *shares)

@@ -91,3 +91,13 @@ def robots_blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def topic_shadow_eval(current: DataFrame, candidate: DataFrame) -> DataFrame:
     """Topic lists (id, topics) side by side with ``same`` (ordered equality)."""
     return current.select("id", F.col("topics").alias("before")).join(candidate.select("id", F.col("topics").alias("after")), "id", "full_outer").withColumn("same", F.col("before").eqNullSafe(F.col("after")))
+
+
+def rerendered_rationales(rationales: DataFrame, criteria: DataFrame, label: str) -> DataFrame:
+    """Rationales whose text has a removed ``label``, rendered again from the stored criteria: skipped without usable ones, error if the length is out of bounds."""
+    from gleanery.functions import scoring
+
+    rows = rationales.where(F.contains("rationale_text", F.lit(label))).join(criteria.select("post_id", "criteria_json"), "post_id", "left").withColumn("levels", scoring.display_levels(F.col("criteria_json")))
+    fresh = scoring.rationale(F.col("topic_anchor"), F.col("levels"))
+    outcome = F.when(F.col("levels").isNull(), "skipped").when(fresh.isNull(), "error").otherwise("rendered")
+    return rows.select("post_id", outcome.alias("outcome"), F.when(F.col("levels").isNotNull(), fresh).alias("rationale_text"))

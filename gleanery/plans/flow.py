@@ -10,6 +10,7 @@ from gleanery.operators import candidates as cand
 from gleanery.operators import hosts, metrics
 from gleanery.plans.catalog import at, query
 from gleanery.plans.reading import CANON
+from gleanery.sources import feeds
 
 
 @query(f"SELECT pos, url FROM (SELECT pos, canon AS url, row_number() OVER (PARTITION BY canon ORDER BY pos) AS place FROM (SELECT pos, {CANON.format(u='url')} AS canon FROM candidates) WHERE canon IS NOT NULL) WHERE place = 1")
@@ -72,8 +73,7 @@ def j06_new_urls(t):
 @query("SELECT r.url_hash, coalesce(p.source_id, 'unknown') AS source_id, coalesce(p.source_name, 'unknown') AS source_name, p.id IS NULL AS orphan FROM retry_queue r LEFT JOIN posts p ON p.id = CAST(substr(r.url_hash, 2) AS BIGINT)")
 def j07_source_attribution(t):
     keyed = t.retry_queue.withColumn("id", F.substring("url_hash", 2, 30).cast("long"))
-    joined = keyed.join(t.posts.select("id", "source_id", "source_name", F.lit(True).alias("known")), "id", "left")
-    return joined.select("url_hash", F.coalesce("source_id", F.lit("unknown")).alias("source_id"), F.coalesce("source_name", F.lit("unknown")).alias("source_name"), F.col("known").isNull().alias("orphan"))
+    return cand.attributed(keyed, t.posts).select("url_hash", "source_id", "source_name", "orphan")
 
 
 @query(f"""WITH o AS (SELECT DISTINCT {CANON.format(u="url")} AS url FROM candidates WHERE pos % 10 = 0 AND pos % 3 <> 0)
@@ -98,7 +98,7 @@ def s03_cross_tag_duplicates(t):
 @query("SELECT id FROM posts WHERE id NOT IN (SELECT post_id FROM publications WHERE link_density < 0.4)")
 def s02_resume_except(t):
     done = t.publications.where("link_density < 0.4").select(F.col("post_id").alias("id"))
-    return t.posts.join(done, "id", "left_anti").select("id")
+    return cand.resume_except(t.posts, done).select("id")
 
 
 @query("""WITH titled AS (SELECT pos, tag, source_name, CASE WHEN title IS NULL THEN NULL ELSE title || CASE WHEN pos % 3 = 0 AND source_name IS NOT NULL THEN ' - ' || source_name ELSE '' END END AS title, url FROM candidates),
@@ -107,18 +107,20 @@ def s02_resume_except(t):
 def src3_news_entries(t):
     suffix = F.concat(F.lit(" - "), F.col("source_name"))
     title = F.concat(F.col("title"), F.when(F.col("pos") % 3 == 0, F.coalesce(suffix, F.lit(""))).otherwise(""))
-    rows = t.candidates.withColumn("title", title)
-    rows = rows.join(rows.groupBy("url").agg(F.min("pos").alias("pos")), ["url", "pos"], "left_semi")
-    ends = F.coalesce(F.endswith("title", suffix), F.lit(False))
-    return rows.select("pos", F.when(ends, F.substring(F.col("title"), F.lit(1), F.length("title") - F.length(suffix))).otherwise(F.col("title")).alias("title"), F.col("source_name").alias("author"))
+    return feeds.news_entries(t.candidates.withColumn("title", title), "pos").select("pos", "title", "author")
 
 
-@query("SELECT id, source_id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS place FROM posts) WHERE place <= 20")
-def src4_unify_sources(t):
-    from pyspark.sql.window import Window
+_ENTRIES = "SELECT page_id % 3 AS feed, page_id AS place, split_part(url, '?', 1) AS link, 'title ' || CAST(page_id AS STRING) AS title FROM pages"
+
 
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("id"))
-    return t.posts.select("id", "source_id", place.alias("place")).where("place <= 20").select("id", "source_id")
+@query(f"""WITH e AS ({_ENTRIES}), capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY place) AS k FROM e WHERE place % 2 = 1) WHERE k <= 10),
+    s AS (SELECT 'notes' AS source_id, feed, place, link, title FROM e WHERE place % 2 = 0 UNION ALL SELECT 'blogs', feed, place, link, title FROM capped),
+    one AS (SELECT *, row_number() OVER (PARTITION BY source_id, link ORDER BY feed, place) AS k FROM s), ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY feed, place) AS n FROM one WHERE k = 1)
+    SELECT source_id, link AS url, title, n AS place FROM ranked WHERE n <= 20""")
+def src4_unify_sources(t):
+    rows = t.pages.select((F.col("page_id") % 3).alias("feed"), F.col("page_id").alias("place"), F.substring_index("url", "?", 1).alias("link"), F.concat(F.lit("title "), F.col("page_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("timestamp").alias("published_at"))
+    sources = {"notes": rows.where("place % 2 = 0"), "blogs": rows.where("place % 2 = 1")}
+    return feeds.unify_sources(sources, 20, {"blogs": 10}).select("source_id", "url", "title", "place")
 
 
 @query("SELECT host, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'skipped') AS skipped FROM discovery_seen GROUP BY host")
@@ -152,12 +154,7 @@ def a06_yield_collapse(t):
 
 @query("""SELECT CASE WHEN e.text_length < 30 OR e.link_density > 0.7 OR e.paragraph_count < 1 THEN 'evidence' WHEN length(trim(p.original_title)) < 2 THEN 'title' WHEN p.status = 'published' THEN 'published' ELSE 'dropped' END AS outcome, count(*) AS n FROM posts p JOIN evidence e ON e.id = p.id GROUP BY 1""")
 def a07_stage_funnel(t):
-    from gleanery.functions import text
-
-    failed = text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"))
-    rows = t.posts.join(t.evidence.drop("host"), "id")
-    outcome = F.when(F.size(failed) > 0, "evidence").when(F.length(F.trim("original_title")) < 2, "title").when(F.col("status") == "published", "published").otherwise("dropped")
-    return metrics.outcome_counts(rows.withColumn("outcome", outcome), "outcome")
+    return metrics.outcome_counts(cand.stage_outcomes(t.posts, t.evidence), "outcome")
 
 
 @query("SELECT condition, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN text_length < 30 THEN 'text_length' END, CASE WHEN link_density > 0.7 THEN 'link_density' END, CASE WHEN paragraph_count < 1 THEN 'paragraph_count' END], lambda x: x IS NOT NULL)) AS condition FROM evidence) GROUP BY condition")
@@ -172,8 +169,7 @@ def a15_source_probe(t):
 
 @query("SELECT CASE WHEN id % 2 = 0 THEN 'main' ELSE 'control' END AS cohort, count(*) AS n, round(count(*) FILTER (author IS NULL) / count(*), 8) AS no_author, round(count(*) FILTER (original_excerpt IS NULL) / count(*), 8) AS no_excerpt FROM posts GROUP BY 1")
 def a16_cohort_validation(t):
-    share = lambda c: F.round(F.count_if(F.col(c).isNull()) / F.count("*"), 8)
-    return t.posts.groupBy(F.when(F.col("id") % 2 == 0, "main").otherwise("control").alias("cohort")).agg(F.count("*").alias("n"), share("author").alias("no_author"), share("original_excerpt").alias("no_excerpt"))
+    return metrics.missing_shares(t.posts, F.when(F.col("id") % 2 == 0, "main").otherwise("control"), {"no_author": "author", "no_excerpt": "original_excerpt"})
 
 
 @query("SELECT CAST(epoch(max(started_at)) AS BIGINT) AS last, CAST(date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') AS INT) AS age_days, date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') > 10 AS stale FROM discovery_run")

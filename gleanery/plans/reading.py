@@ -6,7 +6,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from gleanery.config import ACCESS_TERMS, CONFIG, GENERIC_TOPICS, LABELS, PROHIBIT_TERMS
+from gleanery.config import ACCESS_TERMS, CONFIG, ERROR_PATTERNS, GENERIC_TOPICS, LABELS, PROHIBIT_TERMS
 from gleanery.functions import containers, scoring, text, urls
 from gleanery.operators import candidates as cand
 from gleanery.operators import feed, hosts, metrics
@@ -174,28 +174,33 @@ def _shown(k: str) -> str:
     return f"coalesce(CASE {v}{words} WHEN 'false' THEN 0 ELSE least(9, greatest(0, CAST(floor(TRY_CAST({v} AS DOUBLE)) AS INT))) END, 0)"
 
 
-_COMPLETE = " AND ".join(f"{_J.format(k=k)} IS NOT NULL" for k in ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional"))
+COMPLETE = " AND ".join(f"{_J.format(k=k)} IS NOT NULL" for k in ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional"))
 
 
-@query("SELECT post_id, " + ", ".join(f"CASE WHEN json_valid(criteria_json) THEN CASE WHEN {_COMPLETE} THEN {_shown(k)} END END AS {k.lower()}" for k in ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional")) + " FROM criteria")
+@query("SELECT post_id, " + ", ".join(f"CASE WHEN json_valid(criteria_json) THEN CASE WHEN {COMPLETE} THEN {_shown(k)} END END AS {k.lower()}" for k in ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional")) + " FROM criteria")
 def p22_normalize_criteria(t):
     levels = scoring.display_levels(F.col("criteria_json"))
     return t.criteria.select("post_id", levels.alias("x")).select("post_id", *(F.col(f"x.{k}").alias(k.lower()) for k in ("firsthand", "ceremonyDecision", "specific", "weddingDayContent", "promotional")))
 
 
-_RATIONALE = "list_filter([" + ", ".join(f"CASE WHEN {_shown(k)} >= 6 THEN '{label}' END" for k, label in LABELS) + "], lambda x: x IS NOT NULL)"
+RATIONALE_LABELS = "list_filter([" + ", ".join(f"CASE WHEN {_shown(k)} >= 6 THEN '{label}' END" for k, label in LABELS) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"""SELECT post_id, CASE WHEN length(t) BETWEEN 38 AND 210 THEN t END AS rationale FROM (SELECT post_id, '「' || topic_anchor || '」に関する記事' || CASE WHEN len(labels) = 0 THEN 'です。自動判定では特筆すべき特徴は検出されませんでした。' ELSE 'で、' || array_to_string(labels, '、') || 'という特徴が自動判定されました。' END AS t
-    FROM (SELECT c.post_id, topic_anchor, {_RATIONALE} AS labels FROM criteria c JOIN rationales r ON r.post_id = c.post_id WHERE json_valid(criteria_json) AND {_COMPLETE}))""")
+RATIONALE = "'「' || topic_anchor || '」に関する記事' || CASE WHEN len({labels}) = 0 THEN 'です。自動判定では特筆すべき特徴は検出されませんでした。' ELSE 'で、' || array_to_string({labels}, '、') || 'という特徴が自動判定されました。' END"
+
+
+@query(f"SELECT post_id, CASE WHEN length(t) BETWEEN 38 AND 210 THEN t END AS rationale FROM (SELECT c.post_id, {RATIONALE.format(labels=RATIONALE_LABELS)} AS t FROM criteria c JOIN rationales r ON r.post_id = c.post_id WHERE json_valid(criteria_json) AND {COMPLETE})")
 def p20_render_rationale(t):
     rows = t.criteria.join(t.rationales, "post_id").withColumn("levels", scoring.display_levels(F.col("criteria_json"))).where("levels is not null")
     return rows.select("post_id", scoring.rationale(F.col("topic_anchor"), F.col("levels")).alias("rationale"))
 
 
-@query(r"""SELECT id, CASE WHEN coalesce(status, -1) = 429 OR coalesce(code, '') = '429' OR regexp_matches(coalesce(message, ''), '(?i)429|rate[-_\s]?limit|too many requests|quota|exhausted') THEN 'rate_capped'
-    WHEN coalesce(status, -1) BETWEEN 500 AND 599 OR regexp_matches(coalesce(message, ''), '(?i)5\d\d|overloaded|unavailable|timeout|gateway|econnreset|etimedout|enotfound') THEN 'transient'
-    WHEN coalesce(status, -1) BETWEEN 400 AND 499 OR regexp_matches(coalesce(message, ''), '(?i)auth|api[-_\s]?key|permission|unauthorized|forbidden|invalid[-_\s]?argument|bad[-_\s]?request|not[-_\s]?found') THEN 'terminal' ELSE 'unknown' END AS kind FROM error_log""")
+_ERRORS = dict(ERROR_PATTERNS)
+
+
+@query(f"""SELECT id, CASE WHEN coalesce(status, -1) = 429 OR coalesce(code, '') = '429' OR regexp_matches(coalesce(message, ''), '{_ERRORS["rate_capped"]}') THEN 'rate_capped'
+    WHEN coalesce(status, -1) BETWEEN 500 AND 599 OR regexp_matches(coalesce(message, ''), '{_ERRORS["transient"]}') THEN 'transient'
+    WHEN coalesce(status, -1) BETWEEN 400 AND 499 OR regexp_matches(coalesce(message, ''), '{_ERRORS["terminal"]}') THEN 'terminal' ELSE 'unknown' END AS kind FROM error_log""")
 def p25_classify_errors(t):
     return t.error_log.select("id", text.error_kind(F.col("status"), F.col("code"), F.col("message")).alias("kind"))
 
@@ -389,3 +394,9 @@ def a17_label_agreement(t):
     SELECT round(sqrt(greatest(sum(n * n / (na * nb)) - 1, 0.0) / (least(count(DISTINCT category), count(DISTINCT tag)) - 1)), 8) AS cramers_v, round(-sum(n / (SELECT sum(n) FROM cells) * log2(n / (SELECT sum(n) FROM cells))), 8) AS entropy FROM cells JOIN a USING (category) JOIN b USING (tag)""")
 def a18_association_entropy(t):
     return metrics.association(t.posts, "category", "tag")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM criteria")
+def c05_score_parity(t):
+    """The score as a Column and as the SQL text over JSON, on every criteria row."""
+    return t.criteria.agg(F.count("*").alias("n"), F.count_if(~scoring.usefulness(F.col("criteria_json")).eqNullSafe(F.expr(scoring.usefulness_sql("criteria_json")))).alias("different"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import feed, merges, metrics
 from gleanery.plans.catalog import at, epoch, query
-from gleanery.plans.reading import FEED
+from gleanery.plans.reading import FEED, title_ok_sql
 
 
 def _changed(posts):
@@ -111,7 +111,13 @@ def c04_key_constraints(t):
     return metrics.key_violations(t.posts, t.topics, t.removals)
 
 
-@query()
+@query("SELECT 'original_excerpt' AS column_name, count(original_excerpt) AS n FROM posts UNION ALL SELECT 'ai_summary', count(ai_summary) FROM posts")
+def c01_columns_not_allowed(t):
+    return metrics.columns_not_allowed(t.posts, set(t.posts.columns) - {"original_excerpt", "ai_summary"})
+
+
+@query(f"""WITH live AS (SELECT * FROM ({FEED}) WHERE status = 'published') SELECT id, 'title' AS rule FROM live WHERE NOT {title_ok_sql("coalesce(original_title, '')")} UNION ALL SELECT id, 'anchor_length' FROM live WHERE length(trim(topic_anchor)) < 6
+    UNION ALL SELECT id, 'rationale_length' FROM live WHERE length(rationale_text) NOT BETWEEN 38 AND 210 UNION ALL SELECT id, 'evidence' FROM live WHERE NOT coalesce(evidence_sufficient, FALSE)""")
 def c03_publish_invariants(t):
     return metrics.publish_violations(feed.feed_join(t.posts, t.rationales, t.criteria))
 

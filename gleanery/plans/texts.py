@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gleanery.config import CONFIG
+from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES
 from gleanery.functions import scoring, topics
 from gleanery.operators import feed, merges, metrics, responses
 from gleanery.plans.catalog import epoch, query
-from gleanery.plans.reading import SCORE
+from gleanery.plans.reading import COMPLETE, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH
 from gleanery.sources import feeds
+from gleanery.sources.tables import shared_dir
 
 CATEGORIES = [f"cat{k}" for k in range(11)]
 
@@ -21,10 +24,13 @@ def _xml(c):
 def raw_feeds(t):
     """One feed with one entry for each document: RSS 2, RDF or Atom, by id."""
     k = F.col("doc_id").cast("string")
-    body = _xml(F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</p>")))
-    item = F.concat(F.lit("<item><title>T "), k, F.lit("</title><link>https://x.example.com/"), k, F.lit("</link><description>"), body, F.lit("</description><dc:creator>"), F.col("source"), F.lit("</dc:creator><pubDate>Mon, 01 Jan 2024 10:00:00 +0900</pubDate></item>"))
+    picture = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<img alt="x" src="https://i.example.com/'), k, F.lit('.png">'))).otherwise("")
+    body = _xml(F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>&]", ""), F.lit("</p>"), picture))
+    media = F.expr("""CASE doc_id DIV 4 % 6 WHEN 0 THEN concat('<hatena:imageurl> https://h.example.com/', doc_id, ' </hatena:imageurl><media:thumbnail url="https://m.example.com/x"/>') WHEN 1 THEN concat('<media:thumbnail url="https://m.example.com/', doc_id, '"/><media:content url="https://c.example.com/x"/>')
+        WHEN 2 THEN concat('<media:content url="https://c.example.com/', doc_id, '"/><enclosure url="https://e.example.com/x"/>') WHEN 3 THEN concat('<enclosure url="https://e.example.com/', doc_id, '" type="image/png"/>') WHEN 4 THEN '<enclosure url="https://e.example.com/x" type="audio/mpeg"/>' ELSE '' END""")
+    item = F.concat(F.lit("<item><title>T "), k, F.lit("</title><link>https://x.example.com/"), k, F.lit("</link><description>"), body, F.lit("</description><dc:creator>"), F.col("source"), F.lit("</dc:creator><pubDate>Mon, 01 Jan 2024 10:00:00 +0900</pubDate>"), media, F.lit("</item>"))
     entry = F.concat(F.lit("<entry><title>T "), k, F.lit('</title><link rel="self" href="https://x.example.com/self"/><link href="https://x.example.com/'), k, F.lit('"/><summary>'), body, F.lit("</summary><author><name>"), F.col("source"), F.lit("</name></author><updated>2024-01-01T01:00:00Z</updated></entry>"))
-    dc = F.lit(' xmlns:dc="http://purl.org/dc/elements/1.1/"')
+    dc = F.lit(' xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/" xmlns:hatena="http://www.hatena.ne.jp/info/xmlns#"')
     xml = (
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<rss"), dc, F.lit("><channel>"), item, F.lit("</channel></rss>")))
         .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<RDF"), dc, F.lit(">"), item, F.lit("</RDF>")))
@@ -39,6 +45,12 @@ def src1_feed_entries(t):
     return feeds.feed_entries(raw_feeds(t)).select("doc_id", "title", "link", "excerpt", "author", epoch("published_at"))
 
 
+@query("""WITH e AS (SELECT doc_id, CAST(doc_id AS STRING) AS k, CASE WHEN doc_id % 3 = 0 THEN 'https://i.example.com/' || CAST(doc_id AS STRING) || '.png' END AS picture FROM documents WHERE doc_id % 4 <> 3 AND text IS NOT NULL)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN picture ELSE CASE doc_id // 4 % 6 WHEN 0 THEN 'https://h.example.com/' || k WHEN 1 THEN 'https://m.example.com/' || k WHEN 2 THEN 'https://c.example.com/' || k WHEN 3 THEN 'https://e.example.com/' || k ELSE picture END END AS thumbnail_url FROM e""")
+def src2_feed_thumbnail(t):
+    return feeds.feed_entries(raw_feeds(t)).select("doc_id", "thumbnail_url")
+
+
 @query("SELECT page_id, 'url' AS kind, split_part(url, '&', 1) AS loc, CASE WHEN page_id % 3 = 0 THEN NULL ELSE '2024-01-0' || CAST(page_id % 9 + 1 AS STRING) END AS lastmod FROM pages UNION ALL SELECT page_id, 'child', 'https://c.example.com/' || CAST(page_id AS STRING), NULL FROM pages WHERE page_id % 5 = 0")
 def src5_sitemap_entries(t):
     mod = F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.concat(F.lit("2024-01-0"), (F.col("page_id") % 9 + 1).cast("string")))
@@ -58,19 +70,30 @@ def src8_consistent_extract(t):
     return out["posts"].join(out["publications"].select(F.col("post_id").alias("id"), "hash_kind"), "id", "left").select("id", "original_excerpt", "hash_kind")
 
 
-@query()
+# The tables have no character that NFKC changes, so the SQL leaves it out; tests/test_rules.py has such characters.
+_RULE = r"""CASE WHEN regexp_matches({x}, '@[A-Za-z0-9_.]{{2,}}') THEN 'personal_info_sns_handle' WHEN len(list_filter(regexp_extract_all({x}, '([\p{{L}}\p{{N}}ー]{{1,10}})(?:さん|様|氏|くん|君|ちゃん)', 1), lambda n: n NOT IN ({safe}))) > 0 THEN 'personal_info_honorific' END"""
+
+
+def rule_sql(x: str) -> str:
+    return _RULE.format(x=x, honorific=HONORIFIC, safe=", ".join(f"'{p}'" for p in SAFE_PREFIXES))
+
+
+_TERMS = r"""list_distinct(list_filter(list_transform(regexp_split_to_array({x}, '(?:の|を|に|は|が|で|と|も|や|から|まで|より|へ|・|、|。|「|」|【|】|\[|\]|\(|\)|\s+)'), lambda t: trim(t)), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[\p{{P}}\p{{S}}0-9０-９\s]+$')))"""
+
+
+@query(f"SELECT doc_id, {rule_sql('text')} AS rule FROM documents")
 def p16_pii_scan(t):
     return t.documents.select("doc_id", topics.pii_rule(topics.nfkc("text")).alias("rule"))
 
 
-@query()
+@query(f"SELECT post_id, CASE WHEN topic_anchor IS NULL THEN NULL WHEN length(trim(topic_anchor)) < 6 THEN 'anchor_too_short' WHEN {rule_sql('topic_anchor')} IS NOT NULL THEN 'anchor_prohibited_term' ELSE 'ok' END AS gate FROM rationales")
 def p17_anchor_gate(t):
     return t.rationales.select("post_id", topics.anchor_gate(F.col("topic_anchor"), topics.nfkc("topic_anchor")).alias("gate"))
 
 
-@query()
+@query(f"SELECT id, array_to_string(list_sort({_TERMS.format(x='original_title')}), '|') AS terms FROM posts")
 def p18_feature_terms(t):
-    return t.posts.select("id", F.array_join(topics.feature_terms(topics.nfkc("original_title")), "|").alias("terms"))
+    return t.posts.select("id", F.array_join(F.array_sort(topics.feature_terms(topics.nfkc("original_title"))), "|").alias("terms"))
 
 
 @query()
@@ -79,10 +102,14 @@ def p19_validate_topics(t):
     return topics.validate_topics(rows.select("post_id", F.split("topics", r"\|").alias("topics"), "title", "anchor"), "post_id")
 
 
-@query()
+_SECRET = b"not a secret: a parameter of the query"
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _SECRET.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT post_id, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(CAST(post_id AS STRING) || '|' || coalesce(topic_anchor, '') || '|' || coalesce(prompt_version, ''))))) AS signature FROM rationales")
 def p30_topic_signature(t):
     fields = [F.col("post_id").cast("string"), F.col("topic_anchor"), F.col("prompt_version")]
-    return t.rationales.select("post_id", topics.hmac_signature(fields, b"not a secret: a parameter of the query").alias("signature"))
+    return t.rationales.select("post_id", topics.hmac_signature(fields, _SECRET).alias("signature"))
 
 
 def model_replies(t):
@@ -124,7 +151,12 @@ def m19_topic_backfill_audit(t):
     return responses.topic_audit(feed.attach_topics(t.posts.select("id"), t.topics), after, F.lit("v3"))
 
 
-@query()
+_REFETCHED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) || reverse(substr(text, 1, CAST(floor(length(text) / 2) AS INT))) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(f"""WITH old AS {SIMHASH.format(rows="documents")}, new AS {SIMHASH.format(rows=_REFETCHED)},
+    j AS (SELECT post_id, hash_kind, new.simhash AS fetched, CASE WHEN new.simhash IS NULL THEN 0.0 ELSE 1 - bit_count(xor(('0x' || old.simhash)::UBIGINT, ('0x' || new.simhash)::UBIGINT)::HUGEINT) / 64 END AS similarity FROM publications p JOIN old ON old.doc_id = post_id LEFT JOIN new ON new.doc_id = post_id)
+    SELECT post_id, similarity, CASE WHEN fetched IS NULL THEN 'skipped' WHEN hash_kind <> 'body' THEN 'surrogate_skipped' WHEN similarity < 0.7 THEN 'body_changed' ELSE 'ok' END AS outcome FROM j""")
 def j09_body_drift(t):
     """Texts refetched: the last half of every fifth one is replaced, every seventh one is gone."""
     old = scoring.simhash64(t.documents.select("doc_id", "text"), "doc_id", "text")
@@ -195,12 +227,10 @@ def a10_outcome_counts(t):
     return metrics.outcome_counts(responses.plan_backfill(t.posts.select("id"), results), "outcome")
 
 
-@query()
+@query(f"""WITH x AS (SELECT r.post_id, coalesce({COMPLETE}, FALSE) AS good, {RATIONALE.format(labels=RATIONALE_LABELS)} AS t FROM rationales r LEFT JOIN (SELECT post_id, CASE WHEN json_valid(criteria_json) THEN criteria_json END AS criteria_json FROM criteria) c ON c.post_id = r.post_id WHERE contains(rationale_text, 'the'))
+    SELECT post_id, CASE WHEN NOT good THEN 'skipped' WHEN length(t) BETWEEN 38 AND 210 THEN 'rendered' ELSE 'error' END AS outcome, CASE WHEN good AND length(t) BETWEEN 38 AND 210 THEN t END AS rationale_text FROM x""")
 def m18_rerender_rationales(t):
-    rows = t.rationales.where(F.contains("rationale_text", F.lit("the"))).join(t.criteria.select("post_id", "criteria_json"), "post_id", "left").withColumn("levels", scoring.display_levels(F.col("criteria_json")))
-    fresh = scoring.rationale(F.col("topic_anchor"), F.col("levels"))
-    outcome = F.when(F.col("levels").isNull(), "skipped").when(fresh.isNull(), "error").otherwise("rendered")
-    return rows.select("post_id", outcome.alias("outcome"), F.when(F.col("levels").isNotNull(), fresh).alias("rationale_text"))
+    return responses.rerendered_rationales(t.rationales, t.criteria, "the")
 
 
 @query("SELECT post_id, position, topic FROM topics WHERE post_id % 5 <> 0 UNION ALL SELECT id, 0, 'old' FROM posts WHERE id % 10 = 0 UNION ALL SELECT post_id, position, topic FROM topics WHERE post_id % 5 = 0 AND post_id % 10 <> 0")
@@ -219,39 +249,48 @@ def m21_run_log(t):
 @query("SELECT id, CASE WHEN id % 9 = 0 THEN 'youtube' END AS embed_provider FROM posts")
 def m22_merge_embeds(t):
     current = t.posts.select("id", F.lit(None).cast("string").alias("embed_provider"))
-    fetched = t.posts.where("id % 9 = 0").select("id", F.lit("youtube").alias("fetched"))
-    return current.join(fetched, "id", "left").select("id", F.coalesce("fetched", "embed_provider").alias("embed_provider"))
+    return merges.merge_embeds(current, t.posts.where("id % 9 = 0").select("id", F.lit("youtube").alias("embed_provider")))
 
 
 @query("SELECT url_hash, host, CASE WHEN CAST(substr(url_hash, 2) AS BIGINT) % 5 = 0 THEN 'skipped' WHEN CAST(substr(url_hash, 2) AS BIGINT) % 5 = 1 THEN status ELSE 'fetched' END AS status FROM discovery_seen")
 def m13_advance_discovery_status(t):
     k = F.substring("url_hash", 2, 30).cast("long") % 5
-    outcome = F.when(k == 0, "no_title").when(k == 1, "budget").otherwise("ready")
-    kept, skipped = ("kill_gate", "budget", "retry_after"), ("path", "robots", "404", "410", "too_large", "no_title", "exhausted")
-    status = F.when(outcome.isin(*skipped), "skipped").when(outcome.isin(*kept), F.col("status")).otherwise("fetched")
-    return t.discovery_seen.select("url_hash", "host", status.alias("status"))
+    outcomes = t.discovery_seen.select("url_hash", F.when(k == 0, "no_title").when(k == 1, "budget").otherwise("ready").alias("outcome"))
+    return merges.advance_discovery_status(t.discovery_seen.select("url_hash", "host", "status"), outcomes)
+
+
+_PAGE_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"
 
 
-@query("SELECT host, n, robots, tos FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, count(*) AS n, arg_max(html, page_id)[:20] AS robots, CASE WHEN max(page_id) % 2 = 0 THEN 'listed' ELSE 'stored' END AS tos FROM pages GROUP BY 1)")
+@query(f"""WITH robots AS (SELECT {_PAGE_HOST} AS host, arg_max(html, page_id) AS robots_text FROM pages WHERE page_id % 4 <> 0 GROUP BY 1), stored AS (SELECT {_PAGE_HOST} AS host, 'old' AS robots_hash, 'https://terms/' || CAST(max(page_id) % 3 AS STRING) AS terms_url, 'th' AS terms_hash FROM pages WHERE page_id % 3 <> 0 GROUP BY 1),
+    listed AS (SELECT {_PAGE_HOST} AS host, 'https://terms/' || CAST(max(page_id) % 2 AS STRING) AS terms_url FROM pages WHERE page_id % 5 = 0 GROUP BY 1), hosts AS (SELECT host FROM robots UNION SELECT host FROM stored)
+    SELECT h.host, coalesce(sha256(r.robots_text), s.robots_hash) AS robots_hash, coalesce(l.terms_url, s.terms_url) AS terms_url, CASE WHEN l.terms_url IS NULL OR l.terms_url IS NOT DISTINCT FROM s.terms_url THEN s.terms_hash END AS terms_hash
+    FROM hosts h LEFT JOIN robots r ON r.host = h.host LEFT JOIN stored s ON s.host = h.host LEFT JOIN listed l ON l.host = h.host""")
 def m14_sync_source_policy(t):
-    host = F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")
-    last = t.pages.groupBy(host).agg(F.count("*").alias("n"), F.substring(F.max_by("html", "page_id"), 1, 20).alias("robots"), F.max("page_id").alias("k"))
-    listed = last.where("k % 2 = 0").select("host", F.lit("listed").alias("listed"))
-    return last.join(listed, "host", "left").select("host", "n", "robots", F.coalesce("listed", F.lit("stored")).alias("tos"))
+    host = F.expr(_PAGE_HOST).alias("host")
+    pages = t.pages.select(host, "page_id", "html")
+    snapshots = pages.where("page_id % 4 != 0").select("host", F.col("page_id").alias("seq"), F.col("html").alias("robots_text"))
+    url = lambda k: F.concat(F.lit("https://terms/"), (F.max("page_id") % k).cast("string")).alias("terms_url")
+    stored = pages.where("page_id % 3 != 0").groupBy("host").agg(F.lit("old").alias("robots_hash"), url(3), F.lit("th").alias("terms_hash"))
+    return merges.sync_source_policy(stored, snapshots, pages.where("page_id % 5 = 0").groupBy("host").agg(url(2)))
 
 
-@query("SELECT id, host, coalesce(CASE WHEN id % 6 <> 0 THEN text_length END, 0) AS text_length, coalesce(CASE WHEN id % 6 <> 0 THEN link_density END, 1.0) AS link_density, coalesce(CASE WHEN id % 6 <> 0 THEN paragraph_count END, 0) AS paragraph_count FROM evidence")
+@query("SELECT id, host, coalesce(CASE WHEN id % 6 <> 0 THEN text_length END, 0) AS text_length, coalesce(CASE WHEN id % 6 <> 0 THEN link_density END, 1.0) AS link_density, coalesce(CASE WHEN id % 6 <> 0 THEN paragraph_count END, 0) AS paragraph_count, k AS run FROM evidence, (SELECT 1 AS k UNION ALL SELECT 2) WHERE id % k = 0")
 def m15_append_observations(t):
-    found = F.col("id") % 6 != 0
-    keep = lambda c, other: F.coalesce(F.when(found, F.col(c)), F.lit(other)).alias(c)
-    return t.evidence.select("id", "host", keep("text_length", 0), keep("link_density", 1.0), keep("paragraph_count", 0))
+    """Two runs append to one table; the second one saw every other article."""
+    path = f"{shared_dir(t.spark)}/observations-{uuid.uuid4().hex}"
+    found = lambda c: F.when(F.col("id") % 6 != 0, F.col(c)).alias(c)
+    rows = t.evidence.select("id", "host", found("text_length"), found("link_density"), found("paragraph_count"))
+    merges.append_observations(rows.withColumn("run", F.lit(1)), path)
+    return merges.append_observations(rows.where("id % 2 = 0").withColumn("run", F.lit(2)), path)
+
+
+@query("SELECT 'posts' AS table_name, count(*) AS n FROM posts UNION ALL SELECT 'rationales', count(*) FROM rationales UNION ALL SELECT 'criteria', count(*) FROM criteria")
+def src9_snapshot_write(t):
+    tables = {"posts": t.posts.select("id", "ai_title", "ai_summary"), "rationales": t.rationales, "criteria": t.criteria}
+    return feeds.snapshot_write(tables, f"{shared_dir(t.spark)}/snapshots-{uuid.uuid4().hex}", "2024-06-01")
 
 
 @query(f"SELECT p.id, CASE WHEN {SCORE} >= 70 THEN 'published' ELSE 'rejected' END AS status, CASE WHEN id % 2 = 0 THEN tag ELSE 'classic' END AS tag, CASE WHEN id % 2 = 0 THEN 'surrogate' ELSE 'body' END AS hash_kind, substr(sha256(original_title || chr(0) || CASE WHEN id % 2 = 0 THEN coalesce(original_excerpt, '') ELSE '' END), 1, 16) AS content_hash FROM posts p JOIN criteria c ON c.post_id = p.id")
 def m24_publish_outcomes(t):
-    rss = F.col("id") % 2 == 0
-    rows = t.posts.join(t.criteria.select(F.col("post_id").alias("id"), "criteria_json"), "id")
-    return rows.select(
-        "id", F.when(scoring.usefulness(F.col("criteria_json")) >= CONFIG.gate_points, "published").otherwise("rejected").alias("status"), F.when(rss, F.col("tag")).otherwise("classic").alias("tag"),
-        F.when(rss, "surrogate").otherwise("body").alias("hash_kind"), scoring.content_hash(F.col("original_title"), F.when(rss, F.col("original_excerpt"))).alias("content_hash"),
-    )
+    return merges.publish_outcomes(t.posts.withColumn("rss", F.col("id") % 2 == 0), t.criteria)

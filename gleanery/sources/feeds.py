@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import text
@@ -54,6 +55,32 @@ def feed_entries(feeds: DataFrame, xml: str = "xml", config: Config = CONFIG) ->
     return rss.unionByName(atom)
 
 
+def news_entries(entries: DataFrame, order: str) -> DataFrame:
+    """News entries (title, url, source_name): the first of each url by ``order``, without the source's name at the end of the title; the source is the author."""
+    rows = entries.join(entries.groupBy("url").agg(F.min(order).alias(order)), ["url", order], "left_semi")
+    suffix = F.concat(F.lit(" - "), F.col("source_name"))
+    ends = F.coalesce(F.endswith("title", suffix), F.lit(False))
+    title = F.when(ends, F.substring(F.col("title"), F.lit(1), F.length("title") - F.length(suffix))).otherwise(F.col("title"))
+    return rows.withColumns({"title": title, "author": F.col("source_name")})
+
+
+def unify_sources(entries: dict[str, DataFrame], limit: int = 20, per_feed: dict[str, int] | None = None) -> DataFrame:
+    """The entries of all sources in one form: ``(source_id, url, title, author, published_at, place)``.
+
+    Each source's entries have feed (a number; earlier feeds win), place (in the feed), link, title, author and
+    published_at. A link counts once in a source; ``per_feed`` caps what a feed of a source gives, ``limit`` what a source gives.
+    """
+    out = None
+    for source, rows in entries.items():
+        if cap := (per_feed or {}).get(source):
+            rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("feed").orderBy("place"))).where(F.col("_k") <= cap).drop("_k")
+        first = rows.groupBy("link").agg(F.min_by(F.struct("title", "author", "published_at"), F.struct("feed", "place")).alias("e"), F.min(F.struct("feed", "place")).alias("at"))
+        place = F.row_number().over(Window.orderBy("at"))
+        one = first.orderBy("at").limit(limit).select(F.lit(source).alias("source_id"), F.col("link").alias("url"), "e.title", "e.author", "e.published_at", place.alias("place"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sitemap_entries(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
     """(kind, loc, lastmod) of each sitemap index, URL set or Atom feed; a blank loc is dropped, a blank lastmod NULL."""
     keep = [c for c in sitemaps.columns if c != xml]

@@ -1,9 +1,28 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and the folder that all machines share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made where the session names none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where that is unset, a new local folder in local mode (as in tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        key = spark.sparkContext.applicationId
+        if key not in _OWN:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            _OWN[key] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        found = _OWN[key]
+    return found.rstrip("/")
+
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt evenly to all cores if its files make fewer partitions than there are cores; larger inputs stay as their files split them."""
