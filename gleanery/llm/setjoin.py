@@ -35,9 +35,11 @@ from .stages import Scratch, sieved
 U64 = np.uint64
 #: Words in a shingle.
 SIZE = 5
-#: log2 of the counters in the sketch: 4 MB a task, whatever the input.
+#: log2 of the counters in the sketch: 8 MB a task, whatever the input. They travel in parts of 32 KB.
 SKETCH_BITS = 20
-SKETCH_PARTS = 16
+SKETCH_PARTS = 256
+#: Groups of tasks whose counters are added up first.
+LANES = 16
 #: Most bits of a set's bitmap.
 BITMAP = 1 << 15
 #: Members of a leader that are compared in one task.
@@ -104,11 +106,11 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for part, buf, off in _batches(batches, 1):
             sets = shingle_sets(buf, off, size)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((flat >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+            counts += np.bincount((flat >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             sums = [_sums(s) for s in sets]
             cols = [[len(s) for s in sets], [x for x, _ in sums], [x for _, x in sums], [parity(s) for s in sets]]
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols, kinds[1:5]), pa.nulls(len(sets), kinds[5]), pa.nulls(len(sets), kinds[6])], names=_names(PROFILE))
@@ -119,22 +121,30 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
-def _levels(profiles: DataFrame) -> np.ndarray:
-    """log2 of the count of each of the sketch's counters, rounded up: 1 MB, for any input."""
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    """``(part, counts)``: counters added up by part in each partition of the keys, as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), dtype=np.int32).astype(np.int64)
+                x = np.frombuffer(raw.as_buffer(), dtype=np.int64)
                 sums[k] = sums[k] + x if k in sums else x
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ceil(np.log2(x + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
+
+    return counts.repartition(*keys).select("part", "counts").mapInArrow(run, "part int, counts binary")
+
 
-    got = profiles.where("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(run, "part int, levels binary").collect()
+def _levels(profiles: DataFrame) -> np.ndarray:
+    """log2 of the count of each of the sketch's counters, rounded up: 8 MB of counters, for any input.
+
+    They are added up in two steps, so that no task has those of all tasks of a large input.
+    """
+    lanes = profiles.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(LANES)).alias("lane"))
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype=np.uint8)
-    for row in got:
-        out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    for row in _summed(_summed(lanes, "part", "lane"), "part").collect():
+        out[row["part"]] = np.ceil(np.log2(np.frombuffer(row["counts"], dtype=np.int64) + 1)).astype(np.uint8)
     return out.ravel()
 
 
