@@ -2,7 +2,9 @@
 
 import array
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import decontaminate, kernels, packing, quality, toxicity
 
-from .common import corpus, edited, empty, soup, table, with_nulls
+from .common import corpus, empty, soup, table, with_nulls
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 FOUND_KEYS = ("doc_id", "item_id")
@@ -183,21 +185,69 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.classify(table(spark, ["a b", None]), labels_table(spark, [])).collect()} == {0.5}
 
 
-def test_kneser_ney_shares_sum_to_one(spark):
-    """Over all bytes, the letters that may follow a seen context have probability one in either class."""
-    texts, labels = labelled(60)
+def plain_kneser_ney(texts: list, toxic: list) -> dict[bytes, float]:
+    """Log-likelihood ratio of every word by counts in dictionaries."""
+    counts: list[Counter] = [Counter(), Counter()]
+    words = set()
+    for text, y in zip(texts, toxic, strict=True):
+        for word in re.findall(rb"[A-Za-z0-9\x80-\xff]+", text.encode()):
+            word = word.lower()
+            words.add(word)
+            letters = (1, *word, 1)
+            for i in range(1, len(letters)):
+                for n in range(1, min(toxicity.ORDER, i + 1) + 1):
+                    counts[y][letters[i - n + 1 : i + 1], i == n - 1] += 1  # an n-gram that begins with the first mark begins the word
+    used: list[dict] = [{}, {}]
+    for gram, head in set(counts[0]) | set(counts[1]):
+        for y in (0, 1):
+            longer = {g for (g, _), c in counts[y].items() if c and len(g) == len(gram) + 1 and g[1:] == gram} if len(gram) < toxicity.ORDER and not head else ()
+            used[y][gram, head] = counts[y][gram, head] if head or len(gram) == toxicity.ORDER else len(longer)
+    share, back = [{}, {}], [{}, {}]
+    for y in (0, 1):
+        mine = {g: c + used[1 - y][g] if len(g[0]) <= toxicity.SHARED else c for g, c in used[y].items()}
+        total, kinds = Counter(), Counter()
+        for (gram, _), c in mine.items():
+            total[gram[:-1]] += c
+            kinds[gram[:-1]] += c > 0
+        share[y] = {gram: max(c - toxicity.DISCOUNT, 0) / max(total[gram[:-1]], 1) for (gram, _), c in mine.items()}
+        back[y] = {g: toxicity.DISCOUNT * kinds[g] / t for g, t in total.items() if t}
+    out = {}
+    for word in words:
+        letters, ratio = (1, *word, 1), 0.0
+        for i in range(1, len(letters)):
+            p = [1 / 256, 1 / 256]
+            for n in range(1, min(toxicity.ORDER, i + 1) + 1):
+                gram = letters[i - n + 1 : i + 1]
+                p = [share[y].get(gram, 0.0) + back[y].get(gram[:-1], 1.0) * p[y] for y in (0, 1)]
+            ratio += np.log(p[1]) - np.log(p[0])
+        out[word] = ratio
+    return out
+
+
+def test_ratios_are_those_of_plain_kneser_ney_counts(spark):
+    texts, labels = labelled(24)
+    texts = [" ".join(t.split()[:12]) if t else t for t in texts]
     docs = table(spark, texts).select("doc_id", "text")
-    model = toxicity.train(docs, labels_table(spark, labels).select("doc_id", F.col("toxic").alias("y")))
-    letters = [bytes([b]) for b in range(32, 127)]
-    buf = np.frombuffer(b"".join(b"th" + x for x in letters), dtype=np.uint8)
-    at = np.arange(len(letters)) * 3
-    out = toxicity.Letters(buf, at, at + 3)
-    p = np.full((len(out.events), 2), 1 / 256)
-    for _, ok, gram, context in out.grams():
-        p[ok] = model.share[gram] + model.back[context] * p[ok]
-    third = p[out.depth[out.events] == 3]
-    lower = np.array([not 65 <= x[0] < 91 for x in letters])
-    assert (third[lower].sum(0) <= 1.001).all() and (third > 0).all()
+    model = toxicity.gathered(*toxicity.models(docs, labels_table(spark, labels).select("doc_id", F.col("toxic").alias("y"))))
+    known = [(t, y) for t, (_, _, y, _) in zip(texts, labels, strict=True) if t]
+    want = plain_kneser_ney(*zip(*known, strict=True))
+    words = sorted(want)
+    off = np.cumsum([0, *map(len, words)])
+    ratio, events = model.ratios(toxicity.Letters(np.frombuffer(b"".join(words), np.uint8), off[:-1], off[1:]))
+    assert ratio.tolist() == pytest.approx([want[w] for w in words])
+    assert events.tolist() == [len(w) + 1 for w in words]
+
+
+def test_features_are_the_same_by_joins(spark, monkeypatch):
+    texts, labels = labelled(40)
+    docs = table(spark, [*texts, None, "", "One."]).select("doc_id", "text")
+    tables = toxicity.models(docs, labels_table(spark, labels).select("doc_id", F.col("toxic").alias("y")))
+    here = {r["doc_id"]: r for r in toxicity.feature_table(docs, *tables).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    there = {r["doc_id"]: r for r in toxicity.feature_table(docs, *tables).collect()}
+    assert len(here) == docs.count() and set(here) == set(there)
+    for d, r in here.items():
+        assert list(there[d])[1:] == pytest.approx(list(r)[1:])
 
 
 def test_additive_model_learns_an_interaction():
@@ -208,4 +258,3 @@ def test_additive_model_learns_an_interaction():
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
     assert set(model.pairs[0][:2]) == {0, 1}
     assert quality.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
-    assert edited(["a"], 1, 1) != ["a"]
