@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
+from .stages import written
 
 #: Words of a passage, and from one passage to the next.
 PASSAGE, STRIDE = 64, 32
@@ -27,8 +29,10 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 #: Share of a segment's score that its commonest terms, which find no candidates, may make.
 REST = 0.2
-#: Bytes of item text in one index; more items make more indexes, each of which all documents query.
+#: Bytes of item text in one index; more items make more indexes, which the documents that one scan leaves query one after the other.
 SHARD_BYTES = 8 << 20
+#: log2 of the hashed terms whose bounds that scan takes.
+BOUND_BITS = 22
 #: Words in the n-grams of the verification.
 GRAM = 3
 _ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|a)\s*:\s*", re.I)
@@ -236,33 +240,65 @@ def _overlap(grams: np.ndarray, h: np.ndarray) -> float:
     return float(np.isin(grams, np.concatenate(have)).mean())
 
 
-def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list:
-    """Broadcast indexes of the items; statistics are of all items. Null ids and texts, and texts without words, are left out."""
+@dataclass
+class Bench:
+    """The items of a benchmark in shards, and the statistics of all of them."""
+
+    items: DataFrame
+    shards: int
+    segments: DataFrame
+    df: DataFrame
+    n: int
+    mean: float
+
+    def index(self, shard: int) -> Index:
+        """The index of one shard, made on the driver of at most about ``SHARD_BYTES`` of text."""
+        here = self.items.where(F.col("shard") == shard)
+        own = self.segments.where(F.col("shard") == shard).select(F.explode("terms").alias("term")).distinct()
+        table = self.df.join(own, "term", "left_semi").toArrow()
+        counts = dict(zip(table["term"].to_pylist(), table["df"].to_pylist(), strict=True))
+        return build(sorted((r["item"], r["text"]) for r in here.select("item", "text").collect()), counts, self.n, self.mean)
+
+    def bounds(self) -> np.ndarray:
+        """By hashed term, over 255 and rounded up, the most that it adds to any segment's score as one of its rare terms; 4 MB for any benchmark."""
+        size = F.col("words")
+        terms = self.segments.withColumn("segment", F.monotonically_increasing_id()).select("segment", "words", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+        rows = terms.select("segment", "words", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf")).join(self.df, "term")
+        idf = F.log1p((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        rows = rows.withColumn("raw", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * size / self.mean)))
+        of = Window.partitionBy("segment")
+        rows = rows.withColumn("impact", F.col("raw") / F.sum("raw").over(of))
+        before = F.sum("impact").over(of.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+        # the others make at most REST, and a little less for rounding
+        rare = rows.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("before") < 1 - REST + 0.05)
+        best = rare.groupBy(F.shiftrightunsigned("term", 64 - BOUND_BITS).cast("int").alias("at")).agg(F.max("impact").alias("most")).toArrow()
+        out = np.zeros(1 << BOUND_BITS, dtype=np.uint8)
+        out[best["at"].to_numpy()] = np.minimum(np.ceil(best["most"].to_numpy() * 255), 255)
+        return out
+
+
+def bench(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Bench | None:
+    """The benchmark's items in shards of about ``SHARD_BYTES``. Null ids and texts, and texts without words, are left out; None without items."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not size:
-        return []
+        return None
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
         for batch in batches:
-            parts = [p for h in _hashes(batch.column(1).to_pylist()) for p in segments(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([K.signed(np.unique(p)) for p in parts], pa.list_(pa.int64())), pa.array([len(p) for p in parts], pa.int64())], names=["terms", "words"])
+            rows = [(shard, *np.unique(p, return_counts=True), len(p)) for shard, h in zip(batch.column(0).to_pylist(), _hashes(batch.column(1).to_pylist()), strict=True) for p in segments(h)]
+            cols = [[r[0] for r in rows], [K.signed(r[1]) for r in rows], [r[2].astype(np.int32) for r in rows], [r[3] for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "terms", "counts", "words"])
 
     shards = -(-size // SHARD_BYTES)
     items = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)).cast("int"))
-    spark = benchmark.sparkSession
-    used = items.select("item", "text").mapInArrow(terms, "terms array<long>, words long")
+    used = items.select("shard", "text").mapInArrow(terms, "shard int, terms array<long>, counts array<int>, words long")
+    if shards > 1:
+        items, used = written(items, "items"), written(used, "segments")
     n, mean = used.agg(F.count("*"), F.avg("words")).first()
     df = used.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for shard in range(shards):
-        here = items.where(F.col("shard") == shard)
-        own = here.select("item", "text").mapInArrow(terms, "terms array<long>, words long").select(F.explode("terms").alias("term")).distinct()
-        table = df.join(own, "term", "left_semi").toArrow()
-        counts = dict(zip(table["term"].to_pylist(), table["df"].to_pylist(), strict=True))
-        rows = sorted((r["item"], r["text"]) for r in here.select("item", "text").collect())
-        out.append(spark.sparkContext.broadcast(build(rows, counts, n, mean)))
-    return out
+    return Bench(items, shards, used, written(df, "terms") if shards > 1 else df, n, mean) if n else None
 
 
 FOUND = "doc_id long, item_id long, start int, stop int, score double, question_overlap double, answer_overlap double"
@@ -271,16 +307,51 @@ FOUND = "doc_id long, item_id long, start int, stop int, score double, question_
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.6, answer: float = 0.6) -> DataFrame:
     """Contaminated documents of ``docs`` (doc_id, text): a row for each document and benchmark item (item_id, text) found in it.
 
-    ``start`` to ``stop`` are the words of the best passage. Null and empty texts contain nothing; rows
-    with null or repeated ids are searched like any other. No benchmark items: no rows.
+    ``start`` to ``stop`` are the words of the passage that scores best among the verified ones, the first of equals.
+    Null and empty texts contain nothing; rows with null or repeated ids are searched like any other. Other columns
+    are left out. No benchmark items: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], FOUND)
-    for index in indexes(benchmark):
-        out = out.unionByName(docs.mapInArrow(_finder(index, threshold, question, answer), FOUND))
+    known = bench(benchmark)
+    if known is None:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    context = docs.sparkSession.sparkContext
+    if known.shards == 1:
+        return docs.mapInArrow(_finder(context.broadcast(known.index(0)), threshold, question, answer), FOUND)
+    # one scan leaves the documents of which a passage may reach the threshold for any item; the shards' indexes see only these, one after the other
+    left = written(_able(docs, context.broadcast(known.bounds()), threshold), "promising")
+    out = None
+    for shard in range(known.shards):
+        index = context.broadcast(known.index(shard))
+        rows = written(left.mapInArrow(_finder(index, threshold, question, answer), FOUND), "found")
+        index.destroy()
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _able(docs: DataFrame, bounds, threshold: float) -> DataFrame:
+    """Documents with a passage whose rare terms' bounds and the rest reach the threshold."""
+    if threshold <= REST:
+        raise ValueError(f"the threshold has to be over {REST}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = K.utf8(batch.column(1))
+            for i, j in K.slices(off):
+                w = K.words(buf[off[i] : off[j]], off[i : j + 1] - off[i], sep=K.NOT_ALNUM)
+                worth = bounds.value[(w.hashes >> np.uint64(64 - BOUND_BITS)).astype(np.int64)].astype(np.int64)
+                sums = np.concatenate([[0], np.cumsum(worth)])
+                # every occurrence counts, and every place may begin a passage: more than the index will look at
+                doc = K.owner(w.first)
+                stop = np.minimum(np.arange(len(worth)) + PASSAGE, w.first[1:][doc])
+                good = sums[stop] - sums[np.arange(len(worth))] >= 255 * (threshold - REST) - 1
+                keep = np.zeros(j - i, dtype=bool)
+                keep[doc[good]] = True
+                yield batch.slice(i, j - i).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _finder(index, threshold: float, question: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in FOUND.split(", ")]
@@ -297,17 +368,27 @@ def _finder(index, threshold: float, question: float, answer: float):
 
 
 def without(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.6, answer: float = 0.6) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found; null texts stay."""
+    """The rows of ``docs``, all columns, in which no benchmark item is found; null texts stay.
+
+    With more than one shard of items, rows go whose text equals (by SHA-256) one in which an item is found.
+    """
+    known = bench(benchmark)
+    if known is None:
+        return docs
+    if known.shards > 1:
+        # texts take the place of ids: each is found by a number of its own
+        texts = written(docs.where(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text")).distinct().withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "text"), "texts")
+        bad = texts.join(find(texts, benchmark, threshold, question, answer), "doc_id", "left_semi").select(F.sha2("text", 256).alias("_bad"))
+        return docs.join(bad, F.sha2(F.col("text").cast("string"), 256) == F.col("_bad"), "left_anti")
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                buf, off = K.utf8(batch.column(at))
-                for i, j in K.slices(off):
-                    keep[[i + r[0] for r in matches(index.value, buf[off[i] : off[j]], off[i : j + 1] - off[i], threshold, question, answer)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    index = docs.sparkSession.sparkContext.broadcast(known.index(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            buf, off = K.utf8(batch.column(at))
+            for i, j in K.slices(off):
+                keep[[i + r[0] for r in matches(index.value, buf[off[i] : off[j]], off[i : j + 1] - off[i], threshold, question, answer)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
