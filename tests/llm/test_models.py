@@ -42,6 +42,20 @@ def test_leaks_are_found_and_clean_texts_are_not(spark):
     assert decontaminate.without(with_nulls(spark, texts), benchmark(spark, items)).where("doc_id is null and text is null").count() == 1
 
 
+def test_a_benchmark_of_many_shards_is_found_alike(spark, monkeypatch):
+    items = [(k, " ".join(soup(1000 + k, 20 + 9 * k)), "x") for k in range(12)] + [(91, None, None), (92, "", None)]
+    texts = [" ".join(soup(1200 + k, 37 * k) + items[k % 12][1].split() + soup(1300 + k, 25)) for k in range(16)] + [" ".join(soup(1400 + k, 150)) for k in range(6)] + [None, ""]
+    docs, items = table(spark, texts), benchmark(spark, items)
+    rounded = lambda rows: sorted((*r[:4], *(round(x, 9) for x in r[4:])) for r in rows)
+    want = rounded(decontaminate.find(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 900)
+    assert decontaminate.bench(items).shards > 3
+    found = rounded(decontaminate.find(docs, items).collect())
+    assert found == want and {r[0] for r in found} == set(range(16))
+    kept = decontaminate.without(docs, items)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(16, 24)) and kept.columns == docs.columns
+
+
 def test_wand_retrieves_all_above_the_threshold():
     rng = random.Random(4)
     words = [f"w{k}" for k in range(60)]
