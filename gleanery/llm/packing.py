@@ -153,40 +153,56 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
         """One move or exchange that leaves sequence ``b`` lighter and another, at least as full, fuller."""
         here = room[owner]
         other = (owner != b) & (here <= room[b]) & (here > 0)
-        for i in sorted(bins[b], key=lambda i: -lengths[i]):
-            x = lengths[i]
-            fits = np.flatnonzero(other & (here >= x))
-            if len(fits):
-                move(i, int(owner[fits[np.argmin(here[fits])]]))
-                return True
         mine = sorted(bins[b], key=lambda i: -lengths[i])
-        pairs = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine) for j in mine[k + 1 :]][:64]
-        for group in pairs:
-            x = sum(lengths[i] for i in group)
-            fits = np.flatnonzero(other & (size < x) & (size + here >= x))
+        for i in mine:
+            fits = np.flatnonzero(other & (here >= lengths[i]))
             if len(fits):
-                k = int(fits[np.argmin(size[fits])])
-                to, j = int(owner[k]), int(items[k])
-                move(j, b)
-                for i in group:
-                    move(i, to)
+                move(i, int(owner[fits[np.argmin(here[fits])]]))
                 return True
-        return False
-
-    tried = set()
-    while live > least:
-        open_ = [b for b in np.argsort(-room, kind="stable").tolist() if bins[b] and room[b] > 0 and b not in tried]
-        if not open_:
-            break
-        b = open_[0]
-        while bins[b] and step(b):
-            pass
-        tried.add(b)
-        live -= not bins[b]
-        if not bins[b]:
-            room[b] = 0
-        if len(tried) > 64 and bins[b]:
-            break  # the lightest ones stay; heavier ones are harder to empty
+        # by total length: whether some piece elsewhere is shorter and leaves room for it
+        takes = np.zeros(capacity + 2, dtype=np.int64)
+        np.add.at(takes, size[other] + 1, 1)
+        np.add.at(takes, size[other] + here[other] + 1, -1)
+        takes = np.cumsum(takes) > 0
+        x = np.array([lengths[i] for i in mine], dtype=np.int64)
+        first, second = np.triu_indices(len(mine), 1)
+        sums = np.concatenate([x, x[first] + x[second]])
+        able = np.flatnonzero(takes[np.minimum(sums, capacity + 1)] & (sums <= capacity))
+        if not len(able):
+            return False
+        g = int(able[0])
+        group = [mine[g]] if g < len(mine) else [mine[first[g - len(mine)]], mine[second[g - len(mine)]]]
+        fits = np.flatnonzero(other & (size < sums[g]) & (size + here >= sums[g]))
+        k = int(fits[np.argmin(size[fits])])
+        to, j = int(owner[k]), int(items[k])
+        move(j, b)
+        for i in group:
+            move(i, to)
+        return True
+
+    again = True
+    while again and live > least:  # passes over the sequences, lightest first, until one changes nothing
+        again = False
+        stuck: set[tuple[int, ...]] = set()  # contents that nothing can be taken from, until something changes
+        for b in np.argsort(-room, kind="stable").tolist():
+            if live <= least:
+                break
+            if not bins[b] or room[b] <= 0:
+                continue
+            content = tuple(sorted(lengths[i] for i in bins[b]))
+            if content in stuck:
+                continue
+            changed = False
+            while bins[b] and step(b):
+                changed = True
+            if changed:
+                again = True
+                stuck.clear()
+            if bins[b]:
+                stuck.add(tuple(sorted(lengths[i] for i in bins[b])))
+            else:
+                room[b] = 0
+                live -= 1
     return [b for b in bins if b]
 
 
@@ -196,14 +212,18 @@ PACKED = PIECES + ", sequence_id long, offset long"
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) with ``sequence_id`` and ``offset`` in it.
 
-    A null or empty text is the end token alone. Null and repeated ids are packed like any other row.
-    Sequences don't reach over blocks, which are dealt by a hash of the piece.
+    A null or empty text is the end token alone. Null and repeated ids are packed like any other row; other columns are
+    left out; an empty table gives no rows. Sequences don't reach over blocks of about ``BLOCK`` pieces, which are dealt
+    by a hash of the piece. In a block pieces are taken in the order of their columns, so that ties fall alike in
+    every run; equal rows are interchangeable.
     """
     cut = written(pieces(docs, tokenizer, capacity, end), "pieces")
     blocks = max(1, -(-cut.count() // BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+        # the same order whenever the task runs, whatever order the rows come in
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
         lengths = table["length"].to_pylist()
         if not lengths:
             return
