@@ -1,6 +1,7 @@
 """Decontamination, packing, and the two classifiers."""
 
 import array
+import itertools
 import random
 import re
 import zlib
@@ -147,6 +148,30 @@ def test_local_search_only_improves():
     assert packing.improve([], [], 10) == []
 
 
+def better_exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> bool:
+    """Whether some move, one-for-one or two-for-one exchange out of a sequence makes another, no emptier underfull one fuller."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, mine in enumerate(bins):
+        for b, theirs in enumerate(bins):
+            if a == b or not fill[a] <= fill[b] < capacity:
+                continue
+            groups = [(i,) for i in mine] + list(itertools.combinations(mine, 2))
+            if any(fill[b] + lengths[i] <= capacity for i in mine):
+                return True
+            if any(lengths[j] < (x := sum(lengths[i] for i in g)) and fill[b] + x - lengths[j] <= capacity for g in groups for j in theirs):
+                return True
+    return False
+
+
+def test_local_search_ends_where_nothing_can_be_exchanged():
+    rng = random.Random(9)
+    for k in range(40):
+        lengths = [rng.randint(20, 70) if k % 2 else rng.choice([26, 27, 34, 51]) for _ in range(rng.randint(5, 60))]
+        after = packing.improve(packing.best_fit(lengths, 100), lengths, 100)
+        assert len(after) == -(-sum(lengths) // 100) or not better_exchange(after, lengths, 100)
+    assert len(packing.improve(packing.best_fit([1025] * 3000, 2048), [1025] * 3000, 2048)) == 3000
+
+
 def labelled(n: int = 400) -> tuple[list, list]:
     rng = random.Random(12)
     texts, labels = [], []
