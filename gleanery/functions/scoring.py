@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,25 +84,56 @@ def rationale(anchor: Column, levels: Column, config: Config = CONFIG) -> Column
     return F.when(F.length(text).between(config.rationale_min, config.rationale_max), text)
 
 
+#: Letters whose shingles are hashed together: about 50 MB of arrays.
+SIMHASH_LETTERS = 200_000
+
+
+def _simhash(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Simhashes of texts given as UTF-32 letters without blanks, one text after another up to each of ``ends``. Each distinct shingle of the batch is hashed once."""
+    if not len(letters):
+        return np.zeros((len(ends), 8), np.uint8)
+    sizes = np.diff(ends, prepend=0)
+    padded = np.concatenate([letters, np.zeros(3, np.uint32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 4).copy()
+    doc = np.repeat(np.arange(len(ends)), sizes)
+    place = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
+    short = sizes < 4  # all of a short text is its one shingle
+    keep = np.where(short[doc], place == 0, place <= sizes[doc] - 4)
+    windows[np.arange(4) >= np.where(short[doc], sizes[doc], 4)[:, None]] = 0
+    doc = doc[keep]
+    keys, inverse = np.unique(windows[keep].view("V16").ravel(), return_inverse=True)
+    raw = b"".join(hashlib.sha256(k.tobytes().decode("utf-32-le").rstrip("\0").encode()).digest()[:8] for k in keys)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    out = np.zeros((len(ends), 64), np.int32)
+    if len(doc):
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        out[doc[first]] = np.add.reduceat(bits[inverse], first, axis=0)
+    return np.packbits(out > 0, axis=1)
+
+
 def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, simhash)``: 64 bits over 4-character shingles of the text without blanks, weighed by occurrence; no shingles: zeros.
 
-    Shingles are hashed where the text is; only 64 partial sums a row and task are shuffled.
+    In Arrow batches: a shingle's SHA-256 is taken once for each slice of texts, and nothing is shuffled. A text longer
+    than ``SIMHASH_LETTERS`` is a slice of its own.
     """
-    letters = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", ""), ""), lambda c: c != "")
-    # the letters are a column of their own, so that a shingle takes four of them and not the text anew
-    df = df.select(F.col(key), letters.alias("c"))
-    n = F.size("c")
-    shingles = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 4), lambda i: F.concat(*(F.get("c", i + k) for k in range(4))))).when(n > 0, F.array(F.array_join("c", ""))).otherwise(F.array().cast("array<string>"))
-    # two 32-bit counters a sum: a bit's count in the low half, that of the bit 32 places up in the high half
-    h = F.conv(F.substring(F.sha2(F.col("shingle"), 256), 1, 16), 16, -10).cast("long")
-    low = F.lit(1 | 1 << 32)
-    rows = df.select(F.col(key), F.explode_outer(shingles).alias("shingle")).select(key, h.alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(low)).alias(f"s{b}") for b in range(32)]
-    summed = rows.groupBy(key).agg(*sums, F.count("h").alias("n"))
-    count = lambda b, half: F.shiftrightunsigned(f"s{b}", 32) if half else F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))
-    word = lambda half: sum((F.when(count(b, half) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(32)), F.lit(0).cast("long"))
-    return summed.select(key, F.lower(F.concat(F.lpad(F.hex(word(1)), 8, "0"), F.lpad(F.hex(word(0)), 8, "0"))).alias("simhash"))
+    df = df.select(key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "").alias("bare"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in batch.column(1).to_pylist()]
+            begin = 0
+            while begin < len(texts):
+                stop, held = begin + 1, len(texts[begin])
+                while stop < len(texts) and held + len(texts[stop]) <= SIMHASH_LETTERS:
+                    held += len(texts[stop])
+                    stop += 1
+                part = texts[begin:stop]
+                hashes = _simhash(np.concatenate(part), np.cumsum([len(x) for x in part]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), pa.array([h.tobytes().hex() for h in hashes])], names=[key, "simhash"])
+                begin = stop
+
+    return df.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, simhash string")
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

@@ -24,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a table that is small enough to be dealt to all cores anew.
+SMALL = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt evenly to all cores if its files make fewer partitions than there are cores; larger inputs stay as their files split them."""
+    """A small table whose files make fewer partitions than there are cores (a file of one row group can't be split), dealt to all cores; any larger one stays as its files split it."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size <= SMALL and df.rdd.getNumPartitions() < n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,14 +20,38 @@ def stream_ingest(entries: DataFrame, time: str, within: str = "2 days") -> Data
     return canon.withWatermark(time, within).dropDuplicatesWithinWatermark(["url"])
 
 
-def merge_batches(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch body: batch n is merged with snapshot n - 1 under ``path`` and written as snapshot n, so a repeated batch writes the same snapshot again."""
+def snapshot(spark: SparkSession, path: str, n: int) -> DataFrame | None:
+    """The table under ``path`` as of batch ``n``; None before the first one."""
+    versions = _versions(spark, path, n)
+    return spark.read.parquet(*(f"{path}/data/{v:09d}/bucket={b}" for b, v in versions.items())) if versions else None
+
+
+def _versions(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    """The batch that wrote each bucket last."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/versions/{n:09d}").collect()} if n >= 0 else {}
+
+
+def merge_batches(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch body: merges batch n into the table under ``path``, which ``snapshot`` reads.
+
+    The table lies in buckets of the key. A batch reads and writes the buckets of its own keys and a list of which batch
+    wrote each bucket last, so a repeated batch writes the same again; files of older batches stay for readers of older
+    snapshots. ``merge`` has to work key by key.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
 
     def body(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        delta = batch.dropDuplicates(key)
-        current = spark.read.parquet(f"{path}/{n - 1:09d}") if n else delta.limit(0)
-        merge(current, delta).write.mode("overwrite").parquet(f"{path}/{n:09d}")
+        delta = batch.dropDuplicates(key).persist()
+        touched = sorted(r["bucket"] for r in delta.select(bucket).distinct().collect())
+        versions = _versions(spark, path, n - 1)
+        old = [f"{path}/data/{versions[b]:09d}/bucket={b}" for b in touched if b in versions]
+        current = spark.read.schema(delta.schema).parquet(*old) if old else delta.limit(0)
+        merged = merge(current, delta)
+        merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{n:09d}")
+        delta.unpersist()
+        now = versions | {b: n for b in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{n:09d}")
 
     return body
 

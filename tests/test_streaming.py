@@ -58,9 +58,16 @@ def test_ingest_merges_batches(spark, tmp_path):
     stream = jobs.stream_ingest(replay(spark, tmp_path, rows, names), "updated_at")
     body = jobs.merge_batches(str(tmp_path / "table"), merges.upsert_posts, ["url"])
     stream.writeStream.foreachBatch(body).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = max(p.name for p in (tmp_path / "table").iterdir())
-    got = spark.read.parquet(str(tmp_path / "table" / last))
-    assert {(r["url"], r["original_title"]) for r in got.collect()} == {(f"http://a.b/{k}", f"t{k}") for k in range(12)}
+    want = {(f"http://a.b/{k}", f"t{k}") for k in range(12)}
+    titles = lambda table: {(r["url"], r["original_title"]) for r in table.collect()}
+    assert titles(jobs.snapshot(spark, str(tmp_path / "table"), 2)) == want
+    assert jobs.snapshot(spark, str(tmp_path / "table"), -1) is None
+    # a repeated batch changes nothing, and a later one rewrites the buckets of its own keys only
+    for _ in range(2):
+        body(spark.createDataFrame([(99, "http://a.b/new", "s", "t99", None, None, start, start, "pending")], names), 3)
+        assert titles(jobs.snapshot(spark, str(tmp_path / "table"), 3)) == want | {("http://a.b/new", "t99")}
+    assert titles(jobs.snapshot(spark, str(tmp_path / "table"), 2)) == want
+    assert len(list((tmp_path / "table" / "data" / "000000003").glob("bucket=*"))) == 1
 
 
 def test_retries(spark, tmp_path):
