@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .stages import written
+from .stages import sieved
 
 FEATURES = (
     "log_words", "mean_word", "std_word", "longest_word", "distinct", "top_share", "adjacent", "trigrams", "short_words", "symbol_words", "mixed_words",
@@ -199,8 +199,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, x array<double>")
 
 
-def train(table: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 50_000, held=None) -> Additive:
-    """A model from the labelled rows of a feature table.
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 50_000, held=None) -> Additive:
+    """A model from the labelled rows of ``docs`` (doc_id, text).
 
     At most about ``max_rows`` rows are learned from, drawn by a hash of the id; fewer are all used. Rows
     for which ``held`` is true, and null ids and labels, are left out; of several labels the largest counts.
@@ -209,24 +209,14 @@ def train(table: DataFrame, labels: DataFrame, column: str = "quality", max_rows
     if held is not None:
         known = known.where(~held)
     share = max(1, -(-known.count() // max_rows))
-    rows = table.join(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), "doc_id").select("doc_id", "x", "y").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = feature_table(sieved(docs, known, "doc_id")).join(known, "doc_id").select("doc_id", "x", "y").toArrow()
+    order = np.lexsort((*np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES)).T, rows["doc_id"].to_numpy()))
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))[order]
     return fit(x, rows["y"].to_numpy().astype(np.float64)[order])
 
 
-def scores(table: DataFrame, model: Additive) -> DataFrame:
-    """``(doc_id, score)`` of every row of a feature table."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], names=["doc_id", "score"])
-
-    return table.mapInArrow(run, "doc_id long, score double")
-
-
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; labels of held-out rows aren't learned.
 
@@ -234,14 +224,22 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus
     other columns are ignored.
     """
     held = held_out(modulus, remainder)
-    table = written(feature_table(docs), "features")
-    return scores(table, train(table, labels, held=held)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held=held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = K.utf8(batch.column(1))
+            for i, j in K.slices(off):
+                score = model.value.score(features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score)], names=["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    table = written(feature_table(docs), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(table, labels, held=held_out(modulus, remainder)))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held=held_out(modulus, remainder)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
