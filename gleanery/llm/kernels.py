@@ -39,8 +39,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_BASE, 2 * CHUNK)
-_INV = _powers(_INVERSE, 2 * CHUNK)
+_POW = _powers(_BASE, CHUNK)
+_INV = _powers(_INVERSE, CHUNK)
 
 
 def _separators(extra: bytes = b"") -> np.ndarray:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .stages import sieved
 
 FEATURES = (
     "log_words", "mean_word", "std_word", "longest_word", "distinct", "top_share", "adjacent", "trigrams", "short_words", "symbol_words", "mixed_words",
@@ -185,18 +184,17 @@ def held_out(modulus: int, remainder: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, x array<double>)`` of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def feature_table(docs: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, x array<double>, y)`` of every row of ``docs`` (doc_id, text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = K.utf8(batch.column(1))
             for i, j in K.slices(off):
                 x = features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())), batch.column(2).slice(i, j - i)], names=["doc_id", "x", "y"])
 
-    return docs.mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text", F.col(label).cast("int")).mapInArrow(run, "doc_id long, x array<double>, y int")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 50_000, held=None) -> Additive:
@@ -211,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows:
     share = max(1, -(-known.count() // max_rows))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = feature_table(sieved(docs, known, "doc_id")).join(known, "doc_id").select("doc_id", "x", "y").toArrow()
+    learned = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # known has at most about max_rows rows
+    rows = feature_table(learned, "y").toArrow()
     order = np.lexsort((*np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES)).T, rows["doc_id"].to_numpy()))
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))[order]
     return fit(x, rows["y"].to_numpy().astype(np.float64)[order])
