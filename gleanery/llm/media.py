@@ -34,7 +34,7 @@ MAGIC = {
 }
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, marks: dict) -> int:
     p, seen = at + 8, False
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
@@ -48,12 +48,12 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, marks: dict) -> int:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if kind == 0xDA:  # entropy-coded data up to the end marker
-            end = b.find(b"\xff\xd9", p + 2 + n)
+            end = _next(b, b"\xff\xd9", p + 2 + n, marks)
             return end + 2 - at if end >= 0 else 0
         if not (0xC0 <= kind <= 0xFE) or n < 2:
             return 0
@@ -61,7 +61,7 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, marks: dict) -> int:
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return 0
     flags, p = b[at + 10], at + 13
@@ -84,7 +84,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, marks: dict) -> int:
     if at + 54 > len(b):
         return 0
     size, zero, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -93,7 +93,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if start + (width * bits + 31) // 32 * 4 * abs(height) <= size else 0
 
 
-def _pnm(b: bytes, at: int) -> int:
+def _pnm(b: bytes, at: int, marks: dict) -> int:
     fields, p = [], at + 2
     while len(fields) < 3 and p < len(b):
         if b[p : p + 1].isspace():
@@ -112,7 +112,7 @@ def _pnm(b: bytes, at: int) -> int:
     return end - at if end <= len(b) else 0
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, marks: dict) -> int:
     if at + 20 > len(b) or b[at : at + 4] != b"RIFF":
         return 0
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -122,7 +122,7 @@ def _riff(b: bytes, at: int) -> int:
     return size if p == at + size and at + size <= len(b) else 0
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, marks: dict) -> int:
     p = at + 4
     while p + 4 <= len(b):
         last, n = b[p] >> 7, int.from_bytes(b[p + 1 : p + 4], "big")
@@ -134,7 +134,7 @@ def _flac(b: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(b: bytes, at: int, marks: dict) -> int:
     p = at
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
         n = b[p + 26]
@@ -142,19 +142,31 @@ def _ogg(b: bytes, at: int) -> int:
     return p - at if at < p <= len(b) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() else 0
+def _pdf(b: bytes, at: int, marks: dict) -> int:
+    """Up to the last end mark before the next document's header: a file that was added to has several."""
+    if not b[at + 5 : at + 6].isdigit() or _next(b, b"%%EOF", at, marks) < 0:
+        return 0
+    stop = _next(b, b"%PDF-", at + 5, marks)
+    end = b.rfind(b"%%EOF", at, stop if stop >= 0 else len(b))
+    return end + 5 - at if end >= 0 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: dict) -> int:
+    end = _next(b, b"PK\x05\x06", at, marks)
     if end < 0 or end + 22 > len(b):
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else 0
 
 
+def _next(b: bytes, mark: bytes, at: int, marks: dict) -> int:
+    """``b.find(mark, at)``; ``marks`` keeps what was found, so that many searches for one mark read the blob once."""
+    since, found = marks.get(mark, (len(b) + 1, 0))
+    if not since <= at or 0 <= found < at:
+        since, found = marks[mark] = (at, b.find(mark, at))
+    return found
+
+
 VALIDATORS = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "image/x-portable-graymap": _pnm, "image/x-portable-pixmap": _pnm,
     "audio/wav": _riff, "image/webp": _riff, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip,
@@ -174,10 +186,10 @@ def _automaton():
 
 def carve(blob: bytes) -> list[tuple[str, int, int]]:
     """``(type, offset, length)`` of each valid medium, by offset; one inside another isn't told apart."""
-    out, free = [], 0
+    out, free, marks = [], 0, {}
     for end, (kind, back) in _automaton().iter(blob.decode("latin-1")):
         at = end - back
-        if at >= free and (n := VALIDATORS[kind](blob, at)):
+        if at >= free and (n := VALIDATORS[kind](blob, at, marks)):
             out.append((kind, at, n))
             free = at + n
     return out
@@ -191,8 +203,11 @@ def sniff(df: DataFrame, blob: str, declared: str, keep: list[str]) -> DataFrame
 
     ``sniffed``: the type of the medium at offset 0, else of the first carved one, else
     ``application/octet-stream``; null for a null blob. ``corrected``: it isn't the declared type (null
-    counts as another type). ``spans``: all media found. Row by row, any order, repeated rows stay.
+    counts as another type). ``spans``: all media found. Row by row, any order, repeated rows stay; an empty table
+    gives no rows. Kept columns that bear the name of a new one are an error.
     """
+    if taken := {"sniffed", "declared", "corrected", "spans"} & {c.lower() for c in (*keep, blob)}:
+        raise ValueError(f"columns with the names of new ones: {sorted(taken)}")
     df = df.select(*keep, blob, F.col(declared).alias("_declared"))
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep, blob).schema)
 
