@@ -3,11 +3,11 @@
 import random
 
 import corpus_pipeline
-from gleanery.llm import decontaminate, linededup, quality, setjoin
+from gleanery.llm import linededup, quality, queries
 
 from .common import edited, soup
 from .test_models import labelled
-from .test_near import brute_components, brute_lines
+from .test_near import brute_components, brute_lines, shingles
 
 
 def folder(spark, path, texts, labels, items):
@@ -45,9 +45,9 @@ def test_pipeline(spark, tmp_path):
             assert set(kept[name]) <= {r["doc_id"] for r in before.collect()}
     good = {r["doc_id"] for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
     assert set(kept["quality_classifier"]) == good
-    assert {d for d, q, *_ in labels if q} <= good | set()
+    assert {d for d, q, *_ in labels if q} <= good
     source = [texts[d] if d in good else None for d in range(len(texts))]
-    drop = brute_lines(source)
+    drop = brute_lines(source, linededup.LEAST, linededup.NEAR)
     lines = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d]) for d, t in enumerate(source) if t is not None}
     lines |= {d: None for d in good if texts[d] is None}
     assert kept["line_dedup"] == {d: t for d, t in lines.items() if not drop[d] or t.strip()}
@@ -59,4 +59,37 @@ def test_pipeline(spark, tmp_path):
     assert leaks
     assert {r["doc_id"] for r in docs.collect()} == set(kept["benchmark_decontamination"])
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
-    assert all((linededup, setjoin, decontaminate))
+
+
+def test_pipeline_of_nothing_repeated_rows_and_a_long_text(spark, tmp_path):
+    texts, labels = labelled(60)
+    items = [(0, " ".join(soup(5000, 25)))]
+    none = folder(spark, tmp_path / "none", texts[:0], [x[:3] for x in labels], items)
+    assert corpus_pipeline.run(spark, none).count() == 0
+    good = [t for t, (_, q, *_) in zip(texts, labels, strict=True) if q]
+    long = "\n".join(" ".join(soup(9000 + k, 12)) for k in range(6000))
+    sf = folder(spark, tmp_path / "some", texts, [x[:3] for x in labels], items)
+    extra = [(500, long), (501, long), (7, texts[7]), (7, texts[7]), (None, good[0]), (None, None)]
+    more = [(d, t, None, None, None) for d, t in extra]
+    spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf).collect()
+    pieces = sorted((r["start"], r["length"]) for r in out if r["doc_id"] == 500)
+    assert len(pieces) > 20 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False))
+    assert not any(r["doc_id"] == 501 for r in out)
+
+
+def test_every_operator_takes_a_text_of_many_slices(spark, tmp_path):
+    """One text of 6 MB, over the edges of chunks and slices, among short ones."""
+    long = "\n".join(" ".join(soup(k % 997, 40)) for k in range(36_000))
+    assert len(long.encode()) > 5_000_000
+    texts = [long, "a short text", long[:3000], None]
+    sf = folder(spark, tmp_path, texts, [(k, 1, 0) for k in range(3)], [(0, " ".join(soup(5000, 25)))])
+    got = {name: {r["doc_id"]: r for r in query(spark, sf).collect()} for name, query in queries.queries().items() if name not in ("op6_best_fit_packing", "op10_substring_dedup", "op1_benchmark_decontamination")}
+    assert all(len(rows) == 4 for rows in got.values())
+    assert got["op2_media_columns"][0]["n_bytes"] == len(long.encode())
+    assert got["op8_ngram_jaccard_join"][0]["n_shingles"] == len(shingles(long))
+    assert got["op7_line_dedup"][0]["n_lines"] == 36_000 and got["op7_line_dedup"][0]["n_dropped"] >= 36_000 - 997
+    pieces = [r for r in queries.op6_best_fit_packing(spark, sf).collect() if r["doc_id"] == 0]
+    assert sum(r["length"] for r in pieces) == max(r["start"] + r["length"] for r in pieces) and all(r["length"] <= 2048 for r in pieces)
+    assert any(r["doc_id"] == 2 and r["other_id"] == 0 for r in queries.op10_substring_dedup(spark, sf).collect())
+    assert queries.op1_benchmark_decontamination(spark, sf).count() == 0

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -167,3 +168,12 @@ def test_guess_costs_are_the_least_over_all_segmentations():
         if rng.random() < 0.3:
             value = (value[:3] * 3)[:9]
         assert secrets.guess_bits(value, words) == pytest.approx(exhaustive_bits(value, words, secrets.alphabet_bits(value)))
+
+
+def test_end_marks_are_searched_once_and_updated_documents_are_whole():
+    pdf = b"%PDF-1.4 first %%EOF more %%EOF"
+    assert media.carve(b"xx" + pdf + b" tail " + pdf + b"!") == [("application/pdf", 2, len(pdf)), ("application/pdf", 2 + len(pdf) + 6, len(pdf))]
+    hostile = (b"%PDF-1" + b"PK\x03\x04" + b"\xff\xd8\xff\xe0\0\x02\xff\xda\0\x02") * 60_000
+    began = time.time()
+    assert media.carve(hostile) == []
+    assert time.time() - began < 20
