@@ -32,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of the n-gram Jaccard join (operator 8); null ids stay."""
+    """The document with the smallest id of each component of the n-gram Jaccard join (operator 8). Null ids stay, and so do rows that share the smallest id: they are one document."""
     text_batches(spark)
     docs = docs.select(*COLUMNS)
     copies = setjoin.similar_components(docs).where("component_id != doc_id").select("doc_id").distinct()

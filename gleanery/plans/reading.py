@@ -59,11 +59,11 @@ def p05_allowed_article(t):
     return cand.allowed_articles(t.candidates, t.allow_list.select("host", F.split("patterns", " ").alias("patterns"))).select("pos", "allowed", "allowed_for_seeding")
 
 
-_DECODE = "replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' ')"
-_TITLE = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)"
+DECODE = "replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' ')"
+TITLE = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)"
 
 
-@query(rf"""SELECT page_id, trim(regexp_replace({_DECODE.format(x=_TITLE)}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')) AS title FROM pages""")
+@query(rf"""SELECT page_id, trim(regexp_replace({DECODE.format(x=TITLE)}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')) AS title FROM pages""")
 def p06_normalize_titles(t):
     return t.pages.select("page_id", text.normalized_title(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)).alias("title"))
 
@@ -109,8 +109,8 @@ def p12_evidence_gate(t):
     return t.evidence.select("id", "host", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("passed"))
 
 
-_PLAIN = r"nullif(trim(regexp_replace({x}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')), '')"
-_HEAD = "coalesce(" + ", ".join(_PLAIN.format(x=_DECODE.format(x=rf"regexp_replace(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')")) for tag in ("h1", "title")) + ")"
+PLAIN = r"nullif(trim(regexp_replace({x}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')), '')"
+_HEAD = "coalesce(" + ", ".join(PLAIN.format(x=DECODE.format(x=rf"regexp_replace(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')")) for tag in ("h1", "title")) + ")"
 
 
 @query(f"SELECT page_id, {_HEAD} AS title FROM pages")

@@ -10,7 +10,7 @@ from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES
 from gleanery.functions import scoring, topics
 from gleanery.operators import feed, merges, metrics, responses
 from gleanery.plans.catalog import epoch, query
-from gleanery.plans.reading import COMPLETE, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH
+from gleanery.plans.reading import COMPLETE, DECODE, PLAIN, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH, TITLE
 from gleanery.sources import feeds
 from gleanery.sources.tables import shared_dir
 
@@ -59,9 +59,17 @@ def src5_sitemap_entries(t):
     return feeds.sitemap_entries(t.pages.select("page_id", xml.alias("xml"))).select("page_id", "kind", "loc", "lastmod")
 
 
-@query()
+@query(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 AND contains(html, '<title>') THEN 'OG ' || CAST(page_id AS STRING) ELSE {PLAIN.format(x=DECODE.format(x=TITLE))} END AS title,
+    CASE WHEN contains(html, '<title>') THEN CASE WHEN page_id % 5 = 0 THEN 'LD ' || CAST(page_id AS STRING) WHEN page_id % 4 = 1 THEN 'By ' || CAST(page_id AS STRING) END END AS author,
+    CASE WHEN contains(html, '<title>') THEN CASE page_id % 5 WHEN 0 THEN 1704164645 WHEN 1 THEN 1706918400 END END AS published_at FROM pages""")
 def src6_page_metadata(t):
-    return feeds.page_metadata(t.pages.select("page_id", "html"))
+    """Pages with meta tags and JSON-LD put before their titles: a script that isn't JSON, and one with the author in a node of its graph."""
+    extra = F.expr("""concat(CASE WHEN page_id % 3 = 0 THEN concat('<meta property="og:title" content="OG ', page_id, '">') ELSE '' END,
+        CASE page_id % 4 WHEN 1 THEN concat('<META content="By ', page_id, '" name="author">') WHEN 2 THEN '<meta property="article:author" content="https://x.example.com/me"><meta name="author" content="undefined">' ELSE '' END,
+        CASE page_id % 5 WHEN 0 THEN concat('<script type="application/ld+json">{"author": bad</script><script type="application/ld+json">{"@graph":[{"@type":"WebSite"},{"mainEntity":{"author":[{"name":"LD ', page_id, '"}],"datePublished":"2024-01-02T03:04:05Z"}}]}</script>')
+        WHEN 1 THEN '<meta property="article:published_time" content="2024-02-03T00:00:00Z">' ELSE '' END)""")
+    rows = t.pages.select("page_id", F.replace("html", F.lit("<title>"), F.concat(extra, F.lit("<title>"))).alias("html"))
+    return feeds.page_metadata(rows).select("page_id", "title", "author", epoch("published_at"))
 
 
 @query("SELECT p.id, CASE WHEN length(original_excerpt) > 500 THEN substr(original_excerpt, 1, 500) || '…' ELSE original_excerpt END AS original_excerpt, q.hash_kind FROM (SELECT * FROM posts ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 200) p LEFT JOIN publications q ON q.post_id = p.id")

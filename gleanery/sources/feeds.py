@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
@@ -92,22 +96,63 @@ def sitemap_entries(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
     return parsed.select(*keep, F.inline(rows)).where("loc is not null")
 
 
+def _first(node, key: str):
+    """The first value under ``key`` in a JSON value, the node's own before those below it, in document order."""
+    if isinstance(node, dict):
+        if node.get(key) not in (None, "", [], {}):
+            return node[key]
+        node = list(node.values())
+    if isinstance(node, list):
+        for x in node:
+            if (found := _first(x, key)) is not None:
+                return found
+    return None
+
+
+def _name(value) -> str | None:
+    """The name in an author value: text, an object with a name, or a list of such."""
+    if isinstance(value, list):
+        return next(filter(None, map(_name, value)), None)
+    value = value.get("name") if isinstance(value, dict) else value
+    return value if isinstance(value, str) and value.strip() else None
+
+
+@pandas_udf("author string, published string")
+def linked_data(scripts: pd.Series) -> pd.DataFrame:
+    """Author and date of a page's JSON-LD scripts, searched recursively, the first hit of any of them; scripts that aren't JSON are left out."""
+
+    def one(texts) -> tuple[str | None, str | None]:
+        nodes = []
+        for text_ in texts if texts is not None else ():
+            try:
+                nodes.append(json.loads(text_))
+            except (ValueError, RecursionError):
+                continue
+        date = _first(nodes, "datePublished")
+        return next(filter(None, (_name(_first(n, "author")) for n in nodes)), None), date if isinstance(date, str) else None
+
+    return pd.DataFrame(list(map(one, scripts)), columns=["author", "published"])
+
+
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title, description, image, site, author and date of pages: og: over plain tags, JSON-LD over meta for author and date. Bad JSON-LD is ignored."""
+    """Title, description, image, site, author and date of pages: og: over plain tags, JSON-LD over meta for author and date.
+
+    Authors that are blank, ``undefined``, ``null`` or longer than 120 characters are none; so is an article:author that is a URL.
+    """
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     attribute = lambda tag, names: F.lower(F.regexp_extract(tag, rf"""(?is)\b(?:{names})\s*=\s*["']([^"']*)["']""", 1))
     value = lambda tag: F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)
     named = F.transform(tags, lambda t: F.struct(attribute(t, "property|name").alias("key"), text.decoded(value(t)).alias("value")))
-    rows = pages.select(*(c for c in pages.columns if c != html), named.alias("m"), F.col(html).alias("_html"))
-    meta = lambda key: F.get(F.filter("m", lambda x: (x["key"] == key) & (F.trim(x["value"]) != "")), 0)["value"]
-    data = F.regexp_extract(F.col("_html"), r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>""", 1)
-    ld = lambda path: F.coalesce(*(F.get_json_object(data, f"{root}.{path}") for root in ("$", "$[0]", "$.@graph[0]")))
-    author = F.coalesce(ld("author.name"), ld("author[0].name"), F.when(~meta("article:author").rlike("^https?://"), meta("article:author")), meta("author"), meta("dc.creator"))
-    usable = (F.trim(author) != "") & ~F.lower(F.trim(author)).isin("undefined", "null") & (F.length(F.trim(author)) <= 120)
-    title = F.coalesce(meta("og:title"), F.nullif(F.regexp_extract(F.col("_html"), r"(?is)<title\b[^>]*>(.*?)</title>", 1), F.lit("")))
+    scripts = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    plain = F.nullif(F.regexp_extract(F.col(html), r"(?is)<title\b[^>]*>(.*?)</title>", 1), F.lit(""))
+    keep = [c for c in pages.columns if c != html]
+    rows = pages.select(*keep, named.alias("_m"), plain.alias("_title"), linked_data(scripts).alias("_ld"))
+    meta = lambda key: F.get(F.filter("_m", lambda x: (x["key"] == key) & (F.trim(x["value"]) != "")), 0)["value"]
+    usable = lambda c: F.when((F.trim(c) != "") & ~F.lower(F.trim(c)).isin("undefined", "null") & (F.length(F.trim(c)) <= 120), F.trim(c))
+    author = F.coalesce("_ld.author", F.when(~meta("article:author").rlike("^https?://"), meta("article:author")), meta("author"), meta("dc.creator"))
     return rows.select(
-        *(c for c in pages.columns if c != html), text.normalized_title(title).alias("title"), F.coalesce(meta("og:description"), meta("description")).alias("description"), meta("og:image").alias("image"),
-        meta("og:site_name").alias("site"), F.when(usable, F.trim(author)).alias("author"), timestamp(F.coalesce(ld("datePublished"), meta("article:published_time"))).alias("published_at"),
+        *keep, text.normalized_title(F.coalesce(meta("og:title"), "_title")).alias("title"), F.coalesce(meta("og:description"), meta("description")).alias("description"), meta("og:image").alias("image"),
+        meta("og:site_name").alias("site"), usable(author).alias("author"), timestamp(F.coalesce("_ld.published", meta("article:published_time"))).alias("published_at"),
     )
 
 
