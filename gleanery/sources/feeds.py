@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
@@ -117,7 +118,7 @@ def _name(value) -> str | None:
     return value if isinstance(value, str) and value.strip() else None
 
 
-@pandas_udf("author string, published string")
+@pandas_udf(StructType([StructField("author", StringType()), StructField("published", StringType())]))
 def linked_data(scripts: pd.Series) -> pd.DataFrame:
     """Author and date of a page's JSON-LD scripts, searched recursively, the first hit of any of them; scripts that aren't JSON are left out."""
 
