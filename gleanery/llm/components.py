@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .stages import Scratch
 
 
+#: Links in one file of a round.
+ROWS = 100_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Number and combined hash of the links: equal for equal tables."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -36,7 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node ties its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        last, edges = edges, tables.write(small, "links")
+        last, edges = edges, tables.write(small.coalesce(now[0] // ROWS + 1), "links")  # their number never grows
         tables.drop(last)
         before, now = now, _mark(edges)  # a round changes nothing exactly when every component is a star around its smallest node
     out = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
