@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.sources.tables import spread, table
 
-from . import decontaminate, fillmiddle, linededup, media, packing, quality, secrets, setjoin, substring, toxicity, wordpiece
+from . import decontaminate, fillmiddle, linededup, media, packing, quality, secrets, setjoin, substring, toxicity, whitening, wordpiece
 from .stages import text_batches
 
 
@@ -61,12 +61,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.digests(fillmiddle.fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_embedding_whitening, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
