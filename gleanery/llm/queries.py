@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.sources.tables import spread, table
 
-from . import decontaminate, fillmiddle, linededup, media, packing, quality, secrets, setjoin, substring, toxicity, whitening, wordpiece
+from . import decontaminate, fillmiddle, linededup, media, mixing, packing, quality, secrets, setjoin, substring, toxicity, whitening, wordpiece
 from .stages import text_batches
 
 
@@ -61,6 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), mixing.label_weights(_table(spark, sf_dir, "labels")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
@@ -70,8 +74,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op12_embedding_whitening, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_media_columns, op3_token_counts, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_line_dedup, op8_ngram_jaccard_join, op9_secret_scans, op10_substring_dedup, op11_source_mixing, op12_embedding_whitening, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_in_middle": fillmiddle.SQL}
+    return {"op11_source_mixing": mixing.SQL, "op13_fill_in_middle": fillmiddle.SQL}
