@@ -28,6 +28,21 @@ def canonical_url(url: Column) -> Column:
     return F.when(is_web(url), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, query, part(5)))
 
 
+def percent_normal(text: Column) -> Column:
+    """``text`` of a URL in one percent-coding: octets that need none are decoded, other codes are in capitals, and what a URL can't hold is coded as UTF-8.
+
+    Marks that may be separators stay as they are, coded or not, for they differ in meaning.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"%[0-9A-Fa-f]{2}|(?s:.)"), F.lit(0))
+
+    def one(t: Column) -> Column:
+        plain = F.char(F.conv(F.substring(t, 2, 2), 16, 10).cast("int"))
+        coded = F.regexp_replace(F.hex(F.encode(t, "UTF-8")), "(..)", "%$1")
+        return F.when((F.length(t) == 3) & plain.rlike("^[A-Za-z0-9._~-]$"), plain).when(F.length(t) == 3, F.upper(t)).when(t.rlike(r"^[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]$"), t).otherwise(coded)
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
 def url_key(url: Column) -> Column:
     return F.sha2(F.lower(F.trim(url)), 256)
 

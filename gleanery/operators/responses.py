@@ -81,13 +81,6 @@ def retraction_reasons(posts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return posts.join(last, "host", "left").withColumn("reason", reason)
 
 
-def robots_blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs (host, path) with ``blocked``: the longest matching rule (host, prefix, allow) of the host, allow winning ties; no rule allows."""
-    hit = urls.join(rules, "host").where(F.expr("startswith(path, prefix)"))
-    best = hit.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("prefix"), F.col("allow"))).alias("allow"))
-    return urls.join(best, ["host", "path"], "left").withColumn("blocked", ~F.coalesce("allow", F.lit(True))).drop("allow")
-
-
 def topic_shadow_eval(current: DataFrame, candidate: DataFrame) -> DataFrame:
     """Topic lists (id, topics) side by side with ``same`` (ordered equality)."""
     return current.select("id", F.col("topics").alias("before")).join(candidate.select("id", F.col("topics").alias("after")), "id", "full_outer").withColumn("same", F.col("before").eqNullSafe(F.col("after")))

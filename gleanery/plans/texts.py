@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES
 from gleanery.functions import scoring, topics
-from gleanery.operators import feed, merges, metrics, responses
+from gleanery.operators import feed, merges, metrics, responses, robots
 from gleanery.plans.catalog import epoch, query
 from gleanery.plans.reading import COMPLETE, DECODE, PLAIN, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH, TITLE
 from gleanery.sources import feeds
@@ -193,17 +193,22 @@ def j10_retraction_reasons(t):
     return responses.retraction_reasons(t.posts, verdicts).select("id", "reason")
 
 
-_RULES = "SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host, p.prefix, p.allow FROM pages, (SELECT '/en' AS prefix, FALSE AS allow UNION ALL SELECT '/en/7', TRUE UNION ALL SELECT '/fr', FALSE UNION ALL SELECT '/fr', TRUE) p WHERE page_id % 3 <> 0"
+_PAGE_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"
+_WEB_PATH = "regexp_extract(url, '://[^/?#]+([^#]*)', 1)"
 
 
-@query(f"""WITH u AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path FROM pages), r AS ({_RULES}),
-    hit AS (SELECT u.host, u.path, allow, row_number() OVER (PARTITION BY u.host, u.path ORDER BY length(prefix) DESC, allow DESC) AS n FROM u JOIN r ON r.host = u.host AND starts_with(u.path, r.prefix))
+@query(rf"""WITH u AS (SELECT DISTINCT {_PAGE_HOST} AS host, {_WEB_PATH} AS path FROM pages),
+    latest AS (SELECT host, string_split_regex(arg_max(robots_text, seq), '\r\n|\n') AS parts FROM robots_snapshots GROUP BY host), lines AS (SELECT host, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM latest),
+    keyed AS (SELECT host, line_no, lower(trim(split_part(line, ':', 1))) AS kind, trim(regexp_replace(regexp_replace(line, '#.*$', ''), '^[^:]*:?', '')) AS v FROM lines),
+    rows AS (SELECT *, kind = 'user-agent' AND coalesce(lag(kind) OVER (PARTITION BY host ORDER BY line_no), '') <> 'user-agent' AS begins FROM keyed WHERE kind IN ('user-agent', 'allow', 'disallow')),
+    grps AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY host ORDER BY line_no) AS grp FROM rows), own AS (SELECT DISTINCT host, grp FROM grps WHERE kind = 'user-agent' AND regexp_matches(v, '^(?i)gleanbot(/|$)')),
+    every AS (SELECT DISTINCT host, grp FROM grps WHERE kind = 'user-agent' AND v = '*' AND host NOT IN (SELECT host FROM own)),
+    r AS (SELECT DISTINCT g.host, replace(replace(v, '%65', 'e'), '%5F', '_') AS v, kind = 'allow' AS allow FROM grps g JOIN (SELECT * FROM own UNION ALL SELECT * FROM every) c ON c.host = g.host AND c.grp = g.grp WHERE kind <> 'user-agent' AND v <> ''),
+    hit AS (SELECT u.host, u.path, allow, row_number() OVER (PARTITION BY u.host, u.path ORDER BY length(v) DESC, allow DESC) AS n FROM u JOIN r ON r.host = u.host AND regexp_matches(u.path, '^' || replace(replace(replace(v, '.', '\.'), '?', '\?'), '*', '.*')))
     SELECT u.host, u.path, NOT coalesce(allow, TRUE) AS blocked FROM u LEFT JOIN hit ON hit.host = u.host AND hit.path = u.path AND n = 1""")
 def j11_robots_blocked(t):
-    urls = t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1).alias("path"))
-    pairs = F.inline(F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("allow")) for p, a in (("/en", False), ("/en/7", True), ("/fr", False), ("/fr", True)))))
-    rules = urls.where("page_id % 3 != 0").select("host", pairs).distinct()
-    return responses.robots_blocked(urls.select("host", "path").distinct(), rules)
+    urls = t.pages.select(F.expr(_PAGE_HOST).alias("host"), F.regexp_extract("url", "://[^/?#]+([^#]*)", 1).alias("path")).distinct()
+    return robots.robots_blocked(urls, robots.robots_rules(t.robots_snapshots, "GleanBot"))
 
 
 _LISTS = "(SELECT post_id AS id, list(topic ORDER BY position) AS topics FROM topics {w} GROUP BY post_id)"
@@ -275,9 +280,6 @@ def m13_advance_discovery_status(t):
     return merges.advance_discovery_status(t.discovery_seen.select("url_hash", "host", "status"), outcomes)
 
 
-_PAGE_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"
-
-
 @query(f"""WITH robots AS (SELECT {_PAGE_HOST} AS host, arg_max(html, page_id) AS robots_text FROM pages WHERE page_id % 4 <> 0 GROUP BY 1), stored AS (SELECT {_PAGE_HOST} AS host, 'old' AS robots_hash, 'https://terms/' || CAST(max(page_id) % 3 AS STRING) AS terms_url, 'th' AS terms_hash FROM pages WHERE page_id % 3 <> 0 GROUP BY 1),
     listed AS (SELECT {_PAGE_HOST} AS host, 'https://terms/' || CAST(max(page_id) % 2 AS STRING) AS terms_url FROM pages WHERE page_id % 5 = 0 GROUP BY 1), hosts AS (SELECT host FROM robots UNION SELECT host FROM stored)
     SELECT h.host, coalesce(sha256(r.robots_text), s.robots_hash) AS robots_hash, coalesce(l.terms_url, s.terms_url) AS terms_url, CASE WHEN l.terms_url IS NULL OR l.terms_url IS NOT DISTINCT FROM s.terms_url THEN s.terms_hash END AS terms_hash

@@ -64,6 +64,12 @@ INPUTS: dict[str, str] = {
         CASE event_id % 6 WHEN 0 THEN 'Rate limit reached' WHEN 1 THEN 'ECONNRESET by peer' WHEN 2 THEN 'API key rejected' WHEN 3 THEN 'quota exhausted' WHEN 4 THEN 'odd' ELSE NULL END AS message FROM events""",
     "raw_topics": """SELECT doc_id AS post_id, lang, split_part(text, ' ', 1) || '|' || split_part(text, ' ', 2) || '|' || split_part(text, ' ', 1) || '|' || substr(text, 1, 3) || '|日程' || '|' || substr(text, 1, 12) AS topics, split_part(text, ' ', 2) AS anchor FROM documents""",
     "terms": """SELECT page_id, CAST(page_id % 40 AS STRING) || '.example.com' AS host, page_id AS seq, CASE WHEN page_id % 80 < 40 THEN 'General terms. Be nice.' WHEN page_id % 3 = 0 THEN 'クロールは禁止です。Be nice.' ELSE 'クロールは歓迎。転載の禁止ではない. ok' END AS body FROM pages""",
+    "robots_snapshots": """SELECT lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, page_id AS seq, replace(CASE page_id % 5
+        WHEN 0 THEN 'User-agent: *|Disallow: /fr # no French|Allow: /fr/*/|Disallow: /*?page=|Disallow:|Allow: /es|Disallow: /es'
+        WHEN 1 THEN '# rules|Disallow: /|User-agent: OtherBot|User-Agent : GleanBot/1.0|Crawl-delay: 5|Disallow: /en/|Allow: /en/*7|Sitemap: /s.xml|Disallow: /*.html$|disallow: /d%65/||User-agent: *|Disallow: /'
+        WHEN 2 THEN 'User-agent: OtherBot|Disallow: /|User-agent: gleanbot|Disallow:|User-agent: *|Disallow: /'
+        WHEN 3 THEN 'User-agent: gleanbot|Allow: /en/5|User-agent: x|Disallow: /|User-agent: GLEANBOT|Disallow: /en/|Disallow: /*/*5*/$|Disallow: /*utm%5Fsource=feed$'
+        ELSE 'User-agent: OtherBot|Disallow: /' END, '|', CASE WHEN page_id % 2 = 0 THEN chr(10) ELSE chr(13) || chr(10) END) AS robots_text FROM pages WHERE page_id % 7 <> 0""",
     "sitemap_urls": """SELECT page_id AS pos, 'r' || CAST(page_id % 12 AS STRING) AS root, split_part(url, '?', 1) AS url, CASE WHEN page_id % 12 = 0 THEN '2024-05-05' WHEN page_id % 12 = 1 THEN 'yesterday' WHEN page_id % 12 = 2 THEN '2999-01-01' ELSE CAST(DATE '2024-01-01' + CAST(page_id % 100 AS INT) AS STRING) END AS lastmod FROM pages""",
 }
 
