@@ -40,6 +40,7 @@ class Config:
     requests_per_day: int = 200
     spacing_seconds: int = 20
     strike_hours: int = 24
+    retry_after_seconds: int = 60
     lastmod_alert: int = 100
     yield_days: int = 7
     yield_ratio: float = 0.5

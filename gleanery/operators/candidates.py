@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import text, urls
+from gleanery.operators.running import running_sums
 
 
 def dedupe_first(candidates: DataFrame) -> DataFrame:
@@ -37,14 +38,15 @@ def new_urls(found: DataFrame, seen: DataFrame) -> DataFrame:
 def admit_under_cap(rows: DataFrame, day: str, order: list, cap: int, base: DataFrame | None = None) -> DataFrame:
     """Rows with ``admitted``: gate-passing rows of a day in order, while base and admitted ones stay under the cap.
 
-    A day's running count is a window over one day's passing rows; ``base`` (day, n) are earlier publications.
+    A day's running count adds up along the ranges of (day, order), so that no task numbers a whole day; ``base`` (day, n)
+    are earlier publications, a row for each day.
     """
-    w = Window.partitionBy(day, "passed").orderBy(*order)
-    numbered = rows.withColumn("place", F.row_number().over(w))
+    counted = running_sums(rows, [day], order, {"_place": F.coalesce(F.col("passed"), F.lit(False)).cast("long")}, "admitted")
+    before = F.lit(0)
     if base is not None:
-        numbered = numbered.join(base, day, "left")
-    before = F.coalesce("n", F.lit(0)) if base is not None else F.lit(0)
-    return numbered.withColumn("admitted", F.col("passed") & (before + F.col("place") <= cap)).drop("place", *(["n"] if base is not None else []))
+        counted = counted.join(base.select(day, F.col("n").alias("_base")), day, "left")
+        before = F.coalesce("_base", F.lit(0))
+    return counted.withColumn("admitted", F.coalesce(F.col("passed"), F.lit(False)) & (before + F.col("_place") <= cap)).select(*rows.columns, "admitted")
 
 
 def candidate_outcomes(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import scoring
+from gleanery.operators.running import numbered
 
 
 def feed_join(posts: DataFrame, rationales: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -91,7 +92,8 @@ def split_reads(posts: DataFrame, reads: DataFrame) -> DataFrame:
     return reads.select("user_id", F.col("post_id").alias("id")).distinct().join(posts.select("id"), "id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n_read"))
 
 
-def batch_ids(rows: DataFrame, size: int, order: list[str], shard: str) -> DataFrame:
-    """Batches of ``size`` rows inside each shard, and the index from 1 within a batch."""
-    place = F.row_number().over(Window.partitionBy(shard).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size)).withColumn("index", place % size + 1)
+def batch_ids(rows: DataFrame, size: int, order: list[str | Column], by: list[str] | None = None) -> DataFrame:
+    """All rows, or those of each ``by``, in batches of ``size`` in order: ``batch`` from 0 and ``index`` from 1 within it. The order has to be total; no task numbers all rows."""
+    rows = numbered(rows, by or [], order, "_place")
+    place = F.col("_place") - 1
+    return rows.withColumns({"batch": F.floor(place / size), "index": place % size + 1}).drop("_place")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
+from gleanery.operators.running import running_sums
 
 
 def request_budget(log: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -25,18 +25,20 @@ def spacing_audit(log: DataFrame, config: Config = CONFIG) -> DataFrame:
     return log.withColumn("gap", F.round(gap, 3)).where(F.col("gap") < config.spacing_seconds)
 
 
-GATE = "host string, gate string, state string, since timestamp, strikes int, requests long"
+#: Gate states that end by themselves.
+PASSING = ("cool_off", "retry_after")
 
 
-def replay(events: Iterator[tuple[str, int, float]], state: dict, config: Config = CONFIG) -> dict:
-    """The gate state of a host after (purpose, status, seconds) in order.
+def replay(events: Iterator[tuple[str, int, float, str | None]], state: dict, config: Config = CONFIG) -> dict:
+    """The gate state of a host after (purpose, status, seconds, robots hash) in order, one request at a time, as streams need it.
 
     401 and 451 stop for good (K3); a forbidden article cools off for a day, a second one stops (K4); a
-    forbidden robots or sitemap file stops (K5); two rate limits within a day stop (K6). Strikes stay.
+    forbidden robots or sitemap file stops (K5); two rate limits within a day stop (K6); a robots file that isn't the
+    one seen before stops until somebody looks (K1). Strikes stay.
     """
-    for purpose, status, at in events:
+    for purpose, status, at, found in events:
         state["requests"] += 1
-        if state["state"] == "permanent":
+        if state["state"] in ("permanent", "stopped"):
             continue
         gate = kind = None
         if status in (401, 451):
@@ -50,41 +52,51 @@ def replay(events: Iterator[tuple[str, int, float]], state: dict, config: Config
             last, state["limited"] = state["limited"], at
             again = last is not None and at - last < config.strike_hours * 3600
             gate, kind = "K6", "permanent" if again else "retry_after"
+        elif status == 200 and purpose == "robots" and found is not None:
+            known, state["robots"] = state["robots"], found
+            if known is not None and known != found:
+                gate, kind = "K1", "stopped"
         if gate:
             state["gate"], state["state"], state["since"] = gate, kind, at
     return state
 
 
 def new_state() -> dict:
-    return {"gate": None, "state": None, "since": None, "strikes": 0, "limited": None, "requests": 0}
+    return {"gate": None, "state": None, "since": None, "strikes": 0, "limited": None, "robots": None, "requests": 0}
+
+
+def gate_events(log: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Requests (fetch_id, host, purpose, status, ts, robots_hash) with the ``gate`` that each would raise, its ``kind`` and the host's ``strikes`` so far, by the rules of ``replay``.
+
+    A rule needs of the host's earlier requests only how many articles were forbidden, when the last rate limit was and
+    which robots file was seen last: sums and last values along the host's log, which no task holds as a whole.
+    """
+    article = F.coalesce(F.col("purpose") == "article", F.lit(False))
+    forbidden = F.coalesce(F.col("status") == 403, F.lit(False))
+    limited, seen = F.when(F.col("status") == 429, F.col("ts")), F.when((F.col("status") == 200) & (F.col("purpose") == "robots"), F.col("robots_hash"))
+    rows = running_sums(log, ["host"], ["ts", "fetch_id"], {"strikes": (forbidden & article).cast("long")}, "gates", {"_limited": limited, "_seen": seen})
+    again = F.coalesce(F.col("ts").cast("double") - F.col("_limited").cast("double") < config.strike_hours * 3600, F.lit(False))
+    gate = F.when(F.col("status").isin(401, 451), "K3").when(forbidden, F.when(article, "K4").otherwise("K5")).when(F.col("status") == 429, "K6").when(seen != F.col("_seen"), "K1")
+    g = F.col("gate")
+    kind = F.when(g == "K1", "stopped").when((g == "K4") & (F.col("strikes") < 2), "cool_off").when((g == "K6") & ~again, "retry_after").when(g.isNotNull(), "permanent")
+    return rows.withColumn("gate", gate).withColumn("kind", kind).drop("_limited", "_seen")
 
 
 def host_gate_replay(log: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """The last gate state of each host; the fold needs the order of a host's requests, and streams through a sorted partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, state, out = None, new_state(), []
-
-        def row() -> tuple:
-            since = None if state["since"] is None else pd.Timestamp(state["since"], unit="s")
-            return host, state["gate"], state["state"], since, state["strikes"], state["requests"]
-
-        for batch in batches:
-            for name, part in batch.groupby("host", sort=False):
-                if name != host:
-                    if host is not None:
-                        out.append(row())
-                    host, state = name, new_state()
-                replay(zip(part["purpose"], part["status"], part["at"], strict=True), state, config)
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in GATE.split(", ")])
-                out = []
-        if host is not None:
-            out.append(row())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in GATE.split(", ")]).astype({"since": "datetime64[us]"})
-
-    rows = log.select("host", "purpose", "status", F.col("ts").cast("double").alias("at"), "fetch_id")
-    return rows.repartition("host").sortWithinPartitions("host", "at", "fetch_id").mapInPandas(run, GATE)
+    """``(host, gate, state, since, until, strikes, requests)``: the gate state of each host after its log.
+
+    The first request that stops a host decides; without one, the last that made it wait. ``until`` is when a cool-off or
+    a wait ends by itself. Both are a minimum and a maximum, so that a host's requests are added up where they are.
+    """
+    at = lambda *names: F.struct("ts", "fetch_id", *names)
+    stops = F.col("kind").isin("permanent", "stopped")
+    found = gate_events(log, config).groupBy("host").agg(
+        F.min(F.when(stops, at("gate", "kind", "strikes"))).alias("stop"), F.max(F.when(F.col("gate").isNotNull() & ~stops, at("gate", "kind", "strikes"))).alias("wait"),
+        F.max("strikes").alias("strikes"), F.count("*").alias("requests"),
+    )
+    last = F.coalesce("stop", "wait")
+    wait = F.when(last["kind"] == "cool_off", F.make_interval(hours=F.lit(config.strike_hours))).when(last["kind"] == "retry_after", F.make_interval(secs=F.lit(config.retry_after_seconds)))
+    return found.select("host", last["gate"].alias("gate"), last["kind"].alias("state"), last["ts"].alias("since"), (last["ts"] + wait).alias("until"), F.coalesce(F.col("stop.strikes"), F.col("strikes")).cast("int").alias("strikes"), "requests")
 
 
 def host_day_metrics(current: DataFrame, delta: DataFrame) -> DataFrame:

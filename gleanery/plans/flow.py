@@ -44,9 +44,18 @@ def w05_request_budget(t):
     return hosts.request_budget(t.fetch_log).select("fetch_id", "nth", "exhausted")
 
 
-@query()
+@query("""WITH e AS (SELECT *, status IN (401, 451) AS k3, status = 403 AND purpose <> 'article' AS k5, status = 403 AND purpose = 'article' AS forbidden, status = 429 AS limited FROM fetch_log),
+    hashes AS (SELECT fetch_id, robots_hash <> lag(robots_hash) OVER (PARTITION BY host ORDER BY ts, fetch_id) AS changed FROM fetch_log WHERE purpose = 'robots' AND status = 200 AND robots_hash IS NOT NULL),
+    limits AS (SELECT fetch_id, ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, fetch_id) < INTERVAL 24 HOUR AS again FROM e WHERE limited),
+    f AS (SELECT e.*, sum(CAST(forbidden AS INT)) OVER (PARTITION BY host ORDER BY ts, fetch_id ROWS UNBOUNDED PRECEDING) AS nth, coalesce(changed, FALSE) AS changed, coalesce(again, FALSE) AS again FROM e LEFT JOIN hashes USING (fetch_id) LEFT JOIN limits USING (fetch_id)),
+    g AS (SELECT *, CASE WHEN k3 THEN 'K3' WHEN k5 THEN 'K5' WHEN forbidden THEN 'K4' WHEN limited THEN 'K6' WHEN changed THEN 'K1' END AS gate, k3 OR k5 OR changed OR (forbidden AND nth >= 2) OR (limited AND again) AS stops FROM f),
+    n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY stops DESC, CASE WHEN stops THEN epoch_us(ts) ELSE -epoch_us(ts) END, CASE WHEN stops THEN fetch_id ELSE -fetch_id END) AS pick FROM g WHERE gate IS NOT NULL),
+    h AS (SELECT host, count(*) AS requests, max(nth) AS strikes FROM g GROUP BY host)
+    SELECT h.host, gate, CASE WHEN stops AND gate = 'K1' THEN 'stopped' WHEN stops THEN 'permanent' WHEN gate = 'K4' THEN 'cool_off' WHEN gate = 'K6' THEN 'retry_after' END AS state, epoch_us(ts) AS since,
+    CASE WHEN NOT stops THEN epoch_us(ts + CASE WHEN gate = 'K4' THEN INTERVAL 24 HOUR ELSE INTERVAL 1 MINUTE END) END AS until, CAST(CASE WHEN stops THEN nth ELSE h.strikes END AS INT) AS strikes, requests
+    FROM h LEFT JOIN n ON n.host = h.host AND pick = 1""")
 def w06_host_gate_replay(t):
-    return hosts.host_gate_replay(t.fetch_log).withColumn("since", F.col("since").cast("long"))
+    return hosts.host_gate_replay(t.fetch_log).withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("since", "until")})
 
 
 @query("SELECT fetch_id, host, round(gap, 3) AS gap FROM (SELECT fetch_id, host, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts, fetch_id)) / 1000000 AS gap FROM fetch_log) WHERE round(gap, 3) < 3000")

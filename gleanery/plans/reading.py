@@ -320,9 +320,10 @@ def s01_fresh_then_stale(t):
     return feed.fresh_then_stale(live.where("id % 3 = 0"), live.where("id % 2 = 0"), 400).select("id", "turn")
 
 
-@query("SELECT id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) / 30) AS BIGINT) AS batch, CAST((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) % 30 + 1 AS INT) AS index FROM posts")
+@query("SELECT id, (row_number() OVER (ORDER BY created_at DESC, id) - 1) // 30 AS batch, (row_number() OVER (ORDER BY created_at DESC, id) - 1) % 30 + 1 AS index FROM posts")
 def w08_batch_ids(t):
-    return feed.batch_ids(t.posts, CONFIG.grading_batch, ["id"], "source_id").select("id", "batch", "index")
+    return feed.batch_ids(t.posts.select("id", "created_at"), CONFIG.grading_batch, [F.desc("created_at"), "id"]).select("id", "batch", "index")
+
 
 
 @query("SELECT source_id, count(*) AS n, count(DISTINCT category) AS categories FROM posts WHERE status = 'published' GROUP BY source_id")

@@ -45,8 +45,9 @@ INPUTS: dict[str, str] = {
         CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'Page ' || CAST(page_id AS STRING) END AS title, CASE WHEN (page_id + v.n) % 4 = 0 THEN NULL ELSE 'site' || CAST(page_id % 7 AS STRING) END AS source_name,
         TIMESTAMP '2024-04-01 00:00:00' + page_id * INTERVAL '1' HOUR AS published_at FROM pages, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) v""",
     "allow_list": """SELECT DISTINCT lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, CASE WHEN length(split_part(url, '/', 3)) % 2 = 0 THEN '^/(en|de)/' ELSE '^/fr/. /[0-9]+0$' END AS patterns FROM pages WHERE length(split_part(url, '/', 3)) % 3 <> 0""",
-    "fetch_log": """SELECT event_id AS fetch_id, 'h' || CAST(user_id AS STRING) AS host, CASE WHEN event_id % 50 = 0 THEN 'robots' WHEN event_id % 37 = 0 THEN 'sitemap' ELSE 'article' END AS purpose,
-        CASE event_type WHEN 'purchase' THEN 403 WHEN 'signup' THEN 304 WHEN 'error' THEN 429 ELSE CASE WHEN event_id % 211 = 0 THEN 451 ELSE 200 END END AS status, CAST(ts AS TIMESTAMP) AS ts FROM events""",
+    "fetch_log": """SELECT event_id AS fetch_id, 'h' || CAST(user_id AS STRING) AS host, CASE WHEN event_id % 10 = 0 THEN 'robots' WHEN event_id % 37 = 0 THEN 'sitemap' ELSE 'article' END AS purpose,
+        CASE WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 403 WHEN event_type = 'signup' THEN 304 WHEN event_type = 'error' AND event_id % 5 = 0 THEN 429 WHEN event_id % 511 = 0 THEN 451 ELSE 200 END AS status, CAST(ts AS TIMESTAMP) AS ts,
+        CASE WHEN event_id % 10 = 0 THEN 'r' || CAST(user_id % 5 + CASE WHEN event_id % 250 = 0 THEN 1 ELSE 0 END AS STRING) END AS robots_hash FROM events""",
     "retry_queue": """SELECT 'u' || CAST(event_id AS STRING) AS url_hash, CASE event_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'discovery' ELSE 'evergreen' END AS lane, 'transient' AS reason, CAST(event_id % 5 AS INT) AS attempts,
         CAST(ts AS TIMESTAMP) AS first_queued_at, CAST(ts AS TIMESTAMP) + (1 + event_id % 30) * INTERVAL '1' HOUR AS next_attempt_at, CAST(ts AS TIMESTAMP) + INTERVAL '72' HOUR AS expires_at FROM events WHERE event_type = 'error'""",
     "host_metrics": """SELECT 'h' || CAST(user_id AS STRING) AS host, CAST(ts AS DATE) AS day, COUNT(*) AS processed, SUM(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS published, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS dropped,

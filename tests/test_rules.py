@@ -1,7 +1,9 @@
 """Rules of the curation jobs on boundary cases."""
 
+import datetime as dt
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from gleanery.functions import scoring, text, topics, urls
 from gleanery.operators import candidates, feed, hosts, merges, metrics
 from gleanery.sources import feeds
 
+START = dt.datetime(2024, 1, 1)
+
 
 def one(spark, column, *values, ddl="x string"):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], ddl).select(column).collect()]
@@ -128,16 +132,65 @@ def test_terms(spark):
     assert one(spark, text.crawl_delay(F.col("x")), "Crawl-delay: 5\nuser-agent: b\ncrawl-delay: 12.5", "crawl-delay: 0", "none") == [12.5, None, None]
 
 
-def test_host_gate():
-    day = 86400.0
-    run = lambda *events: hosts.replay(iter(events), hosts.new_state())
-    assert run(("article", 200, 0.0))["state"] is None
-    assert run(("article", 451, 0.0), ("article", 403, 1.0))["gate"] == "K3"
-    assert run(("article", 403, 0.0))["state"] == "cool_off"
-    assert run(("article", 403, 0.0), ("article", 200, day * 9), ("article", 403, day * 10))["state"] == "permanent"
-    assert run(("robots", 403, 0.0))["gate"] == "K5"
-    assert run(("article", 429, 0.0), ("article", 429, day - 1))["state"] == "permanent"
-    assert run(("article", 429, 0.0), ("article", 429, day))["state"] == "retry_after"
+GATE_LOG = "fetch_id long, host string, purpose string, status int, ts timestamp, robots_hash string, x string"
+HOUR = dt.timedelta(hours=1)
+
+
+def gates(spark, logs):
+    """Gate states by host of logs of (purpose, status, hours, hash) by host, as (gate, state, hours since, strikes, requests)."""
+    rows = [(k, h, p, s, START + at * HOUR, found, "x") for h, log in logs.items() for k, (p, s, at, found) in enumerate(log)]
+    got = hosts.host_gate_replay(spark.createDataFrame(rows, GATE_LOG).repartition(3)).collect()
+    return {r.host: (r.gate, r.state, r.since and (r.since - START) / HOUR, r.strikes, r.requests) for r in got}
+
+
+def test_host_gate(spark):
+    a, n = "article", None
+    cases = {
+        "ok": ([(a, 200, 0, n), (a, None, 1, n), (n, 500, 2, n)], (n, n, n, 0, 3)),
+        "denied": ([(a, 451, 0, n), (a, 403, 1, n)], ("K3", "permanent", 0, 0, 2)),
+        "once": ([(a, 403, 0, n)], ("K4", "cool_off", 0, 1, 1)),
+        "twice": ([(a, 403, 0, n), (a, 200, 200, n), (a, 403, 240, n), (a, 403, 241, n)], ("K4", "permanent", 240, 2, 4)),
+        "robots": ([("robots", 403, 0, "x")], ("K5", "permanent", 0, 0, 1)),
+        "no purpose": ([(n, 403, 0, n)], ("K5", "permanent", 0, 0, 1)),
+        "limits": ([(a, 429, 0, n), (a, 429, 23, n)], ("K6", "permanent", 23, 0, 2)),
+        "a day": ([(a, 429, 0, n), (a, 429, 24, n)], ("K6", "retry_after", 24, 0, 2)),
+        "changed": ([("robots", 200, 0, "x"), ("robots", 404, 1, "y"), (a, 200, 2, "z"), ("robots", 200, 3, n), ("robots", 200, 4, "x"), ("robots", 200, 5, "y"), ("robots", 200, 6, "x"), (a, 451, 7, n)], ("K1", "stopped", 5, 0, 8)),
+        "waits": ([(a, 403, 0, n), (a, 429, 5, n), (a, 200, 6, n)], ("K6", "retry_after", 5, 1, 3)),
+    }
+    assert gates(spark, {h: log for h, (log, _) in cases.items()}) == {h: want for h, (_, want) in cases.items()}
+    until = hosts.host_gate_replay(spark.createDataFrame([(1, "a", a, 403, START, n, ""), (1, "b", a, 429, START, n, "")], GATE_LOG)).orderBy("host").collect()
+    assert [r.until - START for r in until] == [24 * HOUR, dt.timedelta(seconds=60)]
+
+
+def test_host_gate_equals_one_request_at_a_time(spark):
+    rng = random.Random(8)
+    logs = {}
+    for h in range(60):
+        hot = 400 if h == 0 else 12
+        logs[f"h{h}"] = [(rng.choice(["article", "article", "robots", "sitemap"]), rng.choice([200] * (99 if h == 0 else 9) + [403, 429, 451 if h % 2 else 304]), 5 * k, rng.choice("x" * 30 + "y")) for k in range(hot)]
+    want = {}
+    for h, log in logs.items():
+        s = hosts.replay(((p, status, 3600.0 * at, found) for p, status, at, found in log), hosts.new_state())
+        want[h] = (s["gate"], s["state"], s["since"] and s["since"] / 3600, s["strikes"], s["requests"])
+    assert gates(spark, logs) == want
+    assert {v[0] for v in want.values()} >= {"K1", "K3", "K4", "K5", "K6"}
+
+
+def test_replay_takes_hours_as_seconds():
+    run = lambda *events: hosts.replay(iter(events), hosts.new_state())["state"]
+    assert run(("article", 429, 0.0, None), ("article", 429, 86399.0, None)) == "permanent" and run(("article", 429, 0.0, None), ("article", 429, 86400.0, None)) == "retry_after"
+
+
+def test_no_window_covers_a_day_or_a_host(spark):
+    """Hot days and all rows are numbered along ranges, and equal ``row_number``."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 7)).alias("day"), (F.col("id") % 3 > 0).alias("passed"))
+    got = candidates.admit_under_cap(rows, "day", ["id"], 700)
+    assert [r.id for r in got.where("admitted and day = 'hot'").orderBy("id").collect()] == [k for k in range(2000) if k % 10 and k % 3][:700]
+    batches = feed.batch_ids(rows, 30, [F.desc("id")])
+    assert {(r.id, r.batch, r["index"]) for r in batches.collect()} == {(1999 - k, k // 30, k % 30 + 1) for k in range(2000)}
+    for df in (got, batches):
+        windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [sum(_place" in line]
+        assert windows and all("windowspecdefinition(_range" in w for w in windows)
 
 
 def test_retries(spark):

@@ -21,6 +21,16 @@ def test_equals_a_window(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_last_values_before_a_row(spark):
+    df = rows(spark).repartition(5)
+    seen = F.when(F.col("id") % 50 == 0, F.col("v"))
+    w = Window.partitionBy("day").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.lit(1).alias("n"), F.last(seen, ignorenulls=True).over(w).alias("seen"))
+    got = running_sums(df, ["day"], ["k", "id"], {"n": F.lit(1).cast("long")}, lasts={"seen": seen})
+    assert sorted((r.id, r.seen) for r in got.collect()) == sorted((r.id, r.seen) for r in want.collect())
+    assert any(r.seen is not None for r in got.collect())
+
+
 def test_hot_group_fills_many_ranges_and_no_window_covers_it(spark):
     kept = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
