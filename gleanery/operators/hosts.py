@@ -82,21 +82,30 @@ def gate_events(log: DataFrame, config: Config = CONFIG) -> DataFrame:
     return rows.withColumn("gate", gate).withColumn("kind", kind).drop("_limited", "_seen")
 
 
-def host_gate_replay(log: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """``(host, gate, state, since, until, strikes, requests)``: the gate state of each host after its log.
+def gate_state(log: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """``(host, gate, state, since, until, strikes, requests, limited_at, robots_hash)``: all that a host's log leaves for its next request.
 
     The first request that stops a host decides; without one, the last that made it wait. ``until`` is when a cool-off or
-    a wait ends by itself. Both are a minimum and a maximum, so that a host's requests are added up where they are.
+    a wait ends by itself. These are minima and maxima, so that a host's requests are added up where they are.
     """
     at = lambda *names: F.struct("ts", "fetch_id", *names)
     stops = F.col("kind").isin("permanent", "stopped")
+    seen = (F.col("status") == 200) & (F.col("purpose") == "robots") & F.col("robots_hash").isNotNull()
     found = gate_events(log, config).groupBy("host").agg(
         F.min(F.when(stops, at("gate", "kind", "strikes"))).alias("stop"), F.max(F.when(F.col("gate").isNotNull() & ~stops, at("gate", "kind", "strikes"))).alias("wait"),
-        F.max("strikes").alias("strikes"), F.count("*").alias("requests"),
+        F.max("strikes").alias("strikes"), F.count("*").alias("requests"), F.max(F.when(F.col("status") == 429, F.col("ts"))).alias("limited_at"), F.max(F.when(seen, at("robots_hash"))).alias("file"),
     )
     last = F.coalesce("stop", "wait")
     wait = F.when(last["kind"] == "cool_off", F.make_interval(hours=F.lit(config.strike_hours))).when(last["kind"] == "retry_after", F.make_interval(secs=F.lit(config.retry_after_seconds)))
-    return found.select("host", last["gate"].alias("gate"), last["kind"].alias("state"), last["ts"].alias("since"), (last["ts"] + wait).alias("until"), F.coalesce(F.col("stop.strikes"), F.col("strikes")).cast("int").alias("strikes"), "requests")
+    return found.select(
+        "host", last["gate"].alias("gate"), last["kind"].alias("state"), last["ts"].alias("since"), (last["ts"] + wait).alias("until"), F.coalesce(F.col("stop.strikes"), F.col("strikes")).cast("int").alias("strikes"),
+        "requests", "limited_at", F.col("file.robots_hash").alias("robots_hash"),
+    )
+
+
+def host_gate_replay(log: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """``(host, gate, state, since, until, strikes, requests)``: the gate of each host after its log."""
+    return gate_state(log, config).drop("limited_at", "robots_hash")
 
 
 def host_day_metrics(current: DataFrame, delta: DataFrame) -> DataFrame:

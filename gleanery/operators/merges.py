@@ -57,21 +57,59 @@ def replace_topics(current: DataFrame, lists: DataFrame) -> DataFrame:
     return current.join(lists.select("post_id"), "post_id", "left_anti").unionByName(fresh)
 
 
+#: Columns of the retry queue.
+QUEUE = ("url_hash", "url", "host", "lane", "reason", "attempts", "first_queued_at", "next_attempt_at", "expires_at")
+
+
 def schedule_retries(queue: DataFrame, failed: DataFrame, now: Column, config: Config = CONFIG) -> DataFrame:
-    """Failed queue rows with the next attempt by how many there were; ``terminal`` beyond the last one."""
-    wait = F.element_at(F.array(*map(F.lit, config.retry_hours)), F.least(F.col("attempts") + 1, F.lit(len(config.retry_hours))).cast("int"))
-    joined = queue.join(failed.select("url_hash"), "url_hash", "left_semi")
+    """The queue after failures (url_hash, url, host, lane, reason), each url once: rows of ``QUEUE`` and ``terminal``.
+
+    A url that fails for the first time enters with one attempt; one that is queued already takes the failure's values, one
+    attempt more and the time of its first failure; the wait goes by the attempts before. Beyond the last attempt a row is
+    ``terminal``: ``open_retries`` is the next queue, the others are drops. Rows that didn't fail stay as they are.
+    """
+    hours = F.array(*map(F.lit, config.retry_hours))
+    before = F.coalesce(F.col("q.attempts"), F.lit(0))
+    wait = F.element_at(hours, F.least(before + 1, F.lit(len(config.retry_hours))).cast("int"))
+    q, f = (df.select("url_hash", F.struct(*df.columns).alias(x)) for df, x in ((queue.select(*QUEUE), "q"), (failed.select(*QUEUE[:5]), "f")))
+    joined = q.join(f, "url_hash", "full_outer")
+    again = F.col("f").isNotNull()
+    first = F.coalesce(F.col("q.first_queued_at"), now)
+    given = lambda c: F.when(again, F.col(f"f.{c}")).otherwise(F.col(f"q.{c}")).alias(c)
     return joined.select(
-        "url_hash", "lane", "reason", (F.col("attempts") + 1).alias("attempts"), "first_queued_at",
-        (now + F.make_interval(hours=wait)).alias("next_attempt_at"), (F.col("first_queued_at") + F.make_interval(hours=F.lit(config.retry_ttl_hours))).alias("expires_at"),
-        (F.col("attempts") + 1 > len(config.retry_hours)).alias("terminal"),
+        "url_hash", *map(given, QUEUE[1:5]), (before + again.cast("int")).alias("attempts"), first.alias("first_queued_at"),
+        F.when(again, now + F.make_interval(hours=wait)).otherwise(F.col("q.next_attempt_at")).alias("next_attempt_at"),
+        F.when(again, first + F.make_interval(hours=F.lit(config.retry_ttl_hours))).otherwise(F.col("q.expires_at")).alias("expires_at"),
+        (again & (before + 1 > len(config.retry_hours))).alias("terminal"),
     )
 
 
-def expire_retries(queue: DataFrame, now: Column) -> DataFrame:
-    """Queue rows with ``outcome``: kept, or the drop's reason once they are expired."""
+def open_retries(scheduled: DataFrame) -> DataFrame:
+    """The next queue of ``schedule_retries``."""
+    return scheduled.where(~F.col("terminal")).drop("terminal")
+
+
+def expire_retries(queue: DataFrame, now: Column, lanes: list[str] | None = None) -> DataFrame:
+    """Queue rows with ``outcome``: the drop's reason of those expired by ``now`` (of all lanes, or of ``lanes`` only), else kept."""
     drop = F.concat(F.lit("retry_exhausted:"), F.col("reason"), F.when(F.col("lane") == "discovery", F.concat(F.lit(":attempts="), F.col("attempts").cast("string"))).otherwise(""))
-    return queue.withColumn("outcome", F.when(F.col("expires_at") <= now, drop).otherwise("kept"))
+    over = (F.col("expires_at") <= now) & (F.col("lane").isin(*lanes) if lanes else F.lit(True))
+    return queue.withColumn("outcome", F.when(over, drop).otherwise("kept"))
+
+
+def dropped_retries(posts: DataFrame, removals: DataFrame, expired: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Posts (id, url, host, original_title, status) and removals (post_id, kind, reason, removed_at) after the rows of ``expire_retries`` that aren't kept.
+
+    Each dropped url has a post: where there is none, a rejected one comes in, named by its url; stored posts are changed
+    by the removal alone, and only if they have none yet.
+    """
+    gone = expired.where("outcome != 'kept'").select("url", F.col("host").alias("_host"), "outcome")
+    known = posts.select("url", "id")
+    joined = gone.join(known, "url", "left").withColumn("_id", F.coalesce("id", F.xxhash64("url")))
+    fresh = joined.where("id is null").select(F.col("_id").alias("id"), "url", F.col("_host").alias("host"), F.col("url").alias("original_title"), F.lit("rejected").alias("status"))
+    named = posts.select("id", "url", "host", "original_title", "status").unionByName(fresh)
+    dropped = joined.select(F.col("_id").alias("post_id"), F.lit("dropped").alias("kind"), F.col("outcome").alias("reason"), now.alias("removed_at"))
+    removed = removals.unionByName(dropped.join(removals.select("post_id"), "post_id", "left_anti"))
+    return apply_removals(named, removed).drop("removed_for"), removed
 
 
 def record_publications(current: DataFrame, delta: DataFrame) -> DataFrame:

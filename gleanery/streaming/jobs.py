@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import urls
-from gleanery.operators import hosts
+from gleanery.streaming.stateful import GATE_OUT, RETRY_OUT, HostGate, Retries
 
 
 def stream_ingest(entries: DataFrame, time: str, within: str = "2 days") -> DataFrame:
@@ -70,60 +68,28 @@ def stream_host_metrics(outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
     return sums.select("host", F.to_date(F.from_utc_timestamp("w.start", "Asia/Tokyo")).alias("day"), "processed", "published", "dropped")
 
 
-GATE_STATE = "gate string, state string, since double, strikes int, limited double, requests long"
+def with_state_store(spark: SparkSession) -> None:
+    """Chooses the state store that keyed state with several variables needs; to be called before such a query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_host_gate(log: DataFrame, late: str = "10 minutes", config: Config = CONFIG) -> DataFrame:
-    """The gate of each host after each batch of its requests; state is one small row a host.
+def stream_host_gate(log: DataFrame, late: str = "10 minutes", config: Config = CONFIG, initial: DataFrame | None = None) -> DataFrame:
+    """The gate of each host after each batch of its requests (fetch_id, host, purpose, status, ts, robots_hash), and when a wait of it ends.
 
-    Requests of one batch are taken in order of time. A cool-off ends by an event-time timer, which emits the host with an empty state.
+    Requests of one batch are taken in order of time. A stream can go on from a log of the past: ``initial`` is its
+    ``hosts.gate_state``. State is a few small variables a host; it needs ``with_state_store``.
     """
-
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in GATE_STATE.split(", ")]
-        known = dict(zip(names, state.get, strict=True)) if state.exists else hosts.new_state()
-        if state.hasTimedOut:
-            if known["state"] in ("cool_off", "retry_after"):
-                known["state"] = None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "fetch_id"])
-            known = hosts.replay(zip(rows["purpose"], rows["status"].astype(int), rows["at"].astype(float), strict=True), known, config)
-        state.update(tuple(known[n] for n in names))
-        if known["state"] in ("cool_off", "retry_after"):
-            until = int((known["since"] + config.strike_hours * 3600) * 1000)
-            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], known["gate"], known["state"], known["strikes"], known["requests"])], columns=["host", "gate", "state", "strikes", "requests"])
-
-    rows = log.withWatermark("ts", late).select("host", "purpose", "status", "fetch_id", "ts", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("host").applyInPandasWithState(step, "host string, gate string, state string, strikes int, requests long", GATE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = log.withWatermark("ts", late).select("host", "purpose", "status", "fetch_id", "robots_hash", "ts", F.col("ts").cast("double").alias("at"))
+    start = None
+    if initial is not None:
+        start = initial.select("host", "gate", "state", "strikes", "requests", "robots_hash", *(F.col(c).cast("double").alias(c) for c in ("since", "limited_at"))).groupBy("host")
+    return rows.groupBy("host").transformWithStateInPandas(HostGate(config), GATE_OUT, "Update", "EventTime", start)
 
 
 def stream_retry(failures: DataFrame, late: str = "10 minutes", config: Config = CONFIG) -> DataFrame:
-    """Each failure of a URL with its attempt and when to try again; ``terminal`` beyond the last attempt or the time to live, when the state goes."""
-
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, first = state.get if state.exists else (0, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], attempts, None, "expired")], columns=["url_hash", "attempts", "next_at", "outcome"])
-            return
-        out = []
-        for at in sorted(pd.concat(list(batches))["at"].astype(float)):
-            first = at if first is None else first
-            attempts += 1
-            final = attempts > len(config.retry_hours) or at - first >= config.retry_ttl_hours * 3600
-            wait = config.retry_hours[min(attempts, len(config.retry_hours)) - 1]
-            out.append((key[0], attempts, None if final else at + wait * 3600, "terminal" if final else "scheduled"))
-        if out[-1][3] == "terminal":
-            state.remove()
-        else:
-            state.update((attempts, first))
-            state.setTimeoutTimestamp(max(int((first + config.retry_ttl_hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["url_hash", "attempts", "next_at", "outcome"])
-
-    rows = failures.withWatermark("ts", late).select("url_hash", "ts", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("url_hash").applyInPandasWithState(step, "url_hash string, attempts int, next_at double, outcome string", "attempts int, first double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def due(now: str) -> Column:
-    return F.col("next_at") <= F.lit(now).cast("timestamp").cast("double")
+    """What becomes of failing URLs (url_hash, ts, finished): each failure is ``scheduled`` with its next attempt or ``terminal`` beyond the last one, each attempt is ``due`` when its time comes, URLs that ``finished`` leave, and those not done after the time to live are ``expired``.
+
+    It needs ``with_state_store``.
+    """
+    rows = failures.withWatermark("ts", late).select("url_hash", "finished", "ts", F.col("ts").cast("double").alias("at"))
+    return rows.groupBy("url_hash").transformWithStateInPandas(Retries(config), RETRY_OUT, "Append", "EventTime")
