@@ -42,6 +42,7 @@ class Config:
     strike_hours: int = 24
     retry_after_seconds: int = 60
     lastmod_alert: int = 100
+    restore_tolerance: float = 0.2
     yield_days: int = 7
     yield_ratio: float = 0.5
     freshness_days: int = 10

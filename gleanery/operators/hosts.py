@@ -133,15 +133,6 @@ def yield_collapse(baseline: DataFrame, run: DataFrame, config: Config = CONFIG)
     return run.join(baseline, "host").withColumn("rate", rate).withColumn("collapsed", flag)
 
 
-def lastmod_trust(entries: DataFrame, now: Column) -> DataFrame:
-    """Sitemap entries with ``trusted``: lastmod parses, isn't over a day ahead, and isn't the same for all of several siblings."""
-    parsed = F.to_date(F.col("lastmod").try_cast("date"))
-    per_root = entries.groupBy("root").agg(F.min("lastmod").alias("lo"), F.max("lastmod").alias("hi"), F.count("*").alias("n"))
-    uniform = (F.col("n") > 1) & (F.col("lo") == F.col("hi"))
-    odd = parsed.isNull() | (parsed > F.date_add(now, 1)) | uniform
-    return entries.join(per_root, "root").withColumn("trusted", ~odd).drop("lo", "hi", "n")
-
-
 def run_freshness(runs: DataFrame, now: Column, config: Config = CONFIG) -> DataFrame:
     """The latest start, its age in days, and whether that is stale (none is)."""
     age = F.datediff(now, F.max("started_at"))

@@ -6,14 +6,15 @@ or is the body of a foreachBatch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG, KEPT_OUTCOMES, SKIPPED_OUTCOMES, Config
 from gleanery.functions import scoring
+from gleanery.sources.tables import discarded, kept
 
 #: What a new entry of a known URL may change.
-REFRESHED = ("source_name", "original_title", "original_excerpt", "author", "published_at", "updated_at")
+REFRESHED = ("source_name", "original_title", "original_excerpt", "author", "thumbnail_url", "published_at", "updated_at")
 
 
 def latest(current: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,10 +133,19 @@ def reap_stale(posts: DataFrame, now: Column, config: Config = CONFIG) -> DataFr
     return posts.where(~F.col("status").isin("published", "rejected", "retracted") & old).select(F.col("id").alias("post_id"), F.lit("dropped").alias("kind"), F.lit("stale_pending").alias("reason"))
 
 
-def retraction_plan(posts: DataFrame, removals: DataFrame, host: str) -> DataFrame:
-    """Published posts of a host, each with whether it is removed already."""
+def retraction_plan(posts: DataFrame, removals: DataFrame, hosts: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
+    """What a retraction would reach: all published posts of ``hosts`` (host), or the posts of ``urls`` (url) in any status, each with whether it is removed already."""
+    if (hosts is None) == (urls is None):
+        raise ValueError("either hosts or urls")
+    chosen = posts.where("status = 'published'").join(hosts.select("host").distinct(), "host", "left_semi") if hosts is not None else posts.join(urls.select("url").distinct(), "url", "left_semi")
     gone = removals.select(F.col("post_id").alias("id")).distinct().withColumn("gone", F.lit(True))
-    return posts.where((F.col("host") == host) & (F.col("status") == "published")).join(gone, "id", "left").select("id", "url", F.col("gone").isNotNull().alias("already_removed"))
+    return chosen.join(gone, "id", "left").select("id", "url", "status", F.col("gone").isNotNull().alias("already_removed"))
+
+
+def retract(posts: DataFrame, removals: DataFrame, plan: DataFrame, reason: str, now: Column) -> DataFrame:
+    """Removals with those of ``retraction_plan``, for a human's ``reason``; what is removed already keeps its first reason."""
+    fresh = plan.where("not already_removed").select(F.col("id").alias("post_id"), F.lit("retracted").alias("kind"), F.lit(reason).alias("reason"), now.alias("removed_at"))
+    return removals.unionByName(fresh.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi"))
 
 
 def seed_discovery(seen: DataFrame, found: DataFrame) -> DataFrame:
@@ -159,6 +169,50 @@ def snapshot_diff(snapshot: DataFrame, current: DataFrame, key: str, fields: lis
     return joined.select(key, F.inline(rows))
 
 
+class SnapshotMismatch(Exception):
+    """A snapshot and the current table differ too much in their numbers of rows to belong together."""
+
+
+def counts_differ(before: int, after: int, most: float) -> bool:
+    """Whether one of two counts is 0 and the other isn't, or they differ by more than the share ``most`` of the first."""
+    if not before or not after:
+        return before != after
+    return abs(after - before) > most * before
+
+
+def restore_plan(pairs: dict[str, tuple[DataFrame, DataFrame, str, list[str]]], config: Config = CONFIG) -> dict[str, DataFrame]:
+    """``snapshot_diff`` of each table of ``pairs`` (snapshot, current, key, fields), if snapshot and current table belong together.
+
+    The rows of both sides are counted while their difference is made (``observe``), so no table is read twice. If the
+    numbers of one table differ too much, nothing comes out: ``SnapshotMismatch`` is raised, and what has been
+    staged in the shared folder is left to nobody.
+    """
+    plans, wrong = {}, []
+    for name, (snapshot, current, key, fields) in pairs.items():
+        if snapshot.isEmpty() or current.isEmpty():  # the plan may leave an empty side out, with its counter
+            before, after = snapshot.count(), current.count()
+            plans[name] = snapshot_diff(snapshot, current, key, fields)
+        else:
+            seen, now = Observation(f"{name} snapshot"), Observation(f"{name} now")
+            rows = snapshot_diff(snapshot.observe(seen, F.count(F.lit(1)).alias("n")), current.observe(now, F.count(F.lit(1)).alias("n")), key, fields)
+            plans[name] = kept(rows, "restore")
+            before, after = seen.get["n"], now.get["n"]
+        if counts_differ(before, after, config.restore_tolerance):
+            wrong.append(f"{name}: {before} rows in the snapshot, {after} now")
+    if wrong:
+        discarded(*(p for p in plans.values() if p.inputFiles() and "/restore-" in p.inputFiles()[0]))
+        raise SnapshotMismatch("; ".join(wrong))
+    return plans
+
+
+def restored(current: DataFrame, snapshot: DataFrame, key: str, fields: list[str], insert: bool = False) -> DataFrame:
+    """``current`` with ``fields`` as the snapshot has them, where it has the key; rows that it lacks stay, and what is missing now comes in if ``insert``."""
+    old = snapshot.select(key, F.struct(*fields).alias("_s"))
+    joined = current.withColumn("_c", F.lit(True)).join(old, key, "full_outer" if insert else "left")
+    value = lambda c: F.when(F.col("_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+    return joined.select(*map(value, current.columns))
+
+
 def merge_embeds(current: DataFrame, fetched: DataFrame) -> DataFrame:
     """Posts (id) with the columns of ``fetched`` (id and any of the posts' columns) where it has a value; stored values stay elsewhere."""
     names = [c for c in fetched.columns if c != "id"]

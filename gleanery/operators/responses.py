@@ -73,12 +73,25 @@ def body_drift(published: DataFrame, fetched: DataFrame, threshold: float) -> Da
     return joined.withColumn("similarity", alike).withColumn("outcome", outcome)
 
 
-def retraction_reasons(posts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Posts with the reason that their host's latest verdict (host, status, seq) gives: source_gone, robots_disallowed, tos_changed, or NULL."""
-    last = verdicts.groupBy("host").agg(F.max_by("status", "seq").alias("status_now"))
-    s = F.col("status_now")
-    reason = F.when(s.isin("404", "410"), "source_gone").when(s == "robots", "robots_disallowed").when(s.isin("K2", "K3"), "tos_changed")
-    return posts.join(last, "host", "left").withColumn("reason", reason)
+def retraction_reasons(posts: DataFrame, verdicts: DataFrame, terms: DataFrame, removals: DataFrame) -> DataFrame:
+    """Published posts (id, url, host, status) that aren't removed, with ``outcome`` and, where they are to be retracted, ``reason``.
+
+    The latest verdict on a page (url, verdict, seq) counts for its own post only: 404 and 410, robots, and the gates K2 and
+    K3 retract it, 304 and too large are fine, 200 is to be compared by its body, anything else leaves it. The latest check of
+    a host's terms (host, verdict, seq) counts for all its posts and comes first: K2 and K3 retract, another gate or a spent
+    budget leaves them alone whatever the pages say.
+    """
+    latest = lambda df, key, name: df.groupBy(key).agg(F.max_by("verdict", "seq").alias(name))
+    live = posts.where("status = 'published' and host is not null and host != ''").join(removals.select(F.col("post_id").alias("id")), "id", "left_anti")
+    joined = live.join(latest(verdicts, "url", "_page"), "url", "left").join(latest(terms, "host", "_terms"), "host", "left")
+    page, host = F.col("_page"), F.col("_terms")
+    outcome = (
+        F.when(host.isin("K2", "K3"), "tos_changed").when(host.rlike("^(K[1-6]|B1)$"), "skipped")
+        .when(page.isin("K2", "K3"), "tos_changed").when(page == "robots", "robots_disallowed").when(page.isin("404", "410"), "source_gone")
+        .when(page.isin("304", "too_large"), "ok").when(page == "200", "compare").otherwise("skipped")
+    )
+    rows = joined.withColumn("outcome", outcome).drop("_page", "_terms")
+    return rows.withColumn("reason", F.when(F.col("outcome").isin("tos_changed", "robots_disallowed", "source_gone"), F.col("outcome")))
 
 
 def topic_shadow_eval(current: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG
 from gleanery.functions import scoring, urls
 from gleanery.operators import candidates as cand
-from gleanery.operators import hosts, metrics
+from gleanery.operators import discovery, hosts, metrics
 from gleanery.plans.catalog import at, query
 from gleanery.plans.reading import CANON
 from gleanery.sources import feeds
@@ -33,10 +35,35 @@ def w03_admit_under_cap(t):
     return cand.admit_under_cap(rows, "day", ["published_at", "post_id"], CONFIG.publish_cap, base).select("post_id", F.unix_date("day").cast("long").alias("day"), "passed", "admitted")
 
 
-@query("""WITH p AS (SELECT root, pos, lastmod, TRY_CAST(lastmod AS DATE) AS parsed, min(lastmod) OVER (PARTITION BY root) AS lo, max(lastmod) OVER (PARTITION BY root) AS hi, count(*) OVER (PARTITION BY root) AS n FROM sitemap_urls)
-    SELECT root, pos, NOT (parsed IS NULL OR parsed > DATE '2024-06-02' OR (n > 1 AND lo = hi)) AS trusted FROM p""")
+_SITEMAPS = """sib AS (SELECT host, root, count(lastmod) AS n, count(DISTINCT lastmod) AS d FROM sitemap_children GROUP BY host, root), known AS (SELECT DISTINCT host FROM sitemap_seen),
+    cur AS (SELECT DISTINCT host, TIMESTAMP '2024-05-13' AS cursor FROM sitemap_entries WHERE host NOT IN ('m2', 'm9')),
+    j AS (SELECT c.*, c.lastmod IS NOT NULL AND (TRY_CAST(c.lastmod AS TIMESTAMP) IS NULL OR TRY_CAST(c.lastmod AS TIMESTAMP) > TIMESTAMP '2024-06-02' OR (n > 1 AND d = 1)) AS pathological, c.host NOT IN (SELECT host FROM known) AS seeding, cursor
+        FROM sitemap_children c JOIN sib s ON s.host = c.host AND s.root = c.root LEFT JOIN cur ON cur.host = c.host),
+    kids AS (SELECT host, root, child, lastmod, pathological, seeding, NOT seeding AND NOT pathological AND coalesce(TRY_CAST(lastmod AS TIMESTAMP) <= cursor, FALSE) AS skipped FROM j)"""
+
+
+@query(f"WITH {_SITEMAPS} SELECT * FROM kids")
 def w04_lastmod_trust(t):
-    return hosts.lastmod_trust(t.sitemap_urls, F.lit("2024-06-01").cast("date")).select("root", "pos", "trusted")
+    return discovery.judged_children(t.sitemap_children, _cursors(t), t.sitemap_seen, at("2024-06-01"))
+
+
+def _cursors(t):
+    return t.sitemap_entries.where("host not in ('m2', 'm9')").select("host", at("2024-05-13").alias("cursor")).distinct()
+
+
+@query(f"""WITH {_SITEMAPS}, parents AS (SELECT DISTINCT host, root FROM kids),
+    one AS (SELECT e.host, e.url FROM sitemap_entries e LEFT JOIN parents p ON p.host = e.host AND p.root = e.root LEFT JOIN kids c ON c.host = e.host AND c.root = e.root AND c.child = e.child WHERE (e.child IS NULL AND p.host IS NULL) OR NOT c.skipped),
+    first AS (SELECT DISTINCT host, url FROM one EXCEPT SELECT host, url FROM sitemap_seen), every AS (SELECT DISTINCT host, url FROM sitemap_entries EXCEPT SELECT host, url FROM sitemap_seen),
+    f AS (SELECT host, count(*) AS found FROM first GROUP BY host), e AS (SELECT host, count(*) AS n FROM every GROUP BY host),
+    r AS (SELECT host, count(DISTINCT root) AS roots FROM sitemap_entries GROUP BY host), c AS (SELECT host, count(*) AS children, count(CASE WHEN NOT skipped THEN 1 END) AS read, bool_or(skipped) AS skipped FROM kids GROUP BY host),
+    o AS (SELECT r.host, roots, coalesce(children, 0) AS children, coalesce(read, 0) AS read, coalesce(found, 0) AS found, CASE WHEN r.host NOT IN (SELECT host FROM known) THEN 'seeded' WHEN skipped AND found > 3 THEN 'completed_lastmod_distrusted' ELSE 'completed' END AS outcome
+        FROM r LEFT JOIN c USING (host) LEFT JOIN f USING (host))
+    SELECT o.host, outcome, roots + CASE WHEN outcome = 'completed_lastmod_distrusted' THEN children ELSE read END AS sitemaps_fetched, CASE outcome WHEN 'seeded' THEN 0 WHEN 'completed' THEN found ELSE n END AS urls_new FROM o LEFT JOIN e USING (host)""")
+def w04_discovery_runs(t):
+    """With an alert at over 3 new URLs, for the pages are few."""
+    roots = t.sitemap_entries.select("host", "root").distinct()
+    _, runs = discovery.discover(roots, t.sitemap_children, t.sitemap_entries, _cursors(t), t.sitemap_seen, at("2024-06-01"), config=dataclasses.replace(CONFIG, lastmod_alert=3))
+    return runs.drop("cursor")
 
 
 @query("SELECT fetch_id, CAST(nth AS INT) AS nth, nth > 200 AS exhausted FROM (SELECT fetch_id, row_number() OVER (PARTITION BY host, CAST(ts AS DATE) ORDER BY ts, fetch_id) AS nth FROM fetch_log)")
@@ -60,8 +87,6 @@ def w06_host_gate_replay(t):
 
 @query("SELECT fetch_id, host, round(gap, 3) AS gap FROM (SELECT fetch_id, host, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts, fetch_id)) / 1000000 AS gap FROM fetch_log) WHERE round(gap, 3) < 3000")
 def w07_spacing_audit(t):
-    import dataclasses
-
     return hosts.spacing_audit(t.fetch_log, dataclasses.replace(CONFIG, spacing_seconds=3000)).select("fetch_id", "host", "gap")
 
 

@@ -11,14 +11,14 @@ from gleanery.plans.reading import FEED, title_ok_sql
 
 def _changed(posts):
     """A delta of posts: every third one with another title and status, and new ones."""
-    old = posts.where("id % 3 = 0").withColumn("original_title", F.lit("new title")).withColumn("status", F.lit("pending"))
+    old = posts.where("id % 3 = 0").withColumn("original_title", F.lit("new title")).withColumn("thumbnail_url", F.when(F.col("id") % 2 == 0, F.concat(F.lit("new"), F.col("url")))).withColumn("status", F.lit("pending"))
     new = posts.where("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("url", F.concat(F.col("url"), F.lit("/new")))
     return old.unionByName(new)
 
 
-@query("SELECT id, url, CASE WHEN id % 3 = 0 THEN 'new title' ELSE original_title END AS original_title, status, category FROM posts UNION ALL SELECT id + 1000000000, url || '/new', original_title, status, category FROM posts WHERE id % 50 = 0")
+@query("SELECT id, url, CASE WHEN id % 3 = 0 THEN 'new title' ELSE original_title END AS original_title, CASE WHEN id % 6 = 0 THEN 'new' || url WHEN id % 3 <> 0 THEN thumbnail_url END AS thumbnail_url, status, category FROM posts UNION ALL SELECT id + 1000000000, url || '/new', original_title, thumbnail_url, status, category FROM posts WHERE id % 50 = 0")
 def m01_upsert_posts(t):
-    return merges.upsert_posts(t.posts, _changed(t.posts)).select("id", "url", "original_title", "status", "category")
+    return merges.upsert_posts(t.posts, _changed(t.posts)).select("id", "url", "original_title", "thumbnail_url", "status", "category")
 
 
 @query("""SELECT p.id, CASE WHEN p.id % 4 = 0 AND p.id % 8 = 0 THEN 'fresh' ELSE ai_title END AS ai_title, category, CASE WHEN p.id % 4 = 0 THEN 'h' || CAST(p.id AS STRING) END AS content_hash, CASE WHEN p.id % 4 = 0 THEN 'v9' ELSE curation_signature END AS curation_signature,
@@ -50,15 +50,38 @@ def m05_replace_topics(t):
     return merges.replace_topics(t.topics, lists)
 
 
-@query("""SELECT url_hash, CAST(attempts + 1 AS INT) AS attempts, CAST(epoch(TIMESTAMP '2024-01-20' + CASE WHEN attempts = 0 THEN INTERVAL 1 HOUR WHEN attempts = 1 THEN INTERVAL 6 HOUR ELSE INTERVAL 24 HOUR END) AS BIGINT) AS next_attempt_at, CAST(floor(epoch(first_queued_at + INTERVAL 72 HOUR)) AS BIGINT) AS expires_at, attempts + 1 > 3 AS terminal FROM retry_queue WHERE lane = 'rss'""")
+_AGAIN = "SELECT url_hash, url, host, 'submit' AS lane, 'rate_capped' AS reason FROM retry_queue WHERE lane = 'rss' UNION ALL SELECT 'n' || CAST(event_id AS STRING), 'https://new.example.com/' || CAST(event_id AS STRING), 'new.example.com', 'evergreen', 'llm_transient' FROM events WHERE event_type = 'view' AND event_id % 7 = 0"
+
+
+@query(f"""WITH f AS ({_AGAIN}), j AS (SELECT coalesce(q.url_hash, f.url_hash) AS url_hash, coalesce(f.url, q.url) AS url, coalesce(f.lane, q.lane) AS lane, coalesce(f.reason, q.reason) AS reason, coalesce(attempts, 0) AS old, f.url_hash IS NOT NULL AS again,
+        coalesce(first_queued_at, TIMESTAMP '2024-01-20') AS first_queued_at, next_attempt_at, expires_at FROM retry_queue q FULL JOIN f ON f.url_hash = q.url_hash)
+    SELECT url_hash, url, lane, reason, old + CAST(again AS INT) AS attempts, epoch_us(first_queued_at) AS first_queued_at, epoch_us(CASE WHEN NOT again THEN next_attempt_at WHEN old = 0 THEN TIMESTAMP '2024-01-20 01:00:00' WHEN old = 1 THEN TIMESTAMP '2024-01-20 06:00:00' ELSE TIMESTAMP '2024-01-21' END) AS next_attempt_at,
+    epoch_us(CASE WHEN again THEN first_queued_at + INTERVAL 72 HOUR ELSE expires_at END) AS expires_at, again AND old >= 3 AS terminal FROM j""")
 def m06_schedule_retries(t):
-    out = merges.schedule_retries(t.retry_queue, t.retry_queue.where("lane = 'rss'"), at("2024-01-20"))
-    return out.select("url_hash", "attempts", epoch("next_attempt_at"), F.floor(F.col("expires_at").cast("double")).cast("long").alias("expires_at"), "terminal")
+    new = t.events.where("event_type = 'view' and event_id % 7 = 0").selectExpr("concat('n', event_id) AS url_hash", "concat('https://new.example.com/', event_id) AS url", "'new.example.com' AS host", "'evergreen' AS lane", "'llm_transient' AS reason")
+    again = t.retry_queue.where("lane = 'rss'").select("url_hash", "url", "host", F.lit("submit").alias("lane"), F.lit("rate_capped").alias("reason"))
+    out = merges.schedule_retries(t.retry_queue, again.unionByName(new), at("2024-01-20"))
+    return out.select("url_hash", "url", "lane", "reason", "attempts", *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("first_queued_at", "next_attempt_at", "expires_at")), "terminal")
+
 
+_OVER = "SELECT *, CASE WHEN expires_at <= TIMESTAMP '2024-01-20' AND lane IN ('rss', 'discovery') THEN 'retry_exhausted:' || reason || CASE WHEN lane = 'discovery' THEN ':attempts=' || CAST(attempts AS STRING) ELSE '' END ELSE 'kept' END AS outcome FROM retry_queue"
 
-@query("SELECT url_hash, CASE WHEN expires_at <= TIMESTAMP '2024-01-20' THEN 'retry_exhausted:' || reason || CASE WHEN lane = 'discovery' THEN ':attempts=' || CAST(attempts AS STRING) ELSE '' END ELSE 'kept' END AS outcome FROM retry_queue")
+
+@query(f"SELECT url_hash, outcome FROM ({_OVER})")
 def m07_expire_retries(t):
-    return merges.expire_retries(t.retry_queue, at("2024-01-20")).select("url_hash", "outcome")
+    return merges.expire_retries(t.retry_queue, at("2024-01-20"), ["rss", "discovery"]).select("url_hash", "outcome")
+
+
+@query(f"""WITH o AS ({_OVER}), gone AS (SELECT * FROM o WHERE outcome <> 'kept'), stored AS (SELECT url, host, 'Stored ' || url_hash AS original_title, CASE WHEN attempts % 2 = 0 THEN 'published' ELSE 'pending' END AS status, attempts % 2 = 0 AS removed FROM retry_queue WHERE attempts < 3)
+    SELECT url, host, original_title, CASE WHEN removed THEN 'retracted' WHEN url IN (SELECT url FROM gone) THEN 'rejected' ELSE status END AS status, CASE WHEN removed THEN 'earlier' ELSE (SELECT any_value(outcome) FROM gone WHERE gone.url = stored.url) END AS reason FROM stored
+    UNION ALL SELECT url, host, url, 'rejected', outcome FROM gone WHERE url NOT IN (SELECT url FROM stored)""")
+def m07_retry_drops(t):
+    """Expired urls as dropped posts, some of which are stored, some removed already."""
+    stored = t.retry_queue.where("attempts < 3")
+    posts = stored.select(F.substring("url_hash", 2, 30).cast("long").alias("id"), "url", "host", F.concat(F.lit("Stored "), "url_hash").alias("original_title"), F.when(F.col("attempts") % 2 == 0, "published").otherwise("pending").alias("status"))
+    removals = posts.where("status = 'published'").select(F.col("id").alias("post_id"), F.lit("retracted").alias("kind"), F.lit("earlier").alias("reason"), at("2024-01-01").alias("removed_at"))
+    after, removed = merges.dropped_retries(posts, removals, merges.expire_retries(t.retry_queue, at("2024-01-20"), ["rss", "discovery"]), at("2024-01-20"))
+    return after.join(removed.select(F.col("post_id").alias("id"), "reason"), "id", "left").select("url", "host", "original_title", "status", "reason")
 
 
 @query("SELECT post_id, CASE WHEN post_id % 4 = 0 THEN 'body' ELSE hash_kind END AS hash_kind, CASE WHEN post_id % 4 = 0 AND post_id % 8 <> 0 THEN 7 ELSE text_length END AS text_length, link_density FROM publications UNION ALL SELECT post_id + 1000000000, 'body', CASE WHEN post_id % 8 <> 0 THEN 7 END, NULL FROM publications WHERE post_id % 100 = 0")
@@ -75,9 +98,16 @@ def m09_apply_removals(t):
     return merges.apply_removals(t.posts, t.removals).select("id", "status", "removed_for")
 
 
-@query("SELECT id, url, id IN (SELECT post_id FROM removals) AS already_removed FROM posts WHERE host = 'src3.example.com' AND status = 'published'")
+@query("SELECT id, url, status, id IN (SELECT post_id FROM removals) AS already_removed FROM posts WHERE host IN ('src3.example.com', 'src5.example.com') AND status = 'published'")
 def m10_retraction_plan(t):
-    return merges.retraction_plan(t.posts, t.removals, "src3.example.com")
+    hosts = t.posts.where("host in ('src3.example.com', 'src5.example.com')").select("host")
+    return merges.retraction_plan(t.posts, t.removals, hosts=hosts)
+
+
+@query("SELECT post_id, kind, reason FROM removals UNION ALL SELECT id, 'retracted', 'asked for' FROM posts WHERE id % 17 < 2 AND id NOT IN (SELECT post_id FROM removals)")
+def m10_retract_urls(t):
+    plan = merges.retraction_plan(t.posts, t.removals, urls=t.posts.where("id % 17 < 2").select("url"))
+    return merges.retract(t.posts, t.removals, plan, "asked for", at("2024-08-01")).select("post_id", "kind", "reason")
 
 
 @query("SELECT id AS post_id, 'dropped' AS kind, 'stale_pending' AS reason FROM posts WHERE id % 4 = 0 AND created_at <= TIMESTAMP '2024-02-03 05:00:00' - INTERVAL 72 HOUR + INTERVAL 2 DAY")
@@ -103,7 +133,12 @@ _FIELDS = " UNION ALL ".join(f"SELECT s.id, '{f}' AS field, s.{f} AS before, c.{
 
 @query(f"{_FIELDS} UNION ALL SELECT id, 'missing_now', NULL, NULL FROM snapshot WHERE id NOT IN (SELECT id FROM current) UNION ALL SELECT id, 'extra_now', NULL, NULL FROM current WHERE id NOT IN (SELECT id FROM snapshot)")
 def j08_snapshot_diff(t):
-    return merges.snapshot_diff(t.snapshot, t.current, "id", ["title", "lang", "source"])
+    return merges.restore_plan({"posts": (t.snapshot, t.current, "id", ["title", "lang", "source"])})["posts"]
+
+
+@query("SELECT id, CASE WHEN s.id IS NULL THEN c.title ELSE s.title END AS title, CASE WHEN s.id IS NULL THEN c.lang ELSE s.lang END AS lang, coalesce(s.source, c.source) AS source FROM snapshot s FULL JOIN current c USING (id)")
+def j08_restored(t):
+    return merges.restored(t.current, t.snapshot, "id", ["title", "lang", "source"], insert=True)
 
 
 @query("SELECT rule, count(*) AS n FROM (SELECT 'one_removal_per_post' AS rule FROM removals GROUP BY post_id HAVING count(*) > 1 UNION ALL SELECT 'topic_unique' FROM topics GROUP BY post_id, topic HAVING count(*) > 1) GROUP BY rule")

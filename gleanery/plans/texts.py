@@ -183,14 +183,12 @@ def j09_body_drift(t):
     return out.select("post_id", "similarity", "outcome")
 
 
-_VERDICT = "CASE event_id % 9 WHEN 0 THEN '404' WHEN 1 THEN 'robots' WHEN 2 THEN 'K2' WHEN 3 THEN '304' ELSE '200' END"
-
-
-@query(f"""WITH v AS (SELECT 'src' || CAST(user_id % 20 AS STRING) || '.example.com' AS host, {_VERDICT} AS status, event_id AS seq FROM events), last AS (SELECT host, arg_max(status, seq) AS status_now FROM v GROUP BY host)
-    SELECT id, CASE WHEN status_now IN ('404', '410') THEN 'source_gone' WHEN status_now = 'robots' THEN 'robots_disallowed' WHEN status_now IN ('K2', 'K3') THEN 'tos_changed' END AS reason FROM posts LEFT JOIN last USING (host)""")
+@query("""WITH v AS (SELECT url, arg_max(verdict, seq) AS page FROM page_verdicts GROUP BY url), h AS (SELECT host, arg_max(verdict, seq) AS terms FROM terms_verdicts GROUP BY host),
+    o AS (SELECT id, CASE WHEN terms IN ('K2', 'K3') THEN 'tos_changed' WHEN terms IN ('K1', 'B1') THEN 'skipped' WHEN page = 'K2' THEN 'tos_changed' WHEN page = 'robots' THEN 'robots_disallowed' WHEN page IN ('404', '410') THEN 'source_gone'
+        WHEN page IN ('304', 'too_large') THEN 'ok' WHEN page = '200' THEN 'compare' ELSE 'skipped' END AS outcome FROM posts LEFT JOIN v USING (url) LEFT JOIN h USING (host) WHERE status = 'published' AND id NOT IN (SELECT post_id FROM removals))
+    SELECT id, outcome, CASE WHEN outcome IN ('tos_changed', 'robots_disallowed', 'source_gone') THEN outcome END AS reason FROM o""")
 def j10_retraction_reasons(t):
-    verdicts = t.events.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit(".example.com")).alias("host"), F.expr(_VERDICT).alias("status"), F.col("event_id").alias("seq"))
-    return responses.retraction_reasons(t.posts, verdicts).select("id", "reason")
+    return responses.retraction_reasons(t.posts, t.page_verdicts, t.terms_verdicts, t.removals).select("id", "outcome", "reason")
 
 
 _PAGE_HOST = "lower(split_part(split_part(url, '://', 2), '/', 1))"

@@ -16,7 +16,7 @@ INPUTS: dict[str, str] = {
     "posts": """SELECT doc_id AS id, 'https://' || source || '.example.com/a/' || CAST(doc_id AS STRING) AS url, source || '.example.com' AS host,
         'blog' AS source_type, source AS source_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Site ' || source END AS source_name,
         substr(split_part(text, chr(10), 1), 1, 60) AS original_title, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE substr(text, 1, 600) END AS original_excerpt,
-        CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'author ' || lang END AS author,
+        CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'author ' || lang END AS author, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE 'https://img.example.com/' || CAST(doc_id AS STRING) END AS thumbnail_url,
         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' HOUR END AS published_at,
         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE substr(text, 1, 30) END AS ai_title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE substr(text, 1, 120) END AS ai_summary,
         CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 'cat' || CAST(doc_id % 11 AS STRING) END AS category,
@@ -48,7 +48,7 @@ INPUTS: dict[str, str] = {
     "fetch_log": """SELECT event_id AS fetch_id, 'h' || CAST(user_id AS STRING) AS host, CASE WHEN event_id % 10 = 0 THEN 'robots' WHEN event_id % 37 = 0 THEN 'sitemap' ELSE 'article' END AS purpose,
         CASE WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 403 WHEN event_type = 'signup' THEN 304 WHEN event_type = 'error' AND event_id % 5 = 0 THEN 429 WHEN event_id % 511 = 0 THEN 451 ELSE 200 END AS status, CAST(ts AS TIMESTAMP) AS ts,
         CASE WHEN event_id % 10 = 0 THEN 'r' || CAST(user_id % 5 + CASE WHEN event_id % 250 = 0 THEN 1 ELSE 0 END AS STRING) END AS robots_hash FROM events""",
-    "retry_queue": """SELECT 'u' || CAST(event_id AS STRING) AS url_hash, CASE event_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'discovery' ELSE 'evergreen' END AS lane, 'transient' AS reason, CAST(event_id % 5 AS INT) AS attempts,
+    "retry_queue": """SELECT 'u' || CAST(event_id AS STRING) AS url_hash, 'https://h' || CAST(user_id AS STRING) || '.example.com/a/' || CAST(event_id AS STRING) AS url, 'h' || CAST(user_id AS STRING) || '.example.com' AS host, CASE event_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'discovery' ELSE 'evergreen' END AS lane, 'transient' AS reason, CAST(event_id % 5 AS INT) AS attempts,
         CAST(ts AS TIMESTAMP) AS first_queued_at, CAST(ts AS TIMESTAMP) + (1 + event_id % 30) * INTERVAL '1' HOUR AS next_attempt_at, CAST(ts AS TIMESTAMP) + INTERVAL '72' HOUR AS expires_at FROM events WHERE event_type = 'error'""",
     "host_metrics": """SELECT 'h' || CAST(user_id AS STRING) AS host, CAST(ts AS DATE) AS day, COUNT(*) AS processed, SUM(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) AS published, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS dropped,
         SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS promotional, SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS author_present FROM events GROUP BY user_id, CAST(ts AS DATE)""",
@@ -71,6 +71,14 @@ INPUTS: dict[str, str] = {
         WHEN 2 THEN 'User-agent: OtherBot|Disallow: /|User-agent: gleanbot|Disallow:|User-agent: *|Disallow: /'
         WHEN 3 THEN 'User-agent: gleanbot|Allow: /en/5|User-agent: x|Disallow: /|User-agent: GLEANBOT|Disallow: /en/|Disallow: /*/*5*/$|Disallow: /*utm%5Fsource=feed$'
         ELSE 'User-agent: OtherBot|Disallow: /' END, '|', CASE WHEN page_id % 2 = 0 THEN chr(10) ELSE chr(13) || chr(10) END) AS robots_text FROM pages WHERE page_id % 7 <> 0""",
+    "page_verdicts": """SELECT d.url, CASE event_id % 11 WHEN 0 THEN '404' WHEN 1 THEN 'robots' WHEN 2 THEN 'K2' WHEN 3 THEN '304' WHEN 4 THEN 'K5' WHEN 5 THEN 'too_large' WHEN 6 THEN '410' WHEN 7 THEN 'retry_after' ELSE '200' END AS verdict, event_id AS seq
+        FROM events, (SELECT DISTINCT 'https://' || source || '.example.com/a/' || CAST(doc_id AS STRING) AS url, doc_id FROM documents) d WHERE d.doc_id = event_id % 997""",
+    "terms_verdicts": """SELECT 'src' || CAST(user_id % 40 AS STRING) || '.example.com' AS host, CASE event_id % 13 WHEN 0 THEN 'K2' WHEN 1 THEN 'K3' WHEN 2 THEN 'K1' WHEN 3 THEN 'B1' ELSE 'ok' END AS verdict, event_id AS seq FROM events WHERE user_id % 3 = 0""",
+    "sitemap_children": """SELECT DISTINCT 'm' || CAST(page_id % 12 AS STRING) AS host, 'root' || CAST(page_id % 2 AS STRING) AS root, 'c' || CAST(page_id % 10 AS STRING) AS child, CASE page_id % 4 WHEN 0 THEN '2024-05-05'
+        WHEN 1 THEN CASE page_id % 10 WHEN 1 THEN 'yesterday' WHEN 3 THEN NULL WHEN 5 THEN '2999-01-01' ELSE '2024-04-01' END ELSE '2024-05-1' || CAST(page_id % 10 AS STRING) END AS lastmod FROM pages WHERE page_id % 12 <> 11""",
+    "sitemap_entries": """SELECT 'm' || CAST(page_id % 12 AS STRING) AS host, 'root' || CAST(page_id % 2 AS STRING) AS root, CASE WHEN page_id % 12 = 11 OR page_id % 9 = 0 THEN NULL ELSE 'c' || CAST(page_id % 10 AS STRING) END AS child,
+        split_part(url, '?', 1) AS url, CAST(DATE '2024-01-01' + CAST(page_id % 100 AS INT) AS STRING) AS lastmod, page_id AS pos FROM pages""",
+    "sitemap_seen": """SELECT DISTINCT 'm' || CAST(page_id % 12 AS STRING) AS host, split_part(url, '?', 1) AS url FROM pages WHERE page_id % 5 < 2 AND page_id % 12 NOT IN (4, 9)""",
     "sitemap_urls": """SELECT page_id AS pos, 'r' || CAST(page_id % 12 AS STRING) AS root, split_part(url, '?', 1) AS url, CASE WHEN page_id % 12 = 0 THEN '2024-05-05' WHEN page_id % 12 = 1 THEN 'yesterday' WHEN page_id % 12 = 2 THEN '2999-01-01' ELSE CAST(DATE '2024-01-01' + CAST(page_id % 100 AS INT) AS STRING) END AS lastmod FROM pages""",
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
@@ -158,13 +158,14 @@ def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def snapshot_write(tables: dict[str, DataFrame], path: str, name: str) -> DataFrame:
-    """Writes each table under ``path/table/snapshot=name`` and returns their row counts."""
-    counts = None
+    """Writes each table under ``path/table/snapshot=name`` and returns their row counts, taken while the rows are written."""
+    counts = []
     for table, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{table}/snapshot={name}")
-        one = df.sparkSession.read.parquet(f"{path}/{table}/snapshot={name}").agg(F.lit(table).alias("table_name"), F.count("*").alias("n"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        seen = Observation(f"{table} {name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{table}/snapshot={name}")
+        counts.append((table, seen.get["n"]))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(counts, "table_name string, n long")
 
 
 def consistent_extract(posts: DataFrame, children: dict[str, DataFrame], limit: int, since: Column | None = None) -> dict[str, DataFrame]:

@@ -32,6 +32,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` wrote; they mustn't be read any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Bytes of a table that is small enough to be dealt to all cores anew.
 SMALL = 1 << 30
 

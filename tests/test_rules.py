@@ -3,14 +3,16 @@
 import datetime as dt
 import itertools
 import json
+import os
 import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG
 from gleanery.functions import scoring, text, topics, urls
-from gleanery.operators import candidates, feed, hosts, merges, metrics
+from gleanery.operators import candidates, feed, hosts, merges, metrics, responses
 from gleanery.sources import feeds
 
 START = dt.datetime(2024, 1, 1)
@@ -193,13 +195,67 @@ def test_no_window_covers_a_day_or_a_host(spark):
         assert windows and all("windowspecdefinition(_range" in w for w in windows)
 
 
+QUEUE = "url_hash string, url string, host string, lane string, reason string, attempts int, first_queued_at timestamp, next_attempt_at timestamp, expires_at timestamp"
+
+
 def test_retries(spark):
-    q = spark.sql("SELECT concat('u', id) AS url_hash, 'rss' AS lane, 'r' AS reason, CAST(id AS INT) AS attempts, TIMESTAMP '2024-01-01' AS first_queued_at FROM range(4)")
+    queued = [(f"u{k}", f"http://h/{k}", "h", "rss", "r", k, START, START, START + 72 * HOUR) for k in range(5)]
+    queue = spark.createDataFrame(queued, QUEUE)
+    failed = spark.createDataFrame([(u, f"http://new/{u}", "new", "submit", "late") for u in ("u0", "u1", "u2", "u3", "x")], "url_hash string, url string, host string, lane string, reason string")
     now = F.lit("2024-01-02").cast("timestamp")
-    got = merges.schedule_retries(q, q, now).orderBy("attempts").collect()
-    assert [((r["next_attempt_at"] - got[0]["next_attempt_at"]).total_seconds() / 3600 + 1, r["attempts"], r["terminal"]) for r in got] == [(1, 1, False), (6, 2, False), (24, 3, False), (24, 4, True)]
-    edge = q.withColumn("expires_at", now)
+    out = merges.schedule_retries(queue, failed, now)
+    got = {r.url_hash: r for r in out.collect()}
+    day = START + 24 * HOUR
+    assert {u: (r.attempts, (r.next_attempt_at - day) / HOUR, r.terminal, r.lane) for u, r in got.items() if u != "u4"} == {
+        "u0": (1, 1, False, "submit"), "u1": (2, 6, False, "submit"), "u2": (3, 24, False, "submit"), "u3": (4, 24, True, "submit"), "x": (1, 1, False, "submit"),
+    }
+    assert tuple(got["u4"])[:9] == queued[4] and not got["u4"].terminal  # it didn't fail
+    assert got["u0"].first_queued_at == START and got["x"].first_queued_at == day and got["x"].expires_at == day + 72 * HOUR
+    assert {r.url_hash for r in merges.open_retries(out).collect()} == {"u0", "u1", "u2", "u4", "x"}
+    edge = queue.withColumn("expires_at", now)
     assert {r["outcome"] for r in merges.expire_retries(edge, now).collect()} == {"retry_exhausted:r"}
+    assert {r["outcome"] for r in merges.expire_retries(edge, now, ["discovery"]).collect()} == {"kept"}
+    assert {r["outcome"] for r in merges.expire_retries(edge.withColumn("lane", F.lit("discovery")), now, ["discovery"]).collect()} == {f"retry_exhausted:r:attempts={k}" for k in range(5)}
+
+
+def test_retractions_by_page_and_by_host(spark):
+    posts = [(1, "u1", "h", "published"), (2, "u2", "h", "published"), (3, "u3", "k", "published"), (4, "u4", "k", "pending"), (5, "u5", "t", "published"), (6, "u6", "b", "published"), (7, "u7", "h", "published"), (8, "u8", None, "published")]
+    df = spark.createDataFrame(posts, "id long, url string, host string, status string")
+    pages = spark.createDataFrame([("u1", "200", 1), ("u1", "404", 2), ("u2", "404", 1), ("u2", "200", 2), ("u3", "robots", 1), ("u4", "404", 1), ("u5", "404", 1), ("u6", "410", 1), ("u7", "404", 1)], "url string, verdict string, seq long")
+    terms = spark.createDataFrame([("t", "K2", 1), ("b", "K3", 1), ("b", "B1", 2), ("h", "ok", 1)], "host string, verdict string, seq long")
+    gone = spark.createDataFrame([(7,)], "post_id long")
+    got = {r.id: (r.outcome, r.reason) for r in responses.retraction_reasons(df, pages, terms, gone).collect()}
+    assert got == {1: ("source_gone", "source_gone"), 2: ("compare", None), 3: ("robots_disallowed", "robots_disallowed"), 5: ("tos_changed", "tos_changed"), 6: ("skipped", None)}
+
+
+def test_upsert_refreshes_the_thumbnail(spark):
+    names = "id long, url string, " + ", ".join(f"{c} string" for c in (*merges.REFRESHED, "status", "ai_title"))
+    old, new = [tuple([1, "u"] + [x] * (len(merges.REFRESHED) + 2)) for x in ("old", "new")]
+    row = merges.upsert_posts(spark.createDataFrame([old], names), spark.createDataFrame([new], names)).first()
+    assert row.thumbnail_url == "new" and row.original_title == "new" and row.status == "old" and row.ai_title == "old"
+
+
+@pytest.mark.parametrize(("before", "after", "stops"), [(10, 12, False), (10, 13, True), (10, 8, False), (10, 7, True), (0, 3, True), (3, 0, True), (0, 0, False)])
+def test_restoring_stops_before_anything_comes_out(spark, before, after, stops):
+    table = lambda n: spark.range(n).select("id", F.lit(n).cast("string").alias("title"))
+    folder = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    left = lambda: {f for f in os.listdir(folder) if f.startswith("restore-")} if os.path.isdir(folder) else set()
+    known = left()
+    pairs = {"posts": (table(5), table(5), "id", ["title"]), "rationales": (table(before), table(after), "id", ["title"])}
+    if stops:
+        with pytest.raises(merges.SnapshotMismatch, match=f"rationales: {before} rows in the snapshot, {after} now"):
+            merges.restore_plan(pairs)
+        assert left() == known
+    else:
+        plans = merges.restore_plan(pairs)
+        assert plans["posts"].count() == 0 and plans["rationales"].count() == max(before, after)
+
+
+def test_restored_rows(spark):
+    current = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (4, "d", 8)], "id long, title string, n int")
+    snapshot = spark.createDataFrame([(1, "x"), (2, None), (3, "c")], "id long, title string")
+    rows = lambda insert: sorted(map(tuple, merges.restored(current, snapshot, "id", ["title"], insert).collect()))
+    assert rows(False) == [(1, "x", 5), (2, None, 6), (4, "d", 8)] and rows(True) == [(1, "x", 5), (2, None, 6), (3, "c", None), (4, "d", 8)]
 
 
 def test_first_removal_wins_in_any_order(spark):
