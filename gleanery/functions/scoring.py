@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleanery.config import CONFIG, CRITERIA, LABELS, Config
+from gleanery.functions import unicode
 
 
 def content_hash(title: Column, excerpt: Column) -> Column:
@@ -111,29 +112,33 @@ def _simhash(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(out > 0, axis=1)
 
 
-def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, simhash)``: 64 bits over 4-character shingles of the text without blanks, weighed by occurrence; no shingles: zeros.
+@F.arrow_udf(StringType())
+def _simhashes(bare: pa.Array) -> pa.Array:
+    texts = [np.frombuffer((x or "").encode("utf-32-le"), np.uint32) for x in bare.to_pylist()]
+    out, begin = [], 0
+    while begin < len(texts):
+        stop, held = begin + 1, len(texts[begin])
+        while stop < len(texts) and held + len(texts[stop]) <= SIMHASH_LETTERS:
+            held += len(texts[stop])
+            stop += 1
+        part = texts[begin:stop]
+        out += [h.tobytes().hex() for h in _simhash(np.concatenate(part), np.cumsum([len(x) for x in part]))]
+        begin = stop
+    return pa.array(out, pa.string())
+
+
+def simhash(text: Column) -> Column:
+    """64 bits over 4-character shingles of the text without blanks, weighed by occurrence; no shingles: zeros.
 
     In Arrow batches: a shingle's SHA-256 is taken once for each slice of texts, and nothing is shuffled. A text longer
     than ``SIMHASH_LETTERS`` is a slice of its own.
     """
-    df = df.select(key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "").alias("bare"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in batch.column(1).to_pylist()]
-            begin = 0
-            while begin < len(texts):
-                stop, held = begin + 1, len(texts[begin])
-                while stop < len(texts) and held + len(texts[stop]) <= SIMHASH_LETTERS:
-                    held += len(texts[stop])
-                    stop += 1
-                part = texts[begin:stop]
-                hashes = _simhash(np.concatenate(part), np.cumsum([len(x) for x in part]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), pa.array([h.tobytes().hex() for h in hashes])], names=[key, "simhash"])
-                begin = stop
-
-    return df.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, simhash string")
+    return _simhashes(unicode.without_blanks(F.coalesce(text, F.lit(""))))
+
+
+def simhash64(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, simhash)`` of each row."""
+    return df.select(key, simhash(F.col(text)).alias("simhash"))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

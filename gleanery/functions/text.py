@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery.config import ACCESS_TERMS, CONFIG, ENTITIES, ERROR_PATTERNS, GENERIC_TOPICS, PROHIBIT_TERMS, Config
+from gleanery.functions import unicode
+from gleanery.functions.unicode import BLANK, trim
 
 
 def decoded(text: Column) -> Column:
@@ -25,14 +27,14 @@ def decoded(text: Column) -> Column:
 
 
 def normalized_title(text: Column) -> Column:
-    """Decoded, blanks (not U+3000) as one space, trimmed."""
-    return F.trim(F.regexp_replace(decoded(text), "[ \\t\\r\\n\\u2028\\u2029]+", " "))
+    """Decoded, blanks (not U+3000) as one space, trimmed of all blanks."""
+    return trim(F.regexp_replace(decoded(text), "[ \\t\\r\\n\\u2028\\u2029]+", " "))
 
 
 def title_ok(title: Column) -> Column:
-    """Two characters or more, no control characters, no symbol four times in a row, at most ten pictographs (by code-point ranges)."""
-    pictographs = F.regexp_count(title, F.lit(r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{1F000}-\x{1FAFF}]"))
-    return (F.length(F.trim(title)) >= 2) & ~title.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]") & ~title.rlike(r"([^\p{L}\p{N}\s])\1{3}") & (pictographs <= 10)
+    """Two characters or more, no control characters, no symbol four times in a row, at most ten pictographs (Extended_Pictographic)."""
+    found = F.regexp_count(title, F.lit(f"[{unicode.PICTOGRAPH}]"))
+    return (F.length(trim(title)) >= 2) & ~title.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]") & ~title.rlike(rf"([^\p{{L}}\p{{N}}{BLANK}])\1{{3}}") & (found <= 10)
 
 
 def stripped(html: Column) -> Column:
@@ -45,29 +47,29 @@ def visible_text(html: Column) -> Column:
     text = F.regexp_replace(stripped(html), "<[^>]+>", " ")
     for name, plain in (*ENTITIES[:4], ("&#39;", "'"), ENTITIES[5]):
         text = F.replace(text, F.lit(name), F.lit(plain))
-    lines = F.transform(F.split(F.regexp_replace(text, "[ \\t]+", " "), "[\\r\\n]+"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.regexp_replace(text, "[ \\t]+", " "), "[\\r\\n]+"), trim)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def one_line(html: Column) -> Column:
-    """The feed form: visible text on one line."""
-    return F.trim(F.regexp_replace(visible_text(html), r"\s+", " "))
+    """The feed form: scripts, styles and tags as blanks, all entities decoded, on one line. What noscript holds stays."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]+>", " ")
+    return unicode.blanks_as_one(decoded(bare))
 
 
-def container(html: Column, tag: str = "article") -> Column:
-    """Inner HTML of the first element of a tag that can't nest; NULL without one."""
-    return F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
+def page_title(html: Column) -> Column:
+    """The page's title, normalised; blank or missing is NULL."""
+    return F.nullif(normalized_title(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " ")), F.lit(""))
 
 
-def headline(html: Column) -> Column:
-    """The first h1 of the article, else the page's title, normalised; blank is NULL."""
-    of = lambda tag: F.nullif(normalized_title(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", "")), F.lit(""))
-    return F.coalesce(of("h1"), of("title"))
+def article_title(heading: Column, html: Column) -> Column:
+    """The text of an article's own heading, else the page's title, normalised; blank is NULL."""
+    return F.coalesce(F.nullif(normalized_title(heading), F.lit("")), page_title(html))
 
 
 def signals(html: Column) -> Column:
     """Struct of text_length (without blanks), link_density and paragraph_count of an article's HTML."""
-    bare = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    bare = lambda c: F.length(unicode.without_blanks(c))
     length = bare(visible_text(html))
     links = F.aggregate(F.regexp_extract_all(stripped(html), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), F.lit(0), lambda n, a: n + bare(visible_text(a)))
     density = F.when(length > 0, F.least(F.lit(1.0), links / length)).otherwise(1.0)
@@ -92,7 +94,7 @@ def restrictive(terms: Column) -> Column:
 
 def generic_topics(topics: Column) -> Column:
     """No topics, or one of the general ones among them."""
-    return topics.isNull() | (F.size(topics) == 0) | F.arrays_overlap(F.transform(topics, lambda t: F.trim(t)), F.array(*map(F.lit, GENERIC_TOPICS)))
+    return topics.isNull() | (F.size(topics) == 0) | F.arrays_overlap(F.transform(topics, trim), F.array(*map(F.lit, GENERIC_TOPICS)))
 
 
 def error_kind(status: Column, code: Column, message: Column) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES, Config
+from gleanery.functions.unicode import BLANK, trim
 
 # Particles and brackets at which an anchor falls into terms.
-PARTICLES = r"(?:の|を|に|は|が|で|と|も|や|から|まで|より|へ|・|、|。|「|」|【|】|\[|\]|\(|\)|\s+)"
+PARTICLES = rf"(?:の|を|に|は|が|で|と|も|や|から|まで|より|へ|・|、|。|「|」|【|】|\[|\]|\(|\)|[{BLANK}]+)"
 # Nouns that need no source.
 CONNECTORS = ("理由", "背景", "経緯", "決め手")
 
@@ -33,13 +34,13 @@ def pii_rule(normal: Column) -> Column:
 
 def anchor_gate(anchor: Column, normal: Column, config: Config = CONFIG) -> Column:
     """ok, anchor_too_short or anchor_prohibited_term; NULL for no anchor."""
-    return F.when(anchor.isNull(), None).when(F.length(F.trim(anchor)) < config.anchor_min, "anchor_too_short").when(pii_rule(normal).isNotNull(), "anchor_prohibited_term").otherwise("ok")
+    return F.when(anchor.isNull(), None).when(F.length(trim(anchor)) < config.anchor_min, "anchor_too_short").when(pii_rule(normal).isNotNull(), "anchor_prohibited_term").otherwise("ok")
 
 
 def feature_terms(normal: Column) -> Column:
     """Distinct terms of two characters or more that aren't only digits and symbols."""
-    terms = F.transform(F.split(normal, PARTICLES), lambda t: F.trim(t))
-    return F.array_distinct(F.filter(terms, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[\p{P}\p{S}0-9０-９\s]+$")))
+    terms = F.transform(F.split(normal, PARTICLES), trim)
+    return F.array_distinct(F.filter(terms, lambda t: (F.length(t) >= 2) & ~t.rlike(rf"^[\p{{P}}\p{{S}}0-9０-９{BLANK}]+$")))
 
 
 def validate_topics(rows: DataFrame, key: str, most: int = 4) -> DataFrame:
@@ -48,14 +49,14 @@ def validate_topics(rows: DataFrame, key: str, most: int = 4) -> DataFrame:
     Reasons in order: length, digits, symbols, personal information, the anchor itself, a repeat of a kept one,
     katakana without a term in the title; beyond the first ``most`` kept ones: over_limit.
     """
-    flat = rows.select(key, F.posexplode("topics").alias("place", "topic"), nfkc("title").alias("title"), nfkc("anchor").alias("anchor")).withColumn("normal", nfkc(F.trim("topic")))
+    flat = rows.select(key, F.posexplode("topics").alias("place", "topic"), nfkc("title").alias("title"), nfkc("anchor").alias("anchor")).withColumn("normal", nfkc(trim(F.col("topic"))))
     n = F.col("normal")
     own = F.filter(feature_terms(n), lambda t: ~t.isin(*CONNECTORS))
     grounded = F.arrays_overlap(F.transform(own, lambda t: F.lower(t)), F.transform(feature_terms(F.coalesce("title", F.lit(""))), lambda t: F.lower(t)))
     katakana = n.rlike(r"[\x{30A1}-\x{30FA}]")
     reason = (
-        F.when(~F.length(n).between(2, 10), "length_out_of_bounds").when(n.rlike(r"[0-9０-９]"), "contains_digit").when(n.rlike(r"[\p{P}\p{S}\s]"), "contains_symbol_or_punctuation")
-        .when(pii_rule(n).isNotNull(), "contains_pii").when(F.coalesce(n == F.trim("anchor"), F.lit(False)), "identical_to_anchor")
+        F.when(~F.length(n).between(2, 10), "length_out_of_bounds").when(n.rlike(r"[0-9０-９]"), "contains_digit").when(n.rlike(rf"[\p{{P}}\p{{S}}{BLANK}]"), "contains_symbol_or_punctuation")
+        .when(pii_rule(n).isNotNull(), "contains_pii").when(F.coalesce(n == trim(F.col("anchor")), F.lit(False)), "identical_to_anchor")
     )
     ungrounded = katakana & (F.size(own) > 0) & ~F.coalesce(grounded, F.lit(False))
     flat = flat.withColumn("first_reason", reason).withColumn("ungrounded", ungrounded)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
-from gleanery.functions import text, urls
+from gleanery.functions import containers, scoring, text, urls
+from gleanery.functions.unicode import trim
 from gleanery.operators.running import running_sums
 
 
@@ -55,17 +56,27 @@ def candidate_outcomes(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
     return keyed.join(outcomes, "url", "left").select("pos", "given", F.coalesce("outcome", F.lit("invalid_url")).alias("outcome"))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """Pages as articles: ``outcome`` (no_title, container_not_found, extraction_insufficient, ready), title and signals.
+def extracted(pages: DataFrame, selectors: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Pages (page_id, url, host, html) as articles, by the ``selectors`` (host, place, selector) of their hosts.
 
-    The slice of text and the HTML reach no output.
+    ``outcome``: no_title (the page has none), container_not_found (the host isn't listed, or nothing matches),
+    extraction_insufficient, or ready. The title is the heading inside the container, else the page's. Ready articles
+    have ``slice``, the first characters of their text, for a judge, and ``body_hash``; neither the slice nor any HTML may
+    reach an output table. A page is parsed once.
     """
-    inner = text.container(F.col("html"))
-    rows = pages.select("page_id", "url", text.headline(F.col("html")).alias("title"), inner.alias("inner"))
-    rows = rows.withColumn("s", F.when(F.col("inner").isNotNull(), text.signals(F.col("inner"))))
-    failed = text.failed_conditions(F.col("s.text_length"), F.col("s.link_density"), F.col("s.paragraph_count"))
-    outcome = F.when(F.col("title").isNull(), "no_title").when(F.col("inner").isNull(), "container_not_found").when(F.size(failed) > 0, "extraction_insufficient").otherwise("ready")
-    return rows.select("page_id", "url", "title", outcome.alias("outcome"), "s.text_length", "s.link_density", "s.paragraph_count", F.array_join(failed, ",").alias("failed"))
+    listed = containers.selectors_by_host(pages.select("page_id", "url", "host", "html", text.page_title(F.col("html")).alias("page_title")), selectors)
+    rows = containers.article_containers(listed, "html", "selectors")
+    title = F.when(F.col("inner_html").isNotNull(), F.coalesce(F.nullif(text.normalized_title(F.col("heading")), F.lit("")), F.col("page_title"))).otherwise(F.col("page_title"))
+    rows = rows.withColumns({"title": title, "s": F.when(F.col("page_title").isNotNull() & F.col("inner_html").isNotNull(), text.signals(F.col("inner_html")))})
+    failed = text.failed_conditions(F.col("s.text_length"), F.col("s.link_density"), F.col("s.paragraph_count"), config)
+    outcome = F.when(F.col("page_title").isNull(), "no_title").when(F.col("inner_html").isNull(), "container_not_found").when(F.size(failed) > 0, "extraction_insufficient").otherwise("ready")
+    rows = rows.withColumn("outcome", outcome).withColumn("ready_text", F.when(F.col("outcome") == "ready", text.visible_text(F.col("inner_html"))))
+    rows = rows.withColumn("hash", scoring.simhash(F.col("ready_text")))
+    known = F.col("ready_text").isNotNull()
+    return rows.select(
+        "page_id", "url", "host", F.when(F.col("outcome") != "no_title", F.col("title")).alias("title"), "outcome", "s.text_length", "s.link_density", "s.paragraph_count", F.array_join(failed, ",").alias("failed"),
+        F.substring("ready_text", 1, config.slice_chars).alias("slice"), F.when(known, F.col("hash")).alias("body_hash"),
+    )
 
 
 def cross_tag_duplicates(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -116,4 +127,4 @@ def stage_outcomes(posts: DataFrame, evidence: DataFrame, config: Config = CONFI
     """Posts with the stage at which they ended: evidence, title, published or dropped."""
     failed = text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), config)
     rows = posts.join(evidence.drop("host"), "id")
-    return rows.withColumn("outcome", F.when(F.size(failed) > 0, "evidence").when(F.length(F.trim("original_title")) < 2, "title").when(F.col("status") == "published", "published").otherwise("dropped"))
+    return rows.withColumn("outcome", F.when(F.size(failed) > 0, "evidence").when(F.length(trim(F.col("original_title"))) < 2, "title").when(F.col("status") == "published", "published").otherwise("dropped"))

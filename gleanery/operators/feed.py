@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import scoring
+from gleanery.functions.unicode import trim
 from gleanery.operators.running import numbered
 
 
@@ -56,7 +57,7 @@ def stale(posts: DataFrame, signature: str, limit: int, force: bool = False) ->
 
 def sliceless(posts: DataFrame, signature: str, limit: int) -> DataFrame:
     """Published stale posts without a usable excerpt."""
-    bare = F.coalesce(F.trim("original_excerpt"), F.lit(""))
+    bare = F.coalesce(trim(F.col("original_excerpt")), F.lit(""))
     return stale(posts.where((F.col("status") == "published") & bare.isin("", "null")), signature, limit)
 
 
@@ -83,7 +84,7 @@ def run_selection(posts: DataFrame, source: str, limit: int) -> DataFrame:
 
 def split_preflight(posts: DataFrame) -> DataFrame:
     """Posts with ``runnable``: an excerpt of five characters or more that isn't "null"."""
-    text = F.trim("original_excerpt")
+    text = trim(F.col("original_excerpt"))
     return posts.withColumn("runnable", F.coalesce((text != "null") & (F.length(text) >= 5), F.lit(False)))
 
 

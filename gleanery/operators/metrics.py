@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
-from gleanery.functions import scoring, text
+from gleanery.functions import scoring, text, unicode
 
 
 def published_since(publications: DataFrame, posts: DataFrame, since: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -138,7 +138,7 @@ def publish_violations(feed: DataFrame, config: Config = CONFIG) -> DataFrame:
     broken = F.array_compact(
         F.array(
             F.when(~text.title_ok(F.coalesce("original_title", F.lit(""))), "title"),
-            F.when(F.length(F.trim("topic_anchor")) < config.anchor_min, "anchor_length"),
+            F.when(F.length(unicode.trim(F.col("topic_anchor"))) < config.anchor_min, "anchor_length"),
             F.when(~F.length("rationale_text").between(config.rationale_min, config.rationale_max), "rationale_length"),
             F.when(~F.coalesce("evidence_sufficient", F.lit(False)), "evidence"),
         )

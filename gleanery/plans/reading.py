@@ -39,6 +39,13 @@ def p01_canonical_url(t):
     return t.candidates.select("pos", F.col("url").alias("given"), urls.canonical_url(F.col("url")).alias("url"), urls.url_key(F.col("url")).alias("url_key"))
 
 
+@query("""SELECT pos, url AS given, CASE n WHEN 0 THEN 'http://www.host' || CAST(page_id AS STRING) || '.example.com/Path' WHEN 1 THEN 'https://h.example.com/p/' || CAST(page_id AS STRING) || '?a=1&&b=2' WHEN 2 THEN 'https://h.example.com/p?q=a+b&c=&k=' || CAST(page_id AS STRING) || '#Top'
+    WHEN 3 THEN 'https://h.example.com:8080/%E7%8C%AB/' || CAST(page_id AS STRING) || '/' WHEN 4 THEN 'https://h.example.com/b%20c?q=%22' || CAST(page_id AS STRING) || '%22' WHEN 7 THEN 'https://u:p@h.example.com/?' END AS url FROM odd_urls""")
+def p01_canonical_cases(t):
+    """URLs made by known steps, and what each step has to come to."""
+    return t.odd_urls.select("pos", F.col("url").alias("given"), urls.canonical_url(F.col("url")).alias("url"))
+
+
 @query("SELECT id, substr(sha256(original_title || chr(0) || coalesce(original_excerpt, '')), 1, 16) AS content_hash FROM posts")
 def p03_content_hash(t):
     return t.posts.select("id", scoring.content_hash(F.col("original_title"), F.col("original_excerpt")).alias("content_hash"))
@@ -59,47 +66,54 @@ def p05_allowed_article(t):
     return cand.allowed_articles(t.candidates, t.allow_list.select("host", F.split("patterns", " ").alias("patterns"))).select("pos", "allowed", "allowed_for_seeding")
 
 
+#: Blanks and pictographs as SQL writes them: of Unicode's data files, not of the jobs.
+WS = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+STRIP = f"regexp_replace({{x}}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+_BARE = f"regexp_replace({{x}}, '[{WS}]+', '', 'g')"
 DECODE = "replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' ')"
 TITLE = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)"
 
 
-@query(rf"""SELECT page_id, trim(regexp_replace({DECODE.format(x=TITLE)}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')) AS title FROM pages""")
+_PLAIN_TITLE = STRIP.format(x="regexp_replace(" + DECODE.format(x=TITLE) + r", '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
+
+
+@query(f"SELECT page_id, {_PLAIN_TITLE} AS title FROM articles")
 def p06_normalize_titles(t):
-    return t.pages.select("page_id", text.normalized_title(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)).alias("title"))
+    return t.articles.select("page_id", text.normalized_title(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-_PICTOGRAPHS = r"[\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}\x{2934}-\x{2B55}\x{1F000}-\x{1FAFF}]"
+_PICTOGRAPHS = r"[\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}\x{231B}\x{2328}\x{2388}\x{23CF}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2600}-\x{2605}\x{2607}-\x{2612}\x{2614}-\x{2685}\x{2690}-\x{2705}\x{2708}-\x{2712}\x{2714}\x{2716}\x{1F300}-\x{1F3FA}\x{1F400}-\x{1F53D}\x{1F546}-\x{1F64F}]"
 
 
 def title_ok_sql(x: str) -> str:
-    return rf"""(length(trim({x})) >= 2 AND NOT regexp_matches({x}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AND len(regexp_extract_all({x}, '{_PICTOGRAPHS}')) <= 10
-    AND len(list_filter(range(1, length({x}) - 2), lambda i: substr({x}, i, 4) = repeat(substr({x}, i, 1), 4) AND NOT regexp_matches(substr({x}, i, 1), '[\p{{L}}\p{{N}}\s]'))) = 0)"""
+    return rf"""(length({STRIP.format(x=x)}) >= 2 AND NOT regexp_matches({x}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AND len(regexp_extract_all({x}, '{_PICTOGRAPHS}')) <= 10
+    AND len(list_filter(range(1, length({x}) - 2), lambda i: substr({x}, i, 4) = repeat(substr({x}, i, 1), 4) AND NOT regexp_matches(substr({x}, i, 1), '[\p{{L}}\p{{N}}{WS}]'))) = 0)"""
 
 
-@query(f"SELECT id, {title_ok_sql('original_title')} AS title_ok FROM posts")
+@query(f"SELECT doc_id, {title_ok_sql('title')} AS title_ok FROM titles")
 def p07_title_filter(t):
-    return t.posts.select("id", text.title_ok(F.col("original_title")).alias("title_ok"))
+    return t.titles.select("doc_id", text.title_ok(F.col("title")).alias("title_ok"))
 
 
-_VISIBLE = r"""array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({stripped}, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '[ \t]+', ' ', 'g'), '[\r\n]+'), lambda x: trim(x)), lambda x: x <> ''), chr(10))"""
+_VISIBLE = r"""array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({stripped}, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '[ \t]+', ' ', 'g'), '[\r\n]+'), lambda x: @STRIP@), lambda x: x <> ''), chr(10))""".replace("@STRIP@", STRIP.format(x="x"))
 _STRIPPED = r"regexp_replace({x}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->', '', 'g')"
 
 
-@query(f"SELECT page_id, {_VISIBLE.format(stripped=_STRIPPED.format(x='html'))} AS visible_text FROM pages")
+@query(f"SELECT page_id, {_VISIBLE.format(stripped=_STRIPPED.format(x='html'))} AS visible_text FROM articles")
 def p08_visible_text(t):
-    return t.pages.select("page_id", text.visible_text(F.col("html")).alias("visible_text"))
+    return t.articles.select("page_id", text.visible_text(F.col("html")).alias("visible_text"))
 
 
 _INNER = r"nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '')"
-_SIGNALS = f"""SELECT page_id, inner_html, length(regexp_replace({_VISIBLE.format(stripped=_STRIPPED.format(x="inner_html"))}, '\\s+', '', 'g')) AS text_length,
-    coalesce(list_sum(list_transform(regexp_extract_all({_STRIPPED.format(x="inner_html")}, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda a: length(regexp_replace({_VISIBLE.format(stripped="a")}, '\\s+', '', 'g')))), 0) AS link_length,
-    len(regexp_extract_all(inner_html, '(?i)<p[\\s>]')) AS paragraph_count FROM (SELECT page_id, {_INNER} AS inner_html FROM pages)"""
+_SIGNALS = f"""SELECT page_id, inner_html, length({_BARE.format(x=_VISIBLE.format(stripped=_STRIPPED.format(x="inner_html")))}) AS text_length,
+    coalesce(list_sum(list_transform(regexp_extract_all({_STRIPPED.format(x="inner_html")}, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda a: length({_BARE.format(x=_VISIBLE.format(stripped="a"))}))), 0) AS link_length,
+    len(regexp_extract_all(inner_html, '(?i)<p[\\s>]')) AS paragraph_count FROM (SELECT page_id, {_INNER} AS inner_html FROM articles)"""
 
 
 @query(f"SELECT page_id, text_length, CASE WHEN text_length > 0 THEN least(1.0, link_length / text_length) ELSE 1.0 END AS link_density, paragraph_count FROM ({_SIGNALS}) WHERE inner_html IS NOT NULL")
 def p11_evidence_signals(t):
-    inner = t.pages.select("page_id", text.container(F.col("html")).alias("inner")).where("inner is not null")
-    return inner.select("page_id", text.signals(F.col("inner")).alias("s")).select("page_id", "s.*")
+    inner = containers.article_containers(t.articles.withColumn("selectors", F.array(F.lit("article"))), "html", "selectors").where("inner_html is not null")
+    return inner.select("page_id", text.signals(F.col("inner_html")).alias("s")).select("page_id", "s.*")
 
 
 @query("""SELECT id, host, array_to_string(list_filter([CASE WHEN text_length < 30 THEN 'text_length' END, CASE WHEN link_density > 0.7 THEN 'link_density' END, CASE WHEN paragraph_count < 1 THEN 'paragraph_count' END], lambda x: x IS NOT NULL), ',') AS failed,
@@ -110,12 +124,16 @@ def p12_evidence_gate(t):
 
 
 PLAIN = r"nullif(trim(regexp_replace({x}, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')), '')"
-_HEAD = "coalesce(" + ", ".join(PLAIN.format(x=DECODE.format(x=rf"regexp_replace(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]+>', '', 'g')")) for tag in ("h1", "title")) + ")"
+_ONE = "nullif(" + STRIP.format(x=r"regexp_replace(@X@, '[ \t\r\n\x{{2028}}\x{{2029}}]+', ' ', 'g')".replace("{{", "{").replace("}}", "}")) + ", '')"
+_PAGE = _ONE.replace("@X@", DECODE.format(x="regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')"))
+_OWN = _ONE.replace("@X@", DECODE.format(x="regexp_replace(regexp_extract(inner_html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"))
 
 
-@query(f"SELECT page_id, {_HEAD} AS title FROM pages")
+@query(f"SELECT page_id, coalesce({_OWN}, {_PAGE}) AS title FROM (SELECT page_id, html, {_INNER} AS inner_html FROM articles)")
 def p10_article_titles(t):
-    return t.pages.select("page_id", text.headline(F.col("html")).alias("title"))
+    """The heading inside the container: the pages have another one, with the site's name, before it."""
+    found = containers.article_containers(t.articles.select("page_id", F.col("html").alias("page"), "html", F.array(F.lit("article")).alias("selectors")), "html", "selectors")
+    return found.select("page_id", text.article_title(F.col("heading"), F.col("page")).alias("title"))
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN {_INNER} END AS inner_html FROM pages")
@@ -128,24 +146,34 @@ def p09_article_container(t):
 _FAILED = "list_filter([CASE WHEN text_length < 30 THEN 'text_length' END, CASE WHEN density > 0.7 THEN 'link_density' END, CASE WHEN paragraph_count < 1 THEN 'paragraph_count' END], lambda x: x IS NOT NULL)"
 
 
-@query(f"""WITH s AS (SELECT *, CASE WHEN inner_html IS NOT NULL THEN CASE WHEN text_length > 0 THEN least(1.0, link_length / text_length) ELSE 1.0 END END AS density FROM ({_SIGNALS})), p AS (SELECT page_id, url, {_HEAD} AS title FROM pages)
-    SELECT page_id, url, title, CASE WHEN title IS NULL THEN 'no_title' WHEN inner_html IS NULL THEN 'container_not_found' WHEN len({_FAILED}) > 0 THEN 'extraction_insufficient' ELSE 'ready' END AS outcome,
-    CASE WHEN inner_html IS NOT NULL THEN text_length END AS text_length, density AS link_density, CASE WHEN inner_html IS NOT NULL THEN paragraph_count END AS paragraph_count, array_to_string({_FAILED}, ',') AS failed FROM p JOIN s USING (page_id)""")
-def p13_extract_articles(t):
-    return cand.extracted(t.pages)
-
-
 _BITS = ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}" for b in range(64))
 _WORD = " + ".join(f"(CASE WHEN b{b} > 0 THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
 
 
-SIMHASH = rf"""(WITH bare AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS s FROM {{rows}}),
+SIMHASH = rf"""(WITH bare AS (SELECT doc_id, {_BARE.format(x="coalesce(text, '')")} AS s FROM {{rows}}),
     shingles AS (SELECT doc_id, unnest(CASE WHEN length(s) >= 4 THEN list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)) WHEN length(s) > 0 THEN [s] ELSE [NULL] END) AS shingle FROM bare),
     hashed AS (SELECT doc_id, ('0x' || substr(sha256(shingle), 1, 16))::UBIGINT AS h FROM shingles),
     bits AS (SELECT doc_id, count(h) AS n, {_BITS} FROM hashed GROUP BY doc_id)
     SELECT doc_id, CASE WHEN n = 0 THEN repeat('0', 16) ELSE lower(lpad(to_hex({_WORD}), 16, '0')) END AS simhash FROM bits)"""
 
 
+_LISTED = "host NOT LIKE 'm.%'"
+_READY = f"(SELECT page_id AS doc_id, {_VISIBLE.format(stripped=_STRIPPED.format(x='inner_html'))} AS text FROM (SELECT page_id, {_INNER} AS inner_html FROM articles) WHERE inner_html IS NOT NULL)"
+
+
+@query(f"""WITH a AS (SELECT page_id, url, host, html, CASE WHEN {_LISTED} THEN {_INNER} END AS inner_html FROM articles),
+    s AS (SELECT a.page_id, url, host, {_PAGE} AS page_title, {_OWN.replace("inner_html", "a.inner_html")} AS own, a.inner_html, text_length, CASE WHEN text_length > 0 THEN least(1.0, link_length / text_length) ELSE 1.0 END AS density, paragraph_count FROM a JOIN ({_SIGNALS}) g ON g.page_id = a.page_id),
+    o AS (SELECT *, CASE WHEN page_title IS NULL THEN 'no_title' WHEN inner_html IS NULL THEN 'container_not_found' WHEN len({_FAILED}) > 0 THEN 'extraction_insufficient' ELSE 'ready' END AS outcome, page_title IS NOT NULL AND inner_html IS NOT NULL AS judged_here FROM s)
+    SELECT page_id, url, host, CASE WHEN page_title IS NOT NULL THEN CASE WHEN inner_html IS NOT NULL THEN coalesce(own, page_title) ELSE page_title END END AS title, outcome, CASE WHEN judged_here THEN text_length END AS text_length, CASE WHEN judged_here THEN density END AS link_density,
+    CASE WHEN judged_here THEN paragraph_count END AS paragraph_count, CASE WHEN judged_here THEN array_to_string({_FAILED}, ',') ELSE '' END AS failed, CASE WHEN outcome = 'ready' THEN least(length(r.text), 1500) END AS slice_length, CASE WHEN outcome = 'ready' THEN simhash END AS body_hash
+    FROM o LEFT JOIN {_READY} r ON r.doc_id = o.page_id LEFT JOIN {SIMHASH.format(rows=_READY)} h ON h.doc_id = o.page_id""")
+def p13_extract_articles(t):
+    """Mobile hosts aren't listed; the others have a selector that fits nothing before the one that does."""
+    listed = t.articles.where("host not like 'm.%'").select("host").distinct()
+    selectors = listed.select("host", F.lit(1).alias("place"), F.lit("div.story-body").alias("selector")).unionByName(listed.select("host", F.lit(2).alias("place"), F.lit("article").alias("selector")))
+    return cand.extracted(t.articles, selectors).withColumn("slice_length", F.length("slice")).drop("slice")
+
+
 @query(f"SELECT * FROM {SIMHASH.format(rows='documents')}")
 def p14_simhash64(t):
     return scoring.simhash64(t.documents.select("doc_id", "text"), "doc_id", "text")

@@ -10,7 +10,7 @@ from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES
 from gleanery.functions import scoring, topics
 from gleanery.operators import feed, merges, metrics, responses, robots
 from gleanery.plans.catalog import epoch, query
-from gleanery.plans.reading import COMPLETE, DECODE, PLAIN, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH, TITLE
+from gleanery.plans.reading import COMPLETE, DECODE, PLAIN, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH, STRIP, TITLE, WS
 from gleanery.sources import feeds
 from gleanery.sources.tables import shared_dir
 
@@ -94,7 +94,7 @@ def p16_pii_scan(t):
     return t.documents.select("doc_id", topics.pii_rule(topics.nfkc("text")).alias("rule"))
 
 
-@query(f"SELECT post_id, CASE WHEN topic_anchor IS NULL THEN NULL WHEN length(trim(topic_anchor)) < 6 THEN 'anchor_too_short' WHEN {rule_sql('topic_anchor')} IS NOT NULL THEN 'anchor_prohibited_term' ELSE 'ok' END AS gate FROM rationales")
+@query(f"SELECT post_id, CASE WHEN topic_anchor IS NULL THEN NULL WHEN length({STRIP.format(x='topic_anchor')}) < 6 THEN 'anchor_too_short' WHEN {rule_sql('topic_anchor')} IS NOT NULL THEN 'anchor_prohibited_term' ELSE 'ok' END AS gate FROM rationales")
 def p17_anchor_gate(t):
     return t.rationales.select("post_id", topics.anchor_gate(F.col("topic_anchor"), topics.nfkc("topic_anchor")).alias("gate"))
 
@@ -107,9 +107,9 @@ def p18_feature_terms(t):
 _OWN = f"list_transform(list_filter({_TERMS.format(x='n')}, lambda t: t NOT IN ('理由', '背景', '経緯', '決め手')), lambda t: lower(t))"
 
 
-@query(rf"""WITH lists AS (SELECT r.post_id, string_split(topics, '|') AS l, original_title AS title, anchor FROM raw_topics r JOIN posts p ON p.id = r.post_id), flat AS (SELECT post_id, title, anchor, unnest(range(len(l))) AS place, unnest(l) AS topic FROM lists), named AS (SELECT *, trim(topic) AS n FROM flat),
+@query(rf"""WITH lists AS (SELECT r.post_id, string_split(topics, '|') AS l, original_title AS title, anchor FROM raw_topics r JOIN posts p ON p.id = r.post_id), flat AS (SELECT post_id, title, anchor, unnest(range(len(l))) AS place, unnest(l) AS topic FROM lists), named AS (SELECT *, {STRIP.format(x='topic')} AS n FROM flat),
     weighed AS (SELECT *, CASE WHEN length(n) NOT BETWEEN 2 AND 10 THEN 'length_out_of_bounds' WHEN regexp_matches(n, '[0-9０-９]') THEN 'contains_digit' WHEN regexp_matches(n, '[\p{{P}}\p{{S}}\s]') THEN 'contains_symbol_or_punctuation'
-        WHEN {rule_sql("n")} IS NOT NULL THEN 'contains_pii' WHEN coalesce(n = trim(anchor), FALSE) THEN 'identical_to_anchor' END AS first_reason,
+        WHEN {rule_sql("n")} IS NOT NULL THEN 'contains_pii' WHEN coalesce(n = {STRIP.format(x="anchor")}, FALSE) THEN 'identical_to_anchor' END AS first_reason,
         regexp_matches(n, '[\x{{30A1}}-\x{{30FA}}]') AND len({_OWN}) > 0 AND NOT coalesce(list_has_any({_OWN}, list_transform({_TERMS.format(x="coalesce(title, '')")}, lambda t: lower(t))), FALSE) AS ungrounded FROM named),
     able AS (SELECT *, first_reason IS NULL AND NOT ungrounded AS able FROM weighed), counted AS (SELECT *, row_number() OVER (PARTITION BY post_id, able, lower(n) ORDER BY place) AS nth FROM able), ranked AS (SELECT *, sum(CAST(able AND nth = 1 AS INT)) OVER (PARTITION BY post_id ORDER BY place) AS rank FROM counted)
     SELECT post_id, place, topic, n AS normal, coalesce(first_reason, CASE WHEN ungrounded THEN 'ungrounded_proper_noun' WHEN nth > 1 THEN 'duplicate_topic' WHEN rank > 4 THEN 'over_limit' END) AS reason FROM ranked""")

@@ -40,6 +40,13 @@ INPUTS: dict[str, str] = {
     "removals": """SELECT doc_id AS post_id, CASE WHEN doc_id % 17 = 0 THEN 'dropped' ELSE 'retracted' END AS kind, 'reason' || CAST(doc_id % 5 AS STRING) AS reason, TIMESTAMP '2024-06-01 00:00:00' + doc_id * INTERVAL '1' MINUTE AS removed_at
         FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 UNION ALL
         SELECT doc_id, 'retracted', 'later', TIMESTAMP '2024-07-01 00:00:00' + doc_id * INTERVAL '1' MINUTE FROM documents WHERE doc_id % 34 = 0""",
+    "odd_urls": """SELECT page_id * 10 + v.n AS pos, page_id, v.n AS n, CASE v.n WHEN 0 THEN 'HTTP://WWW.Host' || CAST(page_id AS STRING) || '.example.com:80/Path/./x/../' WHEN 1 THEN 'https://h.example.com:443/p/' || CAST(page_id AS STRING) || '?a=1&&b=2'
+        WHEN 2 THEN 'https://h.example.com/p?utm%5Fsource=x&q=a%20b&c&k=' || CAST(page_id AS STRING) || '#Top' WHEN 3 THEN '  https://h.example.com:8080/猫/' || CAST(page_id AS STRING) || '//?FBCLID=1 ' WHEN 4 THEN 'https://h.example.com/a/%2e%2E/b c?q="' || CAST(page_id AS STRING) || '"'
+        WHEN 5 THEN 'https://bad host/' || CAST(page_id AS STRING) WHEN 6 THEN 'https://h.example.com:70000/' ELSE 'https://u:p@H.example.com/?' END AS url FROM pages, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) v""",
+    "articles": """SELECT page_id, url, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, replace(replace(replace(replace(html, '<body>', '<body><header><h1>Site name</h1></header>'), '<p>', CASE page_id % 3 WHEN 0 THEN '<p>　' WHEN 1 THEN '<p>\u00a0' ELSE '<p>&nbsp;' END),
+        '<title>', CASE page_id % 8 WHEN 0 THEN '<title>　' WHEN 1 THEN '<title></title><x>' ELSE '<title>' END), '<h1>', CASE page_id % 5 WHEN 0 THEN '<h2>' ELSE '<h1 class="t">　' END) AS html FROM pages""",
+    "titles": """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN repeat('●○▲', 4) || source WHEN 1 THEN repeat('😀★☂', 4) || source WHEN 2 THEN '　' || substr(text, 1, 1) || '　' WHEN 3 THEN substr(text, 1, 3) || '!!!!' WHEN 4 THEN substr(text, 1, 3) || '\u2003\u2003\u2003\u2003' || source WHEN 5 THEN repeat('☂', 10) || source
+        WHEN 6 THEN repeat('☂✈', 6) || source WHEN 7 THEN substr(text, 1, 5) || chr(7) ELSE split_part(text, chr(10), 1) END AS title FROM documents""",
     "candidates": """SELECT page_id * 10 + v.n AS pos, CASE v.n WHEN 0 THEN url WHEN 1 THEN url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_medium=x&fbclid=1'
         WHEN 2 THEN upper(substr(url, 1, 8)) || substr(url, 9) ELSE 'ftp://' || CAST(page_id AS STRING) END AS url, 'tag' || CAST((page_id + v.n) % 3 AS STRING) AS tag, html AS body,
         CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'Page ' || CAST(page_id AS STRING) END AS title, CASE WHEN (page_id + v.n) % 4 = 0 THEN NULL ELSE 'site' || CAST(page_id % 7 AS STRING) END AS source_name,

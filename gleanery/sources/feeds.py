@@ -21,7 +21,7 @@ RSS, RDF, ATOM = f"channel STRUCT<item: ARRAY<{_ITEM}>>", f"item ARRAY<{_ITEM}>"
 
 
 def _blank(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(text.trim(c), F.lit(""))
 
 
 def timestamp(raw: Column) -> Column:
@@ -140,16 +140,16 @@ def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Authors that are blank, ``undefined``, ``null`` or longer than 120 characters are none; so is an article:author that is a URL.
     """
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    attribute = lambda tag, names: F.lower(F.regexp_extract(tag, rf"""(?is)\b(?:{names})\s*=\s*["']([^"']*)["']""", 1))
-    value = lambda tag: F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+    attribute = lambda tag, names: F.lower(F.regexp_extract(tag, rf"""(?is)\b(?:{names})\s*=\s*(["'])(.*?)\1""", 2))
+    value = lambda tag: F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(["'])(.*?)\1""", 2)
     named = F.transform(tags, lambda t: F.struct(attribute(t, "property|name").alias("key"), text.decoded(value(t)).alias("value")))
     scripts = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
     plain = F.nullif(F.regexp_extract(F.col(html), r"(?is)<title\b[^>]*>(.*?)</title>", 1), F.lit(""))
     keep = [c for c in pages.columns if c != html]
     rows = pages.select(*keep, named.alias("_m"), plain.alias("_title"), linked_data(scripts).alias("_ld"))
-    meta = lambda key: F.get(F.filter("_m", lambda x: (x["key"] == key) & (F.trim(x["value"]) != "")), 0)["value"]
-    usable = lambda c: F.when((F.trim(c) != "") & ~F.lower(F.trim(c)).isin("undefined", "null") & (F.length(F.trim(c)) <= 120), F.trim(c))
+    meta = lambda key: F.get(F.filter("_m", lambda x: (x["key"] == key) & (text.trim(x["value"]) != "")), 0)["value"]
+    usable = lambda c: F.when((text.trim(c) != "") & ~F.lower(text.trim(c)).isin("undefined", "null") & (F.length(text.trim(c)) <= 120), text.trim(c))
     author = F.coalesce("_ld.author", F.when(~meta("article:author").rlike("^https?://"), meta("article:author")), meta("author"), meta("dc.creator"))
     return rows.select(
         *keep, text.normalized_title(F.coalesce(meta("og:title"), "_title")).alias("title"), F.coalesce(meta("og:description"), meta("description")).alias("description"), meta("og:image").alias("image"),

@@ -30,6 +30,34 @@ def test_canonical_urls(spark):
         "http://a.b/c/": "http://a.b/c",
         "http://a.b/c?utm_x=1": "http://a.b/c",
         "http://a.b/c?UTM_X=1&B=2": "http://a.b/c?B=2",
+        "http://a.b/c?utm%5Fsource=1&q=a%20b&&c": "http://a.b/c?q=a+b&c=",  # written again in form encoding once a parameter goes
+        "http://a.b/c?q=a%20b&&c&=": "http://a.b/c?q=a%20b&&c&=",  # as it is otherwise
+        "http://a.b/c?q=%&fbclid": "http://a.b/c?q=%25",
+        "http://a.b/c?%E7%8C%AB=%e7%8c%ab&utm_x": "http://a.b/c?%E7%8C%AB=%E7%8C%AB",
+        "http://a.b/?": "http://a.b/?",
+        "http://a.b/?utm_x=1": "http://a.b/",
+        "http://a.b/#": "http://a.b/#",
+        "http://a.b:80/x": "http://a.b/x",
+        "https://a.b:443": "https://a.b/",
+        "https://a.b:080/x": "https://a.b:80/x",
+        "http://a.b:/x": "http://a.b/x",
+        "http://u:p@A.b:81/x": "http://u:p@a.b:81/x",
+        "http://a.b/x/../y/./z/..": "http://a.b/y",
+        "http://a.b/../..": "http://a.b/",
+        "http://a.b/%2E%2e/x/%2e": "http://a.b/x",
+        "http://a.b/c//": "http://a.b/c/",
+        "http://a.b\\c\\d": "http://a.b/c/d",
+        "https:a.b/c": "https://a.b/c",
+        " \thttp://a.b/c\nd ": "http://a.b/cd",
+        "http://a.b/ア?イ#ウ": "http://a.b/%E3%82%A2?%E3%82%A4#%E3%82%A6",
+        "http://a.b/a b<c>?d'e": "http://a.b/a%20b%3Cc%3E?d%27e",
+        "http://[2001:DB8::1]:80/": "http://[2001:db8::1]/",
+        "https://www.instagram.com/p/CUbHfhpswxt/": "https://www.instagram.com/p/CUbHfhpswxt",
+        "http://a b/": None,
+        "http://a.b:99999/": None,
+        "http://a.b:x/": None,
+        "http://": None,
+        "javascript:alert(1)": None,
         "ftp://a.b/c": None,
         "nothing": None,
         None: None,
@@ -37,6 +65,59 @@ def test_canonical_urls(spark):
     assert one(spark, urls.canonical_url(F.col("x")), *cases) == list(cases.values())
 
 
+def test_canonical_urls_are_canonical(spark):
+    odd = ["http://A.b:80/x/../%7e y/?utm_a=1&b=%7E#é", "https://a.b//c/?q=+%2B+&fbclid=1", "http://a.b/?a=1&&b"]
+    once = one(spark, urls.canonical_url(F.col("x")), *odd)
+    assert one(spark, urls.canonical_url(F.col("x")), *once) == once
+
+
+def test_titles_with_pictographs_and_wide_blanks(spark):
+    cases = {"●" * 3 + "○" * 3 + "▲" * 3 + "◆" * 2 + "ok": True, "☂★" * 5: True, "☂★" * 5 + "😀": False, "　題　": False, "　題名　": True, "!!!!": False, "題!!!!": False, "題!!!": True, "題\u3000\u3000\u3000\u3000名": True, "題\x07名": False}
+    assert one(spark, text.title_ok(F.col("x")), *cases) == list(cases.values())
+    assert one(spark, text.normalized_title(F.col("x")), "　題名\u00a0", "a　b\t\tc", "\ufeff&#x3042;&#12356;&amp;") == ["題名", "a　b c", "あい&"]
+
+
+def test_wide_blanks_are_no_text(spark):
+    html = "<p>　本文　です</p>\n<p>\u00a0x</p>"
+    assert one(spark, text.visible_text(F.col("x")), html) == ["本文　です\nx"]
+    assert [r.text_length for r in one(spark, text.signals(F.col("x")), html, "<p>　本文　です</p>", "　\u2003\ufeff")] == [5, 4, 0]
+    hashes = one(spark, scoring.simhash(F.col("x")), "本文　です", "本文です", "本 文\u00a0で\u2028す")
+    assert len(set(hashes)) == 1
+
+
+def test_feed_texts_keep_noscript_and_decode_numbers(spark):
+    html = ["It&#8217;s <noscript>kept</noscript>", "a<script>x</script>b<style>y</style>c", "  a　\u00a0b&nbsp; ", "<!-- c -->d"]
+    assert one(spark, text.one_line(F.col("x")), *html) == ["It’s kept", "a b c", "a b", "d"]
+
+
+def test_metadata_values_end_at_their_own_quote(spark):
+    pages = ["""<meta property="og:title" content="It's here"><meta name='description' content='say "hi" > now'>""", """<META content='A "b"' PROPERTY='og:title'>"""]
+    rows = feeds.page_metadata(spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "page_id int, html string")).orderBy("page_id").collect()
+    assert [r.title for r in rows] == ["It's here", 'A "b"'] and rows[0].description == 'say "hi" > now'
+
+
+def test_extracted_articles(spark):
+    body = "<p>" + "text of the article " * 5 + "</p>"
+    pages = [
+        (1, "h", f"<title>Page</title><header><h1>Site name</h1></header><article><h1>Real &amp; <b>headline</b></h1>{body}</article>", "Real & headline", "ready"),
+        (2, "h", f"<title> Page&nbsp;</title><h1>Site name</h1><article>{body}</article>", "Page", "ready"),
+        (3, "other", f"<title>Page</title><article>{body}</article>", "Page", "container_not_found"),
+        (4, "h", f"<h1>x</h1><article><h1>Real</h1>{body}</article>", None, "no_title"),
+        (5, "h", "<title>Page</title><article><h1>　</h1><p>short</p></article>", "Page", "extraction_insufficient"),
+        (6, "h", f"<title>Page</title><main><h1>First</h1><article><h1>Second</h1>{body}</article></main>", "First", "ready"),
+        (7, "h", "<title>Page</title>", "Page", "container_not_found"),
+        (8, "h", None, None, "no_title"),
+        (9, "h", f"<title>Page</title><article><h1>Long</h1><p>{'猫' * 2000}</p></article>", "Long", "ready"),
+    ]
+    df = spark.createDataFrame([(k, f"u{k}", h, html) for k, h, html, _, _ in pages], "page_id int, url string, host string, html string")
+    rules = spark.createDataFrame([("h", 1, "main"), ("h", 2, "article")], "host string, place int, selector string")
+    got = {r.page_id: r for r in candidates.extracted(df, rules).collect()}
+    assert {k: (r.title, r.outcome) for k, r in got.items()} == {k: (t, o) for k, _, _, t, o in pages}
+    assert got[9].slice == "Long " + "猫" * 1495 and len(got[9].body_hash) == 16 and got[5].failed == "text_length" and got[5].body_hash is None and got[3].text_length is None
+    inner = f"<h1>Real &amp; <b>headline</b></h1>{body}"
+    assert got[1].body_hash == one(spark, scoring.simhash(text.visible_text(F.col("x"))), inner)[0]
+
+
 def test_embed_providers(spark):
     cases = {
         "https://www.instagram.com/reel/abc/": "instagram", "https://instagram.com/user": "none", "https://www.tiktok.com/@me/video/12": "tiktok", "https://youtu.be/x": "youtube",
@@ -46,7 +127,7 @@ def test_embed_providers(spark):
 
 
 def test_titles(spark):
-    assert one(spark, text.normalized_title(F.col("x")), " a&#x3042;&#12354; &amp;lt;\n b　", None) == ["aああ < b　", None]
+    assert one(spark, text.normalized_title(F.col("x")), " a&#x3042;&#12354; &amp;lt;\n b　", None) == ["aああ < b", None]
     cases = {"a": False, "ab": True, "a\x07b": False, "!!!!": False, "!!!a": True, "\N{PARTY POPPER} a" * 10: True, "\N{PARTY POPPER} a" * 11: False}
     assert one(spark, text.title_ok(F.col("x")), *cases) == list(cases.values())
 
