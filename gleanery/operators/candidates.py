@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
 from gleanery.functions import containers, scoring, text, urls
-from gleanery.functions.unicode import trim
 from gleanery.operators.running import running_sums
 
 
@@ -121,10 +120,3 @@ def attributed(rows: DataFrame, posts: DataFrame, key: str = "id") -> DataFrame:
     """``rows`` with the source of their post, ``unknown`` where the post or its source is missing; ``orphan``: there is no such post."""
     joined = rows.join(posts.select(F.col("id").alias(key), "source_id", "source_name", F.lit(True).alias("_known")), key, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("source_id", "source_name")} | {"orphan": F.col("_known").isNull()}).drop("_known")
-
-
-def stage_outcomes(posts: DataFrame, evidence: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Posts with the stage at which they ended: evidence, title, published or dropped."""
-    failed = text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), config)
-    rows = posts.join(evidence.drop("host"), "id")
-    return rows.withColumn("outcome", F.when(F.size(failed) > 0, "evidence").when(F.length(trim(F.col("original_title"))) < 2, "title").when(F.col("status") == "published", "published").otherwise("dropped"))

@@ -6,11 +6,14 @@ or is the body of a foreachBatch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG, KEPT_OUTCOMES, SKIPPED_OUTCOMES, Config
 from gleanery.functions import scoring
+from gleanery.sources.releases import Releases
 from gleanery.sources.tables import discarded, kept
 
 #: What a new entry of a known URL may change.
@@ -33,11 +36,13 @@ def upsert_posts(current: DataFrame, delta: DataFrame) -> DataFrame:
 def mark_curated(current: DataFrame, updates: DataFrame, removals: DataFrame) -> DataFrame:
     """Posts with curation results (id, has_title, ai_title, has_category, category, content_hash, curation_signature, status): a value counts only if it was supplied, the status only if the post isn't removed."""
     gone = removals.select(F.col("post_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    more = [c for c in ("ai_summary", "tag") if c in updates.columns and c in current.columns]
     u = updates.select("id", F.struct(*(c for c in updates.columns if c != "id")).alias("u"))
     joined = current.join(u, "id", "left").join(gone, "id", "left")
     given = F.col("u").isNotNull()
     return joined.select(
-        *(c for c in current.columns if c not in ("ai_title", "category", "content_hash", "curation_signature", "status")),
+        *(c for c in current.columns if c not in ("ai_title", "category", "content_hash", "curation_signature", "status", *more)),
+        *(F.when(given & F.col(f"u.{c}").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c) for c in more),
         F.when(given & F.col("u.has_title"), F.col("u.ai_title")).otherwise(F.col("ai_title")).alias("ai_title"),
         F.when(given & F.col("u.has_category"), F.col("u.category")).otherwise(F.col("category")).alias("category"),
         F.when(given, F.col("u.content_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
@@ -248,11 +253,70 @@ def append_observations(articles: DataFrame, path: str) -> DataFrame:
     return articles.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def publish_outcomes(posts: DataFrame, criteria: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Graded posts (with ``rss``: they come from a feed): status by the gate's points, tag, and the hash of what was graded, which for feeds has the excerpt in place of a body."""
-    rss = F.col("rss")
-    rows = posts.join(criteria.select(F.col("post_id").alias("id"), "criteria_json"), "id")
-    return rows.select(
-        "id", F.when(scoring.usefulness(F.col("criteria_json"), config) >= config.gate_points, "published").otherwise("rejected").alias("status"), F.when(rss, F.col("tag")).otherwise("classic").alias("tag"),
-        F.when(rss, "surrogate").otherwise("body").alias("hash_kind"), scoring.content_hash(F.col("original_title"), F.when(rss, F.col("original_excerpt"))).alias("content_hash"),
-    )
+#: Columns of judged candidates, as ``publication_deltas`` takes them.
+JUDGED = (
+    "url", "host", "lane", "title", "excerpt", "outcome", "detail", "summary", "category", "tag", "criteria_json", "topic_anchor", "rationale_text", "topics", "text_length", "link_density", "paragraph_count", "body_hash",
+)
+
+
+def publication_deltas(judged: DataFrame, posts: DataFrame, now: Column, signature: str, model: str) -> dict[str, DataFrame]:
+    """One outcome table (``JUDGED``, a row for each url) fanned out: ``posts`` and ``updates`` for M-1 and M-2, and ``criteria``, ``rationales``, ``topics``, ``publications`` and ``removals`` for M-3 to M-9.
+
+    ``outcome`` is ``accepted`` or the reason of a drop, ``detail`` more about it. Accepted articles of a feed keep the
+    model's tag, and their hash covers title and excerpt, for want of a body; discovered ones are always classic, hashed by
+    title, and published with their signals and the hash of their body. Dropped discoveries become rejected posts named by
+    their page's title, else by their url; a feed's drops have a post already, and only lose it.
+    """
+    ids = posts.select("url", F.col("id").alias("_known"))
+    rows = judged.select(*JUDGED).join(ids, "url", "left").withColumn("id", F.coalesce("_known", F.xxhash64("url")))
+    feed = F.col("lane") != "discovery"
+    good = F.col("outcome") == "accepted"
+    titled = F.coalesce("title", "url")
+    rows = rows.withColumns({"named": titled, "hash": scoring.content_hash(titled, F.when(feed, F.col("excerpt")))})
+    empty = lambda kind: F.lit(None).cast(kind)
+    fresh = {
+        "id": F.col("id"), "host": F.col("host"), "source_type": F.lit("blog"), "source_id": F.when(feed, F.col("lane")).otherwise("evergreen"), "source_name": F.col("host"), "original_title": F.col("named"), "original_excerpt": F.when(feed, F.col("excerpt")),
+        "created_at": now, "updated_at": now, "status": F.when(good, "published").otherwise("rejected"),
+    }
+    kinds = {f.name: f.dataType for f in posts.schema}
+    discovered = rows.where(~feed)
+    accepted = rows.where(good)
+    failed = F.when(F.col("outcome") == "extraction_insufficient", F.coalesce("detail", F.lit("unknown"))).otherwise(F.col("detail"))
+    return {
+        "posts": discovered.select("url", *(fresh.get(c, empty(kinds[c])).cast(kinds[c]).alias(c) for c in posts.columns if c != "url")).select(*posts.columns),
+        "updates": accepted.select(
+            "id", F.lit(False).alias("has_title"), empty("string").alias("ai_title"), F.col("category").isNotNull().alias("has_category"), "category", F.col("hash").alias("content_hash"),
+            F.lit(signature).alias("curation_signature"), F.lit("published").alias("status"), F.col("summary").alias("ai_summary"), F.when(feed, F.col("tag")).otherwise("classic").alias("tag"),
+        ),
+        "criteria": accepted.where("criteria_json is not null").select(F.col("id").alias("post_id"), "criteria_json", F.lit(signature).alias("signature"), F.lit(model).alias("model_id")),
+        "rationales": accepted.select(F.col("id").alias("post_id"), "topic_anchor", "rationale_text", F.lit(signature).alias("prompt_version"), F.lit(True).alias("evidence_sufficient")),
+        "topics": accepted.where("topics is not null").select(F.col("id").alias("post_id"), "topics"),
+        "publications": accepted.select(
+            F.col("id").alias("post_id"), now.alias("published_at"), F.when(feed, "surrogate").otherwise("body").alias("hash_kind"), F.when(feed, F.col("hash")).otherwise(F.col("body_hash")).alias("body_hash"),
+            *(F.when(~feed, F.col(c)).alias(c) for c in ("text_length", "link_density", "paragraph_count")),
+        ),
+        "removals": rows.where(~good & (~feed | F.col("_known").isNotNull())).select(F.col("id").alias("post_id"), F.lit("dropped").alias("kind"), F.concat_ws(":", "outcome", failed).alias("reason"), now.alias("removed_at")),
+    }
+
+
+def published(current: dict[str, DataFrame], deltas: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after ``publication_deltas``: posts by M-1, M-2 and M-9, criteria by M-3, rationales by M-4, topics by M-5, publications by M-8; a post's first removal stays."""
+    removals = current["removals"].unionByName(deltas["removals"].join(current["removals"].select("post_id"), "post_id", "left_anti"))
+    live = deltas["updates"].select(F.col("id").alias("post_id")).join(removals.select("post_id"), "post_id", "left_anti")
+    posts = mark_curated(upsert_posts(current["posts"], deltas["posts"]), deltas["updates"], removals).select(*current["posts"].columns)
+    of_live = lambda name: deltas[name].join(live, "post_id", "left_semi")
+    return {
+        "posts": apply_removals(posts, removals).drop("removed_for"),
+        "criteria": latest(current["criteria"], deltas["criteria"].select(*current["criteria"].columns), ["post_id"]),
+        "rationales": merge_rationales(current["rationales"], deltas["rationales"].select(*current["rationales"].columns)),
+        "topics": replace_topics(current["topics"], deltas["topics"]),
+        "publications": record_publications(current["publications"], of_live("publications").select(*current["publications"].columns)),
+        "removals": removals,
+    }
+
+
+def publish_outcomes(store: Releases, judged: DataFrame, now: Column, signature: str, model: str, before_commit: Callable[[int], None] | None = None) -> int:
+    """Publishes judged candidates into the tables of ``store``, all of them or none, and returns the release's number."""
+    n = store.last()
+    current = {name: store.read(name, n) for name in ("posts", "criteria", "rationales", "topics", "publications", "removals")}
+    return store.write(published(current, publication_deltas(judged, current["posts"], now, signature, model)), before_commit)

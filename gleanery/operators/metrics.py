@@ -41,10 +41,61 @@ def counterfactual_thresholds(evidence: DataFrame, config: Config) -> DataFrame:
     return rows.rollup("host").agg(F.count("*").alias("n"), F.count_if("now").alias("pass_now"), F.count_if("then").alias("pass_then"), F.count_if(F.col("now") & ~F.col("then")).alias("lost"), F.count_if(~F.col("now") & F.col("then")).alias("won"))
 
 
-def failed_condition_counts(evidence: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """How often each condition fails; an observation may fail several."""
-    failed = text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), config)
-    return evidence.select(F.explode(failed).alias("condition")).groupBy("condition").agg(F.count("*").alias("n"))
+#: What a run over discovered URLs counts, and the outcomes that end or forbid it.
+COUNTERS = (
+    "processed", "published", "extraction_insufficient", "failed_text_length", "failed_link_density", "failed_paragraph_count", "failed_container_not_found", "title_filter", "anchor_ungrounded", "rate_capped", "path_not_allowed",
+    "robots", "gone", "too_large", "no_title", "enqueued", "retry_exhausted", "removed", "retry_expired", "stale_reaped",
+)
+ENDS = ("kill_gate", "budget", "retry_after", "time_budget", "host_not_allowed")
+
+
+def discovery_outcomes(rows: DataFrame, baseline: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """A row for each run of a host, with the 20 ``COUNTERS`` and 6 flags, of outcomes (host, run, outcome, failed), one for each URL.
+
+    ``failed`` (an array) are the conditions that an ``extraction_insufficient`` failed, each counted; an expired retry is
+    processed, exhausted and expired at once. Rows of ``ENDS`` set ``aborted_kill_gate``, ``aborted_budget``,
+    ``aborted_retry_after``, ``budget_exhausted`` and ``host_not_allowed``; a host that isn't allowed counts nothing. A run
+    that came to its end collapses by its host's ``baseline`` (host, days, publish_rate) as in ``hosts.yield_collapse``.
+    """
+    outcome = F.col("outcome")
+    extra = F.when(outcome == "extraction_insufficient", F.transform(F.coalesce("failed", F.array().cast("array<string>")), lambda f: F.concat(F.lit("failed_"), f))).otherwise(F.array().cast("array<string>"))
+    expired = F.when(outcome == "retry_expired", F.array(F.lit("retry_exhausted"))).otherwise(F.array().cast("array<string>"))
+    processed = F.when(~outcome.isin("stale_reaped", "time_budget", "host_not_allowed"), F.array(F.lit("processed"))).otherwise(F.array().cast("array<string>"))
+    labels = rows.select("host", "run", F.explode(F.concat(F.array(outcome), extra, expired, processed)).alias("label"))
+    counts = labels.groupBy("host", "run").pivot("label", [*COUNTERS, *ENDS]).count().fillna(0)
+    allowed = F.col("host_not_allowed") == 0
+    ended = {c: F.col(c) > 0 for c in ENDS}
+    whole = allowed & ~ended["kill_gate"] & ~ended["budget"] & ~ended["retry_after"]
+    rate = F.when(F.col("processed") > 0, F.col("published") / F.col("processed"))
+    collapsed = whole & F.coalesce((F.col("days") >= config.yield_days) & (F.col("publish_rate") > 0) & (rate < config.yield_ratio * F.col("publish_rate")), F.lit(False))
+    joined = counts.join(baseline.select("host", "days", "publish_rate"), "host", "left")
+    return joined.select(
+        "host", "run", *(F.when(allowed, F.col(c)).otherwise(0).alias(c) for c in COUNTERS),
+        *((allowed & ended[end]).alias(flag) for end, flag in zip(ENDS[:4], ("aborted_kill_gate", "aborted_budget", "aborted_retry_after", "budget_exhausted"), strict=True)), (~allowed).alias("not_allowed"), collapsed.alias("yield_collapse"),
+    ).withColumnRenamed("not_allowed", "host_not_allowed")
+
+
+def stage_funnel(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """By run: candidates fetched, left after deduplication, inserted, skipped, past the evidence, title and cap gates, published, retried, and the drops by reason (an array of reason and n).
+
+    ``candidates`` (run, url) come as fetched; ``outcomes`` (run, url, outcome, detail) are one for each canonical URL:
+    save_failed, skipped (curated already), removed, extraction_insufficient, llm_transient, title_filter, rate_capped,
+    retry_exhausted (``detail``: after llm_transient or rate_capped) or published.
+    """
+    from gleanery.functions.urls import canonical_url
+
+    o, d = F.col("outcome"), F.col("detail")
+    evidence = ~o.isin("save_failed", "skipped", "removed", "extraction_insufficient")
+    title = o.isin("rate_capped", "published") | ((o == "retry_exhausted") & d.eqNullSafe(F.lit("rate_capped")))
+    dropped = o.isin("removed", "extraction_insufficient", "title_filter", "retry_exhausted")
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    by_reason = outcomes.where(dropped).groupBy("run", "outcome").agg(F.count("*").alias("n")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col("outcome").alias("reason"), "n"))).alias("dropped"))
+    fetched = candidates.groupBy("run").agg(F.count("*").alias("fetched"), F.count_distinct(canonical_url(F.col("url"))).alias("deduped"))
+    counts = outcomes.groupBy("run").agg(
+        n(o != "save_failed", "inserted"), n(o == "skipped", "skipped"), n(evidence, "evidence_passed"), n(title, "title_passed"), n(o == "published", "cap_passed"), n(o == "published", "published"),
+        n(o.isin("llm_transient", "rate_capped", "retry_exhausted"), "retried"),
+    )
+    return fetched.join(counts, "run", "left").join(by_reason, "run", "left").fillna(0)
 
 
 def corpus_stats(posts: DataFrame, criteria: DataFrame, now: Column) -> DataFrame:

@@ -186,14 +186,29 @@ def a06_yield_collapse(t):
     return hosts.yield_collapse(hosts.host_baseline(t.host_metrics, 7, F.lit("2024-01-25").cast("date")), run).select("host", "collapsed")
 
 
-@query("""SELECT CASE WHEN e.text_length < 30 OR e.link_density > 0.7 OR e.paragraph_count < 1 THEN 'evidence' WHEN length(trim(p.original_title)) < 2 THEN 'title' WHEN p.status = 'published' THEN 'published' ELSE 'dropped' END AS outcome, count(*) AS n FROM posts p JOIN evidence e ON e.id = p.id GROUP BY 1""")
+@query("""WITH d AS (SELECT run, string_agg(reason || '=' || n, ',' ORDER BY reason) AS dropped FROM (SELECT run, outcome AS reason, count(*) AS n FROM pipeline_log WHERE outcome IN ('removed', 'extraction_insufficient', 'title_filter', 'retry_exhausted') GROUP BY run, outcome) GROUP BY run)
+    SELECT p.run, count(*) + count(*) FILTER (page_id % 10 = 0) AS fetched, count(*) AS deduped, count(*) FILTER (outcome <> 'save_failed') AS inserted, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome IN ('llm_transient', 'title_filter', 'rate_capped', 'retry_exhausted', 'published')) AS evidence_passed,
+    count(*) FILTER (outcome IN ('rate_capped', 'published') OR (outcome = 'retry_exhausted' AND detail = 'rate_capped')) AS title_passed, count(*) FILTER (outcome = 'published') AS cap_passed, count(*) FILTER (outcome = 'published') AS published, count(*) FILTER (outcome IN ('llm_transient', 'rate_capped', 'retry_exhausted')) AS retried, any_value(dropped) AS dropped
+    FROM pipeline_log p LEFT JOIN d ON d.run = p.run GROUP BY p.run""")
 def a07_stage_funnel(t):
-    return metrics.outcome_counts(cand.stage_outcomes(t.posts, t.evidence), "outcome")
+    """Every tenth candidate is fetched twice, once with a tracking parameter."""
+    twice = t.pipeline_log.where("page_id % 10 = 0").select("run", F.concat("url", F.lit("?utm_source=x")).alias("url"))
+    out = metrics.stage_funnel(t.pipeline_log.select("run", "url").unionByName(twice), t.pipeline_log)
+    return out.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ","))
 
 
-@query("SELECT condition, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN text_length < 30 THEN 'text_length' END, CASE WHEN link_density > 0.7 THEN 'link_density' END, CASE WHEN paragraph_count < 1 THEN 'paragraph_count' END], lambda x: x IS NOT NULL)) AS condition FROM evidence) GROUP BY condition")
+def _counters(flag: str) -> str:
+    parts = {"processed": "outcome NOT IN ('stale_reaped', 'time_budget', 'host_not_allowed')", "retry_exhausted": "outcome IN ('retry_exhausted', 'retry_expired')"}
+    parts |= {f"failed_{c}": f"outcome = 'extraction_insufficient' AND list_contains(string_split(failed, ','), '{c}')" for c in ("text_length", "link_density", "paragraph_count", "container_not_found")}
+    return ", ".join(f"CASE WHEN {flag} THEN 0 ELSE count(*) FILTER ({parts.get(c, f"outcome = '{c}'")}) END AS {c}" for c in metrics.COUNTERS)
+
+
+@query(f"""WITH c AS (SELECT host, run, {_counters("bool_or(outcome = 'host_not_allowed')")}, bool_or(outcome = 'kill_gate') AS k, bool_or(outcome = 'budget') AS b, bool_or(outcome = 'retry_after') AS r, bool_or(outcome = 'time_budget') AS t, bool_or(outcome = 'host_not_allowed') AS host_not_allowed FROM discovery_log GROUP BY host, run), base AS ({_BASE})
+    SELECT c.host, run, {", ".join(f"c.{n}" for n in metrics.COUNTERS)}, k AND NOT host_not_allowed AS aborted_kill_gate, b AND NOT host_not_allowed AS aborted_budget, r AND NOT host_not_allowed AS aborted_retry_after, t AND NOT host_not_allowed AS budget_exhausted, host_not_allowed,
+    NOT (k OR b OR r OR host_not_allowed) AND coalesce(c.processed > 0 AND days >= 7 AND publish_rate > 0 AND c.published / c.processed < 0.5 * publish_rate, FALSE) AS yield_collapse FROM c LEFT JOIN base ON base.host = c.host""")
 def a08_discovery_outcomes(t):
-    return metrics.failed_condition_counts(t.evidence)
+    rows = t.discovery_log.withColumn("failed", F.split("failed", ","))
+    return metrics.discovery_outcomes(rows, hosts.host_baseline(t.host_metrics, 7, F.lit("2024-01-25").cast("date")))
 
 
 @query("SELECT tag, count(*) AS fetched, count(*) FILTER (published_at >= TIMESTAMP '2024-04-08' - INTERVAL 30 DAY) AS recent, round(100 * count(*) FILTER (duplicate) / count(*), 6) AS duplicate_percent FROM (SELECT *, lo <> hi OR known AS duplicate FROM (SELECT *, min(tag) OVER (PARTITION BY url) AS lo, max(tag) OVER (PARTITION BY url) AS hi, url IN (SELECT url FROM candidates WHERE pos % 70 = 0) AS known FROM candidates)) GROUP BY tag")

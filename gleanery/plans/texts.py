@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanery.config import CONFIG, HONORIFIC, SAFE_PREFIXES
-from gleanery.functions import scoring, topics
+from gleanery.functions import scoring, topics, urls
 from gleanery.operators import feed, merges, metrics, responses, robots
-from gleanery.plans.catalog import epoch, query
+from gleanery.plans.catalog import at, epoch, query
 from gleanery.plans.reading import COMPLETE, DECODE, PLAIN, RATIONALE, RATIONALE_LABELS, SCORE, SIMHASH, STRIP, TITLE, WS
 from gleanery.sources import feeds
+from gleanery.sources.releases import Releases
 from gleanery.sources.tables import shared_dir
 
 CATEGORIES = [f"cat{k}" for k in range(11)]
@@ -72,10 +73,25 @@ def src6_page_metadata(t):
     return feeds.page_metadata(rows).select("page_id", "title", "author", epoch("published_at"))
 
 
-@query("SELECT p.id, CASE WHEN length(original_excerpt) > 500 THEN substr(original_excerpt, 1, 500) || '…' ELSE original_excerpt END AS original_excerpt, q.hash_kind FROM (SELECT * FROM posts ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 200) p LEFT JOIN publications q ON q.post_id = p.id")
+_TOP = "(SELECT * FROM posts ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 200)"
+
+
+@query(f"""WITH p AS {_TOP} SELECT 'posts' AS part, CAST(id AS STRING) AS key, CASE WHEN length(original_excerpt) > 500 THEN substr(original_excerpt, 1, 500) || '…' ELSE original_excerpt END AS value FROM p
+    UNION ALL SELECT 'publications', CAST(post_id AS STRING), hash_kind FROM publications WHERE post_id IN (SELECT id FROM p) UNION ALL SELECT 'removals', CAST(post_id AS STRING), reason FROM removals WHERE post_id IN (SELECT id FROM p)
+    UNION ALL SELECT 'evidence', url_hash, host FROM (SELECT sha256(lower(trim(url))) AS url_hash, e.host FROM evidence e JOIN posts USING (id)) WHERE url_hash IN (SELECT sha256(lower(trim(url))) FROM p) UNION ALL SELECT 'gates', host, 'seen' FROM (SELECT DISTINCT host FROM posts) WHERE host IN (SELECT host FROM p)""")
 def src8_consistent_extract(t):
-    out = feeds.consistent_extract(t.posts, {"publications": t.publications}, 200)
-    return out["posts"].join(out["publications"].select(F.col("post_id").alias("id"), "hash_kind"), "id", "left").select("id", "original_excerpt", "hash_kind")
+    """The extract written as JSON lines and read back."""
+    evidence = t.evidence.join(t.posts.select("id", "url"), "id").select(urls.url_key(F.col("url")).alias("url_hash"), "host")
+    parts = feeds.consistent_extract(t.posts, 200, by_post={"publications": t.publications, "removals": t.removals}, by_url={"evidence": evidence}, by_host={"gates": t.posts.select("host").distinct()})
+    path = f"{shared_dir(t.spark)}/extract-{uuid.uuid4().hex}"
+    feeds.write_json_lines(parts, path)
+    shown = {"posts": ("id", "original_excerpt"), "publications": ("post_id", "hash_kind"), "removals": ("post_id", "reason"), "evidence": ("url_hash", "host"), "gates": ("host", None)}
+    out = None
+    for name, (key, value) in shown.items():
+        lines = t.spark.read.schema(parts[name].schema).json(f"{path}/{name}")
+        rows = lines.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key"), (F.col(value) if value else F.lit("seen")).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # The tables have no character that NFKC changes, so the SQL leaves it out; tests/test_rules.py has such characters.
@@ -307,6 +323,28 @@ def src9_snapshot_write(t):
     return feeds.snapshot_write(tables, f"{shared_dir(t.spark)}/snapshots-{uuid.uuid4().hex}", "2024-06-01")
 
 
-@query(f"SELECT p.id, CASE WHEN {SCORE} >= 70 THEN 'published' ELSE 'rejected' END AS status, CASE WHEN id % 2 = 0 THEN tag ELSE 'classic' END AS tag, CASE WHEN id % 2 = 0 THEN 'surrogate' ELSE 'body' END AS hash_kind, substr(sha256(original_title || chr(0) || CASE WHEN id % 2 = 0 THEN coalesce(original_excerpt, '') ELSE '' END), 1, 16) AS content_hash FROM posts p JOIN criteria c ON c.post_id = p.id")
+@query("""WITH g AS (SELECT o.*, p.id AS known, lane = 'rss' AS feed FROM graded o LEFT JOIN posts p ON p.url = o.url), early AS (SELECT post_id, arg_min(kind, removed_at) AS kind, arg_min(reason, removed_at) AS reason FROM removals GROUP BY post_id),
+    every AS (SELECT coalesce(p.url, g.url) AS url, p.id, p.status AS was, p.tag AS old_tag, p.ai_summary AS old_summary, p.category AS old_category, coalesce(p.original_title, g.title, g.url) AS original_title, e.kind, e.reason AS early_reason, g.outcome, g.detail, g.feed, g.title, g.excerpt, g.summary, g.category, g.tag, g.body_hash, g.text_length, g.lane
+        FROM posts p FULL JOIN g ON g.url = p.url LEFT JOIN early e ON e.post_id = p.id)
+    SELECT url, original_title, CASE WHEN kind = 'retracted' THEN 'retracted' WHEN kind IS NOT NULL THEN 'rejected' WHEN outcome = 'accepted' THEN 'published' WHEN outcome IS NOT NULL THEN 'rejected' ELSE was END AS status, CASE WHEN outcome = 'accepted' THEN CASE WHEN feed THEN tag ELSE 'classic' END ELSE old_tag END AS tag,
+    CASE WHEN outcome = 'accepted' THEN summary ELSE old_summary END AS ai_summary, CASE WHEN outcome = 'accepted' AND category IS NOT NULL THEN category ELSE old_category END AS category,
+    CASE WHEN outcome = 'accepted' THEN substr(sha256(coalesce(title, url) || chr(0) || CASE WHEN feed THEN coalesce(excerpt, '') ELSE '' END), 1, 16) END AS content_hash,
+    coalesce(early_reason, CASE WHEN outcome <> 'accepted' THEN outcome || CASE WHEN outcome = 'extraction_insufficient' THEN ':' || coalesce(detail, 'unknown') ELSE '' END END) AS reason,
+    CASE WHEN outcome = 'accepted' AND kind IS NULL THEN CASE WHEN feed THEN 'surrogate' ELSE 'body' END ELSE (SELECT any_value(hash_kind) FROM publications q WHERE q.post_id = every.id) END AS hash_kind,
+    CASE WHEN outcome = 'accepted' THEN CASE WHEN lane = 'rss' THEN 2 ELSE 0 END ELSE (SELECT count(*) FROM topics t WHERE t.post_id = every.id) END AS n_topics FROM every""")
 def m24_publish_outcomes(t):
-    return merges.publish_outcomes(t.posts.withColumn("rss", F.col("id") % 2 == 0), t.criteria)
+    """Feed and discovery outcomes into tables of a new store, then read back as one row for each post."""
+    store = Releases(t.spark, f"{shared_dir(t.spark)}/releases-{uuid.uuid4().hex}")
+    text_ = F.lit(None).cast("string")
+    store.write({
+        "posts": t.posts.withColumn("content_hash", text_), "criteria": t.criteria, "rationales": t.rationales, "topics": t.topics, "removals": t.removals,
+        "publications": t.publications.withColumn("body_hash", text_),
+    })
+    graded = t.graded.withColumn("topics", F.when(F.col("topics") == "", F.array().cast("array<string>")).otherwise(F.split("topics", r"\|")))
+    merges.publish_outcomes(store, graded, at("2024-09-01"), "v9", "m")
+    posts, removals, publications, topic_rows = (store.read(n) for n in ("posts", "removals", "publications", "topics"))
+    first = removals.groupBy(F.col("post_id").alias("id")).agg(F.min_by("reason", "removed_at").alias("reason"))
+    n_topics = topic_rows.groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias("n_topics"))
+    kinds = publications.select(F.col("post_id").alias("id"), "hash_kind")
+    rows = posts.join(first, "id", "left").join(n_topics, "id", "left").join(kinds, "id", "left").fillna(0, ["n_topics"])
+    return rows.select("url", "original_title", "status", "tag", "ai_summary", "category", "content_hash", "reason", "hash_kind", "n_topics")

@@ -47,6 +47,17 @@ INPUTS: dict[str, str] = {
         '<title>', CASE page_id % 8 WHEN 0 THEN '<title>　' WHEN 1 THEN '<title></title><x>' ELSE '<title>' END), '<h1>', CASE page_id % 5 WHEN 0 THEN '<h2>' ELSE '<h1 class="t">　' END) AS html FROM pages""",
     "titles": """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN repeat('●○▲', 4) || source WHEN 1 THEN repeat('😀★☂', 4) || source WHEN 2 THEN '　' || substr(text, 1, 1) || '　' WHEN 3 THEN substr(text, 1, 3) || '!!!!' WHEN 4 THEN substr(text, 1, 3) || '\u2003\u2003\u2003\u2003' || source WHEN 5 THEN repeat('☂', 10) || source
         WHEN 6 THEN repeat('☂✈', 6) || source WHEN 7 THEN substr(text, 1, 5) || chr(7) ELSE split_part(text, chr(10), 1) END AS title FROM documents""",
+    "discovery_log": """SELECT 'h' || CAST(user_id AS STRING) AS host, CAST(event_id % 3 AS INT) AS run, CASE WHEN event_id % 1009 = 7 THEN 'kill_gate' WHEN event_id % 1009 = 8 THEN 'budget' WHEN event_id % 1009 = 9 THEN 'retry_after' WHEN event_id % 1009 = 10 THEN 'time_budget' WHEN user_id % 40 = 3 THEN 'host_not_allowed' ELSE
+        CASE event_id % 21 WHEN 0 THEN 'title_filter' WHEN 1 THEN 'anchor_ungrounded' WHEN 2 THEN 'rate_capped' WHEN 3 THEN 'path_not_allowed' WHEN 4 THEN 'robots' WHEN 5 THEN 'gone' WHEN 6 THEN 'too_large' WHEN 7 THEN 'no_title' WHEN 8 THEN 'enqueued' WHEN 9 THEN 'retry_exhausted' WHEN 10 THEN 'removed'
+        WHEN 11 THEN 'retry_expired' WHEN 12 THEN 'stale_reaped' WHEN 13 THEN 'not_modified' WHEN 14 THEN 'extraction_insufficient' WHEN 15 THEN 'extraction_insufficient' ELSE CASE WHEN user_id % 5 = 0 THEN 'no_title' ELSE 'published' END END END AS outcome,
+        CASE WHEN event_id % 42 = 14 THEN 'container_not_found' WHEN event_id % 42 = 15 THEN 'text_length,link_density' WHEN event_id % 42 = 35 THEN 'paragraph_count' ELSE 'text_length' END AS failed FROM events""",
+    "pipeline_log": """SELECT page_id, CAST(page_id % 4 AS INT) AS run, 'https://p.example.com/' || CAST(page_id AS STRING) AS url, CASE page_id % 11 WHEN 0 THEN 'save_failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'removed' WHEN 3 THEN 'extraction_insufficient' WHEN 4 THEN 'llm_transient' WHEN 5 THEN 'title_filter' WHEN 6 THEN 'rate_capped'
+        WHEN 7 THEN 'retry_exhausted' ELSE 'published' END AS outcome, CASE WHEN page_id % 2 = 0 THEN 'rate_capped' ELSE 'llm_transient' END AS detail FROM pages""",
+    "graded": """SELECT 'https://' || source || '.example.com/a/' || CAST(doc_id AS STRING) AS url, source || '.example.com' AS host, 'rss' AS lane, substr(split_part(text, chr(10), 1), 1, 60) AS title, substr(text, 1, 600) AS excerpt, CASE WHEN doc_id % 5 = 0 THEN 'title_filter' ELSE 'accepted' END AS outcome, CAST(NULL AS STRING) AS detail,
+        'sum ' || CAST(doc_id AS STRING) AS summary, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'cat9' END AS category, 'trend' AS tag, '{"firsthand":5}' AS criteria_json, 'anchor ' || CAST(doc_id AS STRING) AS topic_anchor, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'because' END AS rationale_text, 'a|b' AS topics, 100 AS text_length, 0.5 AS link_density, 2 AS paragraph_count, 'bh' AS body_hash
+        FROM documents WHERE doc_id % 2 = 0 UNION ALL
+        SELECT 'https://d.example.com/' || CAST(page_id AS STRING), 'd.example.com', 'discovery', CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'Page ' || CAST(page_id AS STRING) END, NULL, CASE page_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'extraction_insufficient' ELSE 'title_filter' END, CASE WHEN page_id % 6 = 1 THEN 'text_length,link_density' END,
+        'sum', 'cat8', 'trend', '{"firsthand":6}', 'anchor', 'because', '', 200, 0.25, 3, 'body' || CAST(page_id AS STRING) FROM pages""",
     "candidates": """SELECT page_id * 10 + v.n AS pos, CASE v.n WHEN 0 THEN url WHEN 1 THEN url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_medium=x&fbclid=1'
         WHEN 2 THEN upper(substr(url, 1, 8)) || substr(url, 9) ELSE 'ftp://' || CAST(page_id AS STRING) END AS url, 'tag' || CAST((page_id + v.n) % 3 AS STRING) AS tag, html AS body,
         CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'Page ' || CAST(page_id AS STRING) END AS title, CASE WHEN (page_id + v.n) % 4 = 0 THEN NULL ELSE 'site' || CAST(page_id % 7 AS STRING) END AS source_name,

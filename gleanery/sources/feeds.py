@@ -12,7 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
-from gleanery.functions import text
+from gleanery.functions import text, urls
+from gleanery.sources.tables import kept
 
 _MEDIA = "`hatena:imageurl` STRING, `media:thumbnail` STRUCT<_url: STRING>, `media:content` STRUCT<_url: STRING>, enclosure STRUCT<_url: STRING, _type: STRING>"
 _ITEM = f"STRUCT<title: STRING, link: STRING, description: STRING, `content:encoded` STRING, `dc:creator` STRING, `note:creatorName` STRING, author STRING, pubDate STRING, `dc:date` STRING, {_MEDIA}>"
@@ -163,15 +164,34 @@ def snapshot_write(tables: dict[str, DataFrame], path: str, name: str) -> DataFr
     for table, df in tables.items():
         seen = Observation(f"{table} {name}")
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{table}/snapshot={name}")
-        counts.append((table, seen.get["n"]))
+        counts.append((table, 0 if df.isEmpty() else seen.get["n"]))
     spark = next(iter(tables.values())).sparkSession
     return spark.createDataFrame(counts, "table_name string, n long")
 
 
-def consistent_extract(posts: DataFrame, children: dict[str, DataFrame], limit: int, since: Column | None = None) -> dict[str, DataFrame]:
-    """The newest posts, their excerpts cut at 500 characters, and the rows of each child table that belong to them (by post_id)."""
+def consistent_extract(posts: DataFrame, limit: int, since: Column | None = None, by_post: dict[str, DataFrame] | None = None, by_url: dict[str, DataFrame] | None = None, by_host: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The newest posts (id, url, host, published_at, original_excerpt...), their excerpts cut at 500 characters, and the rows of other tables that belong to them.
+
+    Tables of ``by_post`` belong by post_id, those of ``by_url`` by url_hash, those of ``by_host`` by host. The posts are written
+    once, so that all parts are of the same choice, however often they are read.
+    """
     rows = posts if since is None else posts.where(F.col("published_at") >= since)
     top = rows.orderBy(F.desc_nulls_last("published_at"), F.desc("id")).limit(limit)
     cut = F.when(F.length("original_excerpt") > 500, F.concat(F.substring("original_excerpt", 1, 500), F.lit("…"))).otherwise(F.col("original_excerpt"))
-    ids = top.select(F.col("id").alias("post_id"))
-    return {"posts": top.withColumn("original_excerpt", cut)} | {n: df.join(ids, "post_id", "left_semi") for n, df in children.items()}
+    top = kept(top.withColumn("original_excerpt", cut), "extract")
+    keys = {"post_id": (F.col("id"), by_post), "url_hash": (urls.url_key(F.col("url")), by_url), "host": (F.col("host"), by_host)}
+    out = {"posts": top}
+    for key, (column, tables) in keys.items():
+        chosen = top.select(column.alias(key)).distinct()
+        out |= {name: df.join(chosen, key, "left_semi") for name, df in (tables or {}).items()}
+    return out
+
+
+def write_json_lines(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes each table as JSON lines under ``path/table``, nulls included, and returns their row counts."""
+    counts = []
+    for table, df in tables.items():
+        seen = Observation(f"{table} lines")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{table}")
+        counts.append((table, 0 if df.isEmpty() else seen.get["n"]))
+    return next(iter(tables.values())).sparkSession.createDataFrame(counts, "table_name string, n long")
