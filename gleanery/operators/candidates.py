@@ -24,10 +24,10 @@ def dedupe_last(entries: DataFrame) -> DataFrame:
 
 
 def needs_curation(candidates: DataFrame, posts: DataFrame, signature: str) -> DataFrame:
-    """Candidates with ``needed``: no post, another content hash, or another signature."""
-    known = posts.select(F.col("id"), F.col("content_hash").alias("old_hash"), F.col("curation_signature").alias("old_signature"), F.lit(True).alias("known"))
-    same = F.col("known").isNotNull() & F.col("content_hash").eqNullSafe(F.col("old_hash")) & F.col("old_signature").eqNullSafe(F.lit(signature))
-    return candidates.join(known, "id", "left").withColumn("needed", ~same).drop("old_hash", "old_signature", "known")
+    """Candidates (url, content_hash) with ``needed``: no post of their url, another content hash, or another signature."""
+    known = posts.select("url", F.col("content_hash").alias("_hash"), F.col("curation_signature").alias("_signature"), F.lit(True).alias("_known"))
+    same = F.col("_known").isNotNull() & F.col("content_hash").eqNullSafe(F.col("_hash")) & F.col("_signature").eqNullSafe(F.lit(signature))
+    return candidates.join(known, "url", "left").withColumn("needed", ~same).drop("_hash", "_signature", "_known")
 
 
 def new_urls(found: DataFrame, seen: DataFrame) -> DataFrame:

@@ -88,9 +88,14 @@ def split_preflight(posts: DataFrame) -> DataFrame:
     return posts.withColumn("runnable", F.coalesce((text != "null") & (F.length(text) >= 5), F.lit(False)))
 
 
-def split_reads(posts: DataFrame, reads: DataFrame) -> DataFrame:
-    """For each user of ``reads`` the number of read posts among ``posts``; ids that are no posts don't count."""
-    return reads.select("user_id", F.col("post_id").alias("id")).distinct().join(posts.select("id"), "id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n_read"))
+def split_reads(shown: DataFrame, reads: DataFrame) -> DataFrame:
+    """Feed rows as shown to users (user_id, id, ...) with ``read``: whether the user has read them.
+
+    ``reads`` (user_id, post_id as text) may have blanks around ids, blank ids and repeats; they count once or not at all.
+    """
+    ids = reads.select("user_id", trim(F.col("post_id").cast("string")).alias("_id")).where("_id != ''").distinct().withColumn("_read", F.lit(True))
+    joined = shown.withColumn("_id", F.col("id").cast("string")).join(ids, ["user_id", "_id"], "left")
+    return joined.select(*shown.columns, F.col("_read").isNotNull().alias("read"))
 
 
 def batch_ids(rows: DataFrame, size: int, order: list[str | Column], by: list[str] | None = None) -> DataFrame:

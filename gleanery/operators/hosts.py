@@ -145,6 +145,38 @@ def run_status(runs: DataFrame) -> DataFrame:
     return runs.groupBy("host").agg(last.alias("r")).select("host", "r.id", F.when(F.col("r.finished_at").isNull(), "incomplete").otherwise("ok").alias("status"), "r.outcome")
 
 
+#: Columns of the log of runs.
+RUNS = ("id", "host", "started_at", "finished_at", "sitemaps_fetched", "urls_new", "status_counts", "outcome")
+
+
+def started_runs(log: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
+    """The log of runs (``RUNS``) with a running row for each of ``hosts`` (host), numbered on from the last id."""
+    from gleanery.operators.running import numbered
+
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first().id
+    nothing = F.to_json(F.struct(*(F.lit(0).alias(s) for s in ("pending", "fetched", "skipped"))))
+    fresh = numbered(hosts.select("host").distinct(), [], ["host"], "place").select(
+        (F.col("place") + last).alias("id"), "host", now.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(0).cast("long").alias("sitemaps_fetched"), F.lit(0).cast("long").alias("urls_new"), nothing.alias("status_counts"), F.lit("running").alias("outcome")
+    )
+    return log.select(*RUNS).unionByName(fresh)
+
+
+def finished_runs(log: DataFrame, runs: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """The log with the end of ``runs`` (host, outcome, sitemaps_fetched, urls_new; as ``discovery.discover`` gives them) on the last running row of each host, with its ``counts`` of seen URLs (host, pending, fetched, skipped)."""
+    last = log.where("outcome = 'running'").groupBy("host").agg(F.max("id").alias("id"))
+    tally = F.to_json(F.struct(*(F.coalesce(s, F.lit(0)).alias(s) for s in ("pending", "fetched", "skipped"))))
+    ends = runs.join(last, "host").join(counts, "host", "left").select("id", F.struct(now.alias("finished_at"), "sitemaps_fetched", "urls_new", tally.alias("status_counts"), "outcome").alias("_e"))
+    joined = log.select(*RUNS).join(ends, "id", "left")
+    ended = ("finished_at", "sitemaps_fetched", "urls_new", "status_counts", "outcome")
+    return joined.select(*(F.when(F.col("_e").isNotNull(), F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) if c in ended else F.col(c) for c in RUNS))
+
+
+def advanced_cursors(cursors: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """Cursors (host, cursor) after ``runs`` (host, outcome): now for all that didn't fail."""
+    done = runs.where("outcome != 'failed'").select("host", now.alias("_now"))
+    return cursors.join(done, "host", "full_outer").select("host", F.coalesce("_now", "cursor").alias("cursor"))
+
+
 def terms_changes(pages: DataFrame) -> DataFrame:
     """Terms texts of a host in order, each classified against the one before: baseline, unchanged, restrictive_change, benign_change."""
     from gleanery.functions import text

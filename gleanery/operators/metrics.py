@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.config import CONFIG, Config
-from gleanery.functions import scoring, text, unicode
+from gleanery.functions import scoring, text, topics, unicode
+from gleanery.operators.running import numbered
 
 
 def published_since(publications: DataFrame, posts: DataFrame, since: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -31,14 +32,26 @@ def gate_pass_by_source(posts: DataFrame, criteria: DataFrame) -> DataFrame:
     return rows.rollup("source_id").agg(F.count("*").alias("total"), *truthy, passed.alias("passed"), F.round(100 * passed / F.count("*"), 4).alias("pass_percent"))
 
 
+def _conditions(config: Config) -> Column:
+    return text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), config)
+
+
 def counterfactual_thresholds(evidence: DataFrame, config: Config) -> DataFrame:
-    """Stored signals under the present and under other thresholds, by host and overall: passes and flips."""
+    """Stored signals under the present and under other thresholds, by host and overall: passes, flips both ways and pass rates."""
+    rows = evidence.select("host", (F.size(_conditions(CONFIG)) == 0).alias("now"), (F.size(_conditions(config)) == 0).alias("then"))
+    rate = lambda c, name: F.round(F.count_if(c) / F.count("*"), 8).alias(name)
+    return rows.rollup("host").agg(
+        F.count("*").alias("n"), F.count_if("now").alias("pass_now"), F.count_if("then").alias("pass_then"), F.count_if(F.col("now") & ~F.col("then")).alias("lost"), F.count_if(~F.col("now") & F.col("then")).alias("won"),
+        rate("now", "rate_now"), rate("then", "rate_then"),
+    )
 
-    def passes(c: Config) -> Column:
-        return F.size(text.failed_conditions(F.col("text_length"), F.col("link_density"), F.col("paragraph_count"), c)) == 0
 
-    rows = evidence.select("host", passes(CONFIG).alias("now"), passes(config).alias("then"))
-    return rows.rollup("host").agg(F.count("*").alias("n"), F.count_if("now").alias("pass_now"), F.count_if("then").alias("pass_then"), F.count_if(F.col("now") & ~F.col("then")).alias("lost"), F.count_if(~F.col("now") & F.col("then")).alias("won"))
+def counterfactual_conditions(evidence: DataFrame, config: Config) -> DataFrame:
+    """By condition: how many observations fail it now, under other thresholds, only now, and only then; an observation may fail several."""
+    rows = evidence.select(_conditions(CONFIG).alias("now"), _conditions(config).alias("then"))
+    each = rows.select(F.explode(F.array_union("now", "then")).alias("condition"), "now", "then")
+    has = lambda side: F.array_contains(side, F.col("condition"))
+    return each.groupBy("condition").agg(F.count_if(has("now")).alias("failed_now"), F.count_if(has("then")).alias("failed_then"), F.count_if(~has("then")).alias("mended"), F.count_if(~has("now")).alias("broken"))
 
 
 #: What a run over discovered URLs counts, and the outcomes that end or forbid it.
@@ -156,13 +169,27 @@ def outcome_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def source_probe(candidates: DataFrame, known: DataFrame, now: Column) -> DataFrame:
-    """By tag: candidates, those of the last 30 days, and the duplicate percentage."""
+#: What a tag has to reach: candidates of the last 30 days, percent passed of those evaluated, percent of duplicates at most; and how many of a tag are evaluated.
+PROBE_RECENT, PROBE_PASSED, PROBE_DUPLICATES, PROBE_EVALUATED = 3, 40, 50, 25
+
+
+def source_probe(candidates: DataFrame, known: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
+    """By tag: candidates fetched, those of the last 30 days, evaluated and passed ones, percentages, and whether the tag is worth reading.
+
+    Of a tag's recent candidates the newest are evaluated (``verdicts``: url, passed; without one a candidate hasn't passed). ``enough``,
+    ``good`` and ``fresh`` are the three verdicts, ``accepted`` all of them.
+    """
     from gleanery.operators.candidates import cross_tag_duplicates
 
     flagged = cross_tag_duplicates(candidates, known)
-    recent = F.col("published_at") >= now - F.make_interval(days=F.lit(30))
-    return flagged.groupBy("tag").agg(F.count("*").alias("fetched"), F.count_if(recent).alias("recent"), F.round(100 * F.count_if("duplicate") / F.count("*"), 6).alias("duplicate_percent"))
+    recent = F.coalesce(F.col("published_at") >= now - F.make_interval(days=F.lit(30)), F.lit(False))
+    counts = flagged.groupBy("tag").agg(F.count("*").alias("fetched"), F.count_if(recent).alias("recent"), F.round(100 * F.count_if("duplicate") / F.count("*"), 6).alias("duplicate_percent"))
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("published_at"), "pos"))
+    newest = candidates.where(recent).withColumn("_place", place).where(F.col("_place") <= PROBE_EVALUATED)
+    judged = newest.join(verdicts.groupBy("url").agg(F.bool_or("passed").alias("passed")), "url", "left").groupBy("tag").agg(F.count("*").alias("evaluated"), F.count_if("passed").alias("passed"))
+    rows = counts.join(judged, "tag", "left").fillna(0, ["evaluated", "passed"]).withColumn("passed_percent", F.when(F.col("evaluated") > 0, F.round(100 * F.col("passed") / F.col("evaluated"), 6)).otherwise(0.0))
+    enough, good, fresh = F.col("recent") >= PROBE_RECENT, F.col("passed_percent") >= PROBE_PASSED, F.col("duplicate_percent") <= PROBE_DUPLICATES
+    return rows.withColumns({"enough": enough, "good": good, "fresh": fresh, "accepted": enough & good & fresh})
 
 
 def key_violations(posts: DataFrame, topics: DataFrame, removals: DataFrame) -> DataFrame:
@@ -184,17 +211,22 @@ def key_violations(posts: DataFrame, topics: DataFrame, removals: DataFrame) ->
     return out.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def publish_violations(feed: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Published rows of ``feed_join`` that break an invariant, one row for each rule."""
+def publish_violations(feed: DataFrame, publications: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """``(id, rule)``: published rows of ``feed_join`` that break an invariant, one row for each rule: title, anchor_length, anchor_pii, rationale_length, evidence, and daily_cap for the publications of a JST day beyond its cap, in their order."""
     broken = F.array_compact(
         F.array(
             F.when(~text.title_ok(F.coalesce("original_title", F.lit(""))), "title"),
             F.when(F.length(unicode.trim(F.col("topic_anchor"))) < config.anchor_min, "anchor_length"),
+            F.when(topics.pii_rule(topics.nfkc("topic_anchor")).isNotNull(), "anchor_pii"),
             F.when(~F.length("rationale_text").between(config.rationale_min, config.rationale_max), "rationale_length"),
             F.when(~F.coalesce("evidence_sufficient", F.lit(False)), "evidence"),
         )
     )
-    return feed.where("status = 'published'").select("id", F.explode(broken).alias("rule"))
+    live = feed.where("status = 'published'")
+    day = F.to_date(F.from_utc_timestamp("published_at", "Asia/Tokyo"))
+    dated = publications.select("post_id", "published_at", day.alias("_day")).join(live.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    over = numbered(dated, ["_day"], ["published_at", "post_id"], "_place").where(F.col("_place") > config.publish_cap).select(F.col("post_id").alias("id"), F.lit("daily_cap").alias("rule"))
+    return live.select("id", F.explode(broken).alias("rule")).unionByName(over)
 
 
 def leaking_rows(rows: DataFrame, terms: DataFrame, column: str, most: int = 1000) -> DataFrame:
@@ -226,7 +258,11 @@ def columns_not_allowed(rows: DataFrame, allowed: set[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in extra))))
 
 
-def missing_shares(rows: DataFrame, by: Column, columns: dict[str, str]) -> DataFrame:
-    """By cohort: rows, and the share without a value of each of ``columns`` (name to column)."""
+def cohort_validation(rows: DataFrame, by: Column, columns: dict[str, str], passed: Column) -> DataFrame:
+    """By cohort: rows, the share without a value of each of ``columns`` (name to column), and of those with all of them (``evaluated``) how many ``passed``, in percent (null without any)."""
+    whole = F.lit(True)
+    for c in columns.values():
+        whole = whole & F.col(c).isNotNull()
     shares = [F.round(F.count_if(F.col(c).isNull()) / F.count("*"), 8).alias(name) for name, c in columns.items()]
-    return rows.groupBy(by.alias("cohort")).agg(F.count("*").alias("n"), *shares)
+    out = rows.groupBy(by.alias("cohort")).agg(F.count("*").alias("n"), *shares, F.count_if(whole).alias("evaluated"), F.count_if(whole & F.coalesce(passed, F.lit(False))).alias("passed"))
+    return out.withColumn("passed_percent", F.when(F.col("evaluated") > 0, F.round(100 * F.col("passed") / F.col("evaluated"), 6)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import urls
+
 ITEM = "index INT, title STRING, summary STRING, category STRING, tag STRING, firsthand INT, ceremonyDecision INT, specific INT, weddingDayContent INT, promotional INT, topicAnchor STRING, topics ARRAY<STRING>"
 
 
@@ -41,12 +43,37 @@ def parse_topic_responses(replies: DataFrame, inputs: DataFrame) -> DataFrame:
     return inputs.join(first, "id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
 
 
-def topic_audit(before: DataFrame, after: DataFrame, signature: Column) -> DataFrame:
-    """An audit row for each candidate (id): counts, a digest of the new topics, the signature and the outcome; only counts and digests leave, no text."""
-    joined = before.select("id", F.size("topics").alias("n_before")).join(after.select("id", "topics"), "id", "left")
-    topics = F.coalesce("topics", F.array().cast("array<string>"))
-    outcome = F.when(F.col("topics").isNull(), "failed").when(F.size(topics) == 0, "kept").otherwise("replaced")
-    return joined.select("id", "n_before", F.size(topics).alias("n_after"), F.sha2(F.array_join(topics, "\u001f"), 256).alias("digest"), signature.alias("signature"), outcome.alias("outcome"))
+#: What an audit row may hold: counts, digests and codes, no text of an article.
+AUDIT = (
+    "run", "record", "source_host", "source_id", "http_status", "redirect", "gate_reason", "bytes", "timing_ms", "attempt", "digest", "signature", "version", "old_topics", "new_topics", "outcome",
+)
+
+
+def topic_audit(before: DataFrame, fetched: DataFrame, after: DataFrame, run: str, version: str, dry: bool = False) -> DataFrame:
+    """An audit row with the fields of ``AUDIT`` for each candidate (id, url, source_id, topics).
+
+    ``fetched`` (id, verdict, bytes, timing_ms, digest) is what came of its page, ``after`` (id, topics) the new topics of
+    those that could be read. A page that couldn't be read leaves everything as it is (no_op); the signature covers the
+    candidate, its page's digest and the version.
+    """
+    lists = lambda df: df.select("id", F.col("topics").alias("_new"))
+    rows = before.select("id", "url", "source_id", F.size("topics").alias("old_topics")).join(fetched.select("id", "verdict", "bytes", "timing_ms", "digest"), "id", "left").join(lists(after), "id", "left")
+    good = F.coalesce(F.col("verdict") == "success", F.lit(False))
+    signature = F.sha2(F.concat_ws("\0", F.col("id").cast("string"), "url", "digest", F.lit(version)), 256)
+    new = F.coalesce(F.size("_new"), F.lit(0))
+    return rows.select(
+        F.lit(run).alias("run"), F.col("id").alias("record"), urls.host(F.col("url")).alias("source_host"), "source_id", F.lit(200).alias("http_status"), F.lit("none").alias("redirect"), F.coalesce("verdict", F.lit("not_fetched")).alias("gate_reason"),
+        F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("timing_ms", F.lit(0)).alias("timing_ms"), F.lit(1).alias("attempt"), F.when(good, F.col("digest")).alias("digest"), F.when(good, signature).alias("signature"), F.lit(version).alias("version"),
+        "old_topics", F.when(good, new).otherwise(F.col("old_topics")).alias("new_topics"), F.when(~good, "no_op").when(F.lit(dry), "dry_run_success").otherwise("success").alias("outcome"),
+    )
+
+
+def backfilled_topics(topics: DataFrame, audit: DataFrame, after: DataFrame) -> DataFrame:
+    """Topics after an audited backfill: only lists that aren't empty, of candidates that succeeded, replace the old ones."""
+    from gleanery.operators.merges import replace_topics
+
+    done = audit.where("outcome = 'success' and new_topics > 0").select(F.col("record").alias("post_id"))
+    return replace_topics(topics, after.select(F.col("id").alias("post_id"), "topics").join(done, "post_id", "left_semi"))
 
 
 def plan_backfill(candidates: DataFrame, results: DataFrame, degrade_omits_score: bool = False) -> DataFrame:
@@ -99,6 +126,29 @@ def topic_shadow_eval(current: DataFrame, candidate: DataFrame) -> DataFrame:
     return current.select("id", F.col("topics").alias("before")).join(candidate.select("id", F.col("topics").alias("after")), "id", "full_outer").withColumn("same", F.col("before").eqNullSafe(F.col("after")))
 
 
+def topic_match_rate(compared: DataFrame) -> DataFrame:
+    """``(n, matches, rate)`` of ``topic_shadow_eval``; nothing to compare is a full match."""
+    return compared.agg(F.count("*").alias("n"), F.count_if("same").alias("matches"), F.coalesce(F.avg(F.col("same").cast("double")), F.lit(1.0)).alias("rate"))
+
+
+def revalidation_stats(reasons: DataFrame, drift: DataFrame) -> DataFrame:
+    """Posts by what came of their revalidation: the outcomes of ``retraction_reasons``, and for pages to ``compare`` those of ``body_drift`` (post_id, outcome); without a container they are ``container_not_found``."""
+    bodies = drift.select(F.col("post_id").alias("id"), F.col("outcome").alias("_drift"))
+    body = F.coalesce(F.when(F.col("_drift") == "skipped", "container_not_found").otherwise(F.col("_drift")), F.lit("container_not_found"))
+    outcome = F.when(F.col("outcome") == "compare", body).otherwise(F.col("outcome"))
+    return reasons.join(bodies, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def backfill_summary(rows: DataFrame) -> DataFrame:
+    """``(kind, value, n)``: how often each ``outcome`` of a backfill (outcome, reason, rejected) came, each reason of a degrade, and each rule that a degrade's rejected attempts (arrays of rules) broke."""
+    one = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    none = F.array().cast("array<struct<kind: string, value: string>>")
+    degraded = F.col("outcome") == "gate_degrade"
+    rules = F.transform(F.flatten(F.coalesce("rejected", F.array().cast("array<array<string>>"))), lambda r: F.struct(F.lit("rule").alias("kind"), r.alias("value")))
+    labels = F.concat(one("outcome", F.col("outcome")), F.when(degraded, one("reason", F.coalesce("reason", F.lit("unknown")))).otherwise(none), F.when(degraded, rules).otherwise(none))
+    return rows.select(F.inline(labels)).where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
 def rerendered_rationales(rationales: DataFrame, criteria: DataFrame, label: str) -> DataFrame:
     """Rationales whose text has a removed ``label``, rendered again from the stored criteria: skipped without usable ones, error if the length is out of bounds."""
     from gleanery.functions import scoring

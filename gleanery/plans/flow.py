@@ -94,7 +94,7 @@ def w07_spacing_audit(t):
     SELECT c.id, NOT coalesce(p.id IS NOT NULL AND content_hash = old_hash AND curation_signature IS NOT DISTINCT FROM 'v2', FALSE) AS needed FROM c LEFT JOIN p ON p.id = c.id""")
 def j05_needs_curation(t):
     hashed = t.posts.withColumn("content_hash", scoring.content_hash(F.col("original_title"), F.col("original_excerpt")))
-    found = t.posts.select("id", scoring.content_hash(F.when(F.col("id") % 8 == 0, "other").otherwise(F.col("original_title")), F.col("original_excerpt")).alias("content_hash"))
+    found = t.posts.select("id", "url", scoring.content_hash(F.when(F.col("id") % 8 == 0, "other").otherwise(F.col("original_title")), F.col("original_excerpt")).alias("content_hash"))
     return cand.needs_curation(found, hashed.where("id % 10 != 0"), "v2").select("id", "needed")
 
 
@@ -211,14 +211,44 @@ def a08_discovery_outcomes(t):
     return metrics.discovery_outcomes(rows, hosts.host_baseline(t.host_metrics, 7, F.lit("2024-01-25").cast("date")))
 
 
-@query("SELECT tag, count(*) AS fetched, count(*) FILTER (published_at >= TIMESTAMP '2024-04-08' - INTERVAL 30 DAY) AS recent, round(100 * count(*) FILTER (duplicate) / count(*), 6) AS duplicate_percent FROM (SELECT *, lo <> hi OR known AS duplicate FROM (SELECT *, min(tag) OVER (PARTITION BY url) AS lo, max(tag) OVER (PARTITION BY url) AS hi, url IN (SELECT url FROM candidates WHERE pos % 70 = 0) AS known FROM candidates)) GROUP BY tag")
+_RECENT = "published_at >= TIMESTAMP '2024-04-08' - INTERVAL 30 DAY"
+
+
+@query(f"""WITH f AS (SELECT *, lo <> hi OR known AS duplicate, {_RECENT} AS fresh FROM (SELECT *, min(tag) OVER (PARTITION BY url) AS lo, max(tag) OVER (PARTITION BY url) AS hi, url IN (SELECT url FROM candidates WHERE pos % 70 = 0) AS known FROM candidates)),
+    v AS (SELECT DISTINCT url FROM candidates WHERE pos % 7 < 3), n AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY published_at DESC, pos) AS place FROM candidates WHERE {_RECENT}),
+    e AS (SELECT tag, count(*) AS evaluated, count(*) FILTER (url IN (SELECT url FROM v)) AS passed FROM n WHERE place <= 25 GROUP BY tag),
+    t AS (SELECT tag, count(*) AS fetched, count(*) FILTER (fresh) AS recent, round(100 * count(*) FILTER (duplicate) / count(*), 6) AS duplicate_percent FROM f GROUP BY tag),
+    p AS (SELECT t.*, coalesce(evaluated, 0) AS evaluated, coalesce(passed, 0) AS passed, CASE WHEN evaluated > 0 THEN round(100 * passed / evaluated, 6) ELSE 0.0 END AS passed_percent FROM t LEFT JOIN e USING (tag))
+    SELECT *, recent >= 3 AS enough, passed_percent >= 40 AS good, duplicate_percent <= 50 AS fresh, recent >= 3 AND passed_percent >= 40 AND duplicate_percent <= 50 AS accepted FROM p""")
 def a15_source_probe(t):
-    return metrics.source_probe(t.candidates, t.candidates.where("pos % 70 = 0"), at("2024-04-08"))
+    verdicts = t.candidates.where("pos % 7 < 3").select("url", F.lit(True).alias("passed"))
+    return metrics.source_probe(t.candidates, t.candidates.where("pos % 70 = 0"), verdicts, at("2024-04-08"))
 
 
-@query("SELECT CASE WHEN id % 2 = 0 THEN 'main' ELSE 'control' END AS cohort, count(*) AS n, round(count(*) FILTER (author IS NULL) / count(*), 8) AS no_author, round(count(*) FILTER (original_excerpt IS NULL) / count(*), 8) AS no_excerpt FROM posts GROUP BY 1")
+@query("""SELECT CASE WHEN id % 2 = 0 THEN 'main' ELSE 'control' END AS cohort, count(*) AS n, round(count(*) FILTER (author IS NULL) / count(*), 8) AS no_author, round(count(*) FILTER (original_excerpt IS NULL) / count(*), 8) AS no_excerpt, count(*) FILTER (author IS NOT NULL AND original_excerpt IS NOT NULL) AS evaluated,
+    count(*) FILTER (author IS NOT NULL AND original_excerpt IS NOT NULL AND status = 'published') AS passed, round(100 * count(*) FILTER (author IS NOT NULL AND original_excerpt IS NOT NULL AND status = 'published') / count(*) FILTER (author IS NOT NULL AND original_excerpt IS NOT NULL), 6) AS passed_percent FROM posts GROUP BY 1""")
 def a16_cohort_validation(t):
-    return metrics.missing_shares(t.posts, F.when(F.col("id") % 2 == 0, "main").otherwise("control"), {"no_author": "author", "no_excerpt": "original_excerpt"})
+    return metrics.cohort_validation(t.posts, F.when(F.col("id") % 2 == 0, "main").otherwise("control"), {"no_author": "author", "no_excerpt": "original_excerpt"}, F.col("status") == "published")
+
+
+@query(f"""WITH {_SITEMAPS}, log AS (SELECT id, host, outcome, finished_at IS NOT NULL AS finished FROM discovery_run), fresh AS (SELECT host, row_number() OVER (ORDER BY host) + (SELECT max(id) FROM log) AS id FROM (SELECT DISTINCT host FROM sitemap_entries)),
+    n AS (SELECT host, count(*) AS n FROM sitemap_seen GROUP BY host)
+    SELECT id, host, outcome, finished, 0 AS fetched FROM log UNION ALL SELECT id, f.host, CASE WHEN f.host = 'm3' THEN 'running' WHEN f.host NOT IN (SELECT host FROM known) THEN 'seeded' ELSE 'completed' END, f.host <> 'm3', CASE WHEN f.host = 'm3' THEN 0 ELSE coalesce(n, 0) END FROM fresh f LEFT JOIN n ON n.host = f.host""")
+def m21_run_log(t):
+    """Runs of the sitemaps' hosts begin and, but for one, end; the log before them stays."""
+    log = t.discovery_run.select("id", "host", "started_at", "finished_at", F.lit(0).cast("long").alias("sitemaps_fetched"), F.lit(0).cast("long").alias("urls_new"), F.lit("{}").alias("status_counts"), "outcome")
+    begun = hosts.started_runs(log, t.sitemap_entries, at("2024-06-01"))
+    roots = t.sitemap_entries.select("host", "root").distinct()
+    _, runs = discovery.discover(roots, t.sitemap_children, t.sitemap_entries, _cursors(t), t.sitemap_seen, at("2024-06-01"))
+    counts = t.sitemap_seen.groupBy("host").agg(F.lit(0).alias("pending"), F.count("*").alias("fetched"), F.lit(0).alias("skipped"))
+    out = hosts.finished_runs(begun, runs.where("host != 'm3'"), counts, at("2024-06-01"))
+    return out.select("id", "host", "outcome", F.col("finished_at").isNotNull().alias("finished"), F.coalesce(F.get_json_object("status_counts", "$.fetched").cast("long"), F.lit(0)).alias("fetched"))
+
+
+@query("SELECT host, epoch_us(CASE WHEN host IN ('m1', 'm5') THEN cursor ELSE TIMESTAMP '2024-06-01' END) AS cursor FROM (SELECT DISTINCT host FROM sitemap_entries) LEFT JOIN (SELECT DISTINCT host, TIMESTAMP '2024-05-13' AS cursor FROM sitemap_entries WHERE host NOT IN ('m2', 'm9')) USING (host)")
+def m21_cursors(t):
+    runs = t.sitemap_entries.select("host").distinct().withColumn("outcome", F.when(F.col("host").isin("m1", "m5"), "failed").otherwise("completed"))
+    return hosts.advanced_cursors(_cursors(t), runs, at("2024-06-01")).select("host", F.unix_micros("cursor").alias("cursor"))
 
 
 @query("SELECT CAST(epoch(max(started_at)) AS BIGINT) AS last, CAST(date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') AS INT) AS age_days, date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') > 10 AS stale FROM discovery_run")

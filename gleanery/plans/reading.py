@@ -296,9 +296,14 @@ def j04_exclude_removed(t):
     return t.posts.join(t.removals.select(F.col("post_id").alias("id")), "id", "left_anti").select("id", "url")
 
 
-@query("SELECT user_id, count(*) AS n_read FROM reads WHERE post_id IN (SELECT id FROM posts) GROUP BY user_id")
+@query("""WITH shown AS (SELECT DISTINCT user_id, event_id % 300 AS id FROM events WHERE event_type <> 'error'), r AS (SELECT DISTINCT user_id, post_id FROM reads WHERE post_id % 10 <> 0)
+    SELECT s.user_id, s.id, r.post_id IS NOT NULL AS read FROM shown s LEFT JOIN r ON r.user_id = s.user_id AND r.post_id = s.id""")
 def j13_read_split(t):
-    return feed.split_reads(t.posts, t.reads)
+    """Reads as clients store them: ids as text, some with blanks around, some blank, some twice."""
+    shown = t.events.where("event_type <> 'error'").select("user_id", (F.col("event_id") % 300).alias("id")).distinct()
+    ids = F.when(F.col("post_id") % 10 == 0, "　 ").when(F.col("post_id") % 3 == 0, F.concat(F.lit(" "), F.col("post_id").cast("string"), F.lit("\u00a0"))).otherwise(F.col("post_id").cast("string"))
+    stored = t.reads.select("user_id", ids.alias("post_id"))
+    return feed.split_reads(shown, stored.unionByName(stored))
 
 
 @query(f"SELECT id, CAST({SCORE} AS DOUBLE) AS score, CAST(epoch(published_at) AS BIGINT) AS published_at, source_id FROM ({FEED}) WHERE {VISIBLE} ORDER BY score DESC, published_at DESC NULLS LAST, id DESC LIMIT 100")
@@ -382,9 +387,21 @@ _OK = "(text_length >= {a} AND link_density <= {b} AND paragraph_count >= 1)"
 _NOW, _THEN = _OK.format(a=30, b=0.7), _OK.format(a=60, b=0.5)
 
 
-@query(f"SELECT host, count(*) AS n, count(*) FILTER ({_NOW}) AS pass_now, count(*) FILTER ({_THEN}) AS pass_then, count(*) FILTER ({_NOW} AND NOT {_THEN}) AS lost, count(*) FILTER (NOT {_NOW} AND {_THEN}) AS won FROM evidence GROUP BY ROLLUP (host)")
+@query(f"SELECT host, count(*) AS n, count(*) FILTER ({_NOW}) AS pass_now, count(*) FILTER ({_THEN}) AS pass_then, count(*) FILTER ({_NOW} AND NOT {_THEN}) AS lost, count(*) FILTER (NOT {_NOW} AND {_THEN}) AS won, round(count(*) FILTER ({_NOW}) / count(*), 8) AS rate_now, round(count(*) FILTER ({_THEN}) / count(*), 8) AS rate_then FROM evidence GROUP BY ROLLUP (host)")
 def a12_counterfactual_thresholds(t):
-    return metrics.counterfactual_thresholds(t.evidence, dataclasses.replace(CONFIG, min_text_length=60, max_link_density=0.5))
+    return metrics.counterfactual_thresholds(t.evidence, _other())
+
+
+def _other():
+    return dataclasses.replace(CONFIG, min_text_length=60, max_link_density=0.5)
+
+
+_SIDES = " UNION ALL ".join(f"SELECT '{name}' AS condition, {now} AS a, {then} AS b FROM evidence" for name, now, then in (("text_length", "text_length < 30", "text_length < 60"), ("link_density", "link_density > 0.7", "link_density > 0.5"), ("paragraph_count", "paragraph_count < 1", "paragraph_count < 1")))
+
+
+@query(f"SELECT condition, count(*) FILTER (a) AS failed_now, count(*) FILTER (b) AS failed_then, count(*) FILTER (a AND NOT b) AS mended, count(*) FILTER (b AND NOT a) AS broken FROM ({_SIDES}) GROUP BY condition HAVING bool_or(a OR b)")
+def a12_counterfactual_conditions(t):
+    return metrics.counterfactual_conditions(t.evidence, _other())
 
 
 @query("""SELECT source_id, count(*) AS total, CAST(epoch(min(published_at)) AS BIGINT) AS first, CAST(epoch(max(published_at)) AS BIGINT) AS last, count(*) FILTER (published_at >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY) AS recent, count(*) FILTER (published_at >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY AND c.post_id IS NOT NULL) AS recent_graded

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
+from gleanery.config import CONFIG
 from gleanery.operators import feed, merges, metrics
-from gleanery.plans.catalog import at, epoch, query
-from gleanery.plans.reading import FEED, title_ok_sql
+from gleanery.plans.catalog import at, query
+from gleanery.plans.reading import FEED, STRIP, title_ok_sql
+from gleanery.plans.texts import rule_sql
 
 
 def _changed(posts):
@@ -151,10 +155,13 @@ def c01_columns_not_allowed(t):
     return metrics.columns_not_allowed(t.posts, set(t.posts.columns) - {"original_excerpt", "ai_summary"})
 
 
-@query(f"""WITH live AS (SELECT * FROM ({FEED}) WHERE status = 'published') SELECT id, 'title' AS rule FROM live WHERE NOT {title_ok_sql("coalesce(original_title, '')")} UNION ALL SELECT id, 'anchor_length' FROM live WHERE length(trim(topic_anchor)) < 6
-    UNION ALL SELECT id, 'rationale_length' FROM live WHERE length(rationale_text) NOT BETWEEN 38 AND 210 UNION ALL SELECT id, 'evidence' FROM live WHERE NOT coalesce(evidence_sufficient, FALSE)""")
+@query(f"""WITH live AS (SELECT * FROM ({FEED}) WHERE status = 'published'), n AS (SELECT post_id, row_number() OVER (PARTITION BY CAST(published_at + INTERVAL 9 HOUR AS DATE) ORDER BY published_at, post_id) AS place FROM publications WHERE post_id IN (SELECT id FROM live))
+    SELECT id, 'title' AS rule FROM live WHERE NOT {title_ok_sql("coalesce(original_title, '')")} UNION ALL SELECT id, 'anchor_length' FROM live WHERE length({STRIP.format(x="topic_anchor")}) < 6 UNION ALL SELECT id, 'anchor_pii' FROM live WHERE {rule_sql("topic_anchor")} IS NOT NULL
+    UNION ALL SELECT id, 'rationale_length' FROM live WHERE length(rationale_text) NOT BETWEEN 38 AND 210 UNION ALL SELECT id, 'evidence' FROM live WHERE NOT coalesce(evidence_sufficient, FALSE) UNION ALL SELECT post_id, 'daily_cap' FROM n WHERE place > 20""")
 def c03_publish_invariants(t):
-    return metrics.publish_violations(feed.feed_join(t.posts, t.rationales, t.criteria))
+    """With a cap of 20 a day, for a day has few publications."""
+    rationales = t.rationales
+    return metrics.publish_violations(feed.feed_join(t.posts, rationales, t.criteria), t.publications, dataclasses.replace(CONFIG, publish_cap=20))
 
 
 @query(f"SELECT id FROM ({FEED}) WHERE contains(lower(to_json({{'id': id, 'topic_anchor': topic_anchor, 'rationale_text': rationale_text}})), 'tion the') OR contains(lower(to_json({{'id': id, 'topic_anchor': topic_anchor, 'rationale_text': rationale_text}})), 'because er')")

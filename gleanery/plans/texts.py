@@ -176,11 +176,25 @@ def p24_parse_topic_responses(t):
     return responses.parse_topic_responses(replies, t.documents.select(name.alias("id"))).select("id", F.array_join("topics", "|").alias("topics"))
 
 
-@query("""SELECT id, coalesce(n, 0) AS n_before, CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN 0 ELSE 2 END AS n_after, sha256(CASE WHEN id % 7 = 0 OR id % 5 = 0 THEN '' ELSE source_id || chr(31) || host END) AS digest, 'v3' AS signature,
-    CASE WHEN id % 7 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'kept' ELSE 'replaced' END AS outcome FROM posts LEFT JOIN (SELECT post_id, count(*) AS n FROM topics GROUP BY post_id) l ON l.post_id = id""")
+@query("""SELECT 'r1' AS run, id AS record, host AS source_host, source_id, 200 AS http_status, 'none' AS redirect, CASE WHEN id % 7 = 0 THEN 'blocked_robots' ELSE 'success' END AS gate_reason, length(original_title) AS bytes, 5 AS timing_ms, 1 AS attempt, CASE WHEN id % 7 <> 0 THEN sha256(original_title) END AS digest,
+    CASE WHEN id % 7 <> 0 THEN sha256(CAST(id AS STRING) || chr(0) || url || chr(0) || sha256(original_title) || chr(0) || 'v3') END AS signature, 'v3' AS version, coalesce(n, 0) AS old_topics, CASE WHEN id % 7 = 0 THEN coalesce(n, 0) WHEN id % 5 = 0 THEN 0 ELSE 2 END AS new_topics, CASE WHEN id % 7 = 0 THEN 'no_op' ELSE 'success' END AS outcome
+    FROM posts LEFT JOIN (SELECT post_id, count(*) AS n FROM topics GROUP BY post_id) l ON l.post_id = id""")
 def m19_topic_backfill_audit(t):
+    return _audited(t)[0]
+
+
+def _audited(t):
+    """Pages of every seventh post can't be read, every fifth one gets no topics."""
+    posts = t.posts.select("id", "url", "source_id")
+    fetched = t.posts.select("id", F.when(F.col("id") % 7 == 0, "blocked_robots").otherwise("success").alias("verdict"), F.length("original_title").alias("bytes"), F.lit(5).alias("timing_ms"), F.sha2("original_title", 256).alias("digest"))
     after = t.posts.where("id % 7 != 0").select("id", F.when(F.col("id") % 5 != 0, F.array("source_id", "host")).otherwise(F.array().cast("array<string>")).alias("topics"))
-    return responses.topic_audit(feed.attach_topics(t.posts.select("id"), t.topics), after, F.lit("v3"))
+    return responses.topic_audit(feed.attach_topics(posts, t.topics), fetched, after, "r1", "v3"), after
+
+
+@query("SELECT post_id, position, topic FROM topics WHERE post_id % 7 = 0 OR post_id % 5 = 0 UNION ALL SELECT id, 0, source_id FROM posts WHERE id % 7 <> 0 AND id % 5 <> 0 UNION ALL SELECT id, 1, host FROM posts WHERE id % 7 <> 0 AND id % 5 <> 0")
+def m19_backfilled_topics(t):
+    audit, after = _audited(t)
+    return responses.backfilled_topics(t.topics, audit, after)
 
 
 _REFETCHED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INT)) || reverse(substr(text, 1, CAST(floor(length(text) / 2) AS INT))) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
@@ -191,12 +205,15 @@ _REFETCHED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, CAST
     SELECT post_id, similarity, CASE WHEN fetched IS NULL THEN 'skipped' WHEN hash_kind <> 'body' THEN 'surrogate_skipped' WHEN similarity < 0.7 THEN 'body_changed' ELSE 'ok' END AS outcome FROM j""")
 def j09_body_drift(t):
     """Texts refetched: the last half of every fifth one is replaced, every seventh one is gone."""
-    old = scoring.simhash64(t.documents.select("doc_id", "text"), "doc_id", "text")
+    old, new = _hashed(t)
+    published = t.publications.select("post_id", "hash_kind").join(old, "post_id")
+    return responses.body_drift(published, new, CONFIG.drift_similarity).select("post_id", "similarity", "outcome")
+
+
+def _hashed(t):
     first = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
     new = t.documents.where("doc_id % 7 != 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(first, F.reverse(first))).otherwise(F.col("text")).alias("text"))
-    published = t.publications.select("post_id", "hash_kind").join(old.toDF("post_id", "body_hash"), "post_id")
-    out = responses.body_drift(published, scoring.simhash64(new, "doc_id", "text").toDF("post_id", "body_hash"), CONFIG.drift_similarity)
-    return out.select("post_id", "similarity", "outcome")
+    return tuple(scoring.simhash64(df, "doc_id", "text").toDF("post_id", "body_hash") for df in (t.documents.select("doc_id", "text"), new))
 
 
 @query("""WITH v AS (SELECT url, arg_max(verdict, seq) AS page FROM page_verdicts GROUP BY url), h AS (SELECT host, arg_max(verdict, seq) AS terms FROM terms_verdicts GROUP BY host),
@@ -230,15 +247,34 @@ _LISTS = "(SELECT post_id AS id, list(topic ORDER BY position) AS topics FROM to
 
 @query(f"SELECT coalesce(a.id, b.id) AS id, a.topics IS NOT DISTINCT FROM b.topics AS same FROM {_LISTS.format(w='')} a FULL JOIN {_LISTS.format(w='WHERE NOT (post_id % 3 = 0 AND position = 1)')} b ON a.id = b.id")
 def j12_topic_shadow_eval(t):
+    return _shadow(t).select("id", "same")
+
+
+def _shadow(t):
     ids = t.topics.select(F.col("post_id").alias("id")).distinct()
     lists = feed.attach_topics(ids, t.topics)
     other = feed.attach_topics(ids, t.topics.where("not (post_id % 3 = 0 and position = 1)")).where("size(topics) > 0")
-    return responses.topic_shadow_eval(lists, other).select("id", "same")
+    return responses.topic_shadow_eval(lists, other)
+
+
+@query(f"WITH s AS (SELECT a.topics IS NOT DISTINCT FROM b.topics AS same FROM {_LISTS.format(w='')} a FULL JOIN {_LISTS.format(w='WHERE NOT (post_id % 3 = 0 AND position = 1)')} b ON a.id = b.id) SELECT count(*) AS n, count(*) FILTER (same) AS matches, coalesce(avg(CAST(same AS DOUBLE)), 1.0) AS rate FROM s")
+def j12_topic_match_rate(t):
+    return responses.topic_match_rate(_shadow(t))
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN reason = 'later' THEN 'repeated' ELSE kind END AS outcome FROM removals) GROUP BY outcome")
+@query(f"""WITH v AS (SELECT url, arg_max(verdict, seq) AS page FROM page_verdicts GROUP BY url), h AS (SELECT host, arg_max(verdict, seq) AS terms FROM terms_verdicts GROUP BY host),
+    o AS (SELECT id, CASE WHEN terms IN ('K2', 'K3') THEN 'tos_changed' WHEN terms IN ('K1', 'B1') THEN 'skipped' WHEN page = 'K2' THEN 'tos_changed' WHEN page = 'robots' THEN 'robots_disallowed' WHEN page IN ('404', '410') THEN 'source_gone'
+        WHEN page IN ('304', 'too_large') THEN 'ok' WHEN page = '200' THEN 'compare' ELSE 'skipped' END AS outcome FROM posts LEFT JOIN v USING (url) LEFT JOIN h USING (host) WHERE status = 'published' AND id NOT IN (SELECT post_id FROM removals)),
+    old AS {SIMHASH.format(rows="documents")}, new AS {SIMHASH.format(rows=_REFETCHED)},
+    d AS (SELECT post_id, CASE WHEN new.simhash IS NULL THEN 'container_not_found' WHEN post_id % 6 = 0 THEN 'seed' WHEN hash_kind <> 'body' THEN 'surrogate_skipped' WHEN 1 - bit_count(xor(('0x' || old.simhash)::UBIGINT, ('0x' || new.simhash)::UBIGINT)::HUGEINT) / 64 < 0.7 THEN 'body_changed' ELSE 'ok' END AS drift
+        FROM publications p JOIN old ON old.doc_id = post_id LEFT JOIN new ON new.doc_id = post_id)
+    SELECT CASE WHEN outcome = 'compare' THEN coalesce(drift, 'container_not_found') ELSE outcome END AS outcome, count(*) AS n FROM o LEFT JOIN d ON d.post_id = o.id GROUP BY 1""")
 def a09_revalidation_stats(t):
-    return metrics.outcome_counts(t.removals.withColumn("outcome", F.when(F.col("reason") == "later", "repeated").otherwise(F.col("kind"))), "outcome")
+    """Bodies of every sixth publication weren't hashed yet."""
+    old, new = _hashed(t)
+    published = t.publications.select("post_id", "hash_kind").join(old, "post_id").withColumn("body_hash", F.when(F.col("post_id") % 6 != 0, F.col("body_hash")))
+    reasons = responses.retraction_reasons(t.posts, t.page_verdicts, t.terms_verdicts, t.removals)
+    return responses.revalidation_stats(reasons, responses.body_drift(published, new, CONFIG.drift_similarity))
 
 
 _PLAN = "SELECT id, CASE WHEN id % 6 = 0 THEN 'llm_failed' WHEN id % 6 = 1 THEN 'gate_degrade' ELSE 'updated' END AS outcome FROM posts"
@@ -256,10 +292,16 @@ def m17_plan_sliceless_backfill(t):
     return responses.plan_backfill(t.posts.select("id"), results, degrade_omits_score=True).select("id", "outcome", "writes_score", "writes_topics")
 
 
-@query(f"SELECT outcome, count(*) AS n FROM ({_PLAN}) GROUP BY outcome")
+@query(f"""WITH p AS (SELECT p.id, p.outcome, CASE WHEN p.id % 4 <> 3 THEN 'anchor_' || (p.id % 3) END AS reason, string_split(topics, '|') AS l FROM ({_PLAN}) p LEFT JOIN raw_topics r ON r.post_id = p.id), d AS (SELECT * FROM p WHERE outcome = 'gate_degrade'),
+    rules AS (SELECT {rule_sql("topic")} AS rule FROM (SELECT unnest(list_concat(l, ['佐藤さん', '@abc'])) AS topic FROM d WHERE l IS NOT NULL))
+    SELECT 'outcome' AS kind, outcome AS value, count(*) AS n FROM p GROUP BY outcome UNION ALL SELECT 'reason', coalesce(reason, 'unknown'), count(*) FROM d GROUP BY 2 UNION ALL SELECT 'rule', rule, count(*) FROM rules WHERE rule IS NOT NULL GROUP BY rule""")
 def a10_outcome_counts(t):
+    """Attempts of each post: its raw topics and two that name people."""
     results = t.posts.where("id % 6 != 0").select("id", (F.col("id") % 6 != 1).alias("anchor_ok"))
-    return metrics.outcome_counts(responses.plan_backfill(t.posts.select("id"), results), "outcome")
+    planned = responses.plan_backfill(t.posts.select("id"), results).select("id", "outcome", F.when(F.col("id") % 4 != 3, F.concat(F.lit("anchor_"), (F.col("id") % 3).cast("string"))).alias("reason"))
+    tried = t.raw_topics.select(F.col("post_id").alias("id"), F.concat(F.split("topics", r"\|"), F.array(F.lit("佐藤さん"), F.lit("@abc"))).alias("tried"))
+    broken = F.transform("tried", lambda x: F.array_compact(F.array(topics.pii_rule(x))))
+    return responses.backfill_summary(planned.join(tried.select("id", broken.alias("rejected")), "id", "left"))
 
 
 @query(f"""WITH x AS (SELECT r.post_id, coalesce({COMPLETE}, FALSE) AS good, {RATIONALE.format(labels=RATIONALE_LABELS)} AS t FROM rationales r LEFT JOIN (SELECT post_id, CASE WHEN json_valid(criteria_json) THEN criteria_json END AS criteria_json FROM criteria) c ON c.post_id = r.post_id WHERE contains(rationale_text, 'the'))
@@ -275,12 +317,6 @@ def m20_rollback_topics(t):
     return merges.replace_topics(t.topics, prior)
 
 
-@query("SELECT id, host, CASE WHEN id % 4 = 0 THEN 'restarted' ELSE outcome END AS outcome FROM discovery_run")
-def m21_run_log(t):
-    current = t.discovery_run.select("id", "host", "outcome")
-    return merges.latest(current, current.where("id % 4 = 0").withColumn("outcome", F.lit("restarted")), ["id"])
-
-
 @query("SELECT id, CASE WHEN id % 9 = 0 THEN 'youtube' END AS embed_provider FROM posts")
 def m22_merge_embeds(t):
     current = t.posts.select("id", F.lit(None).cast("string").alias("embed_provider"))
