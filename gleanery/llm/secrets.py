@@ -35,8 +35,6 @@ _NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 #: Letters of the longest date, and of the longest unit of a repeat.
 DATE_MOST, UNIT_MOST = 10, 8
-#: Letters of a value up to which every number of times of a repeat is tried.
-LONG = 1000
 _LEET = str.maketrans("013457$@!", "oleastsai")
 #: No dictionary word is longer.
 LONGEST = 16
@@ -81,6 +79,8 @@ def guess_bits(value: str, words: dict[str, int], most: float = math.inf, char:
     known = {} if known is None else known
     low = value.lower()
     best = [0.0] + [math.inf] * n
+    runs = [(0, -1)] * (UNIT_MOST + 1)  # by length of the unit: the run last looked at, from where it is known to where it ends
+    starts: dict[tuple[int, int], tuple[int, int, float]] = {}  # by length and place in the unit: the run's end, the last start tried and its cost
     for i in range(n):
         here = best[i]
         if here >= most:
@@ -98,14 +98,32 @@ def guess_bits(value: str, words: dict[str, int], most: float = math.inf, char:
             if j - i >= 3:
                 best[j] = min(best[j], here + math.log2(47 * (j - i)) + 2)
         for u in range(1, min(UNIT_MOST, (n - i) // 2) + 1):
-            unit, times = value[i : i + u], 1
-            while value.startswith(unit, i + times * u):
-                times += 1
-            if times > 1:
-                if unit not in known:
-                    known[unit] = guess_bits(unit, words, math.inf, char, known)
-                for k in range(2 if n <= LONG else times, times + 1):
-                    best[i + k * u] = min(best[i + k * u], here + known[unit] + math.log2(k) + 1)
+            begin, end = runs[u]
+            if not begin <= i <= end - u:
+                begin, end = i, i + u
+                while end < n and value[end] == value[end - u]:
+                    end += 1
+                runs[u] = begin, end
+            times = (end - i) // u
+            if times < 2:
+                continue
+            run, at, cost = starts.get((u, i % u), (-1, 0, 0.0))
+            if run == end and here - cost >= math.log2((i - at) / (2 * u) + 1):
+                continue
+            starts[u, i % u] = end, i, here
+            unit = value[i : i + u]
+            if unit not in known:
+                known[unit] = guess_bits(unit, words, math.inf, char, known)
+            inner = next((d for d in (1, 2, 3, 4) if d < u and u % d == 0 and unit == unit[:d] * (u // d)), None)
+            if inner:
+                if unit[:inner] not in known:
+                    known[unit[:inner]] = guess_bits(unit[:inner], words, math.inf, char, known)
+                if known[unit] >= known[unit[:inner]] + math.log2(u // inner):
+                    continue
+            for k in range(2, times + 1):
+                if (cost := here + known[unit] + math.log2(k) + 1) >= most:
+                    break
+                best[i + k * u] = min(best[i + k * u], cost)
     return best[n] if best[n] < most else math.inf
 
 

@@ -159,6 +159,14 @@ def exhaustive_bits(value: str, words: dict[str, int], char: float) -> float:
     return min([*kinds, *(exhaustive_bits(value[:k], words, char) + exhaustive_bits(value[k:], words, char) for k in range(1, len(value)))])
 
 
+def test_guess_costs_of_long_values_follow_the_same_rules():
+    words = {"apple": 50}
+    at = lambda n: secrets.guess_bits("a" * n + "apple", words)
+    assert at(1100) - at(990) == pytest.approx(math.log2(1100 / 990)) and at(50_000) - at(25_000) == pytest.approx(1)
+    # two long runs, where a repeat has to stop short of its run's end
+    assert secrets.guess_bits("l" * 3000 + "lapple" * 2, {"lapple": 2}) < secrets.guess_bits("l" * 3001, {"lapple": 2}) + 20
+
+
 def test_guess_costs_are_the_least_over_all_segmentations():
     rng = random.Random(4)
     words = {"pass": 3, "word": 9, "password": 1, "qwe": 5, "abc": 40, "cab": 70, "rty": 2}
