@@ -3,15 +3,19 @@
 A document is its set of distinct word shingles; two link when the Jaccard similarity of their sets
 reaches a threshold. The components of all links come out, exactly, without listing the links:
 
-1. Equal sets become one (a grouping by a 128-bit set hash). Each keeps a parity bitmap, about a bit for each
-   shingle: sets whose bitmaps differ in more bits than linked sets can differ in shingles aren't compared.
+1. Equal sets become one (a grouping by a 128-bit set hash). Each keeps a parity bitmap, two to four bits for
+   each shingle: sets whose bitmaps differ in more bits than linked sets can differ in shingles aren't compared.
 2. Index. Every set posts the shingles of its prefix, rare ones first, with its size and the room from there
    on. The head of a list is its set with most room; every set is compared with the head that it shares most
    lists with. Sets that link form clusters; each has a leader.
-3. Index with skipping. Lists that two clusters share are read again by size, in blocks with the best room of
+3. Rounds in cells. Sets that share list heads, in the order of how their bitmaps differ from one of those heads',
+   fall into cells of ``CELL``. Each set of a cell is compared with the ``NEAREST`` sets of other
+   clusters by bitmaps; the pairs that link join clusters, until a round joins few. Copies of one text that link only
+   here and there become a few clusters before their pairs are looked at.
+4. Index with skipping. Lists that two clusters share are read again by size, in blocks with the best room of
    each: blocks whose sizes or places rule a link out are skipped, and so are pairs within a cluster. What is
    left are pairs of sets of different clusters.
-4. Answers by relation. Of the pairs between two clusters, only the leaders' is compared at first. If they
+5. Answers by relation. Of the pairs between two clusters, only the leaders' is compared at first. If they
    link, the others are settled; else the answer for a pair of members follows from the leaders'
    intersection and how far each is from its leader, and is computed in full only where that bound leaves it open.
 
@@ -41,13 +45,15 @@ SKETCH_PARTS = 256
 #: Groups of tasks whose counters are added up first.
 LANES = 16
 #: Most bits of a set's bitmap.
-BITMAP = 1 << 15
+BITMAP = 1 << 16
 #: Members of a leader that are compared in one task.
 MEMBERS = 1000
 #: Postings of a list that one task takes, if the sketch is fine enough to tell; else four times its mean count.
 LIST = 50_000
 #: Postings in a block of a list.
 BLOCK = 64
+#: Sets whose bitmaps are compared with one another at once, those of them that a set is compared with, rounds at most, and places in a set's key of the order.
+CELL, NEAREST, ROUNDS, PLACES = 1000, 4, 3, 12
 #: Pairs, and rows of short lists, that a task takes together.
 PAIRS, TOGETHER = 200_000, 100_000
 
@@ -74,8 +80,8 @@ def _sums(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A set's parity bitmap: each shingle turns one bit over. Its bits are a power of two, the set's size or more, up to ``BITMAP``."""
-    bits = min(BITMAP, 1 << max(6, (max(len(s), 1) - 1).bit_length()))
+    """A set's parity bitmap: each shingle turns one bit over. Its bits are a power of two, twice the set's size or more, up to ``BITMAP``."""
+    bits = min(BITMAP, 1 << max(6, (max(2 * len(s), 1) - 1).bit_length()))
     return np.packbits(np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -282,6 +288,64 @@ def _intersections(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int
     return tables.write(rows.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
 
 
+def cell_pairs(cluster: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> set[tuple[int, int]]:
+    """Places (low, high) of each set and the ``NEAREST`` nearest by their bitmaps of those of other clusters, as far as sizes and bitmaps allow a link."""
+    need = _need(percent)
+    least = min(map(len, bits))
+    maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, least)) for x in bits]).view(np.uint64)
+    out = set()
+    for i in range(len(n)):
+        j = np.flatnonzero((cluster != cluster[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
+        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64)
+        ok = np.flatnonzero(apart <= n[i] + n[j] - 2 * need(n[i], n[j]))
+        for k in j[ok[np.argsort(apart[ok], kind="stable")[:NEAREST]]].tolist():
+            out.add((min(i, k), max(i, k)))
+    return out
+
+
+def _order_key(bits: bytes, lead: bytes, turn: int) -> bytes:
+    """The first places, in an order that ``turn`` shuffles, at which two bitmaps differ: like differences begin alike."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (bits, lead))
+    m = min(len(x), len(y))
+    places = np.flatnonzero(np.unpackbits(np.bitwise_xor.reduce(x.reshape(-1, m)) ^ np.bitwise_xor.reduce(y.reshape(-1, m))))
+    shuffled = K.mix64(places.astype(np.uint64) + U64((turn + 1) << 32)) >> U64(48)
+    return np.sort(shuffled)[:PLACES].astype(">u2").tobytes()
+
+
+def _near(heads: DataFrame, sets: DataFrame, clusters: DataFrame, turn: int, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of sets of different clusters with near bitmaps, at most ``NEAREST`` for each set.
+
+    Sets are grouped by the least of their lists' heads in the order of ``turn``. Groups with several clusters are
+    sorted along ranges, so that a group of any size is dealt to several tasks.
+    """
+    rows = heads.select("sid", F.col(f"g{turn}").alias("g")).join(clusters.toDF("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
+    mixed = rows.groupBy("g").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("g")
+    rows = rows.join(mixed, "g").join(sets.select("sid", "n", "bits"), "sid").join(sets.select(F.col("sid").alias("g"), F.col("bits").alias("lead")), "g")
+    octave = F.floor(F.log2("n") + 0.5 * (turn % 2)).cast("int")  # sizes of about a factor 2, on other bounds in the next round
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = [_order_key(x, y, turn) for x, y in zip(batch["bits"].to_pylist(), batch["lead"].to_pylist(), strict=True)]
+            yield batch.select(["g", "octave", "sid", "cluster", "n", "bits"]).append_column("key", pa.array(key, pa.binary()))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, octave, sid, cluster, n, bits = (batch.column(c).to_pylist() for c in range(6))
+            a, b, begin = [], [], 0
+            for k in range(1, len(g) + 1):
+                if k == len(g) or k - begin == CELL or (g[k], octave[k]) != (g[begin], octave[begin]):
+                    if len(set(cluster[begin:k])) > 1:
+                        for i, j in sorted(cell_pairs(np.array(cluster[begin:k]), np.array(n[begin:k]), bits[begin:k], percent)):
+                            a.append(sid[begin + i])
+                            b.append(sid[begin + j])
+                    begin = k
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = rows.select("g", octave.alias("octave"), "sid", "cluster", "n", "bits", "lead").mapInArrow(keys, "g long, octave int, sid long, cluster long, n long, bits binary, key binary")
+    order = ["g", "octave", "key", "sid"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cells, "a long, b long")
+
+
 def list_pairs(sid: np.ndarray, cluster: np.ndarray, n: np.ndarray, room: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of a list's sets that may link, of different clusters; the arrays are sorted by size.
 
@@ -427,14 +491,26 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
     listed = tables.write(_listed(_postings(_prefixes(ids, levels, size, percent), sets, levels, most)), "listed")
     linked = f"both * 100 >= (na + nb - both) * {percent}"
     # each set and the head that it shares most lists with
-    stars = listed.where("head != sid").groupBy("sid", "head").agg(F.count("*").alias("m")).groupBy("sid").agg(F.max_by("head", F.struct("m", -F.col("head"))).alias("a"))
-    stars = tables.write(_possible(stars.select("a", F.col("sid").alias("b")), sets, percent), "stars")
+    most_shared = F.max_by("head", F.when(F.col("head") != F.col("sid"), F.struct("m", -F.col("head")))).alias("a")
+    turns = [F.min_by("head", F.xxhash64("head", F.lit(r))).alias(f"g{r}") for r in range(ROUNDS)]
+    heads = tables.write(listed.groupBy("sid", "head").agg(F.count("*").alias("m")).groupBy("sid").agg(most_shared, *turns), "heads")
+    stars = tables.write(_possible(heads.where("a is not null").select("a", F.col("sid").alias("b")), sets, percent), "stars")
     links = _intersections(ids, sets, stars, size, tables, "near_heads").where(linked).select("a", "b")
     # sets of one doc_id belong together
     shared = owned.where("doc_id is not null and sid is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z")
     several = owned.join(shared, "doc_id").where("sid > a").select("a", F.col("sid").alias("b")).distinct()
     links = tables.write(links.unionByName(several), "links")
     clusters = components(links)
+    for turn in range(ROUNDS):
+        near = tables.write(_near(heads, sets, clusters, turn, percent), "near")
+        compared = near.count()
+        more = _intersections(ids, sets, near, size, tables, "near_pairs").where(linked).select("a", "b") if compared else near
+        joined = more.count()
+        if joined:
+            links = tables.write(links.unionByName(more), "links")
+            clusters = components(links)
+        if joined * 10 < compared or not joined:  # what is left is mostly apart
+            break
 
     placed = listed.select("token", "salt", "sid", "n", "room").join(clusters.toDF("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
     placed = tables.write(placed, "placed")

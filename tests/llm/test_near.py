@@ -141,6 +141,46 @@ def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
     assert figures[1] < 8 * figures[0]  # the square would be 16
 
 
+def test_pairs_of_copies_that_link_here_and_there_grow_no_faster_than_the_copies(spark, monkeypatch):
+    """Copies of a text of 200 words, each with three words of its own: most pairs are just below the threshold."""
+    write, seen = setjoin.Scratch.write, {}
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(setjoin.Scratch, "write", counted)
+    figures = []
+    for n in (300, 600, 1200):
+        seen.clear()
+        base = soup(61, 200)
+        texts = []
+        for k in range(n):
+            words, rng = list(base), random.Random(9000 + k)
+            for i in rng.sample(range(200), 3):
+                words[i] = f"own{k}x{i}"
+            texts.append(" ".join(words))
+        got = {r["doc_id"]: r["component_id"] for r in setjoin.similar_components(table(spark, texts)).collect()}
+        if n == 300:
+            assert got == brute_components(texts)
+        figures.append((seen["candidates"], sum(seen.get(k, 0) for k in ("stars", "near", "leaders", "ends", "far"))))
+    assert all(b <= 2.5 * a for x, y in zip(figures, figures[1:], strict=False) for a, b in zip(x, y, strict=True)), figures
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_of_a_cell_take_their_nearest_possible_partners(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 120 - k, replace=False), rng.integers(0, 1 << 63, int(k), dtype=np.uint64)])) for k in rng.integers(0, 30, 40)]
+    n, bits, cluster = np.array([len(s) for s in sets]), [setjoin.parity(s) for s in sets], rng.integers(0, 12, 40)
+    near = {}
+    for i in range(40):
+        able = [(setjoin.differing(bits[i], bits[j]), j) for j in range(40) if cluster[i] != cluster[j] and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 80]
+        near[i] = sorted((d, j) for d, j in able if d <= n[i] + n[j] - 2 * (-(-(n[i] + n[j]) * 80 // 180)))[: setjoin.NEAREST]
+    assert setjoin.cell_pairs(cluster, n, bits, 80) == {(min(i, j), max(i, j)) for i in near for _, j in near[i]}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(310, 350)] + [(400, 400)]
