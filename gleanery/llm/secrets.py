@@ -71,8 +71,7 @@ def guess_bits(value: str, words: dict[str, int], most: float = math.inf, char:
     A segment is a brute-force character, or one of these with a bit for its kind and place: a dictionary word, a
     date or year, a keyboard walk of three letters or more, or a unit of up to ``UNIT_MOST`` letters written
     several times, which costs what the unit itself does and the log2 of the times. Every part that is one of
-    them is tried, from every start to every end; in values of over ``LONG`` letters repeats are only tried
-    whole. ``char`` and ``known`` are the cost of a character and of units seen, for the recursion.
+    them is tried, from every start to every end, in values of any length. ``char`` and ``known`` are the cost of a character and of units seen, for the recursion.
     """
     n = len(value)
     char = alphabet_bits(value) if char is None else char
