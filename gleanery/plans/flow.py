@@ -251,7 +251,7 @@ def m21_cursors(t):
     return hosts.advanced_cursors(_cursors(t), runs, at("2024-06-01")).select("host", F.unix_micros("cursor").alias("cursor"))
 
 
-@query("SELECT CAST(epoch(max(started_at)) AS BIGINT) AS last, CAST(date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') AS INT) AS age_days, date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') > 10 AS stale FROM discovery_run")
+@query("SELECT CAST(floor(epoch(max(started_at))) AS BIGINT) AS last, CAST(date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') AS INT) AS age_days, date_diff('day', CAST(max(started_at) AS DATE), DATE '2024-02-15') > 10 AS stale FROM discovery_run")
 def a19_run_freshness(t):
     out = hosts.run_freshness(t.discovery_run, F.lit("2024-02-15").cast("date"))
     return out.withColumn("last", F.floor(F.col("last").cast("double")).cast("long"))
