@@ -51,9 +51,12 @@ def _cursors(t):
     return t.sitemap_entries.where("host not in ('m2', 'm9')").select("host", at("2024-05-13").alias("cursor")).distinct()
 
 
-@query(f"""WITH {_SITEMAPS}, parents AS (SELECT DISTINCT host, root FROM kids),
+_FIRST = """parents AS (SELECT DISTINCT host, root FROM kids),
     one AS (SELECT e.host, e.url FROM sitemap_entries e LEFT JOIN parents p ON p.host = e.host AND p.root = e.root LEFT JOIN kids c ON c.host = e.host AND c.root = e.root AND c.child = e.child WHERE (e.child IS NULL AND p.host IS NULL) OR NOT c.skipped),
-    first AS (SELECT DISTINCT host, url FROM one EXCEPT SELECT host, url FROM sitemap_seen), every AS (SELECT DISTINCT host, url FROM sitemap_entries EXCEPT SELECT host, url FROM sitemap_seen),
+    first AS (SELECT DISTINCT host, url FROM one EXCEPT SELECT host, url FROM sitemap_seen)"""
+
+
+@query(f"""WITH {_SITEMAPS}, {_FIRST}, every AS (SELECT DISTINCT host, url FROM sitemap_entries EXCEPT SELECT host, url FROM sitemap_seen),
     f AS (SELECT host, count(*) AS found FROM first GROUP BY host), e AS (SELECT host, count(*) AS n FROM every GROUP BY host),
     r AS (SELECT host, count(DISTINCT root) AS roots FROM sitemap_entries GROUP BY host), c AS (SELECT host, count(*) AS children, count(CASE WHEN NOT skipped THEN 1 END) AS read, bool_or(skipped) AS skipped FROM kids GROUP BY host),
     o AS (SELECT r.host, roots, coalesce(children, 0) AS children, coalesce(read, 0) AS read, coalesce(found, 0) AS found, CASE WHEN r.host NOT IN (SELECT host FROM known) THEN 'seeded' WHEN skipped AND found > 3 THEN 'completed_lastmod_distrusted' ELSE 'completed' END AS outcome
@@ -232,8 +235,8 @@ def a16_cohort_validation(t):
 
 
 @query(f"""WITH {_SITEMAPS}, log AS (SELECT id, host, outcome, finished_at IS NOT NULL AS finished FROM discovery_run), fresh AS (SELECT host, row_number() OVER (ORDER BY host) + (SELECT max(id) FROM log) AS id FROM (SELECT DISTINCT host FROM sitemap_entries)),
-    n AS (SELECT host, count(*) AS n FROM sitemap_seen GROUP BY host)
-    SELECT id, host, outcome, finished, 0 AS fetched FROM log UNION ALL SELECT id, f.host, CASE WHEN f.host = 'm3' THEN 'running' WHEN f.host NOT IN (SELECT host FROM known) THEN 'seeded' ELSE 'completed' END, f.host <> 'm3', CASE WHEN f.host = 'm3' THEN 0 ELSE coalesce(n, 0) END FROM fresh f LEFT JOIN n ON n.host = f.host""")
+    n AS (SELECT host, count(*) AS n FROM sitemap_seen GROUP BY host), {_FIRST}, d AS (SELECT host, count(*) AS found FROM first GROUP BY host), c AS (SELECT host, bool_or(skipped) AS skipped FROM kids GROUP BY host)
+    SELECT id, host, outcome, finished, 0 AS fetched FROM log UNION ALL SELECT id, f.host, CASE WHEN f.host = 'm3' THEN 'running' WHEN f.host NOT IN (SELECT host FROM known) THEN 'seeded' WHEN skipped AND found > {CONFIG.lastmod_alert} THEN 'completed_lastmod_distrusted' ELSE 'completed' END, f.host <> 'm3', CASE WHEN f.host = 'm3' THEN 0 ELSE coalesce(n, 0) END FROM fresh f LEFT JOIN n ON n.host = f.host LEFT JOIN d ON d.host = f.host LEFT JOIN c ON c.host = f.host""")
 def m21_run_log(t):
     """Runs of the sitemaps' hosts begin and, but for one, end; the log before them stays."""
     log = t.discovery_run.select("id", "host", "started_at", "finished_at", F.lit(0).cast("long").alias("sitemaps_fetched"), F.lit(0).cast("long").alias("urls_new"), F.lit("{}").alias("status_counts"), "outcome")

@@ -29,3 +29,10 @@ def test_the_second_of_the_last_run_isnt_rounded_up(both):
     events = [(1, 1, "view", datetime.datetime(2024, 1, 30, 23, 59, 58, 700000))], "event_id long, user_id long, event_type string, ts timestamp"
     got, want = both("a19_run_freshness", events=events)
     assert got == want and got[0][0] == 1706659198
+
+
+def test_runs_that_distrust_lastmods_stand_in_the_log(both):
+    events = [(1, 1, "view", datetime.datetime(2024, 1, 30))], "event_id long, user_id long, event_type string, ts timestamp"
+    pages = [(k, f"https://h.example.com/{k}", "") for k in range(1, 12 * 300)], "page_id long, url string, html string"
+    got, want = both("m21_run_log", events=events, pages=pages)
+    assert got == want and any("completed_lastmod_distrusted" in r for r in got) and any("completed" in r for r in got)
