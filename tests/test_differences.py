@@ -36,3 +36,14 @@ def test_runs_that_distrust_lastmods_stand_in_the_log(both):
     pages = [(k, f"https://h.example.com/{k}", "") for k in range(1, 12 * 300)], "page_id long, url string, html string"
     got, want = both("m21_run_log", events=events, pages=pages)
     assert got == want and any("completed_lastmod_distrusted" in r for r in got) and any("completed" in r for r in got)
+
+
+CUT = ["a&amp;&amp;b&am", "a&amp;b&a", "a&amp;b&", "a&&amp", "a&lt;b&gt", "&quot;a&quot b", "a&amp;lt;b", "a&amp;am;b", "a&nbsp;&nbsp b"]
+
+
+@pytest.mark.parametrize("name", ["p10_article_titles", "p13_extract_articles"])
+def test_headings_cut_in_a_reference(both, name):
+    pages = [(40 * k + 3, f"https://h.example.com/{k}", f"<html><title>page</title><body><article><h1>{h}</h1><p>{'long enough text ' * 9}</p></article></body></html>") for k, h in enumerate(CUT)], "page_id long, url string, html string"
+    got, want = both(name, pages=pages)
+    assert got == want
+    assert [r[1 if name.startswith("p10") else 3].strip("　") for r in got] == ["a&&b&am", "a&b&a", "a&b&", "a&&", "a<b>", '"a" b', "a<b", "a&am;b", "a\u00a0\u00a0 b"]
