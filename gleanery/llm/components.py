@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond"): the number of links never grows, and no node's links are gathered, only minima of them.
     Rows with a null end are left out; self links give a component of one node. Each round is written to
-    the shared folder, and the one before it deleted.
+    the shared folder, and the one before it deleted. Rounds are many, so their joins broadcast nothing: that
+    would fill the driver.
     """
     tables = Scratch(links.sparkSession)
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
@@ -36,10 +37,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: every node ties its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         last, edges = edges, tables.write(small.coalesce(now[0] // ROWS + 1), "links")  # their number never grows
         tables.drop(last)
         before, now = now, _mark(edges)  # a round changes nothing exactly when every component is a star around its smallest node

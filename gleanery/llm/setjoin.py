@@ -507,11 +507,13 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
         more = _intersections(ids, sets, near, size, tables, "near_pairs").where(linked).select("a", "b") if compared else near
         joined = more.count()
         if joined:
-            links = tables.write(links.unionByName(more), "links")
+            # the clusters' stars stand for the links that made them
+            links = tables.write(clusters.toDF("a", "b").unionByName(more), "links")
             clusters = components(links)
         if joined * 10 < compared or not joined:  # what is left is mostly apart
             break
 
+    # one row of clusters at most for each set, so that there stay as many rows as postings
     placed = listed.select("token", "salt", "sid", "n", "room").join(clusters.toDF("sid", "cluster"), "sid", "left").withColumn("cluster", F.coalesce("cluster", "sid"))
     placed = tables.write(placed, "placed")
     tables.drop(listed)
@@ -521,8 +523,8 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
     open_ = tables.write(candidates.join(pairs, ["a", "b"], "left_semi"), "open")
     leaders = tables.write(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "leaders")
     between = _intersections(ids, sets, leaders, size, tables, "between")
-    links = tables.write(links.unionByName(between.where(linked).select("a", "b")), "links")
-    found = components(links)
+    links = clusters.toDF("a", "b").unionByName(between.where(linked).select("a", "b"))
+    found = components(tables.write(links, "links"))
 
     # the answer for members follows from their leaders' and their distances from them
     members = _apart(open_, found).where("a != ca or b != cb")
@@ -536,7 +538,7 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = SIZE) ->
         # |x & y| <= |leaders' intersection| + what x and y have beyond their leaders
         far = tables.write(far.where(f"(both + da + db) * {100 + percent} >= (na + nb) * {percent}").select("a", "b").distinct(), "far")
         more = _intersections(ids, sets, far, size, tables, "rest").where(linked).select("a", "b")
-        found = components(tables.write(links.unionByName(more), "links"))
+        found = components(tables.write(found.toDF("a", "b").unionByName(more), "links"))
     named = sets.select("sid", "rep").join(found.toDF("sid", "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.select("sid", "component").join(lowest, "component").select("sid", "component_id")
